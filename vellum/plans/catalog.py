@@ -34,3 +34,236 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> ix.Index:
 def search_bm25(spark, sf_dir):
     """3-term OR queries from the benchmark texts, top 10 each."""
     return se.search(corpus_index(spark, sf_dir), tb.or_queries(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ helpers
+
+from vellum.functions import paths as pa  # noqa: E402
+from vellum.operators import changes as chg  # noqa: E402
+from vellum.operators import meta as me  # noqa: E402
+
+
+def _tags(c="tags"):
+    return F.array_join(c if not isinstance(c, str) else F.col(c), ",")
+
+
+def _entity_keys(spark, sf_dir):
+    names = tb.entities(spark, sf_dir).select(F.col("name").alias("key"))
+    return names.unionByName(names.select(F.concat("key", F.lit("-x")).alias("key")))
+
+
+def _doc_keys(spark, sf_dir):
+    return (tb.changes(spark, sf_dir).where(F.col("op") != "save")
+            .select(F.col("id").alias("key")).distinct())
+
+
+def _entity_requests(spark, sf_dir):
+    ev = tb.read(spark, sf_dir, "events")
+    scope = (F.when(F.col("event_type") == "click", "knowledge")
+             .when(F.col("event_type") == "view", "project")
+             .when(F.col("event_type") == "purchase", "Project")
+             .otherwise(F.col("event_type")))
+    return ev.select(F.col("event_id").alias("seq"),
+                     F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("name"),
+                     scope.alias("scope"))
+
+
+# ------------------------------------------------------------------ metadata
+
+@register("list_entities")
+def list_entities(spark, sf_dir):
+    e = me.list_entities(tb.entities(spark, sf_dir))
+    return e.select("id", "name", "scope", "description", _tags().alias("tags"),
+                    me.rfc3339(F.col("created_at")).alias("created_at"))
+
+
+@register("entity_by_name")
+def entity_by_name(spark, sf_dir):
+    r = me.entities_by_name(tb.entities(spark, sf_dir), _entity_keys(spark, sf_dir))
+    return r.select("key", "id", "scope", "description")
+
+
+@register("docs_with_entity")
+def docs_with_entity(spark, sf_dir):
+    r = me.docs_with_entity(tb.documents(spark, sf_dir, with_tags=False), tb.entities(spark, sf_dir))
+    return r.select("id", "name", "entity_id", "entity_name", "scope")
+
+
+@register("doc_by_id")
+def doc_by_id(spark, sf_dir):
+    r = me.docs_by_id(tb.documents(spark, sf_dir), tb.entities(spark, sf_dir), _doc_keys(spark, sf_dir))
+    return r.select("key", "name", "entity", "topic", "title", _tags().alias("tags"), "scope",
+                    me.rfc3339(F.col("created_at")).alias("created_at"))
+
+
+@register("validate_scope")
+def validate_scope(spark, sf_dir):
+    r = _entity_requests(spark, sf_dir)
+    return r.select("seq", "name", "scope", me.valid_scope(F.col("scope")).alias("valid"))
+
+
+def _path_candidates(spark, sf_dir):
+    d = tb.documents(spark, sf_dir, with_tags=False).select("entity", "topic", "name")
+    p = tb.read(spark, sf_dir, "part").select(
+        F.lower(F.regexp_replace("p_brand", "#", "-")).alias("entity"),
+        F.when(F.col("p_size") % 3 == 0, F.lit(None).cast("string"))
+         .when(F.col("p_size") % 3 == 1, F.lower("p_type")).otherwise(F.col("p_type")).alias("topic"),
+        F.when(F.col("p_size") % 2 == 0, F.regexp_replace("p_name", " ", "-"))
+         .otherwise(F.col("p_name")).alias("name"))
+    return d.unionByName(p)
+
+
+@register("validate_paths")
+def validate_paths(spark, sf_dir):
+    c = _path_candidates(spark, sf_dir)
+    return c.select("entity", "topic", "name",
+                    pa.valid_path(F.col("entity"), F.col("topic"), F.col("name")).alias("valid"),
+                    pa.display_path(F.col("entity"), F.col("topic"), F.col("name")).alias("path"))
+
+
+@register("doc_paths")
+def doc_paths(spark, sf_dir):
+    d = tb.documents(spark, sf_dir, with_tags=False)
+    fs = pa.fs_path(F.col("entity"), F.col("topic"), F.col("name"))
+    e, t, n = pa.split_fs_path(fs)
+    return d.select("id", fs.alias("fs_path"),
+                    pa.display_path(F.col("entity"), F.col("topic"), F.col("name")).alias("display_path"),
+                    pa.hit_path(F.col("entity"), F.col("topic")).alias("hit_path"),
+                    ((e == F.col("entity")) & F.equal_null(t, F.col("topic")) & (n == F.col("name")))
+                    .alias("round_trip"))
+
+
+@register("name_available")
+def name_available(spark, sf_dir):
+    ev = tb.read(spark, sf_dir, "events")
+    cand = ev.select(F.concat(F.lit("doc-"), F.col("user_id").cast("string")).alias("candidate")) \
+        .unionByName(ev.select(F.concat(F.lit("evt-"), (F.col("event_id") % 500).cast("string")).alias("candidate"))) \
+        .distinct()
+    return me.names_available(tb.documents(spark, sf_dir, with_tags=False), cand)
+
+
+def _counts(spark, sf_dir):
+    return me.tree_counts(tb.entities(spark, sf_dir), tb.documents(spark, sf_dir, with_tags=False))
+
+
+def _children_text(c="children"):
+    return F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("="),
+                                                          x["document_count"].cast("string"))), ",")
+
+
+@register("tree_counts")
+def tree_counts(spark, sf_dir):
+    return _counts(spark, sf_dir).orderBy(F.asc("entity"), F.asc_nulls_first("topic"))
+
+
+@register("tree_rollup")
+def tree_rollup(spark, sf_dir):
+    return me.tree_rollup(_counts(spark, sf_dir))
+
+
+@register("tree_nested")
+def tree_nested(spark, sf_dir):
+    t = me.tree(_counts(spark, sf_dir), depth=2)
+    return t.select("entity", "document_count", _children_text().alias("children"))
+
+
+@register("tree_depth1")
+def tree_depth1(spark, sf_dir):
+    t = me.tree(_counts(spark, sf_dir), depth=1)
+    return t.select("entity", "document_count", F.size("children").cast("long").alias("n_children"))
+
+
+@register("tree_entity")
+def tree_entity(spark, sf_dir):
+    names = _entity_keys(spark, sf_dir).select(F.col("key").alias("name"))
+    t = me.tree_for(_counts(spark, sf_dir), names)
+    return t.select("entity", "document_count", _children_text().alias("children"))
+
+
+@register("tree_text")
+def tree_text(spark, sf_dir):
+    return me.tree_text(me.tree(_counts(spark, sf_dir)))
+
+
+@register("tree_json")
+def tree_json(spark, sf_dir):
+    return me.tree_json(me.tree(_counts(spark, sf_dir)))
+
+
+@register("rebuild_count")
+def rebuild_count(spark, sf_dir):
+    """Number of documents indexed by a rebuild."""
+    idx = corpus_index(spark, sf_dir)
+    return idx.doc_stats.where(F.col("field") == "title").agg(
+        F.count(F.lit(1)).alias("n_documents"))
+
+
+@register("corpus_all")
+def corpus_all(spark, sf_dir):
+    """Metadata joined with bodies (rows without a body skipped), ordered."""
+    d = tb.documents(spark, sf_dir)
+    meta = d.drop("content")
+    bodies = d.select("id", "content").where(F.col("content").isNotNull())
+    return (meta.join(bodies, "id")
+            .select("id", "entity", "topic", "name", F.length("content").cast("long").alias("n_chars"))
+            .orderBy(F.asc("entity"), F.asc_nulls_first("topic"), F.asc("name")))
+
+
+# ------------------------------------------------------------------ changes
+
+def _apply(spark, sf_dir, fn=chg.apply_changes):
+    return fn(tb.documents(spark, sf_dir), tb.entities(spark, sf_dir), tb.changes(spark, sf_dir))
+
+
+def _doc_out(d):
+    return d.select("id", "entity", "topic", "name", "title", F.md5("content").alias("content_md5"),
+                    _tags().alias("tags"), me.rfc3339(F.col("created_at")).alias("created_at"),
+                    me.rfc3339(F.col("updated_at")).alias("updated_at"))
+
+
+@register("apply_changes")
+def apply_changes(spark, sf_dir):
+    return _doc_out(_apply(spark, sf_dir)[0])
+
+
+@register("apply_changes_rejects")
+def apply_changes_rejects(spark, sf_dir):
+    return _apply(spark, sf_dir)[1]
+
+
+@register("save_batch")
+def save_batch(spark, sf_dir):
+    return _doc_out(_apply(spark, sf_dir, chg.save_batch)[0])
+
+
+@register("save_batch_rejects")
+def save_batch_rejects(spark, sf_dir):
+    return _apply(spark, sf_dir, chg.save_batch)[1]
+
+
+@register("update_batch")
+def update_batch(spark, sf_dir):
+    return _doc_out(_apply(spark, sf_dir, chg.update_batch)[0])
+
+
+@register("delete_batch")
+def delete_batch(spark, sf_dir):
+    return _doc_out(_apply(spark, sf_dir, chg.delete_batch)[0]).select("id", "name")
+
+
+@register("save_entity_exists")
+def save_entity_exists(spark, sf_dir):
+    """Saves whose entity exists (semi) and those that do not (anti)."""
+    s = tb.changes(spark, sf_dir).where(F.col("op") == "save").select("seq", "entity")
+    e = tb.entities(spark, sf_dir).select(F.col("name").alias("entity"))
+    ok = s.join(e, "entity", "left_semi").withColumn("exists", F.lit(True))
+    bad = s.join(e, "entity", "left_anti").withColumn("exists", F.lit(False))
+    return ok.unionByName(bad)
+
+
+@register("save_name_unique")
+def save_name_unique(spark, sf_dir):
+    """Saves whose name no current document holds (anti join on name)."""
+    s = tb.changes(spark, sf_dir).where(F.col("op") == "save").select("seq", "name")
+    d = tb.documents(spark, sf_dir, with_tags=False).select("name")
+    return s.join(d, "name", "left_anti").select("seq", "name")

@@ -135,3 +135,230 @@ ORACLE["search_bm25"] = (
     with_ctes(DOCS, FIELD_TEXTS, QTERMS, TERM_SCORES,
               "agg AS (SELECT query_id, doc_id, sum(score) AS score FROM scored GROUP BY 1, 2)")
     + topk_sql("agg"))
+
+# ------------------------------------------------------------------ metadata
+
+RFC = "'%Y-%m-%dT%H:%M:%SZ'"
+SEG = "'[a-z0-9-]+'"
+
+
+def valid_path_sql(e: str, t: str, n: str) -> str:
+    return (f"(coalesce(regexp_full_match({e}, {SEG}), false) AND ({t} IS NULL OR "
+            f"coalesce(regexp_full_match({t}, {SEG}), false)) AND coalesce(regexp_full_match({n}, {SEG}), false))")
+
+
+ENTITY_KEYS = "ekeys AS (SELECT name AS key FROM ents UNION ALL SELECT name || '-x' FROM ents)"
+
+CHANGES = rf"""
+ch AS (
+  SELECT e.event_id AS seq, e.ts,
+         CASE WHEN e.event_type = 'signup' THEN 'save' WHEN e.event_type = 'error' THEN 'delete' ELSE 'update' END AS op,
+         CASE WHEN e.event_type = 'signup' THEN 'E' || CAST(e.event_id AS VARCHAR)
+              WHEN e.event_id % 2 = 0 THEN 'D' || lpad(CAST(e.event_id % c.n AS VARCHAR), 8, '0')
+              ELSE 'E' || CAST(e.event_id - 7 AS VARCHAR) END AS id,
+         CASE WHEN e.event_type = 'signup' THEN 'src' || CAST(e.user_id % 25 AS VARCHAR) END AS entity,
+         CASE WHEN e.event_type = 'signup' THEN
+              CASE WHEN e.user_id % 10 = 9 THEN 'Bad_Topic' WHEN e.user_id % 10 < 3 THEN 'fr'
+                   WHEN e.user_id % 10 < 5 THEN 'de' END END AS topic,
+         CASE WHEN e.event_type = 'signup' THEN 'evt-' || CAST(e.event_id % 500 AS VARCHAR) END AS name,
+         CASE WHEN e.event_type IN ('signup', 'click') THEN 'Title ' || CAST(e.event_id AS VARCHAR) END AS title,
+         CASE WHEN e.event_type IN ('signup', 'view') THEN e.props || ' ' || CAST(e.value AS VARCHAR) END AS content,
+         CASE WHEN e.event_type = 'signup' THEN ['new']
+              WHEN e.event_type = 'purchase' THEN ['purchase', 'v' || CAST(CAST(floor(e.value) AS BIGINT) AS VARCHAR)]
+         END AS tags
+  FROM events e, (SELECT count(*) AS n FROM documents) c
+)"""
+
+DOC_KEYS = "dkeys AS (SELECT DISTINCT id AS key FROM ch WHERE op <> 'save')"
+
+COUNTS = """
+counts AS (
+  SELECT e.name AS entity, c.topic, CAST(coalesce(c.n, 0) AS BIGINT) AS document_count
+  FROM ents e LEFT JOIN (SELECT entity_id, topic, count(id) AS n FROM docs GROUP BY entity_id, topic) c
+    ON c.entity_id = e.id
+)"""
+
+TREE = """
+tree AS (
+  SELECT entity, CAST(sum(document_count) AS BIGINT) AS document_count,
+         list(struct_pack(name := topic, document_count := document_count) ORDER BY topic)
+           FILTER (WHERE topic IS NOT NULL) AS children
+  FROM counts GROUP BY entity
+)"""
+
+CHILDREN_TEXT = "coalesce(array_to_string(list_transform(children, lambda x: x.name || '=' || CAST(x.document_count AS VARCHAR)), ','), '')"
+
+ORACLE["list_entities"] = with_ctes(ENTITIES) + f"""
+SELECT id, name, scope, description, array_to_string(tags, ',') AS tags,
+       strftime(created_at, {RFC}) AS created_at FROM ents ORDER BY name"""
+
+ORACLE["entity_by_name"] = with_ctes(ENTITIES, ENTITY_KEYS) + """
+SELECT k.key, e.id, e.scope, e.description FROM ekeys k LEFT JOIN ents e ON e.name = k.key"""
+
+ORACLE["docs_with_entity"] = with_ctes(DOCS, ENTITIES) + """
+SELECT d.id, d.name, d.entity_id, e.name AS entity_name, e.scope FROM docs d JOIN ents e ON e.id = d.entity_id"""
+
+ORACLE["doc_by_id"] = with_ctes(DOCS, ENTITIES, CHANGES, DOC_KEYS) + f"""
+SELECT k.key, d.name, d.entity, d.topic, d.title, array_to_string(d.tags, ',') AS tags, e.scope,
+       strftime(d.created_at, {RFC}) AS created_at
+FROM dkeys k LEFT JOIN (docs d JOIN ents e ON e.id = d.entity_id) ON d.id = k.key"""
+
+ORACLE["validate_scope"] = """
+SELECT event_id AS seq, 'user-' || CAST(user_id AS VARCHAR) AS name,
+       CASE event_type WHEN 'click' THEN 'knowledge' WHEN 'view' THEN 'project'
+                       WHEN 'purchase' THEN 'Project' ELSE event_type END AS scope,
+       CASE event_type WHEN 'click' THEN true WHEN 'view' THEN true ELSE false END AS valid
+FROM events"""
+
+ORACLE["validate_paths"] = with_ctes(DOCS, """
+cand AS (
+  SELECT entity, topic, name FROM docs
+  UNION ALL
+  SELECT lower(replace(p_brand, '#', '-')),
+         CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN lower(p_type) ELSE p_type END,
+         CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '-') ELSE p_name END
+  FROM part
+)""") + f"""
+SELECT entity, topic, name, {valid_path_sql('entity', 'topic', 'name')} AS valid,
+       concat_ws('/', entity, topic, name) AS path FROM cand"""
+
+ORACLE["doc_paths"] = with_ctes(DOCS) + """
+SELECT id, 'entities/' || concat_ws('/', entity, topic, name) || '.md' AS fs_path,
+       concat_ws('/', entity, topic, name) AS display_path,
+       concat_ws('/', entity, topic) AS hit_path, true AS round_trip FROM docs"""
+
+ORACLE["name_available"] = with_ctes(DOCS, """
+cand AS (
+  SELECT DISTINCT candidate FROM (
+    SELECT 'doc-' || CAST(user_id AS VARCHAR) AS candidate FROM events
+    UNION ALL SELECT 'evt-' || CAST(event_id % 500 AS VARCHAR) FROM events)
+)""") + """
+SELECT candidate, candidate NOT IN (SELECT name FROM docs) AS available FROM cand"""
+
+ORACLE["tree_counts"] = with_ctes(DOCS, ENTITIES, COUNTS) + """
+SELECT entity, topic, document_count FROM counts ORDER BY entity, topic NULLS FIRST"""
+
+ORACLE["tree_rollup"] = with_ctes(DOCS, ENTITIES, COUNTS) + """
+SELECT entity, topic, CAST(0 AS BIGINT) AS level, document_count FROM counts
+UNION ALL
+SELECT entity, NULL, CAST(1 AS BIGINT), CAST(sum(document_count) AS BIGINT) FROM counts GROUP BY entity"""
+
+ORACLE["tree_nested"] = with_ctes(DOCS, ENTITIES, COUNTS, TREE) + f"""
+SELECT entity, document_count, {CHILDREN_TEXT} AS children FROM tree"""
+
+ORACLE["tree_depth1"] = with_ctes(DOCS, ENTITIES, COUNTS) + """
+SELECT entity, CAST(sum(document_count) AS BIGINT) AS document_count, CAST(0 AS BIGINT) AS n_children
+FROM counts GROUP BY entity"""
+
+ORACLE["tree_entity"] = with_ctes(DOCS, ENTITIES, COUNTS, TREE, ENTITY_KEYS) + f"""
+SELECT k.key AS entity, coalesce(t.document_count, 0) AS document_count, {CHILDREN_TEXT} AS children
+FROM ekeys k LEFT JOIN tree t ON t.entity = k.key"""
+
+ORACLE["tree_text"] = with_ctes(DOCS, ENTITIES, COUNTS, TREE) + """
+SELECT entity,
+       array_to_string(list_concat([entity || '/  (' || CAST(document_count AS VARCHAR) || ' documents)'],
+         coalesce(list_transform(children, lambda x: '  ' || x.name || '/  (' || CAST(x.document_count AS VARCHAR) || ' documents)'), [])),
+         chr(10)) AS text
+FROM tree"""
+
+ORACLE["tree_json"] = with_ctes(DOCS, ENTITIES, COUNTS, TREE) + """
+SELECT entity, CAST(json_object('name', entity, 'document_count', document_count, 'children',
+       coalesce(list_transform(children, lambda x: json_object('name', x.name, 'document_count', x.document_count,
+                'children', json('[]'))), [])) AS VARCHAR) AS json
+FROM tree"""
+
+ORACLE["rebuild_count"] = "SELECT count(*) AS n_documents FROM documents"
+
+ORACLE["corpus_all"] = with_ctes(DOCS) + """
+SELECT id, entity, topic, name, CAST(length(content) AS BIGINT) AS n_chars FROM docs
+WHERE content IS NOT NULL ORDER BY entity, topic NULLS FIRST, name"""
+
+# ------------------------------------------------------------------ changes
+
+NEVER = 2**62
+
+
+def apply_sql(op_filter: str, select: str) -> str:
+    """The change log applied one change at a time: a recursive fold per name
+    for saves; lifetimes for updates and deletes."""
+    return "WITH RECURSIVE " + ",".join([DOCS, ENTITIES, CHANGES, f"""
+chf AS (SELECT * FROM ch WHERE {op_filter}),
+dels AS (SELECT seq, id FROM chf WHERE op = 'delete'),
+ups AS (SELECT * FROM chf WHERE op = 'update'),
+sv AS (SELECT chf.*, e.id AS entity_id FROM chf LEFT JOIN ents e ON e.name = chf.entity WHERE chf.op = 'save'),
+base AS (
+  SELECT d.*, coalesce(m.death, {NEVER}) AS death FROM docs d
+  LEFT JOIN (SELECT id, min(seq) AS death FROM dels GROUP BY id) m ON m.id = d.id
+),
+s2 AS (
+  SELECT sv.*, {valid_path_sql('sv.entity', 'sv.topic', 'sv.name')} AS path_ok,
+         coalesce((SELECT min(x.seq) FROM dels x WHERE x.id = sv.id AND x.seq > sv.seq), {NEVER}) AS death
+  FROM sv WHERE entity_id IS NOT NULL
+),
+ordered AS (
+  SELECT s2.seq, s2.name, s2.path_ok, s2.death,
+         row_number() OVER (PARTITION BY s2.name ORDER BY s2.seq) AS rn,
+         coalesce(b.death, -1) AS d0
+  FROM s2 LEFT JOIN base b ON b.name = s2.name
+),
+fold(name, rn, hd, seq, status) AS (
+  SELECT name, rn,
+         CASE WHEN seq < d0 OR NOT path_ok THEN d0 ELSE death END,
+         seq,
+         CASE WHEN seq < d0 THEN 'duplicate_name' WHEN NOT path_ok THEN 'invalid_path' ELSE 'accepted' END
+  FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.name, o.rn,
+         CASE WHEN o.seq < f.hd OR NOT o.path_ok THEN f.hd ELSE o.death END,
+         o.seq,
+         CASE WHEN o.seq < f.hd THEN 'duplicate_name' WHEN NOT o.path_ok THEN 'invalid_path' ELSE 'accepted' END
+  FROM fold f JOIN ordered o ON o.name = f.name AND o.rn = f.rn + 1
+),
+acc AS (SELECT s2.* FROM s2 JOIN fold f ON f.seq = s2.seq WHERE f.status = 'accepted'),
+lives AS (
+  SELECT id, entity, topic, name, title, content, tags, created_at, created_at AS updated_at,
+         CAST(-1 AS BIGINT) AS birth, death FROM base
+  UNION ALL
+  SELECT id, entity, topic, name, coalesce(title, ''), coalesce(content, ''), coalesce(tags, CAST([] AS VARCHAR[])),
+         ts, ts, seq, death FROM acc
+),
+gu AS (SELECT u.* FROM ups u JOIN lives l ON l.id = u.id WHERE l.birth < u.seq AND u.seq < l.death),
+patch AS (
+  SELECT id, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS p_title,
+         arg_max(content, seq) FILTER (WHERE content IS NOT NULL) AS p_content,
+         arg_max(tags, seq) FILTER (WHERE tags IS NOT NULL) AS p_tags,
+         max(ts) AS p_ts
+  FROM gu GROUP BY id
+),
+final AS (
+  SELECT l.id, l.entity, l.topic, l.name, coalesce(p.p_title, l.title) AS title,
+         coalesce(p.p_content, l.content) AS content, coalesce(p.p_tags, l.tags) AS tags,
+         l.created_at, coalesce(p.p_ts, l.updated_at) AS updated_at
+  FROM lives l LEFT JOIN patch p ON p.id = l.id WHERE l.death >= {NEVER}
+),
+rejects AS (
+  SELECT seq, 'not_found' AS reason, entity AS detail FROM sv WHERE entity_id IS NULL
+  UNION ALL SELECT f.seq, f.status, f.name FROM fold f WHERE f.status <> 'accepted'
+  UNION ALL SELECT d.seq, 'not_found', d.id FROM dels d LEFT JOIN lives l ON l.id = d.id
+            WHERE NOT coalesce(l.birth < d.seq AND d.seq = l.death, false)
+  UNION ALL SELECT u.seq, 'not_found', u.id FROM ups u LEFT JOIN lives l ON l.id = u.id
+            WHERE NOT coalesce(l.birth < u.seq AND u.seq < l.death, false)
+)"""]) + select
+
+
+DOC_OUT = f"""
+SELECT id, entity, topic, name, title, md5(content) AS content_md5, array_to_string(tags, ',') AS tags,
+       strftime(created_at, {RFC}) AS created_at, strftime(updated_at, {RFC}) AS updated_at FROM final"""
+
+ORACLE["apply_changes"] = apply_sql("true", DOC_OUT)
+ORACLE["apply_changes_rejects"] = apply_sql("true", "SELECT seq, reason, detail FROM rejects")
+ORACLE["save_batch"] = apply_sql("op = 'save'", DOC_OUT)
+ORACLE["save_batch_rejects"] = apply_sql("op = 'save'", "SELECT seq, reason, detail FROM rejects")
+ORACLE["update_batch"] = apply_sql("op = 'update'", DOC_OUT)
+ORACLE["delete_batch"] = apply_sql("op = 'delete'", "SELECT id, name FROM final")
+
+ORACLE["save_entity_exists"] = with_ctes(DOCS, ENTITIES, CHANGES) + """
+SELECT c.seq, c.entity, c.entity IN (SELECT name FROM ents) AS exists FROM ch c WHERE c.op = 'save'"""
+
+ORACLE["save_name_unique"] = with_ctes(DOCS, CHANGES) + """
+SELECT seq, name FROM ch WHERE op = 'save' AND name NOT IN (SELECT name FROM docs)"""

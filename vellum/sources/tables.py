@@ -123,3 +123,40 @@ def or_queries(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
         F.lit(None).cast("string").alias("entity"),
         F.lit(k).alias("k"),
     )
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as an ordered document change log.
+
+    seq = event_id (the log order (ts, event_id) equals event_id order);
+    signup -> save of a new document ``'E' || event_id`` named
+    ``'evt-' || (event_id % 500)`` under entity ``'src' || (user_id % 25)``
+    (src20..src24 do not exist), topic from ``user_id % 10`` (9 gives an
+    invalid segment); click -> new title; view -> new content;
+    purchase -> new tags; error -> delete. Targets of update/delete: the
+    base document ``event_id % N`` for even ids, else ``'E' || (event_id - 7)``.
+    """
+    n_docs = read(spark, sf_dir, "documents").count()  # one scalar, the modulus
+    ev = read(spark, sf_dir, "events")
+    target = F.when(F.col("event_id") % 2 == 0, doc_key(F.col("event_id") % F.lit(n_docs))) \
+        .otherwise(F.concat(F.lit("E"), (F.col("event_id") - 7).cast("string")))
+    et = F.col("event_type")
+    topic = (F.when(F.col("user_id") % 10 == 9, F.lit("Bad_Topic"))
+             .when(F.col("user_id") % 10 < 3, F.lit("fr"))
+             .when(F.col("user_id") % 10 < 5, F.lit("de")))
+    is_save = et == "signup"
+    none_s = F.lit(None).cast("string")
+    return ev.select(
+        F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(is_save, "save").when(et == "error", "delete").otherwise("update").alias("op"),
+        F.when(is_save, F.concat(F.lit("E"), F.col("event_id").cast("string"))).otherwise(target).alias("id"),
+        F.when(is_save, F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string"))).otherwise(none_s).alias("entity"),
+        F.when(is_save, topic).otherwise(none_s).alias("topic"),
+        F.when(is_save, F.concat(F.lit("evt-"), (F.col("event_id") % 500).cast("string"))).otherwise(none_s).alias("name"),
+        F.when(is_save | (et == "click"), F.concat(F.lit("Title "), F.col("event_id").cast("string"))).otherwise(none_s).alias("title"),
+        F.when(is_save | (et == "view"), F.concat(F.col("props"), F.lit(" "), F.col("value").cast("string"))).otherwise(none_s).alias("content"),
+        F.when(is_save, F.array(F.lit("new")))
+         .when(et == "purchase", F.array(F.lit("purchase"), F.concat(F.lit("v"), F.floor("value").cast("string"))))
+         .otherwise(F.lit(None).cast("array<string>")).alias("tags"),
+    )
