@@ -77,7 +77,7 @@ def _term_weights(idx: Index, qterms: DataFrame) -> DataFrame:
 def _term_matches(idx: Index, clauses: DataFrame) -> DataFrame:
     qt = (_with_fields(clauses.where(F.col("kind").isin("term", "exact")))
           .select("query_id", "clause_no", "occur", "boost", "field",
-                  F.col("terms")[0].alias("term")))
+                  F.get(F.col("terms"), 0).alias("term")))
     qt = bounded_broadcast(_term_weights(idx, qt))
     m = idx.postings.select("field", "term", "doc_id", "dl", "tf").join(qt, ["field", "term"])
     return m.select("query_id", "clause_no", "occur", "doc_id",
@@ -138,8 +138,8 @@ def _constant_matches(idx: Index, clauses: DataFrame) -> DataFrame:
     vocab = idx.term_stats.select("field", "term")
     t = F.col("term")
     cond = (vocab["field"] == patterns["field"]) & (
-        ((patterns["kind"] == "range") & (t >= patterns["terms"][0]) & (t <= patterns["terms"][1]))
-        | ((patterns["kind"] == "prefix") & t.startswith(patterns["terms"][0])))
+        ((patterns["kind"] == "range") & (t >= F.get(patterns["terms"], 0)) & (t <= F.get(patterns["terms"], 1)))
+        | ((patterns["kind"] == "prefix") & t.startswith(F.get(patterns["terms"], 0))))
     expanded = vocab.join(patterns, cond).select(
         "query_id", "clause_no", "occur", "boost", vocab["field"], "term")
     wanted = bounded_broadcast(sets.unionByName(expanded))

@@ -267,3 +267,46 @@ def save_name_unique(spark, sf_dir):
     s = tb.changes(spark, sf_dir).where(F.col("op") == "save").select("seq", "name")
     d = tb.documents(spark, sf_dir, with_tags=False).select("name")
     return s.join(d, "name", "left_anti").select("seq", "name")
+
+
+# ------------------------------------------------------------------ search forms
+
+def _search_form(form, k=10):
+    def fn(spark, sf_dir):
+        return se.search(corpus_index(spark, sf_dir), tb.benchmark_clauses(spark, sf_dir, form, k))
+    return fn
+
+
+for _key, _form, _k in [
+    ("search_term", "term", 10),        # X2
+    ("search_all_terms", "and", 10),    # X4
+    ("search_not", "not", 10),          # X5
+    ("search_phrase", "phrase", 10),    # X6
+    ("search_phrase_slop", "phrase_slop", 10),
+    ("search_field", "field", 10),      # X7
+    ("search_exact", "exact", 10),      # X8
+    ("search_boost", "boost", 10),      # X9
+    ("search_entity_filter", "entity", 10),  # X11 / P7
+    ("search_term_set", "set", 10),     # X15
+    ("search_term_range", "range", 10),
+    ("search_prefix", "prefix", 10),
+    ("search_all", "all", 10),          # X14
+]:
+    register(_key)(_search_form(_form, _k))
+
+
+@register("search_topk")
+def search_topk(spark, sf_dir):
+    """Per-query top-k (k = 3) with the WindowGroupLimit plan."""
+    return se.search(corpus_index(spark, sf_dir), tb.or_queries(spark, sf_dir, k=3))
+
+
+@register("search_single")
+def search_single(spark, sf_dir):
+    """O3: one query made of the first term of every benchmark text; global top 10."""
+    q = (tb.query_terms(spark, sf_dir).select(F.get(F.col("terms"), 0).alias("term"))
+         .where(F.col("term").isNotNull()).distinct()
+         .select(F.lit(0).alias("query_id"), F.pmod(F.xxhash64("term"), F.lit(2147483647)).cast("int").alias("clause_no"),
+                 F.array("term").alias("terms")))
+    matched = se.match(corpus_index(spark, sf_dir), q)
+    return se.single_top_k(matched, 10)

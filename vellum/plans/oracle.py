@@ -362,3 +362,180 @@ SELECT c.seq, c.entity, c.entity IN (SELECT name FROM ents) AS exists FROM ch c
 
 ORACLE["save_name_unique"] = with_ctes(DOCS, CHANGES) + """
 SELECT seq, name FROM ch WHERE op = 'save' AND name NOT IN (SELECT name FROM docs)"""
+
+# ------------------------------------------------------------------ search forms
+
+QT3 = """
+qt3 AS (
+  SELECT query_id, max(term) FILTER (WHERE clause_no = 0) AS t1,
+         max(term) FILTER (WHERE clause_no = 1) AS t2, max(term) FILTER (WHERE clause_no = 2) AS t3
+  FROM qterms GROUP BY query_id
+)"""
+
+
+def clause_sql(no, kind, terms, occur="should", field="NULL", slop="NULL", boost="1.0",
+               entity="NULL", k="10"):
+    return (f"SELECT query_id, {no} AS clause_no, '{occur}' AS occur, '{kind}' AS kind, "
+            f"CAST({field} AS VARCHAR) AS field, [{', '.join(terms)}]::VARCHAR[] AS terms, "
+            f"CAST({slop} AS INTEGER) AS slop, CAST({boost} AS DOUBLE) AS boost, "
+            f"CAST({entity} AS VARCHAR) AS entity, {k} AS k FROM qt3")
+
+
+FORMS = {
+    "term": [clause_sql(0, "term", ["t1"])],
+    "and": [clause_sql(0, "term", ["t1"], "must"), clause_sql(1, "term", ["t2"], "must")],
+    "not": [clause_sql(0, "term", ["t1"]), clause_sql(1, "term", ["t2"], "must_not")],
+    "phrase": [clause_sql(0, "phrase", ["t1", "t2"])],
+    "phrase_slop": [clause_sql(0, "phrase", ["t1", "t3"], slop="1")],
+    "field": [clause_sql(0, "term", ["t1"], field="'title'"),
+              clause_sql(1, "term", ["t2"], field="'content'")],
+    "exact": [clause_sql(0, "exact", ["'doc-' || CAST(query_id * 7 AS VARCHAR)"], field="'name'"),
+              clause_sql(1, "term", ["t1"])],
+    "boost": [clause_sql(0, "term", ["t1"], boost="2.0"), clause_sql(1, "term", ["t2"], boost="1.0"),
+              clause_sql(2, "term", ["t3"], boost="0.5")],
+    "entity": [clause_sql(i, "term", [t], entity="'src' || CAST(query_id % 20 AS VARCHAR)")
+               for i, t in enumerate(["t1", "t2", "t3"])],
+    "set": [clause_sql(0, "set", ["t1", "t2", "t3"])],
+    "range": [clause_sql(0, "range", ["least(t1, t2)", "greatest(t1, t2)"])],
+    "prefix": [clause_sql(0, "prefix", ["substr(t1, 1, 3)"])],
+    "all": [clause_sql(0, "all", []), clause_sql(1, "term", ["t1"])],
+}
+
+IDF_OF = "ln(1 + (n.n - coalesce(s.df, 0) + 0.5) / (coalesce(s.df, 0) + 0.5))"
+
+ENGINE = rf"""
+clauses AS (
+  SELECT * FROM clauses0 WHERE list_bool_and(list_transform(terms, lambda x: x IS NOT NULL)) IS NOT false
+  UNION ALL
+  SELECT DISTINCT query_id, -1, 'filter', 'exact', 'entity', [entity], NULL, 1.0, entity, NULL
+  FROM clauses0 WHERE entity IS NOT NULL
+),
+cf AS (
+  SELECT c.*, unnest(CASE WHEN field IS NULL THEN ['title', 'content', 'tags'] ELSE [field] END) AS f
+  FROM clauses c WHERE kind <> 'all'
+),
+allpost AS (
+  SELECT field, term, doc_id, tf, positions FROM postings
+  UNION ALL SELECT field, term, doc_id, 1, [0] FROM rawpost
+),
+alldl AS (SELECT doc_id, field, dl FROM dls UNION ALL SELECT doc_id, field, 1 FROM rawpost),
+corp AS (SELECT field, avgdl FROM corpus UNION ALL SELECT unnest(['id', 'entity', 'topic', 'name']), 1.0),
+tm AS (
+  SELECT c.query_id, c.clause_no, c.occur, p.doc_id,
+         {bm25_sql('c.boost * ' + IDF_OF, 'p.tf', 'd.dl', 'k.avgdl')} AS score
+  FROM cf c JOIN allpost p ON p.field = c.f AND p.term = c.terms[1]
+  LEFT JOIN dfs s ON s.field = c.f AND s.term = c.terms[1]
+  JOIN alldl d ON d.doc_id = p.doc_id AND d.field = c.f
+  JOIN corp k ON k.field = c.f, n_all n
+  WHERE c.kind IN ('term', 'exact')
+),
+pt AS (
+  SELECT query_id, clause_no, occur, boost, f, coalesce(slop, 0) AS slop, len(terms) AS n,
+         unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS off
+  FROM cf WHERE kind = 'phrase'
+),
+pidf AS (
+  SELECT t.query_id, t.clause_no, t.f, sum({IDF_OF}) AS idf_sum
+  FROM pt t LEFT JOIN dfs s ON s.field = t.f AND s.term = t.term, n_all n
+  GROUP BY t.query_id, t.clause_no, t.f
+),
+ppos AS (
+  SELECT t.query_id, t.clause_no, t.occur, t.boost, t.f, t.n, t.off, t.slop, p.doc_id,
+         unnest(p.positions) AS pos
+  FROM pt t JOIN allpost p ON p.field = t.f AND p.term = t.term
+),
+pf0 AS (
+  SELECT query_id, clause_no, occur, boost, f, doc_id, count(*) AS pf FROM (
+    SELECT query_id, clause_no, occur, boost, f, doc_id, pos - off AS start
+    FROM ppos WHERE slop = 0
+    GROUP BY query_id, clause_no, occur, boost, f, doc_id, pos - off
+    HAVING count(*) = max(n))
+  GROUP BY query_id, clause_no, occur, boost, f, doc_id
+),
+pf1 AS (
+  SELECT b.query_id, b.clause_no, b.occur, b.boost, b.f, b.doc_id, count(DISTINCT b.pos) AS pf
+  FROM ppos a JOIN ppos b ON a.query_id = b.query_id AND a.clause_no = b.clause_no AND a.f = b.f
+   AND a.doc_id = b.doc_id AND a.off = 0 AND b.off = 1
+   AND b.pos > a.pos AND b.pos <= a.pos + 1 + a.slop
+  WHERE a.slop > 0 AND a.n = 2
+  GROUP BY b.query_id, b.clause_no, b.occur, b.boost, b.f, b.doc_id
+),
+pm AS (
+  SELECT x.query_id, x.clause_no, x.occur, x.doc_id,
+         {bm25_sql('x.boost * i.idf_sum', 'x.pf', 'd.dl', 'k.avgdl')} AS score
+  FROM (SELECT * FROM pf0 UNION ALL SELECT * FROM pf1) x
+  JOIN pidf i ON i.query_id = x.query_id AND i.clause_no = x.clause_no AND i.f = x.f
+  JOIN alldl d ON d.doc_id = x.doc_id AND d.field = x.f
+  JOIN corp k ON k.field = x.f
+),
+cm AS (
+  SELECT DISTINCT c.query_id, c.clause_no, c.occur, c.f, p.doc_id, c.boost AS score
+  FROM cf c JOIN allpost p ON p.field = c.f AND (
+       (c.kind = 'set' AND list_contains(c.terms, p.term))
+    OR (c.kind = 'range' AND p.term >= c.terms[1] AND p.term <= c.terms[2])
+    OR (c.kind = 'prefix' AND starts_with(p.term, c.terms[1])))
+  WHERE c.kind IN ('set', 'range', 'prefix')
+),
+am AS (
+  SELECT c.query_id, c.clause_no, c.occur, d.id AS doc_id, c.boost AS score
+  FROM clauses c, docs d WHERE c.kind = 'all'
+),
+m AS (
+  SELECT query_id, clause_no, occur, doc_id, score FROM tm
+  UNION ALL SELECT query_id, clause_no, occur, doc_id, score FROM pm
+  UNION ALL SELECT query_id, clause_no, occur, doc_id, score FROM cm
+  UNION ALL SELECT query_id, clause_no, occur, doc_id, score FROM am
+),
+per_doc AS (
+  SELECT query_id, doc_id,
+         sum(CASE WHEN occur <> 'must_not' THEN score END) AS score,
+         count(DISTINCT CASE WHEN occur = 'must' THEN clause_no END) AS must_hit,
+         max(CASE WHEN occur = 'filter' THEN 1 ELSE 0 END) AS filter_hit,
+         max(CASE WHEN occur = 'should' THEN 1 ELSE 0 END) AS should_hit,
+         max(CASE WHEN occur = 'must_not' THEN 1 ELSE 0 END) AS not_hit
+  FROM m GROUP BY query_id, doc_id
+),
+info AS (
+  SELECT query_id, count(DISTINCT CASE WHEN occur = 'must' THEN clause_no END) AS n_must,
+         max(CASE WHEN entity IS NOT NULL THEN 1 ELSE 0 END) AS has_filter,
+         coalesce(max(k), 10) AS k
+  FROM clauses0 WHERE list_bool_and(list_transform(terms, lambda x: x IS NOT NULL)) IS NOT false
+  GROUP BY query_id
+),
+matched AS (
+  SELECT p.query_id, p.doc_id, p.score, i.k FROM per_doc p JOIN info i ON i.query_id = p.query_id
+  WHERE p.must_hit = i.n_must AND p.filter_hit >= i.has_filter AND p.not_hit = 0
+    AND (i.n_must > 0 OR p.should_hit = 1)
+)"""
+
+
+def search_sql(clauses0: str) -> str:
+    return with_ctes(DOCS, FIELD_TEXTS, QTERMS, QT3, f"clauses0 AS ({clauses0})", ENGINE)
+
+
+def topk_matched_sql() -> str:
+    return """
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM (
+  SELECT query_id, doc_id, round(score, 6) AS score, k,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
+  FROM matched)
+WHERE rank <= k"""
+
+
+for _key, _form in [("search_term", "term"), ("search_all_terms", "and"), ("search_not", "not"),
+                    ("search_phrase", "phrase"), ("search_phrase_slop", "phrase_slop"),
+                    ("search_field", "field"), ("search_exact", "exact"), ("search_boost", "boost"),
+                    ("search_entity_filter", "entity"), ("search_term_set", "set"),
+                    ("search_term_range", "range"), ("search_prefix", "prefix"), ("search_all", "all")]:
+    ORACLE[_key] = search_sql(" UNION ALL ".join(FORMS[_form])) + topk_matched_sql()
+
+ORACLE["search_topk"] = (
+    with_ctes(DOCS, FIELD_TEXTS, QTERMS, TERM_SCORES,
+              "agg AS (SELECT query_id, doc_id, sum(score) AS score FROM scored GROUP BY 1, 2)")
+    + topk_sql("agg", "3"))
+
+ORACLE["search_single"] = search_sql(
+    "SELECT DISTINCT 0 AS query_id, hash(t1) AS clause_no, 'should' AS occur, 'term' AS kind, "
+    "CAST(NULL AS VARCHAR) AS field, [t1] AS terms, CAST(NULL AS INTEGER) AS slop, 1.0 AS boost, "
+    "CAST(NULL AS VARCHAR) AS entity, 10 AS k FROM qt3 WHERE t1 IS NOT NULL") + """
+SELECT doc_id, round(score, 6) AS score FROM matched ORDER BY round(score, 6) DESC, doc_id LIMIT 10"""

@@ -160,3 +160,56 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(et == "purchase", F.array(F.lit("purchase"), F.concat(F.lit("v"), F.floor("value").cast("string"))))
          .otherwise(F.lit(None).cast("array<string>")).alias("tags"),
     )
+
+
+def benchmark_clauses(spark: SparkSession, sf_dir: str, form: str, k: int = 10) -> DataFrame:
+    """Clause tables for the search forms, from the first terms t1, t2, t3 of
+    each benchmark text (see ``vellum.operators.search`` for the columns)."""
+    q = query_terms(spark, sf_dir).select(
+        "query_id", *[F.get(F.col("terms"), i).alias(f"t{i + 1}") for i in range(3)])
+    t1, t2, t3 = F.col("t1"), F.col("t2"), F.col("t3")
+    none = F.lit(None).cast("string")
+
+    def c(no, kind, terms, occur="should", field=none, slop=None, boost=1.0, entity=none):
+        return q.select(
+            "query_id", F.lit(no).alias("clause_no"), F.lit(occur).alias("occur"),
+            F.lit(kind).alias("kind"), field.alias("field"), F.array(*terms).alias("terms"),
+            F.lit(slop).cast("int").alias("slop"), F.lit(boost).cast("double").alias("boost"),
+            entity.alias("entity"), F.lit(k).alias("k"))
+
+    if form == "term":
+        parts = [c(0, "term", [t1])]
+    elif form == "and":
+        parts = [c(0, "term", [t1], "must"), c(1, "term", [t2], "must")]
+    elif form == "not":
+        parts = [c(0, "term", [t1]), c(1, "term", [t2], "must_not")]
+    elif form == "phrase":
+        parts = [c(0, "phrase", [t1, t2])]
+    elif form == "phrase_slop":
+        parts = [c(0, "phrase", [t1, t3], slop=1)]
+    elif form == "field":
+        parts = [c(0, "term", [t1], field=F.lit("title")), c(1, "term", [t2], field=F.lit("content"))]
+    elif form == "exact":
+        parts = [c(0, "exact", [F.concat(F.lit("doc-"), (F.col("query_id") * 7).cast("string"))],
+                   field=F.lit("name")),
+                 c(1, "term", [t1])]
+    elif form == "boost":
+        parts = [c(0, "term", [t1], boost=2.0), c(1, "term", [t2], boost=1.0),
+                 c(2, "term", [t3], boost=0.5)]
+    elif form == "entity":
+        ent = F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))
+        parts = [c(i, "term", [t], entity=ent) for i, t in enumerate([t1, t2, t3])]
+    elif form == "set":
+        parts = [c(0, "set", [t1, t2, t3])]
+    elif form == "range":
+        parts = [c(0, "range", [F.least(t1, t2), F.greatest(t1, t2)])]
+    elif form == "prefix":
+        parts = [c(0, "prefix", [F.substring(t1, 1, 3)])]
+    elif form == "all":
+        parts = [c(0, "all", []), c(1, "term", [t1])]
+    else:
+        raise ValueError(form)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.forall("terms", lambda x: x.isNotNull()))
