@@ -310,3 +310,36 @@ def search_single(spark, sf_dir):
                  F.array("term").alias("terms")))
     matched = se.match(corpus_index(spark, sf_dir), q)
     return se.single_top_k(matched, 10)
+
+
+# ------------------------------------------------------------------ hits and snippets
+
+from vellum.operators import snippet as sn  # noqa: E402
+
+
+def _ranked(spark, sf_dir):
+    docs = tb.documents(spark, sf_dir)
+    idx = ix.build_index(docs)
+    clauses = tb.or_queries(spark, sf_dir)
+    return docs, idx, clauses, se.search(idx, clauses)
+
+
+@register("search_hits")
+def search_hits(spark, sf_dir):
+    docs, _, _, ranked = _ranked(spark, sf_dir)
+    h = sn.hits(ranked, docs)
+    return h.select("query_id", "rank", "doc_id", "entity", "topic", "name", "title",
+                    _tags().alias("tags"), "score")
+
+
+@register("search_snippets")
+def search_snippets(spark, sf_dir):
+    docs, idx, clauses, ranked = _ranked(spark, sf_dir)
+    s = sn.with_snippets(ranked, docs, idx, clauses)
+    return s.select("query_id", "rank", "doc_id", F.array_join("snippets", "\n").alias("snippet"))
+
+
+@register("hits_json")
+def hits_json(spark, sf_dir):
+    docs, _, _, ranked = _ranked(spark, sf_dir)
+    return sn.hits_json(sn.hits(ranked, docs))

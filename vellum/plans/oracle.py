@@ -539,3 +539,91 @@ ORACLE["search_single"] = search_sql(
     "CAST(NULL AS VARCHAR) AS field, [t1] AS terms, CAST(NULL AS INTEGER) AS slop, 1.0 AS boost, "
     "CAST(NULL AS VARCHAR) AS entity, 10 AS k FROM qt3 WHERE t1 IS NOT NULL") + """
 SELECT doc_id, round(score, 6) AS score FROM matched ORDER BY round(score, 6) DESC, doc_id LIMIT 10"""
+
+# ------------------------------------------------------------------ hits
+
+RANKED = (with_ctes(DOCS, FIELD_TEXTS, QTERMS, TERM_SCORES,
+                    "agg AS (SELECT query_id, doc_id, sum(score) AS score FROM scored GROUP BY 1, 2)")
+          + ", ranked AS (" + topk_sql("agg") + ")")
+
+ORACLE["search_hits"] = RANKED + """
+SELECT r.query_id, r.rank, r.doc_id, d.entity, d.topic, d.name, d.title,
+       array_to_string(d.tags, ',') AS tags, r.score
+FROM ranked r JOIN docs d ON d.id = r.doc_id"""
+
+ORACLE["hits_json"] = RANKED + """
+SELECT r.query_id, r.rank, CAST(json_object('id', r.doc_id, 'entity', d.entity, 'topic', d.topic,
+       'name', d.name, 'title', d.title, 'tags', d.tags, 'score', printf('%.2f', r.score)) AS VARCHAR) AS json
+FROM ranked r JOIN docs d ON d.id = r.doc_id"""
+
+ORACLE["search_snippets"] = "WITH RECURSIVE " + RANKED[len("WITH "):] + r""",
+qw AS (
+  SELECT DISTINCT q.query_id, q.term, 1.0 / (1 + coalesce(s.df, 0)) AS w
+  FROM qterms q LEFT JOIN dfs s ON s.field = 'content' AND s.term = q.term
+),
+hd AS (SELECT DISTINCT r.doc_id, d.content FROM ranked r JOIN docs d ON d.id = r.doc_id),
+tk AS (
+  SELECT doc_id, i, t,
+         CAST(coalesce(sum(length(t) + coalesce(length(s), 0)) OVER (
+           PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st
+  FROM (SELECT doc_id, unnest(toks) AS t, unnest(seps) AS s, generate_subscripts(toks, 1) AS i
+        FROM (SELECT doc_id, regexp_split_to_array(content, '[^\p{L}\p{N}]+') AS toks,
+                     regexp_extract_all(content, '[^\p{L}\p{N}]+') AS seps FROM hd))
+),
+tok2 AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, st AS a, st + length(t) AS b,
+         lower(t) AS term
+  FROM tk WHERE t <> '' AND strlen(t) < 40
+),
+nxt AS (
+  SELECT doc_id, r, nr FROM (
+    SELECT doc_id, r, kind,
+           min(CASE WHEN kind = 0 THEN r END) OVER (
+             PARTITION BY doc_id ORDER BY key, kind ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nr
+    FROM (SELECT doc_id, r, b AS key, 0 AS kind FROM tok2
+          UNION ALL SELECT doc_id, r, a + 150, 1 FROM tok2))
+  WHERE kind = 1 AND nr IS NOT NULL
+),
+chain(doc_id, r) AS (
+  SELECT doc_id, min(r) FROM tok2 WHERE b > 150 GROUP BY doc_id
+  UNION ALL
+  SELECT n.doc_id, n.nr FROM chain c JOIN nxt n ON n.doc_id = c.doc_id AND n.r = c.r
+),
+fstarts AS (
+  SELECT doc_id, 0 AS fr, 0 AS fa FROM hd
+  UNION ALL SELECT c.doc_id, c.r, t.a FROM chain c JOIN tok2 t ON t.doc_id = c.doc_id AND t.r = c.r
+),
+tf AS (
+  SELECT doc_id, r, a, b, term, fa FROM (
+    SELECT doc_id, r, a, b, term, kind,
+           max(fa) OVER (PARTITION BY doc_id ORDER BY key, kind ROWS UNBOUNDED PRECEDING) AS fa
+    FROM (SELECT doc_id, fr AS key, 0 AS kind, NULL AS r, NULL AS a, NULL AS b, NULL AS term, fa FROM fstarts
+          UNION ALL SELECT doc_id, r, 1, r, a, b, term, NULL FROM tok2))
+  WHERE kind = 1
+),
+fstop AS (SELECT doc_id, fa, max(b) AS stop FROM tf GROUP BY doc_id, fa),
+ht AS (
+  SELECT r.query_id, r.doc_id, t.fa, t.a, t.b, w.w
+  FROM ranked r JOIN tf t ON t.doc_id = r.doc_id JOIN qw w ON w.query_id = r.query_id AND w.term = t.term
+),
+fscore AS (SELECT query_id, doc_id, fa, round(sum(w), 9) AS sc FROM ht GROUP BY query_id, doc_id, fa),
+best AS (
+  SELECT query_id, doc_id, fa FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY sc DESC, fa) AS rn FROM fscore)
+  WHERE rn = 1
+),
+pieces AS (
+  SELECT h.query_id, h.doc_id, h.fa, h.a, h.b,
+         coalesce(lag(h.b) OVER (PARTITION BY h.query_id, h.doc_id ORDER BY h.a), h.fa) AS pe
+  FROM ht h JOIN best x ON x.query_id = h.query_id AND x.doc_id = h.doc_id AND x.fa = h.fa
+),
+snip AS (
+  SELECT p.query_id, p.doc_id,
+         string_agg(substr(d.content, p.pe + 1, p.a - p.pe) || '<<' || substr(d.content, p.a + 1, p.b - p.a) || '>>',
+                    '' ORDER BY p.a)
+         || substr(any_value(d.content), max(p.b) + 1, any_value(s.stop) - max(p.b)) AS snippet
+  FROM pieces p JOIN hd d ON d.doc_id = p.doc_id JOIN fstop s ON s.doc_id = p.doc_id AND s.fa = p.fa
+  GROUP BY p.query_id, p.doc_id
+)
+SELECT r.query_id, r.rank, r.doc_id, coalesce(s.snippet, '') AS snippet
+FROM ranked r LEFT JOIN snip s ON s.query_id = r.query_id AND s.doc_id = r.doc_id"""
