@@ -343,3 +343,94 @@ def search_snippets(spark, sf_dir):
 def hits_json(spark, sf_dir):
     docs, _, _, ranked = _ranked(spark, sf_dir)
     return sn.hits_json(sn.hits(ranked, docs))
+
+
+# ------------------------------------------------------------------ index tables and maintenance
+
+from vellum.functions import text as tx  # noqa: E402
+
+
+@register("tokenize_docs")
+def tokenize_docs(spark, sf_dir):
+    """Every indexed token with its position."""
+    f = ix.field_texts(tb.documents(spark, sf_dir))
+    return tx.explode_terms(f, "text", ["doc_id", "field"]).select(
+        "doc_id", "field", F.col("pos").cast("long").alias("pos"), "term")
+
+
+@register("postings")
+def postings(spark, sf_dir):
+    """Postings of the analysed fields."""
+    p = corpus_index(spark, sf_dir).postings.where(F.col("field").isin("title", "content", "tags"))
+    return p.select("field", "term", "doc_id", F.col("tf").cast("long").alias("tf"),
+                    F.col("dl").cast("long").alias("dl"),
+                    F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@register("term_stats")
+def term_stats(spark, sf_dir):
+    """Document frequency per analysed (field, term)."""
+    t = corpus_index(spark, sf_dir).term_stats
+    return t.where(F.col("field").isin("title", "content", "tags"))
+
+
+@register("corpus_stats")
+def corpus_stats(spark, sf_dir):
+    """Documents and average field length per text field."""
+    c = corpus_index(spark, sf_dir).corpus
+    return c.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _changed(base, final):
+    """Rows of ``final`` that are new or changed: every accepted change
+    stamps ``updated_at``, so key + ``updated_at`` identifies a version."""
+    b = base.select("id", F.col("updated_at").alias("b_updated"))
+    return (final.join(b, "id", "left")
+            .where(F.col("b_updated").isNull() | (F.col("updated_at") != F.col("b_updated")))
+            .drop("b_updated"))
+
+
+def _maintained_index(spark, sf_dir):
+    """M7 + M8 on the base index with the log's effect: upsert every document
+    the log created or changed, remove every document it deleted."""
+    base = tb.documents(spark, sf_dir)
+    final, _ = chg.apply_changes(base, tb.entities(spark, sf_dir), tb.changes(spark, sf_dir))
+    idx = ix.build_index(base)
+    changed = _changed(base, final)
+    gone = base.select("id").join(final.select("id"), "id", "left_anti")
+    return ix.remove(ix.upsert(idx, changed), gone)
+
+
+@register("index_upsert")
+def index_upsert(spark, sf_dir):
+    """Incremental maintenance; must equal a rebuild over the final table."""
+    t = _maintained_index(spark, sf_dir).term_stats
+    return t.where(F.col("field").isin("title", "content", "tags"))
+
+
+@register("index_remove")
+def index_remove(spark, sf_dir):
+    """M8: the index after removing the documents deleted by the log."""
+    base = tb.documents(spark, sf_dir)
+    final, _ = chg.delete_batch(base, tb.entities(spark, sf_dir), tb.changes(spark, sf_dir))
+    gone = base.select("id").join(final.select("id"), "id", "left_anti")
+    c = ix.remove(ix.build_index(base), gone).corpus
+    return c.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@register("index_rebuild")
+def index_rebuild(spark, sf_dir):
+    """Rebuild over the final table: per-field statistics and count."""
+    final, _ = _apply(spark, sf_dir)
+    c = ix.build_index(final).corpus
+    return c.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@register("docs_upsert")
+def docs_upsert(spark, sf_dir):
+    """Base documents replaced by key with the saved/updated versions."""
+    base = tb.documents(spark, sf_dir)
+    final, _ = _apply(spark, sf_dir)
+    changed = _changed(base, final)
+    up = base.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+    return up.select("id", "name", F.md5("content").alias("content_md5"), "title")

@@ -627,3 +627,41 @@ snip AS (
 )
 SELECT r.query_id, r.rank, r.doc_id, coalesce(s.snippet, '') AS snippet
 FROM ranked r LEFT JOIN snip s ON s.query_id = r.query_id AND s.doc_id = r.doc_id"""
+
+# ------------------------------------------------------------------ index tables
+
+ORACLE["tokenize_docs"] = with_ctes(DOCS, FIELD_TEXTS) + """
+SELECT doc_id, field, CAST(pos AS BIGINT) AS pos, term FROM tok"""
+
+ORACLE["postings"] = with_ctes(DOCS, FIELD_TEXTS) + """
+SELECT p.field, p.term, p.doc_id, CAST(p.tf AS BIGINT) AS tf, CAST(d.dl AS BIGINT) AS dl,
+       array_to_string(p.positions, ',') AS positions
+FROM postings p JOIN dls d ON d.doc_id = p.doc_id AND d.field = p.field"""
+
+ORACLE["term_stats"] = with_ctes(DOCS, FIELD_TEXTS) + """
+SELECT field, term, count(*) AS df FROM postings GROUP BY field, term"""
+
+ORACLE["corpus_stats"] = with_ctes(DOCS, FIELD_TEXTS) + """
+SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM corpus"""
+
+
+def _on_final(part: str) -> str:
+    return part.replace("FROM docs", "FROM final")
+
+
+ORACLE["index_upsert"] = apply_sql("true", "," + _on_final(FIELD_TEXTS) + """
+SELECT field, term, count(*) AS df FROM postings GROUP BY field, term""")
+
+ORACLE["index_remove"] = apply_sql("op = 'delete'", "," + _on_final(FIELD_TEXTS) + """
+SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM corpus""")
+
+ORACLE["index_rebuild"] = apply_sql("true", "," + _on_final(FIELD_TEXTS) + """
+SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM corpus""")
+
+ORACLE["docs_upsert"] = apply_sql("true", """,
+changed AS (
+  SELECT f.* FROM final f LEFT JOIN docs d ON d.id = f.id
+  WHERE d.id IS NULL OR f.updated_at <> d.created_at
+)
+SELECT id, name, md5(content) AS content_md5, title FROM docs WHERE id NOT IN (SELECT id FROM changed)
+UNION ALL SELECT id, name, md5(content), title FROM changed""")
