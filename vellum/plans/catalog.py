@@ -434,3 +434,100 @@ def docs_upsert(spark, sf_dir):
     changed = _changed(base, final)
     up = base.join(changed.select("id"), "id", "left_anti").unionByName(changed)
     return up.select("id", "name", F.md5("content").alias("content_md5"), "title")
+
+
+# ------------------------------------------------------------------ entities and fuzzy names
+
+from vellum.operators import entities as en  # noqa: E402
+from vellum.operators import fuzzy as fz  # noqa: E402
+
+
+def _entity_create_requests(spark, sf_dir):
+    p = tb.read(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    name = (F.when(key % 11 == 0, F.col("p_name"))
+            .when(key % 3 == 0, F.concat(F.lit("nation-"), F.col("p_size").cast("string")))
+            .otherwise(F.lower(F.regexp_replace("p_name", " ", "-"))))
+    scope = F.when(key % 7 == 0, "team").when(key % 2 == 0, "knowledge").otherwise("project")
+    return p.select(key.alias("seq"), name.alias("name"), scope.alias("scope"),
+                    F.col("p_type").alias("description"), F.array(F.lower("p_brand")).alias("tags"),
+                    F.timestamp_seconds(F.lit(tb.EPOCH_2024) + key).alias("ts"))
+
+
+@register("similar_entities")
+def similar_entities(spark, sf_dir):
+    """Requested names with their similar existing entity names."""
+    new = _entity_create_requests(spark, sf_dir).select("name").distinct()
+    s = fz.suggestions(new, tb.entities(spark, sf_dir).select("name"))
+    return s.select("name", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+def _created(spark, sf_dir):
+    return en.create_entities(tb.entities(spark, sf_dir), _entity_create_requests(spark, sf_dir))
+
+
+@register("create_entities")
+def create_entities(spark, sf_dir):
+    t, _ = _created(spark, sf_dir)
+    return t.select("id", "name", "scope", "description", _tags().alias("tags"),
+                    me.rfc3339(F.col("created_at")).alias("created_at"))
+
+
+@register("create_entities_rejects")
+def create_entities_rejects(spark, sf_dir):
+    return _created(spark, sf_dir)[1]
+
+
+def _entity_patches(spark, sf_dir):
+    ev = tb.read(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    return ev.select(
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("ent-src"), (F.col("user_id") % 25).cast("string")).alias("id"),
+        F.when(F.col("value") > 40, "project").when(F.col("value") > 35, "Knowledge").alias("scope"),
+        F.concat(F.lit("Purchase "), F.col("event_id").cast("string")).alias("description"),
+        F.when(F.col("value") > 45, F.array(F.lit("vip"))).alias("tags"),
+        F.col("ts").cast("timestamp").alias("ts"))
+
+
+@register("update_entities")
+def update_entities(spark, sf_dir):
+    t, _ = en.update_entities(tb.entities(spark, sf_dir), _entity_patches(spark, sf_dir))
+    return t.select("id", "name", "scope", "description", _tags().alias("tags"),
+                    me.rfc3339(F.col("updated_at")).alias("updated_at"))
+
+
+@register("update_entities_rejects")
+def update_entities_rejects(spark, sf_dir):
+    return en.update_entities(tb.entities(spark, sf_dir), _entity_patches(spark, sf_dir))[1]
+
+
+def _entity_deletes(spark, sf_dir):
+    ev = tb.read(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    n = (F.col("user_id") % 40).cast("string")
+    return ev.select(F.col("event_id").alias("seq"),
+                     F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("ent-src"), n))
+                      .otherwise(F.concat(F.lit("ent-nation-"), n)).alias("id"))
+
+
+def _deleted(spark, sf_dir):
+    docs = tb.documents(spark, sf_dir)
+    return en.delete_entities(tb.entities(spark, sf_dir), docs, _entity_deletes(spark, sf_dir),
+                              ix.build_index(docs).postings)
+
+
+@register("delete_entities")
+def delete_entities(spark, sf_dir):
+    return _deleted(spark, sf_dir)[0].select("id", "name")
+
+
+@register("delete_entities_docs")
+def delete_entities_docs(spark, sf_dir):
+    """M3 cascade: documents (and their postings) of deleted entities go."""
+    _, docs, post, _ = _deleted(spark, sf_dir)
+    n_post = post.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_postings"))
+    return docs.select("id", "entity").join(n_post.withColumnRenamed("doc_id", "id"), "id", "left")
+
+
+@register("delete_entities_rejects")
+def delete_entities_rejects(spark, sf_dir):
+    return _deleted(spark, sf_dir)[3]

@@ -665,3 +665,124 @@ changed AS (
 )
 SELECT id, name, md5(content) AS content_md5, title FROM docs WHERE id NOT IN (SELECT id FROM changed)
 UNION ALL SELECT id, name, md5(content), title FROM changed""")
+
+# ------------------------------------------------------------------ entities and fuzzy names
+
+SIM = "round(jaro_winkler_similarity({a}, {b}), 12) > 0.85"
+
+CREATE_REQ = """
+req AS (
+  SELECT p_partkey AS seq,
+         CASE WHEN p_partkey % 11 = 0 THEN p_name
+              WHEN p_partkey % 3 = 0 THEN 'nation-' || CAST(p_size AS VARCHAR)
+              ELSE lower(replace(p_name, ' ', '-')) END AS name,
+         CASE WHEN p_partkey % 7 = 0 THEN 'team' WHEN p_partkey % 2 = 0 THEN 'knowledge'
+              ELSE 'project' END AS scope,
+         p_type AS description, [lower(p_brand)] AS tags,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(p_partkey) AS ts
+  FROM part
+)"""
+
+ORACLE["similar_entities"] = with_ctes(ENTITIES, CREATE_REQ) + f"""
+SELECT r.name, string_agg(e.name, ',' ORDER BY e.name) AS suggestions
+FROM (SELECT DISTINCT name FROM req) r, ents e
+WHERE {SIM.format(a='r.name', b='e.name')}
+GROUP BY r.name"""
+
+CREATE_WALK = "WITH RECURSIVE " + ",".join([ENTITIES, CREATE_REQ, f"""
+req2 AS (
+  SELECT r.*, row_number() OVER (ORDER BY r.seq) AS rn,
+         r.scope IN ('knowledge', 'project') AS scope_ok,
+         coalesce(regexp_full_match(r.name, {SEG}), false) AS name_ok,
+         coalesce((SELECT list(e.name) FROM ents e WHERE {SIM.format(a='e.name', b='r.name')}),
+                  CAST([] AS VARCHAR[])) AS sim_existing
+  FROM req r
+),
+walk(rn, accepted, seq, status, detail) AS (
+  SELECT 0, CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT r.rn,
+         CASE WHEN r.scope_ok AND r.name_ok AND len(r.sim_existing) = 0
+                   AND len(list_filter(w.accepted, lambda x: {SIM.format(a='x', b='r.name')})) = 0
+              THEN list_append(w.accepted, r.name) ELSE w.accepted END,
+         r.seq,
+         CASE WHEN NOT r.scope_ok THEN 'invalid_scope'
+              WHEN NOT r.name_ok THEN 'invalid_path'
+              WHEN len(r.sim_existing) > 0
+                   OR len(list_filter(w.accepted, lambda x: {SIM.format(a='x', b='r.name')})) > 0
+              THEN 'similar_entity_exists'
+              ELSE 'accepted' END,
+         CASE WHEN NOT r.scope_ok THEN r.scope
+              WHEN NOT r.name_ok THEN r.name
+              ELSE array_to_string(list_sort(list_concat(r.sim_existing,
+                     list_filter(w.accepted, lambda x: {SIM.format(a='x', b='r.name')}))), ',') END
+  FROM walk w JOIN req2 r ON r.rn = w.rn + 1
+)"""])
+
+ORACLE["create_entities"] = CREATE_WALK + f"""
+SELECT id, name, scope, description, array_to_string(tags, ',') AS tags,
+       strftime(created_at, {RFC}) AS created_at FROM ents
+UNION ALL
+SELECT 'ent-' || r.name, r.name, r.scope, r.description, array_to_string(r.tags, ','),
+       strftime(r.ts, {RFC})
+FROM walk w JOIN req2 r ON r.seq = w.seq WHERE w.status = 'accepted'"""
+
+ORACLE["create_entities_rejects"] = CREATE_WALK + """
+SELECT seq, status AS reason, detail FROM walk WHERE status IS NOT NULL AND status <> 'accepted'"""
+
+PATCHES = """
+patches AS (
+  SELECT event_id AS seq, 'ent-src' || CAST(user_id % 25 AS VARCHAR) AS id,
+         CASE WHEN value > 40 THEN 'project' WHEN value > 35 THEN 'Knowledge' END AS scope,
+         'Purchase ' || CAST(event_id AS VARCHAR) AS description,
+         CASE WHEN value > 45 THEN ['vip'] END AS tags, ts
+  FROM events WHERE event_type = 'purchase'
+),
+good AS (
+  SELECT * FROM patches WHERE (scope IS NULL OR scope IN ('knowledge', 'project'))
+    AND id IN (SELECT id FROM ents)
+),
+agg AS (
+  SELECT id, arg_max(scope, seq) FILTER (WHERE scope IS NOT NULL) AS p_scope,
+         arg_max(description, seq) FILTER (WHERE description IS NOT NULL) AS p_desc,
+         arg_max(tags, seq) FILTER (WHERE tags IS NOT NULL) AS p_tags, max(ts) AS p_ts
+  FROM good GROUP BY id
+)"""
+
+ORACLE["update_entities"] = with_ctes(ENTITIES, PATCHES) + f"""
+SELECT e.id, e.name, coalesce(a.p_scope, e.scope) AS scope, coalesce(a.p_desc, e.description) AS description,
+       array_to_string(coalesce(a.p_tags, e.tags), ',') AS tags,
+       strftime(coalesce(a.p_ts, e.created_at), {RFC}) AS updated_at
+FROM ents e LEFT JOIN agg a ON a.id = e.id"""
+
+ORACLE["update_entities_rejects"] = with_ctes(ENTITIES, PATCHES) + """
+SELECT seq, 'invalid_scope' AS reason, scope AS detail FROM patches
+WHERE scope IS NOT NULL AND scope NOT IN ('knowledge', 'project')
+UNION ALL
+SELECT seq, 'not_found', id FROM patches
+WHERE (scope IS NULL OR scope IN ('knowledge', 'project')) AND id NOT IN (SELECT id FROM ents)"""
+
+EDELS = """
+edels AS (
+  SELECT event_id AS seq,
+         CASE WHEN user_id % 5 = 0 THEN 'ent-src' || CAST(user_id % 40 AS VARCHAR)
+              ELSE 'ent-nation-' || CAST(user_id % 40 AS VARCHAR) END AS id
+  FROM events WHERE event_type = 'error'
+),
+gone AS (SELECT DISTINCT id FROM edels WHERE id IN (SELECT id FROM ents))"""
+
+ORACLE["delete_entities"] = with_ctes(ENTITIES, EDELS) + """
+SELECT id, name FROM ents WHERE id NOT IN (SELECT id FROM gone)"""
+
+ORACLE["delete_entities_docs"] = with_ctes(DOCS, ENTITIES, EDELS, FIELD_TEXTS) + """,
+np AS (
+  SELECT doc_id AS id, count(*) AS n_postings FROM (
+    SELECT doc_id FROM postings UNION ALL SELECT doc_id FROM rawpost) GROUP BY doc_id
+)
+SELECT d.id, d.entity, np.n_postings FROM docs d LEFT JOIN np ON np.id = d.id
+WHERE d.entity_id NOT IN (SELECT id FROM gone)"""
+
+ORACLE["delete_entities_rejects"] = with_ctes(ENTITIES, EDELS) + """
+SELECT seq, 'not_found' AS reason, id AS detail FROM edels
+WHERE id NOT IN (SELECT id FROM gone)
+   OR seq > (SELECT min(x.seq) FROM edels x WHERE x.id = edels.id)"""
