@@ -531,3 +531,72 @@ def delete_entities_docs(spark, sf_dir):
 @register("delete_entities_rejects")
 def delete_entities_rejects(spark, sf_dir):
     return _deleted(spark, sf_dir)[3]
+
+
+# ------------------------------------------------------------------ vault
+
+import uuid  # noqa: E402
+
+from vellum.session import scratch_path  # noqa: E402
+from vellum.sources import vault as va  # noqa: E402
+
+
+def _doc_rows(d):
+    return d.select("id", "entity", "topic", "name", "title", _tags().alias("tags"),
+                    me.rfc3339(F.col("created_at")).alias("created_at"),
+                    me.rfc3339(F.col("updated_at")).alias("updated_at"),
+                    F.md5("content").alias("content_md5"))
+
+
+def _written_vault(spark, sf_dir, docs=None):
+    root = scratch_path(spark, f"vault-{uuid.uuid4().hex}")
+    docs = tb.documents(spark, sf_dir) if docs is None else docs
+    va.write_vault(va.render_entities(tb.entities(spark, sf_dir)).unionByName(va.render_documents(docs)), root)
+    return root
+
+
+@register("render_vault")
+def render_vault(spark, sf_dir):
+    """Markdown files of every entity and document."""
+    r = va.render_entities(tb.entities(spark, sf_dir)).unionByName(
+        va.render_documents(tb.documents(spark, sf_dir)))
+    return r.select("path", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@register("parse_frontmatter")
+def parse_frontmatter(spark, sf_dir):
+    """S3: rendered files parsed back (round trip equals the table)."""
+    files = va.render_documents(tb.documents(spark, sf_dir))
+    return _doc_rows(va.parse_documents(files).where(F.col("status") == "ok"))
+
+
+@register("scan_vault_documents")
+def scan_vault_documents(spark, sf_dir):
+    """The vault written to the shared scratch folder, scanned back."""
+    root = _written_vault(spark, sf_dir)
+    _, docs, _ = va.scan_vault(spark, root)
+    return _doc_rows(docs)
+
+
+@register("scan_vault_entities")
+def scan_vault_entities(spark, sf_dir):
+    """``_entity.md`` files read through the entity-file data source."""
+    root = _written_vault(spark, sf_dir)
+    ents, _, _ = va.scan_vault(spark, root)
+    return ents.select("id", "name", "scope", "description", _tags().alias("tags"),
+                       me.rfc3339(F.col("created_at")).alias("created_at"))
+
+
+@register("rebuild_metadata")
+def rebuild_metadata(spark, sf_dir):
+    """Both tables rebuilt from the vault files; row counts."""
+    root = _written_vault(spark, sf_dir)
+    return va.rebuild_metadata(spark, root, root + "-tables")
+
+
+@register("vault_orphans")
+def vault_orphans(spark, sf_dir):
+    """Metadata after the change log versus files of the base vault."""
+    final, _ = _apply(spark, sf_dir)
+    root = _written_vault(spark, sf_dir)
+    return va.orphans(final, va.scan_document_files(spark, root))

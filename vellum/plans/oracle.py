@@ -786,3 +786,54 @@ ORACLE["delete_entities_rejects"] = with_ctes(ENTITIES, EDELS) + """
 SELECT seq, 'not_found' AS reason, id AS detail FROM edels
 WHERE id NOT IN (SELECT id FROM gone)
    OR seq > (SELECT min(x.seq) FROM edels x WHERE x.id = edels.id)"""
+
+# ------------------------------------------------------------------ vault
+
+def _yq(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+def _tags_yaml(x: str) -> str:
+    return (f"CASE WHEN len({x}) > 0 THEN 'tags:' || chr(10) || "
+            f"array_to_string(list_transform({x}, lambda t: '- ' || {_yq('t')} || chr(10)), '') ELSE '' END")
+
+
+def _file_text(header: str, body: str) -> str:
+    return (f"CASE WHEN coalesce({body}, '') = '' THEN '---' || chr(10) || {header} || '---' || chr(10) "
+            f"ELSE '---' || chr(10) || {header} || '---' || chr(10) || chr(10) || {body} END")
+
+
+DOC_HEADER = (f"'id: ' || {_yq('id')} || chr(10) || 'title: ' || {_yq('title')} || chr(10) || "
+              f"{_tags_yaml('tags')} || 'created_at: ' || strftime(created_at, {RFC}) || chr(10) || "
+              f"'updated_at: ' || strftime(created_at, {RFC}) || chr(10)")
+ENT_HEADER = (f"'id: ' || {_yq('id')} || chr(10) || 'scope: ' || scope || chr(10) || "
+              f"{_tags_yaml('tags')} || 'created_at: ' || strftime(created_at, {RFC}) || chr(10) || "
+              f"'updated_at: ' || strftime(created_at, {RFC}) || chr(10)")
+
+ORACLE["render_vault"] = with_ctes(DOCS, ENTITIES, f"""
+files AS (
+  SELECT 'entities/' || name || '/_entity.md' AS path, {_file_text(ENT_HEADER, 'description')} AS text FROM ents
+  UNION ALL
+  SELECT 'entities/' || concat_ws('/', entity, topic, name) || '.md', {_file_text(DOC_HEADER, 'content')} FROM docs
+)""") + """
+SELECT path, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM files"""
+
+DOC_ROWS = f"""
+SELECT id, entity, topic, name, title, array_to_string(tags, ',') AS tags,
+       strftime(created_at, {RFC}) AS created_at, strftime(created_at, {RFC}) AS updated_at,
+       md5(content) AS content_md5 FROM docs"""
+
+ORACLE["parse_frontmatter"] = with_ctes(DOCS) + DOC_ROWS
+ORACLE["scan_vault_documents"] = with_ctes(DOCS) + DOC_ROWS
+ORACLE["scan_vault_entities"] = with_ctes(ENTITIES) + f"""
+SELECT id, name, scope, description, array_to_string(tags, ',') AS tags,
+       strftime(created_at, {RFC}) AS created_at FROM ents"""
+ORACLE["rebuild_metadata"] = with_ctes(DOCS, ENTITIES) + """
+SELECT 'entities' AS "table", count(*) AS n FROM ents
+UNION ALL SELECT 'documents', count(*) FROM docs"""
+ORACLE["vault_orphans"] = apply_sql("true", """
+SELECT 'entities/' || concat_ws('/', entity, topic, name) || '.md' AS path, 'missing_file' AS kind
+FROM final WHERE id NOT IN (SELECT id FROM docs)
+UNION ALL
+SELECT 'entities/' || concat_ws('/', entity, topic, name) || '.md', 'untracked_file'
+FROM docs WHERE id NOT IN (SELECT id FROM final)""")
