@@ -600,3 +600,62 @@ def vault_orphans(spark, sf_dir):
     final, _ = _apply(spark, sf_dir)
     root = _written_vault(spark, sf_dir)
     return va.orphans(final, va.scan_document_files(spark, root))
+
+
+# ------------------------------------------------------------------ audits
+
+from vellum.operators import audit as au  # noqa: E402
+
+
+def _linked_docs(spark, sf_dir):
+    """Documents whose content ends with wikilinks derived from the doc id:
+    one plain link, one with an alias, one with a heading to a name that
+    does not exist (ids beyond the corpus)."""
+    n = tb.read(spark, sf_dir, "documents").count()  # one scalar, the modulus
+    num = F.regexp_extract("name", r"(\d+)$", 1).cast("long")
+    links = F.concat(
+        F.lit("\nSee [[doc-"), ((num * 7 + 3) % n).cast("string"), F.lit("]] and [[doc-"),
+        ((num * 13 + 5) % n).cast("string"), F.lit("|see also]] and [[doc-"),
+        (num + n).cast("string"), F.lit("#intro]]."))
+    return tb.documents(spark, sf_dir).withColumn("content", F.concat("content", links))
+
+
+@register("wikilink_edges")
+def wikilink_edges(spark, sf_dir):
+    return au.wikilink_edges(_linked_docs(spark, sf_dir))
+
+
+@register("backlinks")
+def backlinks(spark, sf_dir):
+    d = _linked_docs(spark, sf_dir)
+    return au.backlinks(au.wikilink_edges(d), d)
+
+
+@register("broken_links")
+def broken_links(spark, sf_dir):
+    d = _linked_docs(spark, sf_dir)
+    return au.broken_links(au.wikilink_edges(d), d).select("src_id", "dst_name")
+
+
+@register("docs_by_tag")
+def docs_by_tag(spark, sf_dir):
+    return au.tag_counts(tb.documents(spark, sf_dir))
+
+
+@register("docs_tagged_toxic")
+def docs_tagged_toxic(spark, sf_dir):
+    return au.docs_with_tag(tb.documents(spark, sf_dir), "toxic").select("id", "entity", "topic")
+
+
+@register("topic_audit")
+def topic_audit(spark, sf_dir):
+    return au.topic_audit(_counts(spark, sf_dir))
+
+
+@register("tag_path_audit")
+def tag_path_audit(spark, sf_dir):
+    """D6 over documents tagged with their language as well."""
+    d = tb.documents(spark, sf_dir).join(
+        tb.read(spark, sf_dir, "documents").select(tb.doc_key(F.col("doc_id")).alias("id"), "lang"), "id")
+    d = d.withColumn("tags", F.concat("tags", F.array("lang")))
+    return au.tag_path_audit(d).select("id", "entity", "topic", F.array_join("repeated", ",").alias("repeated"))

@@ -837,3 +837,50 @@ FROM final WHERE id NOT IN (SELECT id FROM docs)
 UNION ALL
 SELECT 'entities/' || concat_ws('/', entity, topic, name) || '.md', 'untracked_file'
 FROM docs WHERE id NOT IN (SELECT id FROM final)""")
+
+# ------------------------------------------------------------------ audits
+
+LINKED = r"""
+ndoc AS (SELECT count(*) AS n FROM documents),
+linked AS (
+  SELECT d.id, d.entity, d.name,
+         d.content || chr(10) || 'See [[doc-' || CAST((d.doc_num * 7 + 3) % c.n AS VARCHAR) || ']] and [[doc-'
+           || CAST((d.doc_num * 13 + 5) % c.n AS VARCHAR) || '|see also]] and [[doc-'
+           || CAST(d.doc_num + c.n AS VARCHAR) || '#intro]].' AS content
+  FROM docs d, ndoc c
+),
+edges AS (
+  SELECT id AS src_id, entity AS src_entity, trim(unnest(regexp_extract_all(content, '\[\[([^\]|#]+)', 1))) AS dst_name
+  FROM linked
+)"""
+
+ORACLE["wikilink_edges"] = with_ctes(DOCS, LINKED) + "SELECT src_id, src_entity, dst_name FROM edges"
+
+ORACLE["backlinks"] = with_ctes(DOCS, LINKED) + """
+SELECT d.id AS dst_id, e.dst_name, count(*) AS backlinks,
+       count(DISTINCT e.src_entity) FILTER (WHERE e.src_entity <> d.entity) AS foreign_entities
+FROM edges e JOIN docs d ON d.name = e.dst_name
+GROUP BY d.id, e.dst_name, d.entity"""
+
+ORACLE["broken_links"] = with_ctes(DOCS, LINKED) + """
+SELECT src_id, dst_name FROM edges WHERE dst_name NOT IN (SELECT name FROM docs)"""
+
+ORACLE["docs_by_tag"] = with_ctes(DOCS) + """
+SELECT tag, count(DISTINCT id) AS n_docs, count(DISTINCT entity) AS n_entities
+FROM (SELECT id, entity, unnest(tags) AS tag FROM docs) GROUP BY tag"""
+
+ORACLE["docs_tagged_toxic"] = with_ctes(DOCS) + """
+SELECT id, entity, topic FROM docs WHERE list_contains(tags, 'toxic')"""
+
+ORACLE["topic_audit"] = with_ctes(DOCS, ENTITIES, COUNTS) + """
+SELECT 'entity_without_topics' AS finding, entity, CAST(NULL AS VARCHAR) AS topic, CAST(sum(document_count) AS BIGINT) AS n
+FROM counts GROUP BY entity HAVING sum(document_count) > 7 AND count(topic) = 0
+UNION ALL
+SELECT 'thin_topic', entity, topic, document_count FROM counts WHERE topic IS NOT NULL AND document_count < 3"""
+
+ORACLE["tag_path_audit"] = with_ctes(DOCS) + """
+SELECT id, entity, topic, array_to_string(rep, ',') AS repeated FROM (
+  SELECT d.id, d.entity, d.topic,
+         list_filter(list_append(d.tags, s.lang), lambda t: t = d.entity OR t = coalesce(d.topic, '')) AS rep
+  FROM docs d JOIN documents s ON s.doc_id = d.doc_num)
+WHERE len(rep) > 0"""
