@@ -535,6 +535,7 @@ def delete_entities_rejects(spark, sf_dir):
 
 # ------------------------------------------------------------------ vault
 
+import os  # noqa: E402
 import uuid  # noqa: E402
 
 from vellum.session import scratch_path  # noqa: E402
@@ -659,3 +660,38 @@ def tag_path_audit(spark, sf_dir):
         tb.read(spark, sf_dir, "documents").select(tb.doc_key(F.col("doc_id")).alias("id"), "lang"), "id")
     d = d.withColumn("tags", F.concat("tags", F.array("lang")))
     return au.tag_path_audit(d).select("id", "entity", "topic", F.array_join("repeated", ",").alias("repeated"))
+
+
+# ------------------------------------------------------------------ streams
+
+from vellum.streaming import streams as st  # noqa: E402
+
+
+@register("stream_apply_changes")
+def stream_apply_changes(spark, sf_dir):
+    """The change log replayed as a file stream in four segments; the
+    final snapshot equals the batch result (``apply_changes``)."""
+    root = scratch_path(spark, f"stream-changes-{uuid.uuid4().hex}")
+    src = os.path.join(root, "source")
+    st.write_in_order(tb.changes(spark, sf_dir), src, "seq", 4)
+    q = st.start_change_stream(spark, src, root, tb.documents(spark, sf_dir), tb.entities(spark, sf_dir))
+    q.awaitTermination()
+    return _doc_out(st.latest_snapshot(spark, root))
+
+
+@register("stream_index")
+def stream_index(spark, sf_dir):
+    """Base documents in four segments, then the versions changed by the
+    change log; the live index equals a build over the upserted table."""
+    root = scratch_path(spark, f"stream-index-{uuid.uuid4().hex}")
+    src = os.path.join(root, "source")
+    base = tb.documents(spark, sf_dir).withColumn("version", F.xxhash64("id"))
+    final, _ = _apply(spark, sf_dir)
+    changed = _changed(tb.documents(spark, sf_dir), final).withColumn("version", F.lit(None).cast("long"))
+    st.write_in_order(base, src, "version", 4)
+    changed.coalesce(1).write.mode("append").parquet(src)
+    schema = spark.read.parquet(src).schema
+    q = st.start_index_stream(spark, src, os.path.join(root, "index"), schema)
+    q.awaitTermination()
+    t = st.read_stream_index(spark, os.path.join(root, "index")).term_stats
+    return t.where(F.col("field").isin("title", "content", "tags"))

@@ -884,3 +884,17 @@ SELECT id, entity, topic, array_to_string(rep, ',') AS repeated FROM (
          list_filter(list_append(d.tags, s.lang), lambda t: t = d.entity OR t = coalesce(d.topic, '')) AS rep
   FROM docs d JOIN documents s ON s.doc_id = d.doc_num)
 WHERE len(rep) > 0"""
+
+# ------------------------------------------------------------------ streams
+
+ORACLE["stream_apply_changes"] = ORACLE["apply_changes"]
+ORACLE["stream_index"] = apply_sql("true", """,
+changed AS (
+  SELECT f.* FROM final f LEFT JOIN docs d ON d.id = f.id
+  WHERE d.id IS NULL OR f.updated_at <> d.created_at
+),
+upserted AS (
+  SELECT id, title, content, tags FROM docs WHERE id NOT IN (SELECT id FROM changed)
+  UNION ALL SELECT id, title, content, tags FROM changed
+),""" + FIELD_TEXTS.replace("FROM docs", "FROM upserted") + """
+SELECT field, term, count(*) AS df FROM postings GROUP BY field, term""")
