@@ -32,6 +32,7 @@ class Index:
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
+    buckets: int | None = None   # term buckets of a persisted postings layout
 
     def cache(self) -> "Index":
         for df in (self.postings, self.doc_stats, self.term_stats, self.corpus):
@@ -123,6 +124,8 @@ def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> N
     idx = build_index(docs, buckets)
     (idx.postings.write.mode("overwrite").partitionBy("field", "tb")
      .parquet(f"{path}/postings"))
+    spark_ = docs.sparkSession
+    spark_.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_layout")
     idx.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     spark = docs.sparkSession
     term_stats_of(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(
@@ -132,10 +135,21 @@ def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> N
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
+    buckets = spark.read.json(f"{path}/_layout").first()["buckets"]
     return Index(spark.read.parquet(f"{path}/postings"),
                  spark.read.parquet(f"{path}/doc_stats"),
                  spark.read.parquet(f"{path}/term_stats"),
-                 spark.read.parquet(f"{path}/corpus"))
+                 spark.read.parquet(f"{path}/corpus"),
+                 buckets)
+
+
+def postings_for(idx: Index, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Postings columns ``cols`` and the join keys for query-term rows. On a persisted layout the term bucket is a
+    join key too, so dynamic partition pruning reads only the buckets of the
+    query terms."""
+    if idx.buckets and "tb" in idx.postings.columns:
+        return idx.postings.select(*cols, "tb"), ["field", "tb", "term"]
+    return idx.postings.select(*cols), ["field", "term"]
 
 
 # ---------------------------------------------------------------- maintenance

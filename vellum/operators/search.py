@@ -20,9 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.operators.index import Index
+from vellum.operators.index import Index, postings_for, term_bucket
 from vellum.schema import RAW_FIELDS, TEXT_FIELDS
-from vellum.session import bounded_broadcast
+from vellum.session import BROADCAST_ROW_LIMIT, bounded_broadcast
 
 # BM25 parameters and the default result limit.
 K1 = 1.2
@@ -63,10 +63,21 @@ def _corpus_all_fields(idx: Index) -> DataFrame:
     return idx.corpus.select("field", "n_docs", "avgdl").unionByName(raw)
 
 
-def _term_weights(idx: Index, qterms: DataFrame) -> DataFrame:
-    """Attach df, N, avgdl and idf to the (small) query-term rows."""
+def _small(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def _with_bucket(idx: Index, terms: DataFrame) -> DataFrame:
+    if idx.buckets and "tb" in idx.postings.columns:
+        return terms.withColumn("tb", term_bucket(F.col("term"), idx.buckets))
+    return terms
+
+
+def _term_weights(idx: Index, qterms: DataFrame, small: bool) -> DataFrame:
+    """Attach df, N, avgdl and idf to the query-term rows (``small``: their
+    count is proven to be under the broadcast bound)."""
     corpus = F.broadcast(_corpus_all_fields(idx))  # at most 7 rows: one per field
-    wanted = bounded_broadcast(qterms.select("field", "term").distinct())
+    wanted = _small(qterms.select("field", "term").distinct(), small)
     stats = idx.term_stats.join(wanted, ["field", "term"])
     return (qterms.join(stats, ["field", "term"], "left")
             .join(corpus, "field")
@@ -74,18 +85,19 @@ def _term_weights(idx: Index, qterms: DataFrame) -> DataFrame:
             .withColumn("idf", idf(F.col("df"), F.col("n_docs"))))
 
 
-def _term_matches(idx: Index, clauses: DataFrame) -> DataFrame:
+def _term_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     qt = (_with_fields(clauses.where(F.col("kind").isin("term", "exact")))
           .select("query_id", "clause_no", "occur", "boost", "field",
                   F.get(F.col("terms"), 0).alias("term")))
-    qt = bounded_broadcast(_term_weights(idx, qt))
-    m = idx.postings.select("field", "term", "doc_id", "dl", "tf").join(qt, ["field", "term"])
+    qt = _with_bucket(idx, _term_weights(idx, qt, small))
+    post, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "tf"])
+    m = post.join(_small(qt, small), keys)
     return m.select("query_id", "clause_no", "occur", "doc_id",
                     bm25(F.col("boost") * F.col("idf"), F.col("tf"), F.col("dl"),
                          F.col("avgdl")).alias("score"))
 
 
-def _phrase_matches(idx: Index, clauses: DataFrame) -> DataFrame:
+def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     """Phrases: every term at consecutive positions (slop 0) or each next term
     at most ``slop`` extra positions after the previous one, in order.
 
@@ -96,10 +108,11 @@ def _phrase_matches(idx: Index, clauses: DataFrame) -> DataFrame:
           .select("query_id", "clause_no", "occur", "boost", "field",
                   F.coalesce("slop", F.lit(0)).alias("slop"), F.size("terms").alias("n"),
                   F.posexplode("terms").alias("offset", "term")))
-    ph = _term_weights(idx, ph)
+    ph = _term_weights(idx, ph, small)
     clause_idf = ph.groupBy("query_id", "clause_no", "field").agg(F.sum("idf").alias("idf_sum"))
-    ph = bounded_broadcast(ph.join(clause_idf, ["query_id", "clause_no", "field"]))
-    m = idx.postings.select("field", "term", "doc_id", "dl", "positions").join(ph, ["field", "term"])
+    ph = _with_bucket(idx, ph.join(clause_idf, ["query_id", "clause_no", "field"]))
+    post, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "positions"])
+    m = post.join(_small(ph, small), keys)
     grouped = m.groupBy("query_id", "clause_no", "occur", "boost", "field", "doc_id", "dl",
                         "avgdl", "idf_sum", "n", "slop").agg(
         F.count(F.lit(1)).alias("hits"),
@@ -124,7 +137,7 @@ def _phrase_matches(idx: Index, clauses: DataFrame) -> DataFrame:
                               F.col("avgdl")).alias("score"))
 
 
-def _constant_matches(idx: Index, clauses: DataFrame) -> DataFrame:
+def _constant_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     """Set, range and prefix clauses: constant score ``boost`` per matching field.
 
     The vocabulary (``term_stats``) is matched first, so postings are only
@@ -134,7 +147,7 @@ def _constant_matches(idx: Index, clauses: DataFrame) -> DataFrame:
     cl = cl.select("query_id", "clause_no", "occur", "boost", "field", "kind", "terms")
     sets = cl.where(F.col("kind") == "set").select(
         "query_id", "clause_no", "occur", "boost", "field", F.explode("terms").alias("term"))
-    patterns = bounded_broadcast(cl.where(F.col("kind").isin("range", "prefix")))
+    patterns = _small(cl.where(F.col("kind").isin("range", "prefix")), small)
     vocab = idx.term_stats.select("field", "term")
     t = F.col("term")
     cond = (vocab["field"] == patterns["field"]) & (
@@ -142,16 +155,18 @@ def _constant_matches(idx: Index, clauses: DataFrame) -> DataFrame:
         | ((patterns["kind"] == "prefix") & t.startswith(F.get(patterns["terms"], 0))))
     expanded = vocab.join(patterns, cond).select(
         "query_id", "clause_no", "occur", "boost", vocab["field"], "term")
-    wanted = bounded_broadcast(sets.unionByName(expanded))
-    m = idx.postings.select("field", "term", "doc_id").join(wanted, ["field", "term"])
+    # A range or prefix can expand to much of the vocabulary: count it.
+    wanted = _with_bucket(idx, sets.unionByName(expanded))
+    post, keys = postings_for(idx, ["field", "term", "doc_id"])
+    m = post.join(bounded_broadcast(wanted), keys)
     return (m.groupBy("query_id", "clause_no", "occur", "field", "doc_id")
             .agg(F.first("boost").alias("score"))
             .select(*MATCH_COLS))
 
 
-def _all_matches(idx: Index, clauses: DataFrame) -> DataFrame:
-    al = bounded_broadcast(clauses.where(F.col("kind") == "all").select(
-        "query_id", "clause_no", "occur", "boost", F.lit(TEXT_FIELDS[0]).alias("field")))
+def _all_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
+    al = _small(clauses.where(F.col("kind") == "all").select(
+        "query_id", "clause_no", "occur", "boost", F.lit(TEXT_FIELDS[0]).alias("field")), small)
     docs = idx.doc_stats.where(F.col("field") == TEXT_FIELDS[0]).select("field", "doc_id")
     return docs.join(al, "field").select("query_id", "clause_no", "occur", "doc_id",
                                          F.col("boost").alias("score"))
@@ -183,40 +198,76 @@ def normalize(clauses: DataFrame) -> DataFrame:
         F.col("entity").cast("string"), F.col("k").cast("int"))
 
 
+def clause_profile(clauses: DataFrame) -> dict:
+    """One small job over the clause table: rows per kind and the longest
+    term list. Every small side the search derives has at most
+    rows x terms x fields rows, which is what the broadcast bound is checked
+    against; kinds with no rows get no subplan at all."""
+    rows = clauses.groupBy("kind").agg(F.count(F.lit(1)).alias("n"),
+                                       F.max(F.size("terms")).alias("t"),
+                                       F.max("k").alias("k")).collect()
+    return {r["kind"]: (r["n"], max(r["t"] or 1, 1), r["k"]) for r in rows}
+
+
 def match(idx: Index, clauses: DataFrame) -> DataFrame:
     """All (query, document) pairs satisfying their query, with summed score."""
+    return _match(idx, clauses)[0]
+
+
+def _match(idx: Index, clauses: DataFrame):
     clauses = normalize(clauses)
+    prof = clause_profile(clauses)
+    bound = (sum(n * t for n, t, _ in prof.values()) * len(TEXT_FIELDS)
+             + sum(n for n, _, _ in prof.values()))
+    small = bound <= BROADCAST_ROW_LIMIT
     all_clauses = clauses.unionByName(_entity_clauses(clauses))
-    matches = reduce(DataFrame.unionByName, [
-        _term_matches(idx, all_clauses), _phrase_matches(idx, all_clauses),
-        _constant_matches(idx, all_clauses), _all_matches(idx, all_clauses)])
+    parts = [_term_matches(idx, all_clauses, small)]  # always: the entity filter is an exact clause
+    if "phrase" in prof:
+        parts.append(_phrase_matches(idx, all_clauses, small))
+    if prof.keys() & {"set", "range", "prefix"}:
+        parts.append(_constant_matches(idx, all_clauses, small))
+    if "all" in prof:
+        parts.append(_all_matches(idx, all_clauses, small))
+    matches = reduce(DataFrame.unionByName, parts)
     per_doc = matches.groupBy("query_id", "doc_id").agg(
         F.sum(F.when(F.col("occur") != "must_not", F.col("score"))).alias("score"),
-        F.count_distinct(F.when(F.col("occur") == "must", F.col("clause_no"))).alias("must_hit"),
+        # must clauses matched; one (query, clause, doc) can have a row per
+        # field, so count distinct clause numbers (list bounded by the query)
+        F.size(F.array_distinct(F.collect_list(
+            F.when(F.col("occur") == "must", F.col("clause_no"))))).alias("must_hit"),
         F.max((F.col("occur") == "filter").cast("int")).alias("filter_hit"),
         F.max((F.col("occur") == "should").cast("int")).alias("should_hit"),
         F.max((F.col("occur") == "must_not").cast("int")).alias("not_hit"))
-    info = bounded_broadcast(clauses.groupBy("query_id").agg(
+    info = _small(clauses.groupBy("query_id").agg(
         F.count_distinct(F.when(F.col("occur") == "must", F.col("clause_no"))).alias("n_must"),
         F.max(F.col("entity").isNotNull().cast("int")).alias("has_filter"),
-        F.coalesce(F.max("k"), F.lit(DEFAULT_K)).alias("k")))
+        F.coalesce(F.max("k"), F.lit(DEFAULT_K)).alias("k")), small)
     ok = ((F.col("must_hit") == F.col("n_must")) & (F.col("filter_hit") >= F.col("has_filter"))
           & (F.col("not_hit") == 0) & ((F.col("n_must") > 0) | (F.col("should_hit") == 1)))
-    return per_doc.join(info, "query_id").where(ok).select("query_id", "doc_id", "score", "k")
+    max_k = max([k for _, _, k in prof.values() if k is not None] or [DEFAULT_K])
+    return per_doc.join(info, "query_id").where(ok).select("query_id", "doc_id", "score", "k"), max_k
 
 
-def top_k(matched: DataFrame) -> DataFrame:
-    """Top ``k`` per query by score (rounded), ties to the smaller doc id."""
+def top_k(matched: DataFrame, max_k: int | None = None) -> DataFrame:
+    """Top ``k`` per query by score (rounded), ties to the smaller doc id.
+
+    The literal bound ``max_k`` (largest k of the batch) lets Spark plan a
+    partial WindowGroupLimit before the shuffle, so a query that matches a
+    large part of the corpus ships at most ``max_k`` rows per task.
+    """
     rounded = matched.withColumn("score", F.round("score", SCORE_DIGITS))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return (rounded.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= F.col("k"))
+    ranked = rounded.withColumn("rank", F.row_number().over(w))
+    if max_k is not None:
+        ranked = ranked.where(F.col("rank") <= F.lit(max_k))
+    return (ranked.where(F.col("rank") <= F.col("k"))
             .select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score"))
 
 
 def search(idx: Index, clauses: DataFrame) -> DataFrame:
     """Ranked hits: query_id, rank, doc_id, score."""
-    return top_k(match(idx, clauses))
+    matched, max_k = _match(idx, clauses)
+    return top_k(matched, max_k)
 
 
 def single_top_k(matched: DataFrame, k: int = DEFAULT_K) -> DataFrame:
