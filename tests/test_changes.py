@@ -64,3 +64,56 @@ def test_first_writer_wins_in_batch(spark):
                                          for s in (3, 1, 2)])
     assert "N1" in out and "N2" not in out and "N3" not in out
     assert rej == [(2, "duplicate_name"), (3, "duplicate_name")]
+
+
+def simulate(base_docs, entities, rows):
+    """One change at a time, as the reference applies them."""
+    import re
+    live = {d["id"]: dict(d) for d in base_docs}
+    rejects = []
+    seg = re.compile(r"^[a-z0-9-]+$")
+    for r in sorted(rows, key=lambda x: x["seq"]):
+        if r["op"] == "save":
+            if r["entity"] not in entities:
+                rejects.append((r["seq"], "not_found"))
+            elif any(d["name"] == r["name"] for d in live.values()):
+                rejects.append((r["seq"], "duplicate_name"))
+            elif not (seg.match(r["entity"]) and seg.match(r["name"]) and (r.get("topic") is None or seg.match(r["topic"]))):
+                rejects.append((r["seq"], "invalid_path"))
+            else:
+                live[r["id"]] = dict(id=r["id"], name=r["name"], title=r.get("title") or "")
+        elif r["op"] == "update":
+            if r["id"] not in live:
+                rejects.append((r["seq"], "not_found"))
+            elif r.get("title") is not None:
+                live[r["id"]]["title"] = r["title"]
+        else:
+            if r["id"] not in live:
+                rejects.append((r["seq"], "not_found"))
+            else:
+                del live[r["id"]]
+    return {k: v["title"] for k, v in live.items()}, sorted(rejects)
+
+
+def test_random_logs_match_sequential_simulation(spark):
+    import random
+    rnd = random.Random(11)
+    ents = make_entities(spark, ["rust", "go"])
+    base = [dict(id="D1", entity="rust", name="n1", title="Title"), dict(id="D2", entity="go", name="n2", title="Title")]
+    docs = make_docs(spark, base)
+    for trial in range(3):
+        rows, ids = [], ["D1", "D2"]
+        for seq in range(1, 61):
+            op = rnd.choice(["save", "save", "delete", "update"])
+            if op == "save":
+                new_id = f"N{seq}"
+                ids.append(new_id)
+                rows.append(dict(seq=seq, op="save", id=new_id, entity=rnd.choice(["rust", "go", "nope"]),
+                                 name=rnd.choice(["n1", "n2", "n3", "Bad"]), title=f"t{seq}"))
+            else:
+                target = rnd.choice(ids + ["X"])
+                rows.append(dict(seq=seq, op=op, id=target, title=f"u{seq}" if op == "update" else None))
+        out, rej = apply(spark, docs, ents, rows)
+        want_docs, want_rej = simulate(base, {"rust", "go"}, rows)
+        assert {k: v.title for k, v in out.items()} == want_docs
+        assert rej == want_rej

@@ -15,8 +15,10 @@ Every id lives in one interval [birth, death): base documents from the
 start, saved ones from their accepted save; death is the first delete after
 birth. Updates and deletes are then judged by joins against that interval.
 Only the acceptance of saves is order-dependent (a name is free again after
-its holder dies), and that fold runs per name over (seq, death, path_ok)
-triples; names whose holders never die are decided by aggregates alone.
+its holder dies): names whose holders never die are decided by aggregates
+alone; for the others the accepted saves form a chain (next valid save at or
+after the current holder's death), found with blocked as-of lookups and
+pointer doubling, so no name's history is collected into one task.
 Save ids are fresh (never reused), as generated ids are.
 """
 
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.paths import valid_path
-from vellum.session import bounded_broadcast
+from vellum.operators.ordered import next_at_or_after, path_marks
+from vellum.session import bounded_broadcast, ensure_checkpoint_dir
 
 NEVER = 2**62  # death of a document that is never deleted
 DOC_COLS = ["id", "entity_id", "entity", "topic", "name", "title", "content", "tags",
@@ -59,30 +62,47 @@ def _save_decisions(base: DataFrame, saves: DataFrame) -> DataFrame:
          .when(~F.col("path_ok"), "invalid_path")
          .otherwise("duplicate_name").alias("status"))
 
-    # Names whose holders may die: ordered fold over small triples.
-    folded = (s.where(F.col("fold"))
-              .groupBy("name").agg(F.first(d0).alias("d0"),
-                                   F.array_sort(F.collect_list(F.struct("seq", "death", "path_ok"))).alias("ev")))
-    step = F.aggregate(
-        "ev",
-        F.struct(F.col("d0").alias("hd"),
-                 F.array().cast("array<struct<seq:bigint,status:string>>").alias("out")),
-        lambda st, e: F.when(
-            e["seq"] < st["hd"],
-            F.struct(st["hd"].alias("hd"), F.concat(st["out"], F.array(F.struct(
-                e["seq"].alias("seq"), F.lit("duplicate_name").alias("status")))).alias("out")))
-        .when(~e["path_ok"],
-              F.struct(st["hd"].alias("hd"), F.concat(st["out"], F.array(F.struct(
-                  e["seq"].alias("seq"), F.lit("invalid_path").alias("status")))).alias("out")))
-        .otherwise(F.struct(e["death"].alias("hd"), F.concat(st["out"], F.array(F.struct(
-            e["seq"].alias("seq"), F.lit("accepted").alias("status")))).alias("out"))),
-    )
-    folded = folded.select(F.explode(step["out"]).alias("r")).select("r.seq", "r.status")
+    # Names whose holders may die. Accepted saves form a chain: the first
+    # valid save at or after the base holder's death, then the first valid
+    # save at or after each accepted save's death. Found with as-of lookups
+    # and pointer doubling (no per-name collection).
+    f = s.where(F.col("fold")).withColumn("d0", d0)
+    ok = f.where(F.col("path_ok"))
+    targets = ok.select(F.col("name").alias("key"), F.col("seq").alias("pos"))
+    start_probes = f.select(F.concat(F.lit("s:"), F.col("name")).alias("pid"),
+                            F.col("name").alias("key"), F.col("d0").alias("at")).distinct()
+    succ_probes = ok.where(F.col("death") < NEVER).select(
+        F.concat(F.lit("d:"), F.col("seq").cast("string")).alias("pid"),
+        F.col("name").alias("key"), F.col("death").alias("at"))
+    hits = next_at_or_after(start_probes.unionByName(succ_probes), targets)
+    starts = hits.where(F.col("pid").startswith("s:") & F.col("hit").isNotNull()).select(
+        F.col("hit").alias("node"))
+    succ = hits.where(F.col("pid").startswith("d:")).select(
+        F.substring("pid", 3, 30).cast("long").alias("node"), F.col("hit").alias("nxt"))
+    accepted = path_marks(starts, succ).select(F.col("node").alias("seq"), F.lit(True).alias("acc"))
+    # Holder at each save: death of the last accepted save before it, else d0
+    # (as-of on negated positions).
+    acc_rows = f.join(accepted, "seq").select("name", "seq", "death")
+    back = next_at_or_after(
+        f.select(F.col("seq").alias("pid"), F.col("name").alias("key"), (-F.col("seq") + 1).alias("at")),
+        acc_rows.select(F.col("name").alias("key"), (-F.col("seq")).alias("pos")))
+    prev = back.select(F.col("pid").alias("seq"), (-F.col("hit")).alias("prev_seq"))
+    prev = prev.join(acc_rows.select(F.col("seq").alias("prev_seq"), F.col("death").alias("prev_death")),
+                     "prev_seq", "left")
+    g = f.join(accepted, "seq", "left").join(prev, "seq", "left")
+    h = F.coalesce(F.col("prev_death"), F.col("d0"))
+    folded = g.select(
+        "seq",
+        F.when(F.col("acc").isNotNull(), "accepted")
+         .when(F.col("seq") < h, "duplicate_name")
+         .when(~F.col("path_ok"), "invalid_path")
+         .otherwise("duplicate_name").alias("status"))
     return simple.unionByName(folded)
 
 
 def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame):
     """Returns (new_documents, rejects)."""
+    ensure_checkpoint_dir(changes.sparkSession)
     ch = changes
     deletes = ch.where(F.col("op") == "delete").select("seq", "id")
     updates = ch.where(F.col("op") == "update")
