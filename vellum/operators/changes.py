@@ -66,7 +66,9 @@ def _save_decisions(base: DataFrame, saves: DataFrame) -> DataFrame:
     # valid save at or after the base holder's death, then the first valid
     # save at or after each accepted save's death. Found with as-of lookups
     # and pointer doubling (no per-name collection).
-    f = s.where(F.col("fold")).withColumn("d0", d0)
+    # The fold-tier saves (a few numbers each) are materialised once in the
+    # shared checkpoint folder; the rounds below all read that copy.
+    f = s.where(F.col("fold")).withColumn("d0", d0).checkpoint()
     ok = f.where(F.col("path_ok"))
     targets = ok.select(F.col("name").alias("key"), F.col("seq").alias("pos"))
     start_probes = f.select(F.concat(F.lit("s:"), F.col("name")).alias("pid"),
@@ -74,12 +76,13 @@ def _save_decisions(base: DataFrame, saves: DataFrame) -> DataFrame:
     succ_probes = ok.where(F.col("death") < NEVER).select(
         F.concat(F.lit("d:"), F.col("seq").cast("string")).alias("pid"),
         F.col("name").alias("key"), F.col("death").alias("at"))
-    hits = next_at_or_after(start_probes.unionByName(succ_probes), targets)
+    hits = next_at_or_after(start_probes.unionByName(succ_probes), targets).checkpoint()
     starts = hits.where(F.col("pid").startswith("s:") & F.col("hit").isNotNull()).select(
         F.col("hit").alias("node"))
     succ = hits.where(F.col("pid").startswith("d:")).select(
         F.substring("pid", 3, 30).cast("long").alias("node"), F.col("hit").alias("nxt"))
     accepted = path_marks(starts, succ).select(F.col("node").alias("seq"), F.lit(True).alias("acc"))
+    # ``path_marks`` returns a checkpointed frame
     # Holder at each save: death of the last accepted save before it, else d0
     # (as-of on negated positions).
     acc_rows = f.join(accepted, "seq").select("name", "seq", "death")

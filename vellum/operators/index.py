@@ -1,6 +1,7 @@
 """Inverted index as tables (X1, A7, A8) and its maintenance.
 
-``postings``   field, term, doc_id, dl, tf, positions
+``postings``   field, term, doc_id, dl, tf        (one row per field, term, doc)
+``positions``  field, term, doc_id, dl, pos       (one row per token; phrases only)
 ``doc_stats``  field, doc_id, dl
 ``term_stats`` field, term, df
 ``corpus``     field, n_docs, avgdl            (one row per field)
@@ -32,12 +33,8 @@ class Index:
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
-    buckets: int | None = None   # term buckets of a persisted postings layout
-
-    def cache(self) -> "Index":
-        for df in (self.postings, self.doc_stats, self.term_stats, self.corpus):
-            df.cache()
-        return self
+    buckets: int | None = None   # term buckets of a persisted layout
+    positions: DataFrame | None = None
 
 
 def term_bucket(term: F.Column, buckets: int) -> F.Column:
@@ -56,30 +53,21 @@ def field_texts(docs: DataFrame) -> DataFrame:
             .withColumn("dl", field_length(F.col("text"))))
 
 
-def text_postings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Postings of the analysed fields.
-
-    Default plan: partial aggregation per (field, term, doc) before one
-    shuffle hashed on all three keys, so a very common term spreads over all
-    tasks. With ``buckets`` (the on-disk layout) token rows are shuffled once
-    on (field, term bucket, doc salt) and aggregated in place; the output is
-    then already clustered for a ``partitionBy(field, tb)`` write, with hot
-    buckets split by the salt.
-    """
+def text_tokens(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Token rows of the analysed fields: field, term, doc_id, dl, pos [, tb]."""
     tokens = explode_terms(field_texts(docs), "text", ["doc_id", "field", "dl"])
-    keys = ["field", "term", "doc_id", "dl"]
+    tokens = tokens.select("field", "term", "doc_id", "dl", "pos")
     if buckets:
-        n = tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        tokens = (tokens.withColumn("tb", term_bucket(F.col("term"), buckets))
-                  .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(int(n))).cast("int"))
-                  .repartition(int(n), "field", "tb", "salt"))
-        keys = keys + ["tb", "salt"]
-    out = tokens.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("int").alias("tf"),
-        F.array_sort(F.collect_list("pos")).alias("positions"),
-    )
-    cols = ["field", "term", "doc_id", "dl", "tf", "positions"] + (["tb"] if buckets else [])
-    return out.select(*cols)
+        tokens = tokens.withColumn("tb", term_bucket(F.col("term"), buckets))
+    return tokens
+
+
+def text_postings(tokens: DataFrame) -> DataFrame:
+    """Postings of the analysed fields: a count per (field, term, doc) with
+    partial aggregation before the shuffle, hashed on all keys so a very
+    common term spreads over every task."""
+    keys = ["field", "term", "doc_id", "dl"] + (["tb"] if "tb" in tokens.columns else [])
+    return tokens.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def raw_postings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -87,8 +75,7 @@ def raw_postings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     raw = F.array(*[F.struct(F.lit(f).alias("field"),
                              F.coalesce(F.col(f), F.lit("")).alias("term")) for f in RAW_FIELDS])
     out = (docs.select(F.col("id").alias("doc_id"), F.explode(raw).alias("r"))
-           .select("r.field", "r.term", "doc_id", F.lit(1).alias("dl"), F.lit(1).alias("tf"),
-                   F.array(F.lit(0)).alias("positions")))
+           .select("r.field", "r.term", "doc_id", F.lit(1).alias("dl"), F.lit(1).alias("tf")))
     if buckets:
         out = out.withColumn("tb", term_bucket(F.col("term"), buckets))
     return out
@@ -96,9 +83,11 @@ def raw_postings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 def build_index(docs: DataFrame, buckets: int | None = None) -> Index:
     """Index every document of ``docs`` (id, entity, topic, name, title, content, tags)."""
-    postings = text_postings(docs, buckets).unionByName(raw_postings(docs, buckets))
+    tokens = text_tokens(docs, buckets)
+    postings = text_postings(tokens).unionByName(raw_postings(docs, buckets))
     doc_stats = field_texts(docs).select("field", "doc_id", "dl")
-    return Index(postings, doc_stats, term_stats_of(postings), corpus_of(doc_stats))
+    return Index(postings, doc_stats, term_stats_of(postings), corpus_of(doc_stats),
+                 buckets=buckets, positions=tokens)
 
 
 def term_stats_of(postings: DataFrame) -> DataFrame:
@@ -122,12 +111,18 @@ def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> N
     relative to postings and are written plainly.
     """
     idx = build_index(docs, buckets)
-    (idx.postings.write.mode("overwrite").partitionBy("field", "tb")
-     .parquet(f"{path}/postings"))
-    spark_ = docs.sparkSession
-    spark_.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_layout")
-    idx.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(n))
+    # Cluster by (field, bucket) for the partitioned write; the document salt
+    # splits a hot bucket over many tasks and files.
+    (idx.postings.repartition(n, "field", "tb", salt)
+     .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
+    (idx.positions.repartition(n, "field", "tb", salt)
+     .sortWithinPartitions("field", "tb", "term", "doc_id", "pos")
+     .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/positions"))
+    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_layout")
+    idx.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     term_stats_of(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(
         f"{path}/term_stats")
     corpus_of(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(
@@ -140,34 +135,47 @@ def read_index(spark: SparkSession, path: str) -> Index:
                  spark.read.parquet(f"{path}/doc_stats"),
                  spark.read.parquet(f"{path}/term_stats"),
                  spark.read.parquet(f"{path}/corpus"),
-                 buckets)
+                 buckets=buckets,
+                 positions=spark.read.parquet(f"{path}/positions"))
 
 
-def postings_for(idx: Index, cols: list[str]) -> tuple[DataFrame, list[str]]:
-    """Postings columns ``cols`` and the join keys for query-term rows. On a persisted layout the term bucket is a
+def postings_for(idx: Index, cols: list[str], table: str = "postings") -> tuple[DataFrame, list[str]]:
+    """Columns ``cols`` of postings (or positions) and the join keys for
+    query-term rows. On a persisted layout the term bucket is a
     join key too, so dynamic partition pruning reads only the buckets of the
     query terms."""
-    if idx.buckets and "tb" in idx.postings.columns:
-        return idx.postings.select(*cols, "tb"), ["field", "tb", "term"]
-    return idx.postings.select(*cols), ["field", "term"]
+    df = idx.postings if table == "postings" else idx.positions
+    if idx.buckets and "tb" in df.columns:
+        return df.select(*cols, "tb"), ["field", "tb", "term"]
+    return df.select(*cols), ["field", "term"]
 
 
 # ---------------------------------------------------------------- maintenance
 
 def upsert(idx: Index, changed_docs: DataFrame) -> Index:
     """Drop every posting of the changed ids, add their new postings."""
-    new = build_index(changed_docs)
+    new = build_index(changed_docs, idx.buckets)
     ids = changed_docs.select(F.col("id").alias("doc_id"))
-    postings = idx.postings.select(*new.postings.columns).join(ids, "doc_id", "left_anti") \
-        .select(*new.postings.columns).unionByName(new.postings)
-    doc_stats = idx.doc_stats.join(ids, "doc_id", "left_anti").select(*new.doc_stats.columns) \
-        .unionByName(new.doc_stats)
-    return Index(postings, doc_stats, term_stats_of(postings), corpus_of(doc_stats))
+
+    def swap(old: DataFrame, fresh: DataFrame) -> DataFrame:
+        return old.join(ids, "doc_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+    postings = swap(idx.postings, new.postings)
+    doc_stats = swap(idx.doc_stats, new.doc_stats)
+    positions = swap(idx.positions, new.positions) if idx.positions is not None else None
+    return Index(postings, doc_stats, term_stats_of(postings), corpus_of(doc_stats),
+                 buckets=idx.buckets, positions=positions)
 
 
 def remove(idx: Index, ids: DataFrame) -> Index:
     """M8: remove documents (``ids`` has column ``id``) from the index."""
     ids = ids.select(F.col("id").alias("doc_id"))
-    postings = idx.postings.join(ids, "doc_id", "left_anti").select(*idx.postings.columns)
-    doc_stats = idx.doc_stats.join(ids, "doc_id", "left_anti").select(*idx.doc_stats.columns)
-    return Index(postings, doc_stats, term_stats_of(postings), corpus_of(doc_stats))
+
+    def drop(old: DataFrame) -> DataFrame:
+        return old.join(ids, "doc_id", "left_anti").select(*old.columns)
+
+    postings = drop(idx.postings)
+    doc_stats = drop(idx.doc_stats)
+    positions = drop(idx.positions) if idx.positions is not None else None
+    return Index(postings, doc_stats, term_stats_of(postings), corpus_of(doc_stats),
+                 buckets=idx.buckets, positions=positions)

@@ -102,7 +102,9 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     at most ``slop`` extra positions after the previous one, in order.
 
     Phrase frequency = number of matches ending at the last term; idf is the
-    sum of the terms' idfs.
+    sum of the terms' idfs. Matched token rows are clustered once by
+    (query, clause, field, document); both aggregations below reuse that
+    partitioning.
     """
     ph = (_with_fields(clauses.where(F.col("kind") == "phrase"))
           .select("query_id", "clause_no", "occur", "boost", "field",
@@ -111,27 +113,36 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     ph = _term_weights(idx, ph, small)
     clause_idf = ph.groupBy("query_id", "clause_no", "field").agg(F.sum("idf").alias("idf_sum"))
     ph = _with_bucket(idx, ph.join(clause_idf, ["query_id", "clause_no", "field"]))
-    post, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "positions"])
-    m = post.join(_small(ph, small), keys)
-    grouped = m.groupBy("query_id", "clause_no", "occur", "boost", "field", "doc_id", "dl",
-                        "avgdl", "idf_sum", "n", "slop").agg(
-        F.count(F.lit(1)).alias("hits"),
-        F.array_sort(F.collect_list(F.struct("offset", "positions"))).alias("lists"))
-    grouped = grouped.where(F.col("hits") == F.col("n"))
+    pos, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "pos"], table="positions")
+    m = pos.join(_small(ph, small), keys)
+    n_parts = int(clauses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = m.repartition(n_parts, "query_id", "clause_no", "field", "doc_id")
+    doc_keys = ["query_id", "clause_no", "occur", "boost", "field", "doc_id", "dl", "avgdl", "idf_sum"]
+
+    # slop 0: a start position where all n offsets are present
+    starts = (m.where(F.col("slop") == 0)
+              .groupBy(*doc_keys, "n", (F.col("pos") - F.col("offset")).alias("start"))
+              .agg(F.count(F.lit(1)).alias("hits"))
+              .where(F.col("hits") == F.col("n")))
+    exact = starts.groupBy(*doc_keys).agg(F.count(F.lit(1)).alias("pf"))
+
+    # slop > 0: walk the offsets in order over each term's sorted positions
+    per_off = (m.where(F.col("slop") > 0)
+               .groupBy(*doc_keys, "n", "slop", "offset")
+               .agg(F.array_sort(F.collect_list("pos")).alias("positions")))
+    grouped = (per_off.groupBy(*doc_keys, "n", "slop")
+               .agg(F.count(F.lit(1)).alias("hits"),
+                    F.array_sort(F.collect_list(F.struct("offset", "positions"))).alias("lists"))
+               .where(F.col("hits") == F.col("n")))
     lists = F.col("lists")
-    exact = F.aggregate(
-        F.slice(lists, 2, F.greatest(F.col("n") - 1, F.lit(1))),
-        lists[0]["positions"],
-        lambda acc, x: F.array_intersect(acc, F.transform(x["positions"], lambda p: p - x["offset"])),
-    )
-    sloppy = F.aggregate(
+    walk = F.aggregate(
         F.slice(lists, 2, F.greatest(F.col("n") - 1, F.lit(1))),
         lists[0]["positions"],
         lambda acc, x: F.filter(x["positions"], lambda p: F.exists(
             acc, lambda s: (p > s) & (p <= s + 1 + F.col("slop")))),
     )
-    pf = F.when(F.col("slop") == 0, F.size(exact)).otherwise(F.size(sloppy))
-    scored = grouped.withColumn("pf", pf).where(F.col("pf") > 0)
+    sloppy = grouped.select(*doc_keys, F.size(walk).alias("pf"))
+    scored = exact.unionByName(sloppy).where(F.col("pf") > 0)
     return scored.select("query_id", "clause_no", "occur", "doc_id",
                          bm25(F.col("boost") * F.col("idf_sum"), F.col("pf"), F.col("dl"),
                               F.col("avgdl")).alias("score"))

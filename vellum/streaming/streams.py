@@ -62,8 +62,8 @@ def start_index_stream(spark: SparkSession, source_dir: str, root: str, schema,
 
     def index_batch(batch: DataFrame, batch_id: int) -> None:
         idx = ix.build_index(batch)
-        seg = os.path.join(root, "postings", f"batch={batch_id}")
-        idx.postings.write.mode("overwrite").parquet(seg)
+        idx.postings.write.mode("overwrite").parquet(os.path.join(root, "postings", f"batch={batch_id}"))
+        idx.positions.write.mode("overwrite").parquet(os.path.join(root, "positions", f"batch={batch_id}"))
         idx.doc_stats.write.mode("overwrite").parquet(os.path.join(root, "doc_stats", f"batch={batch_id}"))
         (batch.select(F.col("id").alias("doc_id")).distinct()
          .withColumn("batch", F.lit(batch_id).cast("long"))
@@ -81,9 +81,9 @@ def read_stream_index(spark: SparkSession, root: str) -> ix.Index:
     latest = versions.groupBy("doc_id").agg(F.max("batch").alias("batch"))
     post = spark.read.parquet(os.path.join(root, "postings")).join(latest, ["doc_id", "batch"], "left_semi")
     stats = spark.read.parquet(os.path.join(root, "doc_stats")).join(latest, ["doc_id", "batch"], "left_semi")
-    post = post.drop("batch")
-    stats = stats.drop("batch")
-    return ix.Index(post, stats, ix.term_stats_of(post), ix.corpus_of(stats))
+    pos = spark.read.parquet(os.path.join(root, "positions")).join(latest, ["doc_id", "batch"], "left_semi")
+    post, stats, pos = post.drop("batch"), stats.drop("batch"), pos.drop("batch")
+    return ix.Index(post, stats, ix.term_stats_of(post), ix.corpus_of(stats), positions=pos)
 
 
 def write_in_order(df: DataFrame, target: str, order_col: str, chunks: int) -> None:
