@@ -47,7 +47,9 @@ def create_entities(entities: DataFrame, requests: DataFrame):
     vs_existing = similar_pairs(r.select("name").distinct(), existing)
     hit_existing = vs_existing.groupBy(F.col("a").alias("name")).agg(
         F.array_join(F.array_sort(F.collect_list("b")), ",").alias("detail"))
-    r = r.join(hit_existing, "name", "left")
+    # Requests with their verdict against existing names, materialised once in
+    # the shared checkpoint folder: every step below reads this copy.
+    r = r.join(hit_existing, "name", "left").checkpoint()
     rej_existing = r.where(F.col("detail").isNotNull())
     r = r.where(F.col("detail").isNull()).drop("detail")
 
@@ -64,7 +66,8 @@ def create_entities(entities: DataFrame, requests: DataFrame):
              .select(F.col("a").alias("u"), F.col("b").alias("v"))).checkpoint()
 
     status = first.select("name", F.lit("undecided").alias("status")).checkpoint()
-    for _ in range(MAX_ROUNDS):
+    rounds = 0
+    for rounds in range(1, MAX_ROUNDS + 1):
         st = status.select(F.col("name").alias("u"), F.col("status").alias("su"))
         per_v = edges.join(st, "u").groupBy(F.col("v").alias("name")).agg(
             F.max((F.col("su") == "accepted").cast("int")).alias("acc"),

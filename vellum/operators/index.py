@@ -16,6 +16,7 @@ what the exact-match clauses and the entity filter look up.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import field_length, explode_terms, tags_text
 from vellum.schema import RAW_FIELDS, TEXT_FIELDS
+from vellum.session import scratch_path
 
 DEFAULT_BUCKETS = 64
 
@@ -106,23 +108,33 @@ def corpus_of(doc_stats: DataFrame) -> DataFrame:
 def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> None:
     """Build and write the index (U2: replace all).
 
-    ``postings`` is partitioned by field and term bucket so a search reads
-    only the buckets of its query terms; the statistics tables are small
-    relative to postings and are written plainly.
+    Text is tokenized once; the token rows are written as a Parquet table in
+    the shared checkpoint folder and every table below reads them. ``positions`` and
+    ``postings`` are range-partitioned on (field, term bucket, term, doc) and
+    written partitioned by (field, tb): tasks are balanced even when one term
+    holds a large share of all rows (the doc id splits it), each task writes
+    few folders, and files are sorted by term for row-group pruning. A search
+    reads only the buckets of its query terms (runtime partition pruning).
     """
-    idx = build_index(docs, buckets)
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(n))
-    # Cluster by (field, bucket) for the partitioned write; the document salt
-    # splits a hot bucket over many tasks and files.
-    (idx.postings.repartition(n, "field", "tb", salt)
-     .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
-    (idx.positions.repartition(n, "field", "tb", salt)
-     .sortWithinPartitions("field", "tb", "term", "doc_id", "pos")
+    tok_path = scratch_path(spark, f"index-tokens-{uuid.uuid4().hex}")
+    text_tokens(docs, buckets).write.mode("overwrite").parquet(tok_path)
+    tokens = spark.read.parquet(tok_path)
+    order = ["field", "tb", "term", "doc_id"]
+    (tokens.repartitionByRange(n, *order).sortWithinPartitions(*order, "pos")
      .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/positions"))
+    postings = text_postings(tokens).unionByName(raw_postings(docs, buckets))
+    (postings.repartitionByRange(n, *order).sortWithinPartitions(*order)
+     .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
+    # Field lengths: every (document, field), 0 when the field has no token.
+    lengths = tokens.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
+    all_fields = docs.select(F.col("id").alias("doc_id"),
+                             F.explode(F.array(*[F.lit(f) for f in TEXT_FIELDS])).alias("field"))
+    (all_fields.join(lengths, ["field", "doc_id"], "left")
+     .select("field", "doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+     .write.mode("overwrite").parquet(f"{path}/doc_stats"))
     spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_layout")
-    idx.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     term_stats_of(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(
         f"{path}/term_stats")
     corpus_of(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(
