@@ -124,8 +124,11 @@ def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> N
     order = ["field", "tb", "term", "doc_id"]
     (tokens.repartitionByRange(n, *order).sortWithinPartitions(*order, "pos")
      .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/positions"))
-    postings = text_postings(tokens).unionByName(raw_postings(docs, buckets))
-    (postings.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Range partitioning on (field, tb, term, doc) already clusters the
+    # aggregation keys, so counting needs no second shuffle.
+    text = text_postings(tokens.repartitionByRange(n, *order))
+    raw = raw_postings(docs, buckets).repartitionByRange(n, *order)
+    (text.unionByName(raw).sortWithinPartitions(*order)
      .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
     # Field lengths: every (document, field), 0 when the field has no token.
     lengths = tokens.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))

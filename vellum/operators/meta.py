@@ -27,6 +27,16 @@ def parse_rfc3339(c: Column) -> Column:
                       F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
 
 
+def tags_to_json(c: Column) -> Column:
+    """tags as JSON array text (the metadata store's encoding)."""
+    return F.to_json(c)
+
+
+def json_to_tags(c: Column) -> Column:
+    """F6 inverse: JSON array text to tags; malformed text gives NULL."""
+    return F.from_json(c, "array<string>")
+
+
 def valid_scope(c: Column) -> Column:
     return F.coalesce(c.isin(*SCOPES), F.lit(False))
 

@@ -699,3 +699,32 @@ def stream_index(spark, sf_dir):
     q.awaitTermination()
     t = st.read_stream_index(spark, os.path.join(root, "index")).term_stats
     return t.where(F.col("field").isin("title", "content", "tags"))
+
+
+
+# ------------------------------------------------------------------ JSON and second corpus
+
+@register("entry_json")
+def entry_json(spark, sf_dir):
+    """Each document as the JSON entry a lookup returns."""
+    d = tb.documents(spark, sf_dir)
+    return d.select("id", F.to_json(F.struct(
+        "id", "entity", "topic", "name", "title", "content", "tags",
+        me.rfc3339(F.col("created_at")).alias("created_at"),
+        me.rfc3339(F.col("updated_at")).alias("updated_at")), {"ignoreNullFields": "false"}).alias("json"),
+        me.tags_to_json(F.col("tags")).alias("tags_json"))
+
+
+@register("tags_json_round_trip")
+def tags_json_round_trip(spark, sf_dir):
+    """tags -> JSON text -> tags is the identity."""
+    d = tb.documents(spark, sf_dir).select("id", "tags")
+    back = me.json_to_tags(me.tags_to_json(F.col("tags")))
+    return d.select("id", F.array_join(back, ",").alias("tags"),
+                    (F.array_join(back, "\u0001") == F.array_join("tags", "\u0001")).alias("same"))
+
+
+@register("search_conversations")
+def search_conversations(spark, sf_dir):
+    """X16 over a second corpus: the benchmark queries against conversation turns."""
+    return se.search(ix.build_index(tb.conversation_documents(spark, sf_dir)), tb.or_queries(spark, sf_dir))

@@ -898,3 +898,31 @@ upserted AS (
   UNION ALL SELECT id, title, content, tags FROM changed
 ),""" + FIELD_TEXTS.replace("FROM docs", "FROM upserted") + """
 SELECT field, term, count(*) AS df FROM postings GROUP BY field, term""")
+
+
+# ------------------------------------------------------------------ JSON and second corpus
+
+ORACLE["entry_json"] = with_ctes(DOCS) + f"""
+SELECT id, CAST(json_object('id', id, 'entity', entity, 'topic', topic, 'name', name, 'title', title,
+       'content', content, 'tags', tags, 'created_at', strftime(created_at, {RFC}),
+       'updated_at', strftime(created_at, {RFC})) AS VARCHAR) AS json,
+       CAST(to_json(tags) AS VARCHAR) AS tags_json
+FROM docs"""
+
+ORACLE["tags_json_round_trip"] = with_ctes(DOCS) + """
+SELECT id, array_to_string(tags, ',') AS tags, true AS same FROM docs"""
+
+CONV_DOCS = r"""
+docs AS (
+  SELECT 'C' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
+         role AS entity, CAST(NULL AS VARCHAR) AS topic,
+         'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS name,
+         substr(split_part(text, chr(10), 1), 1, 80) AS title,
+         coalesce(text, '') AS content, CAST([] AS VARCHAR[]) AS tags
+  FROM conversations
+)"""
+
+ORACLE["search_conversations"] = (
+    with_ctes(CONV_DOCS, FIELD_TEXTS, QTERMS, TERM_SCORES,
+              "agg AS (SELECT query_id, doc_id, sum(score) AS score FROM scored GROUP BY 1, 2)")
+    + topk_sql("agg"))

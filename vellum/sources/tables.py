@@ -213,3 +213,18 @@ def benchmark_clauses(spark: SparkSession, sf_dir: str, form: str, k: int = 10)
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.where(F.forall("terms", lambda x: x.isNotNull()))
+
+
+def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``conversations`` table as a second corpus: one document per turn,
+    entity = role, id ``'C' || conv_id || '-' || turn``."""
+    c = read(spark, sf_dir, "conversations")
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    ts = F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("conv_id") * 60 + F.col("turn"))
+    return c.select(
+        F.concat(F.lit("C"), key).alias("id"), F.concat(F.lit("ent-"), F.col("role")).alias("entity_id"),
+        F.col("role").alias("entity"), F.lit(None).cast("string").alias("topic"),
+        F.concat(F.lit("conv-"), key).alias("name"),
+        F.substring(F.substring_index(F.col("text"), "\n", 1), 1, 80).alias("title"),
+        F.coalesce(F.col("text"), F.lit("")).alias("content"),
+        F.array().cast("array<string>").alias("tags"), ts.alias("created_at"), ts.alias("updated_at"))
