@@ -126,11 +126,14 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame):
         "path_ok", valid_path(F.col("entity"), F.col("topic"), F.col("name")))
     later_del = (s.select("id", F.col("seq").alias("born")).join(deletes, "id")
                  .where(F.col("seq") > F.col("born")).groupBy("id").agg(F.min("seq").alias("death")))
-    s = s.join(later_del, "id", "left").withColumn(
-        "death", F.coalesce("death", F.lit(NEVER)).cast("long"))
-    decided = _save_decisions(base, s)
-    s = s.join(decided, "seq")
-    accepted = s.where(F.col("status") == "accepted")
+    # The decision inputs are a few narrow columns per save: materialise them
+    # once in the shared checkpoint folder so the steps below share one copy.
+    narrow = (s.select("seq", "id", "name", "path_ok").join(later_del, "id", "left")
+              .withColumn("death", F.coalesce("death", F.lit(NEVER)).cast("long"))).checkpoint()
+    status = narrow.join(_save_decisions(base, narrow), "seq")
+    accepted = s.join(status.where(F.col("status") == "accepted").select("seq", "death"), "seq")
+    save_rejects = status.where(F.col("status") != "accepted").select(
+        "seq", F.col("status").alias("reason"), F.col("name").alias("detail"))
     new_docs = accepted.select(
         "id", "entity_id", "entity", "topic", "name",
         F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"),
@@ -164,8 +167,7 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame):
 
     rejects = (
         _reject(no_entity, "not_found", F.col("entity"))
-        .unionByName(s.where(F.col("status") != "accepted").select(
-            "seq", F.col("status").alias("reason"), F.col("name").alias("detail")))
+        .unionByName(save_rejects)
         .unionByName(_reject(d.where(~F.coalesce(d_ok, F.lit(False))), "not_found", F.col("id")))
         .unionByName(_reject(u.where(~F.coalesce(u_ok, F.lit(False))), "not_found", F.col("id")))
     )

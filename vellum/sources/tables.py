@@ -33,7 +33,13 @@ def doc_key(doc_id: F.Column) -> F.Column:
 
 
 def label_tags(labels: DataFrame) -> DataFrame:
-    """(doc_id, tags) for labelled documents."""
+    """(doc_id, tags) for labelled documents.
+
+    One label row per document (duplicates would resolve to the max). The
+    aggregate makes the key visibly unique, so Catalyst drops the left join
+    from every plan that never reads ``tags``.
+    """
+    labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     return labels.select(
         "doc_id",
         F.concat(
