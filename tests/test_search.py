@@ -71,6 +71,8 @@ def test_boolean_phrase_and_forms(spark):
     assert [h[0] for h in excl] == ["3"]
     only_not = run(spark, docs, [dict(query_id=1, clause_no=0, kind="term", terms=["brown"], occur="must_not")])
     assert only_not == []
+    pp = run(spark, docs, [dict(query_id=1, clause_no=0, kind="prefix", terms=["quick", "br"])])
+    assert [h[0] for h in pp] == ["1"]  # "quick brown", not "brown quick"
     pre = run(spark, docs, [dict(query_id=1, clause_no=0, kind="prefix", terms=["ju"])])
     assert [h[0] for h in pre] == ["3"]
     rng = run(spark, docs, [dict(query_id=1, clause_no=0, kind="range", field="content", terms=["jumps", "jumps"])])

@@ -4,6 +4,7 @@ A query is a set of rows in a clause table (``vellum.schema.QUERIES`` plus a
 ``kind`` column):
 
 ``kind``   term | phrase | exact | set | range | prefix | all
+           (prefix with several terms is a phrase whose last word is a prefix)
 ``occur``  should | must | must_not
 ``field``  NULL means the default fields title, content and tags
 
@@ -154,7 +155,8 @@ def _constant_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     The vocabulary (``term_stats``) is matched first, so postings are only
     joined on equality with the expanded term list.
     """
-    cl = _with_fields(clauses.where(F.col("kind").isin("set", "range", "prefix")))
+    cl = _with_fields(clauses.where(F.col("kind").isin("set", "range")
+                                    | ((F.col("kind") == "prefix") & (F.size("terms") == 1))))
     cl = cl.select("query_id", "clause_no", "occur", "boost", "field", "kind", "terms")
     sets = cl.where(F.col("kind") == "set").select(
         "query_id", "clause_no", "occur", "boost", "field", F.explode("terms").alias("term"))
@@ -175,6 +177,30 @@ def _constant_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
             .select(*MATCH_COLS))
 
 
+def _phrase_prefix_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
+    """``"a b"*``: the words in order with the last one a prefix; constant
+    score ``boost`` per matching field. The prefix is expanded against the
+    vocabulary, then matched like a phrase on positions (a position holds one
+    token, so at most one expansion fits a start)."""
+    cl = (_with_fields(clauses.where((F.col("kind") == "prefix") & (F.size("terms") > 1)))
+          .select("query_id", "clause_no", "occur", "boost", "field", F.size("terms").alias("n"), "terms"))
+    fixed = cl.select("query_id", "clause_no", "occur", "boost", "field", "n",
+                      F.posexplode(F.slice("terms", 1, F.size("terms") - 1)).alias("offset", "term"))
+    last = _small(cl.select("query_id", "clause_no", "occur", "boost", "field", "n",
+                            (F.col("n") - 1).alias("offset"), F.element_at("terms", -1).alias("prefix")), small)
+    vocab = idx.term_stats.select("field", "term")
+    expanded = vocab.join(last, (vocab["field"] == last["field"]) & vocab["term"].startswith(last["prefix"])) \
+        .select("query_id", "clause_no", "occur", "boost", vocab["field"], "n", "offset", "term")
+    words = _with_bucket(idx, fixed.unionByName(expanded))
+    pos, keys = postings_for(idx, ["field", "term", "doc_id", "pos"], table="positions")
+    m = pos.join(bounded_broadcast(words), keys)
+    starts = (m.groupBy("query_id", "clause_no", "occur", "boost", "field", "doc_id", "n",
+                        (F.col("pos") - F.col("offset")).alias("start"))
+              .agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") == F.col("n")))
+    return (starts.groupBy("query_id", "clause_no", "occur", "field", "doc_id")
+            .agg(F.first("boost").alias("score")).select(*MATCH_COLS))
+
+
 def _all_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     al = _small(clauses.where(F.col("kind") == "all").select(
         "query_id", "clause_no", "occur", "boost", F.lit(TEXT_FIELDS[0]).alias("field")), small)
@@ -214,10 +240,12 @@ def clause_profile(clauses: DataFrame) -> dict:
     term list. Every small side the search derives has at most
     rows x terms x fields rows, which is what the broadcast bound is checked
     against; kinds with no rows get no subplan at all."""
-    rows = clauses.groupBy("kind").agg(F.count(F.lit(1)).alias("n"),
-                                       F.max(F.size("terms")).alias("t"),
-                                       F.max("k").alias("k")).collect()
-    return {r["kind"]: (r["n"], max(r["t"] or 1, 1), r["k"]) for r in rows}
+    kind = F.when((F.col("kind") == "prefix") & (F.size("terms") > 1), "phrase_prefix") \
+        .otherwise(F.col("kind"))
+    rows = clauses.groupBy(kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("terms")).alias("t"), F.max("k").alias("k"),
+        F.count("entity").alias("e")).collect()
+    return {r["kind"]: (r["n"], max(r["t"] or 1, 1), r["k"], r["e"]) for r in rows}
 
 
 def match(idx: Index, clauses: DataFrame) -> DataFrame:
@@ -228,17 +256,23 @@ def match(idx: Index, clauses: DataFrame) -> DataFrame:
 def _match(idx: Index, clauses: DataFrame):
     clauses = normalize(clauses)
     prof = clause_profile(clauses)
-    bound = (sum(n * t for n, t, _ in prof.values()) * len(TEXT_FIELDS)
-             + sum(n for n, _, _ in prof.values()))
+    bound = (sum(n * t for n, t, _, _ in prof.values()) * len(TEXT_FIELDS)
+             + sum(n for n, _, _, _ in prof.values()))
     small = bound <= BROADCAST_ROW_LIMIT
     all_clauses = clauses.unionByName(_entity_clauses(clauses))
-    parts = [_term_matches(idx, all_clauses, small)]  # always: the entity filter is an exact clause
+    parts = []
+    if prof.keys() & {"term", "exact"} or any(e for _, _, _, e in prof.values()):
+        parts.append(_term_matches(idx, all_clauses, small))  # the entity filter is an exact clause
     if "phrase" in prof:
         parts.append(_phrase_matches(idx, all_clauses, small))
     if prof.keys() & {"set", "range", "prefix"}:
         parts.append(_constant_matches(idx, all_clauses, small))
+    if "phrase_prefix" in prof:
+        parts.append(_phrase_prefix_matches(idx, all_clauses, small))
     if "all" in prof:
         parts.append(_all_matches(idx, all_clauses, small))
+    if not parts:  # empty clause table: no query, no hits
+        parts.append(_term_matches(idx, all_clauses, small))
     matches = reduce(DataFrame.unionByName, parts)
     per_doc = matches.groupBy("query_id", "doc_id").agg(
         F.sum(F.when(F.col("occur") != "must_not", F.col("score"))).alias("score"),
@@ -255,7 +289,7 @@ def _match(idx: Index, clauses: DataFrame):
         F.coalesce(F.max("k"), F.lit(DEFAULT_K)).alias("k")), small)
     ok = ((F.col("must_hit") == F.col("n_must")) & (F.col("filter_hit") >= F.col("has_filter"))
           & (F.col("not_hit") == 0) & ((F.col("n_must") > 0) | (F.col("should_hit") == 1)))
-    max_k = max([k for _, _, k in prof.values() if k is not None] or [DEFAULT_K])
+    max_k = max([k for _, _, k, _ in prof.values() if k is not None] or [DEFAULT_K])
     return per_doc.join(info, "query_id").where(ok).select("query_id", "doc_id", "score", "k"), max_k
 
 

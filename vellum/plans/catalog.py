@@ -290,6 +290,7 @@ for _key, _form, _k in [
     ("search_term_set", "set", 10),     # X15
     ("search_term_range", "range", 10),
     ("search_prefix", "prefix", 10),
+    ("search_phrase_prefix", "phrase_prefix", 10),
     ("search_all", "all", 10),          # X14
 ]:
     register(_key)(_search_form(_form, _k))
@@ -728,3 +729,14 @@ def tags_json_round_trip(spark, sf_dir):
 def search_conversations(spark, sf_dir):
     """X16 over a second corpus: the benchmark queries against conversation turns."""
     return se.search(ix.build_index(tb.conversation_documents(spark, sf_dir)), tb.or_queries(spark, sf_dir))
+
+
+
+@register("entities_json")
+def entities_json(spark, sf_dir):
+    """The entity list as JSON objects, in name order."""
+    e = me.list_entities(tb.entities(spark, sf_dir))
+    return e.select("name", F.to_json(F.struct(
+        "id", "name", "scope", "description", "tags",
+        me.rfc3339(F.col("created_at")).alias("created_at"),
+        me.rfc3339(F.col("updated_at")).alias("updated_at")), {"ignoreNullFields": "false"}).alias("json"))

@@ -398,6 +398,7 @@ FORMS = {
     "set": [clause_sql(0, "set", ["t1", "t2", "t3"])],
     "range": [clause_sql(0, "range", ["least(t1, t2)", "greatest(t1, t2)"])],
     "prefix": [clause_sql(0, "prefix", ["substr(t1, 1, 3)"])],
+    "phrase_prefix": [clause_sql(0, "prefix", ["t1", "substr(t2, 1, 2)"])],
     "all": [clause_sql(0, "all", []), clause_sql(1, "term", ["t1"])],
 }
 
@@ -473,9 +474,25 @@ cm AS (
   FROM cf c JOIN allpost p ON p.field = c.f AND (
        (c.kind = 'set' AND list_contains(c.terms, p.term))
     OR (c.kind = 'range' AND p.term >= c.terms[1] AND p.term <= c.terms[2])
-    OR (c.kind = 'prefix' AND starts_with(p.term, c.terms[1])))
+    OR (c.kind = 'prefix' AND len(c.terms) = 1 AND starts_with(p.term, c.terms[1])))
   WHERE c.kind IN ('set', 'range', 'prefix')
 ),
+ppre AS (
+  SELECT query_id, clause_no, occur, boost, f, len(terms) AS n,
+         unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS off
+  FROM cf WHERE kind = 'prefix' AND len(terms) > 1
+),
+pprepos AS (
+  SELECT t.query_id, t.clause_no, t.occur, t.boost, t.f, t.n, t.off, p.doc_id, unnest(p.positions) AS pos
+  FROM ppre t JOIN allpost p ON p.field = t.f
+   AND ((t.off < t.n - 1 AND p.term = t.term) OR (t.off = t.n - 1 AND starts_with(p.term, t.term)))
+),
+ppm AS (
+  SELECT DISTINCT query_id, clause_no, occur, f, doc_id, boost AS score FROM (
+    SELECT query_id, clause_no, occur, boost, f, doc_id, pos - off AS start
+    FROM pprepos GROUP BY query_id, clause_no, occur, boost, f, doc_id, pos - off
+    HAVING count(*) = max(n))
+),
 am AS (
   SELECT c.query_id, c.clause_no, c.occur, d.id AS doc_id, c.boost AS score
   FROM clauses c, docs d WHERE c.kind = 'all'
@@ -485,6 +502,7 @@ m AS (
   UNION ALL SELECT query_id, clause_no, occur, doc_id, score FROM pm
   UNION ALL SELECT query_id, clause_no, occur, doc_id, score FROM cm
   UNION ALL SELECT query_id, clause_no, occur, doc_id, score FROM am
+  UNION ALL SELECT query_id, clause_no, occur, doc_id, score FROM ppm
 ),
 per_doc AS (
   SELECT query_id, doc_id,
@@ -526,7 +544,8 @@ for _key, _form in [("search_term", "term"), ("search_all_terms", "and"), ("sear
                     ("search_phrase", "phrase"), ("search_phrase_slop", "phrase_slop"),
                     ("search_field", "field"), ("search_exact", "exact"), ("search_boost", "boost"),
                     ("search_entity_filter", "entity"), ("search_term_set", "set"),
-                    ("search_term_range", "range"), ("search_prefix", "prefix"), ("search_all", "all")]:
+                    ("search_term_range", "range"), ("search_prefix", "prefix"),
+                    ("search_phrase_prefix", "phrase_prefix"), ("search_all", "all")]:
     ORACLE[_key] = search_sql(" UNION ALL ".join(FORMS[_form])) + topk_matched_sql()
 
 ORACLE["search_topk"] = (
@@ -926,3 +945,8 @@ ORACLE["search_conversations"] = (
     with_ctes(CONV_DOCS, FIELD_TEXTS, QTERMS, TERM_SCORES,
               "agg AS (SELECT query_id, doc_id, sum(score) AS score FROM scored GROUP BY 1, 2)")
     + topk_sql("agg"))
+
+ORACLE["entities_json"] = with_ctes(ENTITIES) + f"""
+SELECT name, CAST(json_object('id', id, 'name', name, 'scope', scope, 'description', description,
+       'tags', tags, 'created_at', strftime(created_at, {RFC}), 'updated_at', strftime(created_at, {RFC})) AS VARCHAR) AS json
+FROM ents"""

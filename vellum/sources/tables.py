@@ -211,6 +211,8 @@ def benchmark_clauses(spark: SparkSession, sf_dir: str, form: str, k: int = 10)
         parts = [c(0, "range", [F.least(t1, t2), F.greatest(t1, t2)])]
     elif form == "prefix":
         parts = [c(0, "prefix", [F.substring(t1, 1, 3)])]
+    elif form == "phrase_prefix":
+        parts = [c(0, "prefix", [t1, F.substring(t2, 1, 2)])]
     elif form == "all":
         parts = [c(0, "all", []), c(1, "term", [t1])]
     else:
