@@ -103,7 +103,7 @@ def _save_decisions(base: DataFrame, saves: DataFrame) -> DataFrame:
     return simple.unionByName(folded)
 
 
-def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame):
+def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delta: bool = False):
     """Returns (new_documents, rejects)."""
     ensure_checkpoint_dir(changes.sparkSession)
     ch = changes
@@ -157,13 +157,15 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame):
         F.max("ts").alias("p_ts"))
 
     alive = lives.where(F.col("death") >= NEVER)
-    out = alive.join(patch, "id", "left").select(
+    patched = alive.join(patch, "id", "left").select(
         "id", "entity_id", "entity", "topic", "name",
         F.coalesce("p_title", "title").alias("title"),
         F.coalesce("p_content", "content").alias("content"),
         F.coalesce("p_tags", "tags").alias("tags"),
         "created_at",
-        F.coalesce("p_ts", "updated_at").alias("updated_at"))
+        F.coalesce("p_ts", "updated_at").alias("updated_at"),
+        (F.col("birth") >= 0).alias("is_new"), F.col("p_ts").isNotNull().alias("is_patched"))
+    out = patched.drop("is_new", "is_patched")
 
     rejects = (
         _reject(no_entity, "not_found", F.col("entity"))
@@ -171,9 +173,20 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame):
         .unionByName(_reject(d.where(~F.coalesce(d_ok, F.lit(False))), "not_found", F.col("id")))
         .unionByName(_reject(u.where(~F.coalesce(u_ok, F.lit(False))), "not_found", F.col("id")))
     )
+    if delta:
+        upserts = patched.where(F.col("is_new") | F.col("is_patched")).drop("is_new", "is_patched")
+        deleted = base.where(F.col("death") < NEVER).select("id")
+        return upserts, deleted, rejects
     return out, rejects
 
 
+def apply_changes_delta(docs: DataFrame, entities: DataFrame, changes: DataFrame):
+    """M10 as a delta: (upserted rows, deleted ids, rejects). The new table is
+    ``docs`` without the deleted and upserted ids, plus the upserts; only the
+    changed documents' content is read."""
+    return apply_changes(docs, entities, changes, delta=True)
+
+
 def save_batch(docs, entities, changes):
     """M4 + W2: only the saves of a log (first writer of a name wins)."""
     return apply_changes(docs, entities, changes.where(F.col("op") == "save"))
