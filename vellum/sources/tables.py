@@ -79,11 +79,6 @@ def documents(spark: SparkSession, sf_dir: str, with_tags: bool = True) -> DataF
                        "created_at", "updated_at")
 
 
-def document_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, tags) of labelled documents only, without touching the text."""
-    return label_tags(read(spark, sf_dir, "labels")).select(doc_key(F.col("doc_id")).alias("id"), "tags")
-
-
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = (read(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
                .select("name", F.concat(F.lit("About "), F.col("name")).alias("description"),
