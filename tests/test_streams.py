@@ -18,9 +18,10 @@ def test_change_stream_equals_batch(spark):
     root = tempfile.mkdtemp(prefix="stream-test-")
     src = os.path.join(root, "src")
     st.write_in_order(log(spark, rows), src, "seq", 3)
-    q = st.start_change_stream(spark, src, root, docs, ents)
+    q = st.start_change_stream(spark, src, root, docs, ents, compact_every=2)
     q.awaitTermination()
     streamed = sorted((r.id, r.title, r.content) for r in st.latest_snapshot(spark, root).collect())
     batch, _ = chg.apply_changes(docs, ents, log(spark, rows))
     assert streamed == sorted((r.id, r.title, r.content) for r in batch.collect())
     assert [r[0] for r in streamed] == ["N3"]
+    assert os.path.isdir(os.path.join(root, "compacted", "upto=1"))  # compaction ran and is used

@@ -28,15 +28,35 @@ from vellum.operators import index as ix
 from vellum.schema import CHANGES
 
 
+def _batch_dirs(path: str, prefix: str) -> list[int]:
+    if not os.path.isdir(path):
+        return []
+    return sorted(int(d[len(prefix):]) for d in os.listdir(path)
+                  if d.startswith(prefix) and os.path.exists(os.path.join(path, d, "_SUCCESS")))
+
+
+def _segments(spark: SparkSession, path: str, lo: int | None, hi: int | None) -> DataFrame | None:
+    """Rows of ``path/batch=*`` with lo < batch < hi (bounds optional)."""
+    batches = [b for b in _batch_dirs(path, "batch=")
+               if (lo is None or b > lo) and (hi is None or b < hi)]
+    if not batches:
+        return None
+    return spark.read.option("basePath", path).parquet(*[os.path.join(path, f"batch={b}") for b in batches])
+
+
 def change_view(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The documents table as of the segments before ``before`` (all when None)."""
-    ups = spark.read.parquet(os.path.join(root, "upserts"))
-    dels_path = os.path.join(root, "deletes")
-    dels = spark.read.parquet(dels_path) if os.path.isdir(dels_path) and any(
-        d.startswith("batch=") for d in os.listdir(dels_path)) else None
-    if before is not None:
-        ups = ups.where(F.col("batch") < before)
-        dels = dels.where(F.col("batch") < before) if dels is not None else None
+    """The documents table as of the segments before ``before`` (all when
+    None): the newest compacted base before that point, then the latest
+    upsert per id from later segments, minus ids deleted in them."""
+    comp = [c for c in _batch_dirs(os.path.join(root, "compacted"), "upto=")
+            if before is None or c < before]
+    lo = comp[-1] if comp else None
+    ups = _segments(spark, os.path.join(root, "upserts"), lo, before)
+    if lo is not None:
+        base = spark.read.parquet(os.path.join(root, "compacted", f"upto={lo}")).withColumn(
+            "batch", F.lit(lo))
+        ups = base if ups is None else base.unionByName(ups)
+    dels = _segments(spark, os.path.join(root, "deletes"), lo, before)
     latest = ups.groupBy("id").agg(F.max("batch").alias("batch"))
     view = ups.join(latest, ["id", "batch"], "left_semi")
     if dels is not None:
@@ -44,13 +64,22 @@ def change_view(spark: SparkSession, root: str, before: int | None = None) -> Da
     return view.drop("batch")
 
 
+def compact_changes(spark: SparkSession, root: str, upto: int) -> None:
+    """Write the view through batch ``upto`` as a compacted base; readers
+    after it skip every older segment. Deterministic, so a rerun rewrites
+    the same files."""
+    change_view(spark, root, before=upto + 1).write.mode("overwrite").parquet(
+        os.path.join(root, "compacted", f"upto={upto}"))
+
+
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return change_view(spark, root)
 
 
 def start_change_stream(spark: SparkSession, source_dir: str, root: str, base_docs: DataFrame,
-                        entities: DataFrame, files_per_batch: int = 1):
-    """Start the stream; returns the StreamingQuery (``availableNow``)."""
+                        entities: DataFrame, files_per_batch: int = 1, compact_every: int = 8):
+    """Start the stream; returns the StreamingQuery (``availableNow``).
+    Every ``compact_every`` micro-batches the view is compacted."""
     base_docs.write.mode("overwrite").parquet(os.path.join(root, "upserts", "batch=-1"))
     ents_path = os.path.join(root, "entities")
     entities.write.mode("overwrite").parquet(ents_path)
@@ -62,6 +91,8 @@ def start_change_stream(spark: SparkSession, source_dir: str, root: str, base_do
         ups.write.mode("overwrite").parquet(os.path.join(root, "upserts", f"batch={batch_id}"))
         dels.write.mode("overwrite").parquet(os.path.join(root, "deletes", f"batch={batch_id}"))
         rejects.write.mode("overwrite").parquet(os.path.join(root, "rejects", f"batch={batch_id}"))
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact_changes(spark, root, batch_id)
 
     stream = (spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files_per_batch)
               .parquet(source_dir))
