@@ -37,9 +37,11 @@ def test_document_stream_index_equals_build(spark):
     changed = docs.where(F.col("id") == "D00000003").withColumn("content", F.lit("replaced text zzzq")) \
         .withColumn("version", F.lit(None).cast("long"))
     changed.coalesce(1).write.mode("append").parquet(src)
-    q = st.start_index_stream(spark, src, os.path.join(root, "index"), spark.read.parquet(src).schema)
+    q = st.start_index_stream(spark, src, os.path.join(root, "index"), spark.read.parquet(src).schema,
+                              compact_every=2)
     q.awaitTermination()
     live = st.read_stream_index(spark, os.path.join(root, "index"))
     upserted = docs.where(F.col("id") != "D00000003").unionByName(changed.drop("version"))
     want = ix.build_index(upserted).term_stats
     assert sorted(live.term_stats.collect()) == sorted(want.collect())
+    assert os.path.isdir(os.path.join(root, "index", "compacted", "upto=1"))

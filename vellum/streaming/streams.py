@@ -101,18 +101,27 @@ def start_change_stream(spark: SparkSession, source_dir: str, root: str, base_do
             .trigger(availableNow=True).start())
 
 
+INDEX_PARTS = ("postings", "positions", "doc_stats", "versions")
+
+
 def start_index_stream(spark: SparkSession, source_dir: str, root: str, schema,
-                       files_per_batch: int = 1):
-    """Start the stream of documents to index (upserts by id)."""
+                       files_per_batch: int = 1, compact_every: int = 8):
+    """Start the stream of documents to index (upserts by id). Within a
+    micro-batch the newest version of a document (by ``updated_at``) wins.
+    Every ``compact_every`` micro-batches the live index is compacted."""
 
     def index_batch(batch: DataFrame, batch_id: int) -> None:
-        idx = ix.build_index(batch)
+        cols = batch.columns
+        newest = batch.groupBy("id").agg(F.max_by(F.struct(*cols), F.col("updated_at")).alias("d"))
+        docs = newest.select("d.*")
+        idx = ix.build_index(docs)
         idx.postings.write.mode("overwrite").parquet(os.path.join(root, "postings", f"batch={batch_id}"))
         idx.positions.write.mode("overwrite").parquet(os.path.join(root, "positions", f"batch={batch_id}"))
         idx.doc_stats.write.mode("overwrite").parquet(os.path.join(root, "doc_stats", f"batch={batch_id}"))
-        (batch.select(F.col("id").alias("doc_id")).distinct()
-         .withColumn("batch", F.lit(batch_id).cast("long"))
+        (docs.select(F.col("id").alias("doc_id"))
          .write.mode("overwrite").parquet(os.path.join(root, "versions", f"batch={batch_id}")))
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact_index(spark, root, batch_id)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     return (stream.writeStream.foreachBatch(index_batch)
@@ -120,17 +129,38 @@ def start_index_stream(spark: SparkSession, source_dir: str, root: str, schema,
             .trigger(availableNow=True).start())
 
 
-def read_stream_index(spark: SparkSession, root: str) -> ix.Index:
-    """The live index: per document, the segment of its latest batch only."""
-    versions = spark.read.parquet(os.path.join(root, "versions"))
-    latest = versions.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    post = spark.read.parquet(os.path.join(root, "postings")).join(latest, ["doc_id", "batch"], "left_semi")
-    stats = spark.read.parquet(os.path.join(root, "doc_stats")).join(latest, ["doc_id", "batch"], "left_semi")
-    pos = spark.read.parquet(os.path.join(root, "positions")).join(latest, ["doc_id", "batch"], "left_semi")
-    post, stats, pos = post.drop("batch"), stats.drop("batch"), pos.drop("batch")
+def read_stream_index(spark: SparkSession, root: str, before: int | None = None) -> ix.Index:
+    """The live index: per document, the segment of its latest batch only,
+    starting from the newest compaction before ``before``."""
+    comp = [c for c in _batch_dirs(os.path.join(root, "compacted"), "upto=")
+            if before is None or c < before]
+    lo = comp[-1] if comp else None
+    tables = {}
+    for part in INDEX_PARTS:
+        seg = _segments(spark, os.path.join(root, part), lo, before)
+        if lo is not None:
+            base = spark.read.parquet(os.path.join(root, "compacted", f"upto={lo}", part)).withColumn(
+                "batch", F.lit(lo))
+            seg = base if seg is None else base.unionByName(seg)
+        tables[part] = seg
+    latest = tables["versions"].groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    post, pos, stats = (tables[p].join(latest, ["doc_id", "batch"], "left_semi").drop("batch")
+                        for p in ("postings", "positions", "doc_stats"))
     return ix.Index(post, stats, ix.term_stats_of(post), ix.corpus_of(stats), positions=pos)
 
 
+def compact_index(spark: SparkSession, root: str, upto: int) -> None:
+    """Write the live index through batch ``upto`` as one compacted base."""
+    idx = read_stream_index(spark, root, before=upto + 1)
+    out = os.path.join(root, "compacted", f"upto={upto}")
+    idx.postings.write.mode("overwrite").parquet(os.path.join(out, "postings"))
+    idx.positions.write.mode("overwrite").parquet(os.path.join(out, "positions"))
+    idx.doc_stats.write.mode("overwrite").parquet(os.path.join(out, "doc_stats"))
+    idx.doc_stats.select("doc_id").distinct().write.mode("overwrite").parquet(os.path.join(out, "versions"))
+    # the folder is complete only once every part is written
+    open(os.path.join(out, "_SUCCESS"), "w").close()
+
+
 def write_in_order(df: DataFrame, target: str, order_col: str, chunks: int) -> None:
     """Producer side of the stream contract: write ``df`` as ``chunks`` log
     segments in ``order_col`` order, one file per segment, one commit after
