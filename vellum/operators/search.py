@@ -79,7 +79,9 @@ def _term_weights(idx: Index, qterms: DataFrame, small: bool) -> DataFrame:
     count is proven to be under the broadcast bound)."""
     corpus = F.broadcast(_corpus_all_fields(idx))  # at most 7 rows: one per field
     wanted = _small(qterms.select("field", "term").distinct(), small)
-    stats = idx.term_stats.join(wanted, ["field", "term"])
+    # a semi join on the grouping keys is pushed below the df aggregate, so an
+    # index built in the same plan counts only the query terms' postings
+    stats = idx.term_stats.join(wanted, ["field", "term"], "left_semi")
     return (qterms.join(stats, ["field", "term"], "left")
             .join(corpus, "field")
             .withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
