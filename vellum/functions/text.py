@@ -40,14 +40,21 @@ def tags_text(tags: Column) -> Column:
     return F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")
 
 
-def explode_terms(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+def explode_terms(df: DataFrame, text_col: str, keep: list[str], tokens_col: str | None = None) -> DataFrame:
     """One row per indexed token: ``keep`` columns + ``pos`` + ``term``.
 
     Positions are assigned before the long-token filter, so a dropped token
     leaves a gap (phrase matching across it fails, as in the reference).
+    ``tokens_col`` names an existing ``raw_tokens`` array to reuse.
     """
+    toks = F.col(tokens_col) if tokens_col else raw_tokens(F.col(text_col))
     return (
-        df.select(*keep, F.posexplode(raw_tokens(F.col(text_col))).alias("pos", "tok"))
+        df.select(*keep, F.posexplode(toks).alias("pos", "tok"))
         .where(_kept(F.col("tok")))
         .select(*keep, F.col("pos").cast("int").alias("pos"), F.lower("tok").alias("term"))
     )
+
+
+def kept_count(tokens: Column) -> Column:
+    """Number of indexed tokens in a ``raw_tokens`` array."""
+    return F.size(F.filter(tokens, _kept))

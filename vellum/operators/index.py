@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.text import field_length, explode_terms, tags_text
+from vellum.functions.text import explode_terms, field_length, kept_count, raw_tokens, tags_text
 from vellum.schema import RAW_FIELDS, TEXT_FIELDS
 from vellum.session import scratch_path
 
@@ -43,21 +43,26 @@ def term_bucket(term: F.Column, buckets: int) -> F.Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def field_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, field, text, dl): one row per document and text field."""
+def field_texts(docs: DataFrame, with_tokens: bool = False) -> DataFrame:
+    """(doc_id, field, text, dl): one row per document and text field
+    (``with_tokens``: also the raw token array, split once and reused)."""
     fields = F.array(
         F.struct(F.lit("title").alias("field"), F.col("title").alias("text")),
         F.struct(F.lit("content").alias("field"), F.col("content").alias("text")),
         F.struct(F.lit("tags").alias("field"), tags_text(F.col("tags")).alias("text")),
     )
-    return (docs.select(F.col("id").alias("doc_id"), F.explode(fields).alias("f"))
-            .select("doc_id", "f.field", "f.text")
-            .withColumn("dl", field_length(F.col("text"))))
+    rows = docs.select(F.col("id").alias("doc_id"), F.explode(fields).alias("f")).select(
+        "doc_id", "f.field", "f.text")
+    if with_tokens:
+        rows = rows.withColumn("toks", raw_tokens(F.col("text")))
+        return rows.withColumn("dl", kept_count(F.col("toks")))
+    return rows.withColumn("dl", field_length(F.col("text")))
 
 
 def text_tokens(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Token rows of the analysed fields: field, term, doc_id, dl, pos [, tb]."""
-    tokens = explode_terms(field_texts(docs), "text", ["doc_id", "field", "dl"])
+    tokens = explode_terms(field_texts(docs, with_tokens=True), "text", ["doc_id", "field", "dl"],
+                           tokens_col="toks")
     tokens = tokens.select("field", "term", "doc_id", "dl", "pos")
     if buckets:
         tokens = tokens.withColumn("tb", term_bucket(F.col("term"), buckets))
