@@ -31,15 +31,41 @@ SAME_FIRST_FRACTION = 0.625
 DIFF_FIRST_FRACTION = 0.775
 SAME_FIRST_MIN_RATIO = 0.25
 DIFF_FIRST_MIN_RATIO = 0.55
+SAME_FIRST_BAG = 1.25   # c/|a| + c/|b| must exceed this (common prefix possible)
+DIFF_FIRST_BAG = 1.55   # ... and this when the first characters differ
 
 
-def _tokens(names: DataFrame) -> DataFrame:
-    """(name, len, first, tok): tok = char || '#' || occurrence number."""
-    chars = F.split(F.col("name"), "")
-    toks = F.transform(chars, lambda c, i: F.concat(
+def _token_array(name):
+    """The (character, occurrence) tokens of a name: 'a#1', 'b#1', 'a#2', ..."""
+    chars = F.split(name, "")
+    return F.transform(chars, lambda c, i: F.concat(
         c, F.lit("#"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+
+
+def _tokens(names: DataFrame) -> DataFrame:
+    """(name, len, first, tok)."""
     return names.select("name", F.length("name").alias("len"), F.substring("name", 1, 1).alias("first"),
-                        F.explode(toks).alias("tok"))
+                        F.explode(_token_array(F.col("name"))).alias("tok"))
+
+
+def bag_bound_ok(a, b, ta, tb):
+    """The bound of the module docstring on the exact common-character
+    count c (overlap of the token arrays ``ta``, ``tb``), in the JVM."""
+    c = F.size(F.array_intersect(ta, tb))
+    s = c / F.length(a) + c / F.length(b)
+    same_first = F.substring(a, 1, 1) == F.substring(b, 1, 1)
+    return F.when(same_first, s > F.lit(SAME_FIRST_BAG)).otherwise(s > F.lit(DIFF_FIRST_BAG))
+
+
+def _bag_filtered(cand: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidates that pass the bag bound. Token arrays are built once per
+    distinct name and attached by joins (broadcast when the name list is
+    proven small)."""
+    def arrays(names, col, arr):
+        return bounded_broadcast(names.select(F.col("name").alias(col)).distinct()
+                                 .withColumn(arr, _token_array(F.col(col))))
+    c = cand.join(arrays(left, "a", "ta"), "a").join(arrays(right, "b", "tb"), "b")
+    return c.where(bag_bound_ok(F.col("a"), F.col("b"), F.col("ta"), F.col("tb"))).select("a", "b")
 
 
 def _probes(tokens: DataFrame, freq: DataFrame, fraction: float) -> DataFrame:
@@ -82,7 +108,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, score) with round(score, 12) > 0.85."""
-    scored = candidate_pairs(left, right).withColumn("score", jaro_winkler_udf("a", "b"))
+    cand = _bag_filtered(candidate_pairs(left, right), left, right)
+    scored = cand.withColumn("score", jaro_winkler_udf("a", "b"))
     return scored.where(F.round("score", ROUND_DIGITS) > F.lit(THRESHOLD))
 
 
