@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from vellum.functions.snippet import best_fragment
 from vellum.operators.index import Index
 from vellum.operators.search import normalize
+from vellum.session import bounded_broadcast, ensure_checkpoint_dir
 
 
 @F.pandas_udf(T.StringType())
@@ -39,19 +40,28 @@ def snippet_terms(idx: Index, clauses: DataFrame) -> DataFrame:
         F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
 
 
+def _small_side(ranked: DataFrame) -> DataFrame:
+    """The ranked rows (at most k per query) materialised once in the shared
+    checkpoint folder and broadcast after a bounded count, so the documents
+    table is streamed past them and never shuffled for the lookup."""
+    ensure_checkpoint_dir(ranked.sparkSession)
+    return bounded_broadcast(ranked.checkpoint())
+
+
 def hits(ranked: DataFrame, docs: DataFrame) -> DataFrame:
     """Ranked rows with the stored fields of their documents."""
     d = docs.select(F.col("id").alias("doc_id"), "entity", "topic", "name", "title", "tags")
-    return ranked.join(d, "doc_id")
+    return d.join(_small_side(ranked), "doc_id").select(*ranked.columns, "entity", "topic", "name",
+                                                         "title", "tags")
 
 
 def with_snippets(ranked: DataFrame, docs: DataFrame, idx: Index, clauses: DataFrame) -> DataFrame:
     """Adds ``snippets`` (array of at most one highlighted fragment)."""
     d = docs.select(F.col("id").alias("doc_id"), "content")
-    terms = snippet_terms(idx, clauses)
-    s = (ranked.join(d, "doc_id").join(terms, "query_id", "left")
+    terms = bounded_broadcast(snippet_terms(idx, clauses))  # one row per query
+    s = (d.join(_small_side(ranked), "doc_id").join(terms, "query_id", "left")
          .withColumn("snippet", _snippet_udf("content", "terms", "weights")))
-    return s.drop("content", "terms", "weights").withColumn(
+    return s.select(*ranked.columns, "snippet").withColumn(
         "snippets", F.when(F.col("snippet").isNull(), F.array().cast("array<string>"))
         .otherwise(F.array("snippet"))).drop("snippet")
 
