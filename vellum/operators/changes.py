@@ -157,15 +157,15 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
         F.max("ts").alias("p_ts"))
 
     alive = lives.where(F.col("death") >= NEVER)
-    patched = alive.join(patch, "id", "left").select(
-        "id", "entity_id", "entity", "topic", "name",
-        F.coalesce("p_title", "title").alias("title"),
-        F.coalesce("p_content", "content").alias("content"),
-        F.coalesce("p_tags", "tags").alias("tags"),
-        "created_at",
-        F.coalesce("p_ts", "updated_at").alias("updated_at"),
-        (F.col("birth") >= 0).alias("is_new"), F.col("p_ts").isNotNull().alias("is_patched"))
-    out = patched.drop("is_new", "is_patched")
+
+    def apply_patch(rows: DataFrame, p: DataFrame, how: str) -> DataFrame:
+        return rows.join(p, "id", how).select(
+            "id", "entity_id", "entity", "topic", "name",
+            F.coalesce("p_title", "title").alias("title"),
+            F.coalesce("p_content", "content").alias("content"),
+            F.coalesce("p_tags", "tags").alias("tags"),
+            "created_at",
+            F.coalesce("p_ts", "updated_at").alias("updated_at"))
 
     rejects = (
         _reject(no_entity, "not_found", F.col("entity"))
@@ -174,10 +174,15 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
         .unionByName(_reject(u.where(~F.coalesce(u_ok, F.lit(False))), "not_found", F.col("id")))
     )
     if delta:
-        upserts = patched.where(F.col("is_new") | F.col("is_patched")).drop("is_new", "is_patched")
+        # Only changed rows: base documents with a patch (inner join against
+        # the size-checked patch set, so the table is streamed, not
+        # shuffled) and the batch's new documents.
+        p = bounded_broadcast(patch)
+        upserts = (apply_patch(alive.where(F.col("birth") < 0), p, "inner")
+                   .unionByName(apply_patch(alive.where(F.col("birth") >= 0), p, "left")))
         deleted = base.where(F.col("death") < NEVER).select("id")
         return upserts, deleted, rejects
-    return out, rejects
+    return apply_patch(alive, patch, "left"), rejects
 
 
 def apply_changes_delta(docs: DataFrame, entities: DataFrame, changes: DataFrame):
