@@ -120,19 +120,19 @@ def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> N
     holds a large share of all rows (the doc id splits it), each task writes
     few folders, and files are sorted by term for row-group pruning. A search
     reads only the buckets of its query terms (runtime partition pruning).
+    Partition counts come from the session (and AQE), not from this code.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tok_path = scratch_path(spark, f"index-tokens-{uuid.uuid4().hex}")
     text_tokens(docs, buckets).write.mode("overwrite").parquet(tok_path)
     tokens = spark.read.parquet(tok_path)
     order = ["field", "tb", "term", "doc_id"]
-    (tokens.repartitionByRange(n, *order).sortWithinPartitions(*order, "pos")
+    (tokens.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
      .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/positions"))
     # Range partitioning on (field, tb, term, doc) already clusters the
     # aggregation keys, so counting needs no second shuffle.
-    text = text_postings(tokens.repartitionByRange(n, *order))
-    raw = raw_postings(docs, buckets).repartitionByRange(n, *order)
+    text = text_postings(tokens.repartitionByRange(*order))
+    raw = raw_postings(docs, buckets).repartitionByRange(*order)
     (text.unionByName(raw).sortWithinPartitions(*order)
      .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
     # Field lengths: every (document, field), 0 when the field has no token.

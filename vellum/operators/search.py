@@ -118,8 +118,7 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     ph = _with_bucket(idx, ph.join(clause_idf, ["query_id", "clause_no", "field"]))
     pos, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "pos"], table="positions")
     m = pos.join(_small(ph, small), keys)
-    n_parts = int(clauses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = m.repartition(n_parts, "query_id", "clause_no", "field", "doc_id")
+    m = m.repartition("query_id", "clause_no", "field", "doc_id")
     doc_keys = ["query_id", "clause_no", "occur", "boost", "field", "doc_id", "dl", "avgdl", "idf_sum"]
 
     # slop 0: a start position where all n offsets are present
