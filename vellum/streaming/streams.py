@@ -2,9 +2,11 @@
 
 T1: a file stream of change-log rows. The table is log-structured: the base
 rows are segment ``batch=-1`` of ``upserts``; each micro-batch applies the
-batch operator (M10) in delta form to the current view and writes only its
-upserted rows (``upserts/batch=<id>``), deleted ids (``deletes/batch=<id>``)
-and rejects. The current view is the latest upsert of every id without a
+batch operator (M10) in delta form to the part of the current view it can
+affect (documents it targets by id or whose names its saves use, read from
+their id buckets only) and writes only its upserted rows
+(``upserts/batch=<id>``, partitioned by id bucket), deleted ids
+(``deletes/batch=<id>``) and rejects. The current view is the latest upsert of every id without a
 delete. A micro-batch reads the view of the segments before it, so a replay
 rewrites the same segments (idempotent), and its cost follows the batch and
 the narrow decision columns, not the table's content. Contract: ``seq``
@@ -44,10 +46,25 @@ def _segments(spark: SparkSession, path: str, lo: int | None, hi: int | None) ->
     return spark.read.option("basePath", path).parquet(*[os.path.join(path, f"batch={b}") for b in batches])
 
 
-def change_view(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+ID_BUCKETS = 64
+
+
+def id_bucket(col) -> F.Column:
+    return F.pmod(F.xxhash64(col), F.lit(ID_BUCKETS)).cast("int")
+
+
+def _write_rows(df: DataFrame, path: str) -> None:
+    """Document rows partitioned by id bucket, so a micro-batch can read
+    only the buckets of the documents it touches."""
+    df.withColumn("idb", id_bucket(F.col("id"))).write.mode("overwrite").partitionBy("idb").parquet(path)
+
+
+def change_view(spark: SparkSession, root: str, before: int | None = None,
+                buckets: list[int] | None = None) -> DataFrame:
     """The documents table as of the segments before ``before`` (all when
     None): the newest compacted base before that point, then the latest
-    upsert per id from later segments, minus ids deleted in them."""
+    upsert per id from later segments, minus ids deleted in them.
+    ``buckets`` restricts the read to those id buckets (partition pruning)."""
     comp = [c for c in _batch_dirs(os.path.join(root, "compacted"), "upto=")
             if before is None or c < before]
     lo = comp[-1] if comp else None
@@ -56,20 +73,21 @@ def change_view(spark: SparkSession, root: str, before: int | None = None) -> Da
         base = spark.read.parquet(os.path.join(root, "compacted", f"upto={lo}")).withColumn(
             "batch", F.lit(lo))
         ups = base if ups is None else base.unionByName(ups)
+    if buckets is not None:
+        ups = ups.where(F.col("idb").isin(buckets))
     dels = _segments(spark, os.path.join(root, "deletes"), lo, before)
     latest = ups.groupBy("id").agg(F.max("batch").alias("batch"))
     view = ups.join(latest, ["id", "batch"], "left_semi")
     if dels is not None:
         view = view.join(dels.select("id"), "id", "left_anti")
-    return view.drop("batch")
+    return view.drop("batch", "idb")
 
 
 def compact_changes(spark: SparkSession, root: str, upto: int) -> None:
     """Write the view through batch ``upto`` as a compacted base; readers
     after it skip every older segment. Deterministic, so a rerun rewrites
     the same files."""
-    change_view(spark, root, before=upto + 1).write.mode("overwrite").parquet(
-        os.path.join(root, "compacted", f"upto={upto}"))
+    _write_rows(change_view(spark, root, before=upto + 1), os.path.join(root, "compacted", f"upto={upto}"))
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -80,17 +98,29 @@ def start_change_stream(spark: SparkSession, source_dir: str, root: str, base_do
                         entities: DataFrame, files_per_batch: int = 1, compact_every: int = 8):
     """Start the stream; returns the StreamingQuery (``availableNow``).
     Every ``compact_every`` micro-batches the view is compacted."""
-    base_docs.write.mode("overwrite").parquet(os.path.join(root, "upserts", "batch=-1"))
+    _write_rows(base_docs, os.path.join(root, "upserts", "batch=-1"))
     ents_path = os.path.join(root, "entities")
     entities.write.mode("overwrite").parquet(ents_path)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        view = change_view(spark, root, before=batch_id)
+        # Only documents whose id the batch targets, or whose name one of its
+        # saves uses, can be affected. Find them on narrow (id, name) columns,
+        # then read full rows from their id buckets only.
+        batch = batch.persist()
+        narrow = change_view(spark, root, before=batch_id).select("id", "name")
+        save_names = batch.where(F.col("op") == "save").select("name")
+        relevant = (batch.where(F.col("op") != "save").select("id")
+                    .unionByName(narrow.join(save_names, "name", "left_semi").select("id"))
+                    .distinct().persist())
+        buckets = [r[0] for r in relevant.select(id_bucket(F.col("id"))).distinct().collect()]
+        view = change_view(spark, root, before=batch_id, buckets=buckets).join(relevant, "id", "left_semi")
         ents = spark.read.parquet(ents_path)
         ups, dels, rejects = chg.apply_changes_delta(view, ents, batch)
-        ups.write.mode("overwrite").parquet(os.path.join(root, "upserts", f"batch={batch_id}"))
+        _write_rows(ups, os.path.join(root, "upserts", f"batch={batch_id}"))
         dels.write.mode("overwrite").parquet(os.path.join(root, "deletes", f"batch={batch_id}"))
         rejects.write.mode("overwrite").parquet(os.path.join(root, "rejects", f"batch={batch_id}"))
+        relevant.unpersist()
+        batch.unpersist()
         if compact_every and batch_id % compact_every == compact_every - 1:
             compact_changes(spark, root, batch_id)
 
