@@ -105,9 +105,11 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     at most ``slop`` extra positions after the previous one, in order.
 
     Phrase frequency = number of matches ending at the last term; idf is the
-    sum of the terms' idfs. Matched token rows are clustered once by
-    (query, clause, field, document); both aggregations below reuse that
-    partitioning.
+    sum of the terms' idfs. Candidate documents (every word of the phrase in
+    the field) come from postings first, so positions of a common word are
+    kept only in documents that hold the whole phrase's words before anything
+    is shuffled. Matched token rows are clustered once by (query, clause,
+    field, document); both aggregations below reuse that partitioning.
     """
     ph = (_with_fields(clauses.where(F.col("kind") == "phrase"))
           .select("query_id", "clause_no", "occur", "boost", "field",
@@ -116,8 +118,13 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     ph = _term_weights(idx, ph, small)
     clause_idf = ph.groupBy("query_id", "clause_no", "field").agg(F.sum("idf").alias("idf_sum"))
     ph = _with_bucket(idx, ph.join(clause_idf, ["query_id", "clause_no", "field"]))
+    clause_keys = ["query_id", "clause_no", "field", "doc_id"]
+    post, pkeys = postings_for(idx, ["field", "term", "doc_id"])
+    cand = (post.join(_small(ph.select(*pkeys, "query_id", "clause_no", "n"), small), pkeys)
+            .groupBy(*clause_keys, "n").agg(F.count(F.lit(1)).alias("have"))
+            .where(F.col("have") == F.col("n")).select(*clause_keys))
     pos, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "pos"], table="positions")
-    m = pos.join(_small(ph, small), keys)
+    m = pos.join(_small(ph, small), keys).join(bounded_broadcast(cand), clause_keys, "left_semi")
     m = m.repartition("query_id", "clause_no", "field", "doc_id")
     doc_keys = ["query_id", "clause_no", "occur", "boost", "field", "doc_id", "dl", "avgdl", "idf_sum"]
 
