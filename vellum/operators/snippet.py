@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from vellum.functions.snippet import best_fragment
 from vellum.operators.index import Index
-from vellum.operators.search import normalize
-from vellum.session import bounded_broadcast, ensure_checkpoint_dir
+from vellum.operators.search import clause_profile, normalize
+from vellum.session import BROADCAST_ROW_LIMIT, bounded_broadcast, ensure_checkpoint_dir
 
 
 @F.pandas_udf(T.StringType())
@@ -58,7 +58,12 @@ def hits(ranked: DataFrame, docs: DataFrame) -> DataFrame:
 def with_snippets(ranked: DataFrame, docs: DataFrame, idx: Index, clauses: DataFrame) -> DataFrame:
     """Adds ``snippets`` (array of at most one highlighted fragment)."""
     d = docs.select(F.col("id").alias("doc_id"), "content")
-    terms = bounded_broadcast(snippet_terms(idx, clauses))  # one row per query
+    # one row per query; its size is bounded by the clause table, which the
+    # cheap clause profile measures (no need to count the joined frame)
+    prof = clause_profile(normalize(clauses))
+    bound = sum(n * t for n, t, _, _ in prof.values())
+    terms = snippet_terms(idx, clauses)
+    terms = F.broadcast(terms) if bound <= BROADCAST_ROW_LIMIT else terms
     s = (d.join(_small_side(ranked), "doc_id").join(terms, "query_id", "left")
          .withColumn("snippet", _snippet_udf("content", "terms", "weights")))
     return s.select(*ranked.columns, "snippet").withColumn(
