@@ -106,10 +106,10 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
 
     Phrase frequency = number of matches ending at the last term; idf is the
     sum of the terms' idfs. Candidate documents (every word of the phrase in
-    the field) come from postings first, so positions of a common word are
-    kept only in documents that hold the whole phrase's words before anything
-    is shuffled. Matched token rows are clustered once by (query, clause,
-    field, document); both aggregations below reuse that partitioning.
+    the field) come from postings; positions are kept only in candidates
+    before the position aggregations. Matched token rows are clustered once
+    by (query, clause, field, document) by that semi join; both aggregations
+    below reuse the partitioning.
     """
     ph = (_with_fields(clauses.where(F.col("kind") == "phrase"))
           .select("query_id", "clause_no", "occur", "boost", "field",
@@ -124,8 +124,10 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
             .groupBy(*clause_keys, "n").agg(F.count(F.lit(1)).alias("have"))
             .where(F.col("have") == F.col("n")).select(*clause_keys))
     pos, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "pos"], table="positions")
-    m = pos.join(_small(ph, small), keys).join(bounded_broadcast(cand), clause_keys, "left_semi")
-    m = m.repartition("query_id", "clause_no", "field", "doc_id")
+    # Shuffle semi join keyed like the aggregations below (its shuffle is the
+    # only one on the matched positions); Spark's runtime bloom filter built
+    # from the candidates can drop positions before that shuffle.
+    m = pos.join(_small(ph, small), keys).join(cand, clause_keys, "left_semi")
     doc_keys = ["query_id", "clause_no", "occur", "boost", "field", "doc_id", "dl", "avgdl", "idf_sum"]
 
     # slop 0: a start position where all n offsets are present
