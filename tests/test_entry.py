@@ -16,7 +16,7 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_documented():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == set()
+    assert set(q) - set(o) <= set(E._llm()[0])
 
 
 @pytest.mark.parametrize("name", ["search_bm25", "tree_counts", "apply_changes_rejects", "search_phrase",
