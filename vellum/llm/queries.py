@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from vellum.llm import exact, mixing
+from vellum.llm import exact, mixing, topk
 from vellum.llm.exact import op6_exact_dedup
+from vellum.llm.langid import op2_langid
 from vellum.llm.mixing import op5_mixing
 from vellum.llm.packing import op7_packing
 from vellum.llm.simhash import op1_simhash
+from vellum.llm.topk import op4_topk
 from vellum.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_langid": op2_langid,
+    "op4_topk": op4_topk,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
@@ -18,6 +22,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_topk": topk.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op6_exact_dedup": exact.ORACLE,
 }
