@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: a path segment is a non-empty run of lowercase ASCII, digits and '-'.
-SEGMENT = r"^[a-z0-9-]+$"
+SEGMENT = r"^[a-z0-9-]+\z"
 
 
 def valid_segment(c: Column) -> Column:

@@ -26,9 +26,6 @@ from vellum.operators.fuzzy import similar_pairs
 from vellum.operators.meta import valid_scope
 from vellum.session import bounded_broadcast, ensure_checkpoint_dir
 
-MAX_ROUNDS = 10_000
-
-
 def _reject(df, reason, detail):
     return df.select("seq", F.lit(reason).alias("reason"), detail.cast("string").alias("detail"))
 
@@ -66,8 +63,7 @@ def create_entities(entities: DataFrame, requests: DataFrame):
              .select(F.col("a").alias("u"), F.col("b").alias("v"))).checkpoint()
 
     status = first.select("name", F.lit("undecided").alias("status")).checkpoint()
-    rounds = 0
-    for rounds in range(1, MAX_ROUNDS + 1):
+    while True:  # each round decides at least the earliest undecided name
         st = status.select(F.col("name").alias("u"), F.col("status").alias("su"))
         per_v = edges.join(st, "u").groupBy(F.col("v").alias("name")).agg(
             F.max((F.col("su") == "accepted").cast("int")).alias("acc"),

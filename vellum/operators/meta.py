@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 from vellum.schema import SCOPES
 from vellum.session import bounded_broadcast
 
-RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+RFC3339 = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+RFC3339_TEXT = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.]\d+)?(Z|[+-]\d\d:\d\d)\z"
 
 
 def rfc3339(c: Column) -> Column:
-    """UTC timestamp as RFC 3339 text (session time zone is UTC)."""
-    return F.date_format(c, RFC3339)
+    """UTC timestamp as RFC 3339 text (session time zone is UTC).
+
+    The fraction has three or six digits, or is absent when zero.
+    """
+    return F.regexp_replace(F.date_format(c, RFC3339), "([.]000000|000)Z$", "Z")
 
 
 def parse_rfc3339(c: Column) -> Column:
-    """F7 inverse: RFC 3339 text to timestamp, NULL when malformed."""
-    return F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                      F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
+    """F7 inverse: RFC 3339 text with any fraction to timestamp (microseconds), NULL when malformed."""
+    return F.when(c.rlike(RFC3339_TEXT), F.try_to_timestamp(F.regexp_replace(c, r"([.]\d{6})\d+", "$1")))
 
 
 def tags_to_json(c: Column) -> Column:

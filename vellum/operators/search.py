@@ -29,6 +29,7 @@ from vellum.session import BROADCAST_ROW_LIMIT, bounded_broadcast
 K1 = 1.2
 B = 0.75
 DEFAULT_K = 10
+KINDS = {"term", "exact", "phrase", "set", "range", "prefix", "phrase_prefix", "all"}
 SCORE_DIGITS = 6
 
 MATCH_COLS = ["query_id", "clause_no", "occur", "doc_id", "score"]
@@ -91,7 +92,7 @@ def _term_weights(idx: Index, qterms: DataFrame, small: bool) -> DataFrame:
 def _term_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     qt = (_with_fields(clauses.where(F.col("kind").isin("term", "exact")))
           .select("query_id", "clause_no", "occur", "boost", "field",
-                  F.get(F.col("terms"), 0).alias("term")))
+                  F.explode(F.array_distinct("terms")).alias("term")))  # any word of the clause
     qt = _with_bucket(idx, _term_weights(idx, qt, small))
     post, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "tf"])
     m = post.join(_small(qt, small), keys)
@@ -253,8 +254,11 @@ def clause_profile(clauses: DataFrame) -> dict:
     kind = F.when((F.col("kind") == "prefix") & (F.size("terms") > 1), "phrase_prefix") \
         .otherwise(F.col("kind"))
     rows = clauses.groupBy(kind.alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("terms")).alias("t"), F.max("k").alias("k"),
+        F.count(F.lit(1)).alias("n"), F.max(F.size("terms")).alias("t"),
+        F.max(F.coalesce("k", F.lit(DEFAULT_K))).alias("k"),  # no k means the default
         F.count("entity").alias("e")).collect()
+    if unknown := {r["kind"] for r in rows} - KINDS:
+        raise ValueError(f"unknown clause kinds: {sorted(map(str, unknown))}")
     return {r["kind"]: (r["n"], max(r["t"] or 1, 1), r["k"], r["e"]) for r in rows}
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 DOCS = r"""
 docs AS (
-  SELECT 'D' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') AS id,
+  SELECT 'D' || lpad(CAST(d.doc_id AS VARCHAR), CAST(greatest(8, length(CAST(d.doc_id AS VARCHAR))) AS INTEGER), '0') AS id,
          'ent-' || d.source AS entity_id,
          d.source AS entity,
          CASE WHEN d.lang = 'en' THEN NULL ELSE d.lang END AS topic,
          'doc-' || CAST(d.doc_id AS VARCHAR) AS name,
-         substr(split_part(d.text, chr(10), 1), 1, 80) AS title,
+         split_part(d.text, chr(10), 1) AS title,
          d.text AS content,
          CASE WHEN l.doc_id IS NULL THEN CAST([] AS VARCHAR[])
               ELSE ['quality-' || CAST(l.quality AS VARCHAR)]
@@ -92,7 +92,6 @@ qterms AS (
     SELECT query_id, lower(t) AS term,
            row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS clause_no
     FROM qtok)
-  WHERE clause_no < 3
 )"""
 
 
@@ -138,7 +137,7 @@ ORACLE["search_bm25"] = (
 
 # ------------------------------------------------------------------ metadata
 
-RFC = "'%Y-%m-%dT%H:%M:%SZ'"
+RFC = "'%Y-%m-%dT%H:%M:%S.%fZ'"
 SEG = "'[a-z0-9-]+'"
 
 
@@ -154,7 +153,7 @@ ch AS (
   SELECT e.event_id AS seq, e.ts,
          CASE WHEN e.event_type = 'signup' THEN 'save' WHEN e.event_type = 'error' THEN 'delete' ELSE 'update' END AS op,
          CASE WHEN e.event_type = 'signup' THEN 'E' || CAST(e.event_id AS VARCHAR)
-              WHEN e.event_id % 2 = 0 THEN 'D' || lpad(CAST(e.event_id % c.n AS VARCHAR), 8, '0')
+              WHEN e.event_id % 2 = 0 THEN 'D' || lpad(CAST(e.event_id % c.n AS VARCHAR), CAST(greatest(8, length(CAST(e.event_id % c.n AS VARCHAR))) AS INTEGER), '0')
               ELSE 'E' || CAST(e.event_id - 7 AS VARCHAR) END AS id,
          CASE WHEN e.event_type = 'signup' THEN 'src' || CAST(e.user_id % 25 AS VARCHAR) END AS entity,
          CASE WHEN e.event_type = 'signup' THEN
@@ -190,7 +189,7 @@ CHILDREN_TEXT = "coalesce(array_to_string(list_transform(children, lambda x: x.n
 
 ORACLE["list_entities"] = with_ctes(ENTITIES) + f"""
 SELECT id, name, scope, description, array_to_string(tags, ',') AS tags,
-       strftime(created_at, {RFC}) AS created_at FROM ents ORDER BY name"""
+       regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') AS created_at FROM ents ORDER BY name"""
 
 ORACLE["entity_by_name"] = with_ctes(ENTITIES, ENTITY_KEYS) + """
 SELECT k.key, e.id, e.scope, e.description FROM ekeys k LEFT JOIN ents e ON e.name = k.key"""
@@ -200,7 +199,7 @@ SELECT d.id, d.name, d.entity_id, e.name AS entity_name, e.scope FROM docs d JOI
 
 ORACLE["doc_by_id"] = with_ctes(DOCS, ENTITIES, CHANGES, DOC_KEYS) + f"""
 SELECT k.key, d.name, d.entity, d.topic, d.title, array_to_string(d.tags, ',') AS tags, e.scope,
-       strftime(d.created_at, {RFC}) AS created_at
+       regexp_replace(strftime(d.created_at, {RFC}), '([.]000000|000)Z$', 'Z') AS created_at
 FROM dkeys k LEFT JOIN (docs d JOIN ents e ON e.id = d.entity_id) ON d.id = k.key"""
 
 ORACLE["validate_scope"] = """
@@ -348,7 +347,7 @@ rejects AS (
 
 DOC_OUT = f"""
 SELECT id, entity, topic, name, title, md5(content) AS content_md5, array_to_string(tags, ',') AS tags,
-       strftime(created_at, {RFC}) AS created_at, strftime(updated_at, {RFC}) AS updated_at FROM final"""
+       regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') AS created_at, regexp_replace(strftime(updated_at, {RFC}), '([.]000000|000)Z$', 'Z') AS updated_at FROM final"""
 
 ORACLE["apply_changes"] = apply_sql("true", DOC_OUT)
 ORACLE["apply_changes_rejects"] = apply_sql("true", "SELECT seq, reason, detail FROM rejects")
@@ -740,10 +739,10 @@ walk(rn, accepted, seq, status, detail) AS (
 
 ORACLE["create_entities"] = CREATE_WALK + f"""
 SELECT id, name, scope, description, array_to_string(tags, ',') AS tags,
-       strftime(created_at, {RFC}) AS created_at FROM ents
+       regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') AS created_at FROM ents
 UNION ALL
 SELECT 'ent-' || r.name, r.name, r.scope, r.description, array_to_string(r.tags, ','),
-       strftime(r.ts, {RFC})
+       regexp_replace(strftime(r.ts, {RFC}), '([.]000000|000)Z$', 'Z')
 FROM walk w JOIN req2 r ON r.seq = w.seq WHERE w.status = 'accepted'"""
 
 ORACLE["create_entities_rejects"] = CREATE_WALK + """
@@ -771,7 +770,7 @@ agg AS (
 ORACLE["update_entities"] = with_ctes(ENTITIES, PATCHES) + f"""
 SELECT e.id, e.name, coalesce(a.p_scope, e.scope) AS scope, coalesce(a.p_desc, e.description) AS description,
        array_to_string(coalesce(a.p_tags, e.tags), ',') AS tags,
-       strftime(coalesce(a.p_ts, e.created_at), {RFC}) AS updated_at
+       regexp_replace(strftime(coalesce(a.p_ts, e.created_at), {RFC}), '([.]000000|000)Z$', 'Z') AS updated_at
 FROM ents e LEFT JOIN agg a ON a.id = e.id"""
 
 ORACLE["update_entities_rejects"] = with_ctes(ENTITIES, PATCHES) + """
@@ -823,11 +822,11 @@ def _file_text(header: str, body: str) -> str:
 
 
 DOC_HEADER = (f"'id: ' || {_yq('id')} || chr(10) || 'title: ' || {_yq('title')} || chr(10) || "
-              f"{_tags_yaml('tags')} || 'created_at: ' || strftime(created_at, {RFC}) || chr(10) || "
-              f"'updated_at: ' || strftime(created_at, {RFC}) || chr(10)")
+              f"{_tags_yaml('tags')} || 'created_at: ' || regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') || chr(10) || "
+              f"'updated_at: ' || regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') || chr(10)")
 ENT_HEADER = (f"'id: ' || {_yq('id')} || chr(10) || 'scope: ' || scope || chr(10) || "
-              f"{_tags_yaml('tags')} || 'created_at: ' || strftime(created_at, {RFC}) || chr(10) || "
-              f"'updated_at: ' || strftime(created_at, {RFC}) || chr(10)")
+              f"{_tags_yaml('tags')} || 'created_at: ' || regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') || chr(10) || "
+              f"'updated_at: ' || regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') || chr(10)")
 
 ORACLE["render_vault"] = with_ctes(DOCS, ENTITIES, f"""
 files AS (
@@ -839,14 +838,14 @@ SELECT path, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM
 
 DOC_ROWS = f"""
 SELECT id, entity, topic, name, title, array_to_string(tags, ',') AS tags,
-       strftime(created_at, {RFC}) AS created_at, strftime(created_at, {RFC}) AS updated_at,
+       regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') AS created_at, regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') AS updated_at,
        md5(content) AS content_md5 FROM docs"""
 
 ORACLE["parse_frontmatter"] = with_ctes(DOCS) + DOC_ROWS
 ORACLE["scan_vault_documents"] = with_ctes(DOCS) + DOC_ROWS
 ORACLE["scan_vault_entities"] = with_ctes(ENTITIES) + f"""
 SELECT id, name, scope, description, array_to_string(tags, ',') AS tags,
-       strftime(created_at, {RFC}) AS created_at FROM ents"""
+       regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z') AS created_at FROM ents"""
 ORACLE["rebuild_metadata"] = with_ctes(DOCS, ENTITIES) + """
 SELECT 'entities' AS "table", count(*) AS n FROM ents
 UNION ALL SELECT 'documents', count(*) FROM docs"""
@@ -923,8 +922,8 @@ SELECT field, term, count(*) AS df FROM postings GROUP BY field, term""")
 
 ORACLE["entry_json"] = with_ctes(DOCS) + f"""
 SELECT id, CAST(json_object('id', id, 'entity', entity, 'topic', topic, 'name', name, 'title', title,
-       'content', content, 'tags', tags, 'created_at', strftime(created_at, {RFC}),
-       'updated_at', strftime(created_at, {RFC})) AS VARCHAR) AS json,
+       'content', content, 'tags', tags, 'created_at', regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z'),
+       'updated_at', regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z')) AS VARCHAR) AS json,
        CAST(to_json(tags) AS VARCHAR) AS tags_json
 FROM docs"""
 
@@ -936,7 +935,7 @@ docs AS (
   SELECT 'C' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
          role AS entity, CAST(NULL AS VARCHAR) AS topic,
          'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS name,
-         substr(split_part(text, chr(10), 1), 1, 80) AS title,
+         split_part(text, chr(10), 1) AS title,
          coalesce(text, '') AS content, CAST([] AS VARCHAR[]) AS tags
   FROM conversations
 )"""
@@ -948,5 +947,5 @@ ORACLE["search_conversations"] = (
 
 ORACLE["entities_json"] = with_ctes(ENTITIES) + f"""
 SELECT name, CAST(json_object('id', id, 'name', name, 'scope', scope, 'description', description,
-       'tags', tags, 'created_at', strftime(created_at, {RFC}), 'updated_at', strftime(created_at, {RFC})) AS VARCHAR) AS json
+       'tags', tags, 'created_at', regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z'), 'updated_at', regexp_replace(strftime(created_at, {RFC}), '([.]000000|000)Z$', 'Z')) AS VARCHAR) AS json
 FROM ents"""

@@ -2,15 +2,16 @@
 
 Mapping (fixed, shared with the DuckDB oracle in ``vellum.plans.oracle``):
 
-* document id ``'D' || lpad(doc_id, 8, '0')``, entity = ``source``,
+* document id ``'D'`` and doc_id in eight digits or more, entity = ``source``,
   topic = NULL for English else ``lang``, name ``'doc-' || doc_id``,
-  title = first 80 characters of the first line, content = ``text``,
+  title = the first line, content = ``text``,
   tags from ``labels`` (``quality-<q>``, plus ``toxic``), created/updated at
   2024-01-01 plus ``doc_id`` minutes.
 * entities = distinct sources (with documents) and kebab-cased nation names
   (without documents); id ``'ent-' || name``; scope ``knowledge`` when the
   trailing number is even, else ``project``.
-* queries: the first three terms of each ``benchmark`` text.
+* queries: all terms of each ``benchmark`` text (forms of one, two or three
+  words take its first ones).
 * changes: the ``events`` table as an ordered change log.
 """
 
@@ -29,7 +30,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_key(doc_id: F.Column) -> F.Column:
-    return F.concat(F.lit("D"), F.lpad(doc_id.cast("string"), 8, "0"))
+    """``D`` and the number, padded to eight digits; longer numbers keep all of theirs."""
+    digits = doc_id.cast("string")
+    return F.concat(F.lit("D"), F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits))
 
 
 def label_tags(labels: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def documents(spark: SparkSession, sf_dir: str, with_tags: bool = True) -> DataF
         F.col("source").alias("entity"),
         F.when(F.col("lang") == "en", F.lit(None).cast("string")).otherwise(F.col("lang")).alias("topic"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
-        F.substring(F.substring_index(F.col("text"), "\n", 1), 1, 80).alias("title"),
+        F.substring_index(F.col("text"), "\n", 1).alias("title"),
         F.col("text").alias("content"),
         created.alias("created_at"),
         created.alias("updated_at"),
@@ -101,11 +104,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_terms(spark: SparkSession, sf_dir: str, n_terms: int = 3) -> DataFrame:
-    """(query_id, terms) with the first ``n_terms`` terms of each benchmark text."""
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, terms) with all terms of each benchmark text."""
     return read(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.slice(terms(F.col("text")), 1, n_terms).alias("terms"),
+        terms(F.col("text")).alias("terms"),
     )
 
 
@@ -228,6 +231,6 @@ def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("C"), key).alias("id"), F.concat(F.lit("ent-"), F.col("role")).alias("entity_id"),
         F.col("role").alias("entity"), F.lit(None).cast("string").alias("topic"),
         F.concat(F.lit("conv-"), key).alias("name"),
-        F.substring(F.substring_index(F.col("text"), "\n", 1), 1, 80).alias("title"),
+        F.substring_index(F.col("text"), "\n", 1).alias("title"),
         F.coalesce(F.col("text"), F.lit("")).alias("content"),
         F.array().cast("array<string>").alias("tags"), ts.alias("created_at"), ts.alias("updated_at"))
