@@ -24,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,53 +108,63 @@ def all_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def near_links(docs: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h, partner): distinct lines with an earlier line within one edit. ``firsts`` has (h, pos, near, k0..k3), one row per line."""
-    keyed = firsts.where("near").select("h", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
-    shared = keyed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
-    passed = firsts.join(keyed.join(shared, "k", "left_semi").select("h").distinct(), "h", "left_semi")
-    wanted = passed.groupBy(F.col("pos.uid").alias("uid")).agg(F.collect_list(F.struct("pos", "h")).alias("want"))
-    texts = doc_rows(docs).join(wanted, "uid").select("text", "want")
-    pos = pa.struct([("none", pa.bool_()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("line", pa.int32())])
-    pos_sql = "struct<none: boolean, doc_id: long, uid: long, line: int>"
-    line_schema = pa.schema([("h", pa.int64()), ("pos", pos), ("words", pa.string())])
+    """(place, partner): distinct lines with an earlier line within one edit.
+
+    ``firsts`` has (place, uid, line, near, k0..k3), one row per distinct line;
+    ``place`` numbers them in order.
+    """
+    keyed = firsts.where("near").select("place", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    shared = keyed.groupBy("k").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("k")
+    passed = keyed.join(shared, "k", "left_semi").select("place").distinct()
+    wanted = firsts.join(passed, "place", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("line", "place")).alias("want"))
+    text_schema = pa.schema([("uid", pa.int64()), ("packed", pa.binary())])
+
+    def squeeze(batches):
+        coder = zstandard.ZstdCompressor(3)
+        for b in batches:
+            yield batch(text_schema, [b.column("uid"), [coder.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]])
+
+    texts = doc_rows(docs).select("uid", "text").mapInArrow(squeeze, "uid long, packed binary").join(wanted, "uid").select("packed", "want")
+    line_schema = pa.schema([("place", pa.int64()), ("words", pa.string())])
 
     def read(batches):
+        coder = zstandard.ZstdDecompressor()
         for b in batches:
             for i in range(b.num_rows):
-                words = line_words(b.column("text")[i].as_py())
+                words = line_words(coder.decompress(b.column("packed")[i].as_py()).decode("utf-8", "surrogatepass"))
                 want = b.column("want")[i].as_py()
-                yield batch(line_schema, [[w["h"] for w in want], [w["pos"] for w in want], [" ".join(words[w["pos"]["line"]]) for w in want]])
+                yield batch(line_schema, [[w["place"] for w in want], [" ".join(words[w["line"]]) for w in want]])
 
-    kept = store(texts.mapInArrow(read, f"h long, pos {pos_sql}, words string"), "near-lines")
-    key_schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("h", pa.int64()), ("pos", pos)])
+    kept = store(texts.mapInArrow(read, "place long, words string"), "near-lines")
+    key_schema = pa.schema([("key", pa.int64()), ("tagged", pa.int64())])
 
     def emit(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 made = [variants(w.split(" ")) for w in part.column("words").to_pylist()]
-                at = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k, _ in made]))
-                yield batch(key_schema, [np.concatenate([k for k, _ in made]).view(np.int64), np.concatenate([k for _, k in made]).astype(np.int32),
-                                         part.column("h").take(at), part.column("pos").take(at)])
-
-    spread = kept.mapInArrow(emit, f"key long, kind int, h long, pos {pos_sql}")
-    own = F.struct("pos", "h")
-    groups = spread.groupBy("key").agg(F.min(F.when(F.col("kind") != _WHOLE, own)).alias("other"), F.min(F.when(F.col("kind") == _WHOLE, own)).alias("whole"),
-                                         F.count("*").alias("members")).where("members > 1").drop("members")
-    partner = F.when(F.col("kind") == _LONGER, F.col("whole")).otherwise(F.col("other"))
-    met = spread.join(groups, "key").withColumn("partner", partner).where(F.col("partner.pos") < F.col("pos"))
-    pairs = met.select("h", F.col("partner.h").alias("partner")).distinct()
-    pairs = pairs.join(kept.select("h", F.col("words").alias("a")), "h").join(
-        kept.select(F.col("h").alias("partner"), F.col("words").alias("b")), "partner")
-    out = pa.schema([("h", pa.int64()), ("partner", pa.int64())])
+                place = np.repeat(part.column("place").to_numpy(), [len(k) for k, _ in made])
+                yield batch(key_schema, [np.concatenate([k for k, _ in made]).view(np.int64), place * 2 + np.concatenate([k == _WHOLE for _, k in made])])
+
+    spread = kept.mapInArrow(emit, "key long, tagged long")  # the place, and whether the key is the whole line's
+    whole, place = F.col("tagged") % 2 == 1, F.shiftright("tagged", 1)
+    groups = spread.groupBy("key").agg(F.min(F.when(~whole, place)).alias("shorter"), F.min(F.when(whole, place)).alias("whole"),
+                                       F.count("*").alias("members")).where("members > 1").drop("members")
+    # Without a whole line the key's members differ in one word at one place, or only in what they lack: verified below.
+    met = spread.join(groups, "key").withColumn("place", place)
+    met = met.withColumn("partner", F.explode(F.array_compact(F.array("shorter", "whole")))).where("partner < place")
+    pairs = met.select("place", "partner").distinct()
+    pairs = pairs.join(kept.select("place", F.col("words").alias("a")), "place").join(
+        kept.select(F.col("place").alias("partner"), F.col("words").alias("b")), "partner")
+    out = pa.schema([("place", pa.int64()), ("partner", pa.int64())])
 
     def verify(batches):
         for b in batches:
             sides = [[w.split(" ") for w in b.column(c).to_pylist()] for c in "ab"]
-            ok = [max(len(x), len(y)) >= min_words and within_one(x, y) for x, y in zip(*sides)]
-            yield batch(out, [b.column("h").filter(pa.array(ok, pa.bool_())), b.column("partner").filter(pa.array(ok, pa.bool_()))])
+            ok = pa.array([max(len(x), len(y)) >= min_words and within_one(x, y) for x, y in zip(*sides)], pa.bool_())
+            yield batch(out, [b.column("place").filter(ok), b.column("partner").filter(ok)])
 
-    return pairs.mapInArrow(verify, "h long, partner long")
+    return pairs.mapInArrow(verify, "place long, partner long")
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -161,8 +172,10 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = store(all_lines(docs, min_words), "lines")
     firsts = store(lines.groupBy("h").agg(F.min("pos").alias("pos"), F.max("near").alias("near"),
                                           *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]), "first-lines")
-    near = near_links(docs, firsts, min_words).select("h").distinct().withColumn("repeats", F.lit(True))
-    state = firsts.select("h", F.col("pos").alias("first")).join(near, "h", "left")
+    firsts = store(firsts.repartitionByRange("pos").sortWithinPartitions("pos").withColumn("place", F.monotonically_increasing_id()).select(
+        "place", "h", "pos", F.col("pos.uid").alias("uid"), F.col("pos.line").alias("line"), "near", "k0", "k1", "k2", "k3"), "placed-lines")
+    near = near_links(docs, firsts, min_words).select("place").distinct().withColumn("repeats", F.lit(True))
+    state = firsts.select("place", "h", F.col("pos").alias("first")).join(near, "place", "left")
     gone = lines.select("pos", "h").join(state, "h").where(F.coalesce("repeats", F.lit(False)) | (F.col("first") < F.col("pos")))
     return gone.groupBy(F.col("pos.uid").alias("uid")).agg(F.array_sort(F.collect_list("pos.line")).alias("dropped"))
 
