@@ -44,4 +44,4 @@ def test_accumulation_is_the_product():
     rng = np.random.default_rng(0)
     c, q = rng.integers(-5, 5, (50, 9)), rng.integers(-5, 5, (7, 9))
     terms = lambda m: (*np.nonzero(m), m[np.nonzero(m)])
-    assert (topk.accumulate(terms(c), terms(q), 50, 7) == c @ q.T).all()
+    assert (topk.accumulate(terms(c), terms(q), 50, 7, np.int16) == q @ c.T).all()

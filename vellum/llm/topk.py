@@ -59,45 +59,59 @@ def _postings(terms) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(dim[a]): (row[a:b], weight[a:b]) for a, b in zip(cuts, np.r_[cuts[1:], len(dim)])}
 
 
-def accumulate(candidates, queries, n: int, m: int) -> np.ndarray:
-    """Scores (n candidates, m queries), one dimension at a time."""
-    def norm(terms):
-        return np.bincount(terms[0], terms[2].astype(float) ** 2).max(initial=0) ** 0.5
+def accumulate(candidates, queries, n: int, m: int, kind) -> np.ndarray:
+    """Scores (m queries, n candidates) in integers of ``kind``, one dimension at a time.
+
+    A posting list that names over a quarter of its block is scattered once
+    into a dense row, whose zeros add nothing; a shorter one is added at its
+    places only.
+    """
+    scores, add = np.zeros((m, n), kind), np.empty((m, n), kind)
+
+    def dense(rows, weights, size):
+        if 4 * len(rows) <= size:
+            return rows, weights.astype(kind)
+        row = np.zeros(size, kind)
+        row[rows] = weights
+        return None, row
 
-    kind = np.int32 if norm(candidates) * norm(queries) < 2 ** 30 else np.int64  # no partial sum exceeds this
-    scores = np.zeros((n, m), kind)
     mine = _postings(queries)
-    for dim, (rows, weights) in _postings(candidates).items():
+    for dim, found in _postings(candidates).items():
         if dim in mine:
-            cols, w = mine[dim]
-            add = weights.astype(kind)[:, None] * w.astype(kind)[None, :]
-            if len(rows) == n and len(cols) == m:
-                scores += add
-            elif len(cols) == m:
-                scores[rows] += add
+            asked, w = dense(*mine[dim], m)
+            rows, weights = dense(*found, n)
+            part = add[:len(w), :len(weights)]
+            np.multiply(w[:, None], weights[None, :], out=part)
+            if asked is None and rows is None:
+                scores += part
+            elif rows is None:
+                scores[asked] += part
+            elif asked is None:
+                scores[:, rows] += part
             else:
-                scores[rows[:, None], cols[None, :]] += add
+                scores[asked[:, None], rows[None, :]] += part
     return scores
 
 
-def best(scores: np.ndarray, ids: np.ndarray, banned: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per column the rows of the k highest scores, ties to the smaller id; ``banned`` rows (-1: none) left out."""
-    order = np.argsort(ids, kind="stable")
-    out = []
-    for q in range(scores.shape[1]):
-        s = scores[order, q]
-        use = order
-        if banned[q] >= 0:
-            keep = order != banned[q]
-            s, use = s[keep], order[keep]
-        if len(s) > k:
-            edge = np.partition(s, len(s) - k)[len(s) - k]
-            above = np.flatnonzero(s > edge)
-            chosen = np.r_[above, np.flatnonzero(s == edge)[:k - len(above)]]  # in order of id
-        else:
-            chosen = np.arange(len(s))
-        out.append(use[chosen])
-    return out
+def _norm(terms) -> float:
+    return np.bincount(terms[0], terms[2].astype(float) ** 2).max(initial=0) ** 0.5
+
+
+def best(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) of each query's k highest scores, ties to the lower column; column ``own`` (-1: none) is left out."""
+    m, n = scores.shape
+    free = np.ones((m, n), bool)
+    has = own >= 0
+    free[np.flatnonzero(has), own[has]] = False
+    low = np.iinfo(scores.dtype).min  # no score reaches it
+    scores = np.where(free, scores, low)
+    edge = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(m, low, scores.dtype)
+    q, c = np.nonzero((scores >= edge[:, None]) & free)
+    tie = scores[q, c] == edge[q]
+    order = np.lexsort((c, tie, q))  # per query: above the edge first, then ties by column
+    q, c = q[order], c[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], c[place < k]
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BLOCK,
@@ -126,20 +140,18 @@ def top_k(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BLO
         q, c = t.filter(pa.array(is_q)), t.filter(pa.array(~is_q))
         if not q.num_rows or not c.num_rows:
             return schema.empty_table()
+        c = c.sort_by([("vec_id", "ascending"), ("uid", "ascending")])  # null last
         asked_terms, v = _terms(q.column("v")), c.column("v").combine_chunks()
-        scores = np.concatenate([accumulate(_terms(v.slice(a, SLICE)), asked_terms, min(SLICE, len(v) - a), q.num_rows)
-                                 for a in range(0, len(v), SLICE)])
+        parts = [(_terms(v.slice(a, SLICE)), min(SLICE, len(v) - a)) for a in range(0, len(v), SLICE)]
+        bound = _norm(asked_terms) * max(_norm(x) for x, _ in parts)  # of every partial sum
+        kind = next(x for x in (np.int16, np.int32, np.int64) if bound < np.iinfo(x).max or x is np.int64)
+        scores = np.concatenate([accumulate(x, asked_terms, n, q.num_rows, kind) for x, n in parts], axis=1)
         c_uid, q_uid = c.column("uid").to_numpy(), q.column("uid").to_numpy()
         at = {u: i for i, u in enumerate(c_uid.tolist())}
-        own = np.array([at.get(u, -1) for u in q_uid.tolist()])
-        ids = c.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy()
-        rows_of = best(scores, ids, own, k)
-        sizes = [len(x) for x in rows_of]
-        cat = np.concatenate(rows_of)
-        col = np.repeat(np.arange(len(sizes)), sizes)
+        col, cat = best(scores, np.array([at.get(u, -1) for u in q_uid.tolist()]), k)
         return pa.table([pa.array(q_uid[col]), q.column("vec_id").take(pa.array(col)),
                          pa.array(c_uid[cat]), c.column("vec_id").take(pa.array(cat)),
-                         pa.array(scores[cat, col].astype(np.int64))], schema=schema)
+                         pa.array(scores[col, cat].astype(np.int64))], schema=schema)
 
     found = mine.unionByName(others).groupBy("i", "j").applyInArrow(
         run, "query_uid long, query_id long, uid long, vec_id long, score long")
