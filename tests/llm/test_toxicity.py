@@ -91,3 +91,14 @@ def test_no_labels_and_empty_tables(spark, make):
     m = toxicity.fit(docs, labels)
     assert toxicity.toxicity_scores(docs, m).count() == 2
     assert toxicity.fit(docs.limit(0), labels.limit(0)).a == 1.0
+
+
+@pytest.mark.parametrize("shift", [-9.0, 0.0, 9.0])
+def test_scale_parts_separate_and_mixed_logits(shift):
+    rng = np.random.default_rng(4)
+    for far in (1.0, 10.0):
+        y = np.repeat([1.0, 0.0], [400, 400])
+        x = np.where(y == 1, far, -far) + rng.normal(0, 1.0, 800) + shift
+        a, b = toxicity.fit_scale(x, y, np.where(y == 1, 0.2, 1.8))
+        hit = a * x + b >= 0
+        assert a > 0 and hit[y == 0].mean() < 0.05 and hit[y == 1].mean() > (0.98 if far > 5 else 0.3)
