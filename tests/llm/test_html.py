@@ -64,3 +64,11 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, extract(frame).collect()), key=str)
     assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (2, "v", "", 0), (None, None, "hi", 2)], key=str)
     assert extract(frame.limit(0)).count() == 0
+
+
+def test_deep_nesting_keeps_order_and_time_in_proportion():
+    words = [f"word{i}, and more of it" for i in range(20_000)]
+    html = "".join(f"<div><p>{w}" for w in words)
+    assert main_text(html).split("\n\n") == words[-len(main_text(html).split("\n\n")):]
+    closed = "<div>" * 20_000 + "<p>inner text, here</p>" + "</div>" * 20_000
+    assert main_text(closed) == "inner text, here"

@@ -92,3 +92,15 @@ def test_collisions_get_another_surrogate(make, monkeypatch):
         assert len(set(new.values())) == len(ips + other)
         assert out[None].text == new[ips[0]] and out[99].text is None and out[98].text == ""
     assert pii.replace_pii(docs.limit(0), KEY).count() == 0
+
+
+def test_used_up_formats_get_longer_surrogates(make):
+    short = [a + b for a in "aeiouy" for b in "bcdfghjklmnpqrstvwxz"]  # every surname of this format
+    odd = ["Šč", "Մխ", "Ћђ"]
+    docs = make([(i, f"Herr {x.title()} kam. Mail {x[0]}@{x[1]}.de") for i, x in enumerate(short)] + [(900 + i, f"Frau {x} kam") for i, x in enumerate(odd)])
+    out = {r.doc_id: r.text.split() for r in pii.replace_pii(docs, KEY).collect()}
+    names, mails = [out[i][1].lower() for i in out], [out[i][4] for i in range(len(short))]
+    assert len(set(names)) == len(short) + len(odd) and not set(names) & {*short, *(x.lower() for x in odd)}
+    assert len(set(mails)) == len(short) and not set(mails) & {f"{x[0]}@{x[1]}.de" for x in short}
+    assert all(pii.EMAIL.fullmatch(x) for x in mails) and all(out[i][1].istitle() for i in out)
+    assert all("Ա" <= c <= "և" for c in out[901][1])

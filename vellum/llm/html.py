@@ -9,6 +9,9 @@ thinned with distance; an ancestor's points are discounted by the share of
 its text inside links. The best container is kept with its siblings that
 score enough or are plain paragraphs.
 
+As in browsers, an element nested deeper than ``DEEPEST`` becomes its parent's
+sibling, so the work per page stays in proportion to its length.
+
 Per-row work on whole pages in one narrow pass; nothing is shuffled.
 """
 
@@ -46,6 +49,8 @@ TAG_POINTS = {"article": 25, "main": 15, "section": 3, "div": 5, "td": 3, "block
 TEXT_BLOCK = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "figcaption", "address", "caption",
               "h1", "h2", "h3", "h4", "h5", "h6", "summary"}
 
+DEEPEST = 512
+
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=[^a-zA-Z/!?])|<$|</[^>]*>?|[^<]+|<",
                    re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -53,10 +58,11 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "points", "scored", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "depth", "points", "scored", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, points: float = 0.0):
         self.tag, self.parent, self.points = tag, parent, points
+        self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []  # child nodes, and [text, linked text] runs between them
         self.scored = False
         self.chars = self.linked = 0
@@ -167,6 +173,8 @@ def parse(html: str) -> Node:
                 if up.tag in CLOSED_BY[tag]:
                     node = up.parent
                 up = up.parent
+        if node.depth >= DEEPEST:
+            node = node.parent
         new = Node(tag, node, TAG_POINTS.get(tag, 0) + extra)
         node.parts.append(new)
         if not m[3].endswith("/"):

@@ -13,7 +13,10 @@ all documents, without any table) and different values apart (distinctness).
 A surrogate may still be someone else's real value in the corpus. So the
 distinct values found are joined with their surrogates: values whose
 surrogate is an original, or another's surrogate, get the next permutation
-until no collision is left. These exceptions are handed to the rewriting pass
+until no collision is left. A name or address whose format is used up (a
+surname of two letters, say) gets a letter more every ``GROW`` attempts, so
+the rounds end; digits of fixed formats need a free value of their format.
+These exceptions are handed to the rewriting pass
 by broadcast, or by a join on the row when they are more than ``BROADCAST``.
 
 Scale: two narrow passes over the texts; between them only distinct values
@@ -35,6 +38,7 @@ from vellum.llm.common import UID, batch, chunks, doc_rows, store, table, with_u
 KEY = "vellum surrogate key"  # production runs pass their own
 BROADCAST = 20_000
 ROUNDS = 6
+GROW = 4
 
 # Titles by gender, and given names by (script, gender).
 TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Signor": "m", "Господин": "m",
@@ -173,6 +177,10 @@ def _classes(value: str, extra: str = "") -> tuple[list[int], list[str]]:
     sets = [extra, "0123456789"] + [g for script in LETTERS.values() for g in script]
     for i, c in enumerate(value):
         s = next((x for x in sets if c in x), None)
+        if s is None and c.islower() and c > "\x7f":  # cased letters of other alphabets: those near it in Unicode
+            near = (chr(x) for x in range(ord(c) & ~63, (ord(c) & ~63) + 64))
+            s = "".join(x for x in near if x.islower() and x.upper() != x and x.upper().lower() == x and not any(x in y for y in sets))
+            s = s if c in s else None
         if s is None and c.lower() != c and len(c.lower()) == 1:
             s = next((x.upper() for x in sets if c.lower() in x and len(x.upper()) == len(x)), None)
         if s:
@@ -191,6 +199,14 @@ def _reformed(key: str, tweak: str, value: str, extra: str = "") -> str:
     return "".join(out)
 
 
+def _grown(key: str, tweak: str, value: str, attempt: int) -> str:
+    """``value`` reformed, longer by a letter every ``GROW`` attempts; all drawn if no symbol of it may change."""
+    at, symbols = _classes(value)
+    letters = next((s for s in symbols if s.isalpha()), "bcdfghjklmnpqrstvwxz")
+    n, base = (attempt // GROW, _reformed(key, tweak, value)) if at else (max(2, len(value)) + attempt // GROW, "")
+    return base + "".join(letters[_draw(key, tweak, "grown", value, i) % len(letters)] for i in range(n))
+
+
 def _cycle(key: str, name: str, tweak: str) -> str:
     script, gender = GENDER[name]
     order = sorted(GIVEN[script, gender], key=lambda n: _draw(key, "names", n))
@@ -220,16 +236,19 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_reformed(key, tweak, f'{local}@{host}')}.{top}"
+        if attempt < GROW and _classes(local + host)[0]:
+            return f"{_reformed(key, tweak, f'{local}@{host}')}.{top}"
+        return f"{_grown(key, tweak, local, attempt)}@{_reformed(key, tweak, host)}.{top}"
     if kind == "phone":
         return value[:1] + _reformed(key, tweak, value[1:])
-    return _reformed(key, tweak, value)
+    return _grown(key, tweak, value, attempt) if kind == "surname" else _reformed(key, tweak, value)
 
 
 def dressed(kind: str, shown: str, new: str) -> str:
     """A canonical surrogate in the format the value was shown in: its separators and capitals."""
     if kind in ("email", "surname", "secret"):
-        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(shown, new)) if len(shown) == len(new) else new
+        rest = new[len(shown):]
+        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(shown, new)) + (rest.upper() if shown.isupper() else rest)
     if kind in ("card", "phone", "ssn", "iban"):
         symbols = iter(new)
         return "".join(next(symbols) if c.isalnum() else c for c in shown)
