@@ -98,7 +98,9 @@ class WordTable:
                 grown = np.zeros((max(1024, 2 * len(self.index), room), self.dim), np.float32)
                 grown[:known] = self.vectors
                 self._buffer = grown
-            self._buffer[known:len(self.index)] = self.compute(new)
+            for k in range(0, len(new), 8192):  # bounds what computing the vectors holds
+                part = new[k:k + 8192]
+                self._buffer[known + k:known + k + len(part)] = self.compute(part)
             self.vectors = self._buffer[:len(self.index)]
         return out
 

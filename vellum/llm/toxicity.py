@@ -87,15 +87,15 @@ def train(windows: list, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.nd
     if not windows:
         return p
     rng = np.random.default_rng(seed)
-    texts = [(w.split(" ") if w else [""]) for _, _, w in windows]
     vocab: dict[str, int] = {}
-    seqs = [np.array([vocab.setdefault(w, len(vocab)) for w in t]) for t in texts]
+    seqs = [np.array([vocab.setdefault(x, len(vocab)) for x in w.split(" ")], np.int32) for _, _, w in windows]
     names = list(vocab)
+    texts = [[names[k] for k in s] for s in seqs]  # one string per distinct word
     doc = np.unique([d for d, _, _ in windows], return_inverse=True)[1]
     y = np.array([x for _, x, _ in windows], np.float32)
     word, gram, of = gru.word_features(names)
     order = np.argsort(of, kind="stable")
-    gram, of = gram[order], of[order]
+    gram, of = gram[order].astype(np.int32), of[order].astype(np.int32)
     first = np.searchsorted(of, np.arange(len(names) + 1))
     opt = gru.Adam(p, RATE)
 
