@@ -47,10 +47,11 @@ def broken_links(edges: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def tag_counts(docs: DataFrame) -> DataFrame:
-    """Documents and entities per tag."""
-    t = docs.select("id", "entity", F.explode("tags").alias("tag"))
-    return t.groupBy("tag").agg(F.count_distinct("id").alias("n_docs"),
-                                F.count_distinct("entity").alias("n_entities"))
+    """Documents and entities per tag. Ids are unique, so a document's
+    distinct tags are counted per (tag, entity), then per tag."""
+    t = docs.select("entity", F.explode(F.array_distinct("tags")).alias("tag"))
+    per = t.groupBy("tag", "entity").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("tag").agg(F.sum("n").alias("n_docs"), F.count("entity").alias("n_entities"))
 
 
 def docs_with_tag(docs: DataFrame, tag: str) -> DataFrame:
