@@ -102,3 +102,20 @@ def test_scale_parts_separate_and_mixed_logits(shift):
         a, b = toxicity.fit_scale(x, y, np.where(y == 1, 0.2, 1.8))
         hit = a * x + b >= 0
         assert a > 0 and hit[y == 0].mean() < 0.05 and hit[y == 1].mean() > (0.98 if far > 5 else 0.3)
+
+
+@pytest.mark.parametrize("n", [400, 399, 129])
+def test_a_short_cluster_is_read_whole_at_every_offset(n):
+    cluster = toxicity.WINDOW * 3 // 4
+    for at in range(n - cluster + 1):
+        assert any(s <= at and at + cluster <= s + toxicity.WINDOW for s in toxicity.window_starts(n)), at
+
+
+def test_scoring_pass_equals_training_pass():
+    rng = np.random.default_rng(6)
+    p = gru.init(6)
+    gates = rng.standard_normal((50, 6 * gru.HIDDEN)).astype(np.float32)
+    for sizes in (rng.integers(1, 65, 30), np.full(30, 64)):
+        ids = rng.integers(0, 50, (64, 30))
+        halves = tuple(np.ascontiguousarray(x) for x in np.split(gates, 2, 1))
+        assert np.allclose(gru.forward(p, gates, ids, sizes), gru.logits(p, halves, ids, sizes), atol=1e-5)

@@ -97,6 +97,50 @@ def forward(p: dict, gates: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keep
     return (logit, (h, a, alpha, c, mask, kf, kb)) if keep else logit
 
 
+def _states(gates: np.ndarray, ids: np.ndarray, mask: np.ndarray | None, U: np.ndarray, back: bool, out: np.ndarray) -> None:
+    """As ``_run`` without ``keep``, into ``out`` (T, H, B): long rows, few temporaries."""
+    T, B = ids.shape
+    H, U = HIDDEN, np.ascontiguousarray(U.T)
+    h, g, u = np.zeros((H, B), np.float32), np.empty((3 * H, B), np.float32), np.empty((3 * H, B), np.float32)
+    for t in range(T - 1, -1, -1) if back else range(T):
+        g[...] = gates.take(ids[t], 0).T
+        np.matmul(U, h, out=u)
+        zr, n = g[:2 * H], g[2 * H:]
+        zr += u[:2 * H]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        u[2 * H:] *= zr[H:]
+        n += u[2 * H:]
+        np.tanh(n, out=n)
+        new = out[t]
+        np.subtract(h, n, out=new)
+        new *= zr[:H]
+        new += n
+        if mask is not None:
+            new *= mask[t]
+        h = new
+
+
+@np.errstate(over="ignore")
+def logits(p: dict, gates: tuple[np.ndarray, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """As ``forward``, for scoring only; ``gates`` has each direction's half."""
+    T, B = ids.shape
+    mask = None if (sizes == T).all() else (np.arange(T)[:, None] < sizes[None, :]).astype(np.float32)
+    h = np.empty((T, 2 * HIDDEN, B), np.float32)
+    _states(gates[0], ids, mask, p["Uf"], False, h[:, :HIDDEN])
+    _states(gates[1], ids, mask, p["Ub"], True, h[:, HIDDEN:])
+    a = np.matmul(np.ascontiguousarray(p["Wa"].T), h)
+    a += p["ba"][:, None]
+    np.tanh(a, out=a)
+    s = np.matmul(p["v"], a)
+    if mask is not None:
+        s = np.where(mask > 0, s, np.float32(-1e9))
+    s = np.exp(s - s.max(0))
+    return (s * np.matmul(p["w"], h)).sum(0) / s.sum(0) + p["b"][0]
+
+
 def _back_direction(dstates, kept, mask, U, back):
     """Gradients of one direction: of its gates (T, B, 3H) and of U."""
     T, B, H = dstates.shape

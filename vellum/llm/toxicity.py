@@ -1,4 +1,4 @@
-"""Toxicity of whole documents: a recurrent network scores all overlapping windows.
+"""Toxicity of whole documents: a recurrent network scores overlapping windows.
 
 Training (on the driver, numpy): a bounded sample of labelled rows, at most
 ``SAMPLE`` documents of each label and ``SAMPLE_WINDOWS`` windows of each.
@@ -7,9 +7,9 @@ toxic document teaches with the windows that score highest. A fifth of the
 sample is kept from training and sets the map from a document's highest
 window logit to its score.
 
-Scoring (on Spark): one narrow pass without shuffle. Every document is cut
-into windows of ``WINDOW`` words that overlap, all windows are scored, the
-highest decides. A task holds a bounded table of words it has met and a
+Scoring (on Spark): one narrow pass without shuffle. A window of ``WINDOW``
+words starts every ``STRIDE`` words, all windows are scored, the highest
+decides. So any ``WINDOW - STRIDE + 1`` words in a row are read together. A task holds a bounded table of words it has met and a
 bounded number of windows.
 """
 
@@ -25,16 +25,17 @@ from vellum.llm.common import WordTable, batch, chunks, table
 
 SAMPLE = 2000
 SAMPLE_WINDOWS = 10
-WINDOW, STRIDE = 64, 56
+WINDOW, STRIDE = 64, 12
+TRAIN_STRIDE = 56  # training reads each word once or twice
 EPOCHS, BATCH, RATE = 9, 192, 0.01
 LEAST_STEPS = 150  # a small sample is read in more epochs
 WORD_DROP = 0.5
 FOLD = 5  # rows whose crc32 of the id is divisible by this are held out
 
 
-def window_starts(n: int) -> list[int]:
+def window_starts(n: int, stride: int | None = None) -> list[int]:
     """Starts of the windows that cover n words; the last ends with the text."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+    return [0] if n <= WINDOW else [*range(0, n - WINDOW, stride or STRIDE), n - WINDOW]
 
 
 def tokens(text: str | None) -> list[str]:
@@ -71,7 +72,7 @@ def _sample_windows(rows: DataFrame) -> list:
             out = []
             for i, y, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
                 words = tokens(t)
-                starts = window_starts(len(words))
+                starts = window_starts(len(words), TRAIN_STRIDE)
                 if len(starts) > SAMPLE_WINDOWS:
                     starts = [starts[k * len(starts) // SAMPLE_WINDOWS] for k in range(SAMPLE_WINDOWS)]
                 out += [(i, y, " ".join(w[:40] for w in words[s:s + WINDOW])) for s in starts]
@@ -136,18 +137,19 @@ def score_windows(p: dict, texts: list[list[str]]) -> np.ndarray:
     return _logits(p, words, texts, [(i, 0, len(t)) for i, t in enumerate(texts)])
 
 
-def _logits(p: dict, words: WordTable, texts: list[list[str]], windows: list[tuple[int, int, int]], at_once: int = 2048) -> np.ndarray:
+def _logits(p: dict, words: WordTable, texts: list[list[str]], windows: list[tuple[int, int, int]], at_once: int = 1024) -> np.ndarray:
     """Logits of (text number, start, length) windows."""
     ids = words.ids(texts)
     first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     w = np.array(windows).reshape(-1, 3)
     order = np.argsort(w[:, 2], kind="stable")
     out = np.empty(len(w))
+    gates = tuple(np.ascontiguousarray(x) for x in np.split(words.vectors, 2, 1))
     for k in range(0, len(w), at_once):
         part = order[k:k + at_once]
         sizes, begin = w[part, 2], first[w[part, 0]] + w[part, 1]
         cell = np.minimum(begin[None, :] + np.arange(sizes.max())[:, None], len(ids) - 1)
-        out[part] = gru.forward(p, words.vectors, ids[cell], sizes)
+        out[part] = gru.logits(p, gates, ids[cell], sizes)
     return out
 
 
