@@ -1,4 +1,5 @@
 import random
+from zlib import crc32
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -119,3 +120,22 @@ def test_scoring_pass_equals_training_pass():
         ids = rng.integers(0, 50, (64, 30))
         halves = tuple(np.ascontiguousarray(x) for x in np.split(gates, 2, 1))
         assert np.allclose(gru.forward(p, gates, ids, sizes), gru.logits(p, halves, ids, sizes), atol=1e-5)
+
+
+def test_held_out_labels_do_not_move_the_scale(spark, make):
+    rows = [(i, ("vermin " if i % 3 == 0 else "tree ") * 3 + "house river") for i in range(120)]
+    kept = [(i, 1, int(i % 3 == 0)) for i, _ in rows if crc32(str(i).encode()) % toxicity.FOLD]
+    fold = [(i, 1, 1) for i, _ in rows if crc32(str(i).encode()) % toxicity.FOLD == 0]
+    docs, schema = make(rows), "doc_id long, quality int, toxic int"
+    a, b = (toxicity.fit(docs, spark.createDataFrame(x, schema)) for x in (kept, kept + fold))
+    assert len(fold) > 5 and a.b != 0 and np.allclose([a.a, a.b], [b.a, b.b], rtol=1e-6)
+
+
+def test_training_takes_whole_words_and_any_window(spark):
+    text = " ".join(f"{'x' * 50}{k}" for k in range(64 + 56 * 30))
+    rows = spark.createDataFrame([(i, 0, text) for i in range(40)], "doc_id long, label int, text string")
+    windows = toxicity._sample_windows(rows)
+    assert len(windows) == 40 * toxicity.SAMPLE_WINDOWS
+    words = [w.split(" ") for _, _, w in windows]
+    assert all(len(x) > 50 for w in words for x in w)
+    assert {w[0] for w in words} == {f"{'x' * 50}{k}" for k in toxicity.window_starts(64 + 56 * 30, toxicity.TRAIN_STRIDE)}

@@ -15,6 +15,8 @@ bounded number of windows.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +66,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def _sample_windows(rows: DataFrame) -> list:
-    """Windows of the sampled documents, spread evenly over each."""
+    """Windows of the sampled documents, at most ``SAMPLE_WINDOWS`` of each, by hash of their place."""
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("words", pa.string())])
 
     def run(batches):
@@ -74,8 +76,8 @@ def _sample_windows(rows: DataFrame) -> list:
                 words = tokens(t)
                 starts = window_starts(len(words), TRAIN_STRIDE)
                 if len(starts) > SAMPLE_WINDOWS:
-                    starts = [starts[k * len(starts) // SAMPLE_WINDOWS] for k in range(SAMPLE_WINDOWS)]
-                out += [(i, y, " ".join(w[:40] for w in words[s:s + WINDOW])) for s in starts]
+                    starts = sorted(starts, key=lambda s: crc32(f"{i}/{s}".encode()))[:SAMPLE_WINDOWS]
+                out += [(i, y, " ".join(words[s:s + WINDOW])) for s in starts]
             if out:
                 yield batch(schema, [list(x) for x in zip(*out)])
 
@@ -208,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, epochs: int = EP
     x, y = np.array([r.x for r in got]), np.array([r.label for r in got], float)
     if len(set(y)) < 2:
         return plain
-    share = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
+    share = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id").cast("long"))).agg(F.avg("toxic")).first()[0]
     mine = y.mean()
     weight = np.where(y == 1, share / mine, (1 - share) / (1 - mine))
     return Model(p, *fit_scale(x, y, weight))
