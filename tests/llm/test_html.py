@@ -2,6 +2,7 @@ import re
 from html import unescape
 
 import pyarrow.parquet as pq
+import pytest
 
 from vellum.llm.html import extract, main_text, op8_html
 
@@ -72,3 +73,11 @@ def test_deep_nesting_keeps_order_and_time_in_proportion():
     assert main_text(html).split("\n\n") == words[-len(main_text(html).split("\n\n")):]
     closed = "<div>" * 20_000 + "<p>inner text, here</p>" + "</div>" * 20_000
     assert main_text(closed) == "inner text, here"
+
+
+@pytest.mark.parametrize("before", [
+    "<p class=notice>We use cookies", "<ul><li class=share>Share<li>x</ul>", "<table><tr><td class=ad>Buy<td>x</table>",
+    "<dl><dt class=ad>Buy<dd>x</dl>", "<div class=share>Share", "<p>x <span class=ad>Buy", "<p>x <span class=ad>Buy <span>now</span></span>"])
+def test_furniture_left_open_ends_as_other_elements_do(before):
+    text = main_text(f"<body><article>{before}<p>{LONG}<p>{LONG}</article></body>")
+    assert text.split("\n\n")[-2:] == [" ".join(LONG.split())] * 2 and "Buy" not in text and "cookies" not in text

@@ -2,8 +2,10 @@
 
 A page is read into a tree of block elements; inline elements only add to the
 text of the block they stand in. Elements that never hold the article
-(scripts, menus, forms, ...) and those whose class, id or role names
-furniture (adverts, sidebars, comments, ...) are left out. Every paragraph
+(scripts, menus, ...) are left out; so are forms and elements whose class or
+id is a name of furniture (adverts, sidebars, comments, ...), unless most of
+the page's paragraph points stand in them. Furniture is read by the same rules
+for tags left open as the rest. Every paragraph
 passes points for its length and commas to its ancestors, halved and then
 thinned with distance; an ancestor's points are discounted by the share of
 its text inside links. The best container is kept with its siblings that
@@ -29,11 +31,12 @@ from vellum.llm.common import batch, table
 # Names of HTML elements and of usual class names.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-LEFT_OUT = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "math", "object", "canvas",
-            "audio", "video", "fieldset", "datalist"}
+LEFT_OUT = {"head", "nav", "footer", "aside", "button", "select", "dialog", "menu", "svg", "math", "object", "canvas",
+            "audio", "video", "datalist"}
+UNLESS_MAIN = {"form", "fieldset"}  # left out, as furniture by class is, unless most of the page stands in it
 BLOCK = {"html", "body", "address", "article", "blockquote", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure",
          "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "li", "main", "ol", "p", "pre", "section", "summary", "table",
-         "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"} | LEFT_OUT
+         "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"} | LEFT_OUT | UNLESS_MAIN
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
@@ -43,7 +46,7 @@ FURNITURE = re.compile(
     r"newsletter|subscribe|signup|login|paywall|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|pagination|pager|footer|masthead|"
     r"topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|comments?|disqus|replies|respond|widget|tags?|"
     r"skip|search|hidden|sr-only|site-header|page-header)(?:$|[\s_-])", re.I)
-ROLE_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
+ROLE_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 LIKELY = re.compile(r"article|content|main|post|entry|story|text|body", re.I)
 TAG_POINTS = {"article": 25, "main": 15, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ol": -3, "ul": -3, "dl": -3}
 TEXT_BLOCK = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "figcaption", "address", "caption",
@@ -58,47 +61,49 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "depth", "points", "scored", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "depth", "points", "scored", "chars", "linked", "out", "open")
 
     def __init__(self, tag: str, parent: Node | None, points: float = 0.0):
         self.tag, self.parent, self.points = tag, parent, points
         self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []  # child nodes, and [text, linked text] runs between them
         self.scored = False
+        self.out = 0  # 1: left out unless most of the page stands in it, 2: left out
+        self.open = 1  # of an inline element that is left out: elements of its name open in it
         self.chars = self.linked = 0
 
 
-def _left_out(tag: str, attributes: str, node: Node) -> tuple[bool, float]:
-    """(is furniture, extra points) of an opened element."""
+def _left_out(tag: str, attributes: str, node: Node) -> tuple[int, float]:
+    """(how it is left out, as ``Node.out``; extra points) of an opened element."""
     if tag in LEFT_OUT:
-        return True, 0
+        return 2, 0
     if tag == "header":  # the page's, unless it stands in an article-like container
         inside = node
         while inside is not None and inside.points < 10:
             inside = inside.parent
         if inside is None:
-            return True, 0
-    extra = 0.0
+            return 2, 0
+    out, extra = int(tag in UNLESS_MAIN), 0.0
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True, 0
+                return 2, 0
             if name == "role" and value.lower() in ROLE_OUT:
-                return True, 0
+                return 2, 0
+            if name == "role" and value.lower() == "form":
+                out = 1
             if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
                 if FURNITURE.search(value):
-                    return True, 0
+                    out = 1
                 if LIKELY.search(value):
                     extra = 10.0
-    return False, extra
+    return out, extra
 
 
 def parse(html: str) -> Node:
-    """The tree of blocks, without furniture. Unclosed and stray tags are mended as browsers do."""
+    """The tree of blocks, furniture marked. Unclosed and stray tags are mended as browsers do."""
     root = node = Node("html", None)
-    skip: str | None = None  # inside left-out element of this name
-    depth = 0
     link = False
     at, end = 0, len(html)
     match = TOKEN.match
@@ -109,15 +114,14 @@ def parse(html: str) -> Node:
         if tag is None:
             text = m[0]
             if text[0] != "<" or len(text) == 1:
-                if skip is None:
-                    if "&" in text:
-                        text = unescape(text)
-                    if not node.parts or type(node.parts[-1]) is Node:
-                        node.parts.append([[], 0])
-                    run = node.parts[-1]
-                    run[0].append(text)
-                    if link:
-                        run[1] += len(text.strip())
+                if "&" in text:
+                    text = unescape(text)
+                if not node.parts or type(node.parts[-1]) is Node:
+                    node.parts.append([[], 0])
+                run = node.parts[-1]
+                run[0].append(text)
+                if link:
+                    run[1] += len(text.strip())
             continue
         tag = tag.lower()
         closing = m[1]
@@ -125,48 +129,49 @@ def parse(html: str) -> Node:
             found = re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at)
             at = found.end() if found else end
             continue
-        if skip is not None:
-            if tag == skip:
-                depth += -1 if closing else 0 if m[3].endswith("/") else 1
-                if depth == 0:
-                    skip = None
-            elif closing and tag in ("body", "html"):
-                skip = None
-            elif not closing and skip == "head" and tag == "body":
-                skip = None
-            continue
         if tag == "a":
             link = not closing
             continue
         if closing:
-            if tag in BLOCK:
+            if tag in ("body", "html"):  # ends all furniture left open
+                up = node
+                while up is not None:
+                    if up.out:
+                        node, link = up.parent, False
+                    up = up.parent
+            elif tag in BLOCK:
                 up = node
                 while up is not None and up.tag != tag:
                     up = up.parent
                 if up is not None and up.parent is not None:
                     node = up.parent
                     link = False
-                elif tag == "p":
-                    pass
+            elif tag == node.tag:
+                node.open -= 1
+                if not node.open:
+                    node, link = node.parent, False
             continue
         if tag in VOID:
             if tag in ("br", "hr") and node.parts and type(node.parts[-1]) is list:
                 node.parts[-1][0].append(" ")
             continue
+        block = tag in BLOCK and tag not in ("html", "body")
+        if node.tag == "head" and (block or tag == "body"):
+            node = node.parent
         out, extra = _left_out(tag, m[3], node)
-        if out:
-            if not m[3].endswith("/"):
-                if tag in BLOCK and node.tag == "p":
-                    node = node.parent
-                skip, depth = tag, 1
-            continue
-        if tag not in BLOCK or tag in ("html", "body"):
+        if tag in ("html", "body") or not block and not out:
+            if tag == node.tag and not m[3].endswith("/"):
+                node.open += 1
             continue
-        link = False
-        up = node
-        while up is not None and up.tag == "p":  # a block ends an open paragraph
-            up = up.parent
-        node = up or root
+        if block:
+            link = False
+            up = node
+            while up is not None and up.tag not in BLOCK:
+                up = up.parent
+            if up is not None and up.tag == "p":  # a block ends an open paragraph
+                while up is not None and up.tag == "p":
+                    up = up.parent
+                node = up or root
         if tag in CLOSED_BY:
             up = node
             while up is not None and up.tag not in HOLDS[tag]:
@@ -176,12 +181,54 @@ def parse(html: str) -> Node:
         if node.depth >= DEEPEST:
             node = node.parent
         new = Node(tag, node, TAG_POINTS.get(tag, 0) + extra)
+        new.out = out
         node.parts.append(new)
         if not m[3].endswith("/"):
             node = new
     return root
 
 
+def _points(own: str) -> float:
+    return min(1.0, len(own) / 25) + own.count(",") + min(len(own) / 100, 3)
+
+
+def _clean(root: Node) -> None:
+    """Take furniture out of the tree; of ``out`` 1 what holds most of the paragraph points left stays."""
+    order, stack, doubt = [], [root], False
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        doubt = doubt or n.out == 1
+        stack += [c for c in n.parts if type(c) is Node and c.out < 2]
+    if doubt:
+        held, total = {}, 0.0
+        for n in order:
+            held[n] = 0.0
+            for run in n.parts:
+                if type(run) is list and (own := _text(run[0])):
+                    held[n] += _points(own) * (1 - min(run[1], len(own)) / len(own))
+            total += held[n]
+        for n in reversed(order):  # children before parents
+            if n.out == 1:
+                n.out = 0 if held[n] > total / 2 else 1
+            if n.out:
+                total -= held[n]
+            elif n.parent is not None:
+                held[n.parent] += held[n]
+    for n in order:
+        parts: list = []
+        for x in n.parts:
+            if type(x) is Node:
+                if not x.out:
+                    parts.append(x)
+            elif parts and type(parts[-1]) is list:  # text on both sides of furniture
+                parts[-1][0] += x[0]
+                parts[-1][1] += x[1]
+            else:
+                parts.append(x)
+        n.parts = parts
+
+
 def _text(parts: list) -> str:
     return SPACE.sub(" ", "".join(parts)).strip()
 
@@ -209,7 +256,7 @@ def _score(root: Node) -> list[Node]:
             if type(run) is Node or not run[0]:
                 continue
             own = run[0]
-            points = min(1.0, len(own) / 25) + own.count(",") + min(len(own) / 100, 3)
+            points = _points(own)
             up, level = (n.parent or n, 0) if n.tag in TEXT_BLOCK else (n, 0)
             while up is not None:
                 if not up.scored:
@@ -237,6 +284,7 @@ def _blocks(n: Node, out: list[str]) -> None:
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by an empty line; empty if there is none."""
     root = parse(html or "")
+    _clean(root)
     scored = _score(root)
     if not scored:
         return ""
@@ -260,8 +308,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per input row.
 
-    Null html is empty; pages without text, or of furniture only, give an
-    empty text. Repeated rows come out alike; other columns are not read.
+    Null html is empty; pages without text give an empty text. Repeated rows come out alike; other columns are not read.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
