@@ -75,6 +75,15 @@ def test_deep_nesting_keeps_order_and_time_in_proportion():
     assert main_text(closed) == "inner text, here"
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "layout with-sidebar", "container has-banner", "main-wrap nav-fixed", "post tag-news",
+                                  "elementor-widget", "widget", "sidebar content"])
+def test_an_article_in_a_wrapper_named_like_furniture_stays(name):
+    want = [" ".join(LONG.split())] * 3
+    inner = f"<p>{LONG}<p>{LONG}<p>{LONG}<div class=share>Share this</div><div class=comments><p>{LONG} reader</p></div>"
+    assert main_text(f'<body><div class="{name}">{inner}</div></body>').split("\n\n") == want
+    assert main_text(f"<body><form action=x>{inner}<fieldset>Sign here</fieldset></form></body>").split("\n\n") == want
+
+
 @pytest.mark.parametrize("before", [
     "<p class=notice>We use cookies", "<ul><li class=share>Share<li>x</ul>", "<table><tr><td class=ad>Buy<td>x</table>",
     "<dl><dt class=ad>Buy<dd>x</dl>", "<div class=share>Share", "<p>x <span class=ad>Buy", "<p>x <span class=ad>Buy <span>now</span></span>"])

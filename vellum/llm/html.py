@@ -41,11 +41,12 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
              "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
          "tbody": {"table"}, "tfoot": {"table"}}
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|popup|modal|overlay|cookies?|consent|gdpr|notice|alert|"
-    r"newsletter|subscribe|signup|login|paywall|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|pagination|pager|footer|masthead|"
-    r"topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|comments?|disqus|replies|respond|widget|tags?|"
-    r"skip|search|hidden|sr-only|site-header|page-header)(?:$|[\s_-])", re.I)
+_WORDS = (r"(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|popup|modal|overlay|cookies?|consent|gdpr|notice|alert|"
+          r"newsletter|subscribe|signup|login|paywall|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|pagination|pager|footer|masthead|"
+          r"topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|comments?|disqus|replies|respond|widget|tags?|"
+          r"skip|search|hidden|sr-only|site-header|page-header)")
+# A whole class name or id of such words, or one of them with a name for its place.
+FURNITURE = re.compile(rf"(?<!\S){_WORDS}(?:[_-](?:{_WORDS}|area|bar|block|bottom|box|container|left|list|right|section|top|wrap|wrapper))*(?!\S)", re.I)
 ROLE_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 LIKELY = re.compile(r"article|content|main|post|entry|story|text|body", re.I)
 TAG_POINTS = {"article": 25, "main": 15, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ol": -3, "ul": -3, "dl": -3}
