@@ -104,3 +104,28 @@ def test_used_up_formats_get_longer_surrogates(make):
     assert len(set(mails)) == len(short) and not set(mails) & {f"{x[0]}@{x[1]}.de" for x in short}
     assert all(pii.EMAIL.fullmatch(x) for x in mails) and all(out[i][1].istitle() for i in out)
     assert all("Ա" <= c <= "և" for c in out[901][1])
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("ipv4", [f"192.168.100.{i}" for i in range(101, 121)]), ("phone", [f"555-123-45{i}" for i in range(60, 80)]),
+    ("phone", [f"555 123 45{i}" for i in range(60, 80)]), ("ssn", [f"123-45-67{i}" for i in range(60, 80)]),
+    ("card", ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012888888881881"] * 5), ("email", ["a" * n + "@example.com" for n in (63, 64, 65, 700)]),
+    ("email", ["анна@example.com"])])
+def test_lists_of_values_on_one_line(kind, values):
+    text = " ".join(values)
+    assert [text[a:b] for a, b, k, _ in pii.find(text) if k == kind] == values
+    new, _ = pii.rewrite(KEY, text, {})
+    assert not any(v in new for v in values)
+
+
+@pytest.mark.parametrize("n", [16, 512, 513, 5000, 40_000])
+def test_secrets_of_any_length(n):
+    value = ("aB3dE5gH" * n)[:n]
+    new, spans = pii.rewrite(KEY, f'key = "{value}" end', {})
+    assert [k for k, _, _ in spans] == ["secret"] and value[-16:] not in new and len(new) == n + 12
+    other, _ = pii.rewrite(KEY, f'key = "{value[:-1]}z" end', {})
+    assert other != new
+
+
+def test_numbers_in_words_stay():
+    assert pii.find("v1.2.3.4 x555-123-4567 555-123-4567abc 4111111111111111abc") == []

@@ -39,6 +39,7 @@ KEY = "vellum surrogate key"  # production runs pass their own
 BROADCAST = 20_000
 ROUNDS = 6
 GROW = 4
+PART = 32  # symbols of a long value permuted at once; a draw has 256 bits and must reach every symbol of half of twice as many
 
 # Titles by gender, and given names by (script, gender).
 TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Signor": "m", "Господин": "m",
@@ -58,14 +59,14 @@ LETTERS = {  # symbols that stand for one another
     "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
 }
 
-EMAIL = re.compile(r"[A-Za-z0-9À-ɏ][\w.%+-]{0,63}@(?:[A-Za-z0-9À-ɏ](?:[\w-]{0,62}\w)?\.)+[A-Za-z]{2,24}")
-NUMBER = re.compile(r"(?<![\w.])[+(]?\d(?:[\d .()/-]{5,40})\d(?![\w])")
-IPV4 = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")
-CARD = re.compile(r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)")
+EMAIL = re.compile(r"(?<![\w.%+-])[._%+-]*+([^\W_][\w.%+-]*+@(?:[^\W_](?:[\w-]{0,62}\w)?\.)+[^\W\d_]{2,24})")
+NUMBER = re.compile(r"[+(\d][\d .()/+-]{6,}+")  # a whole run; the patterns below hold no other characters
+IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d|\w)")
+CARD = re.compile(r"(?<!\w)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w)")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(0?\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)")
 SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-SECRET = re.compile(r"""(?<=[=:])\s{0,8}["'`]?([A-Za-z0-9_+/~-]{16,512}={0,2})(?=["'`]|[\s,;.!#&)|]|$)""")
+SECRET = re.compile(r"""(?<=[=:])\s{0,8}["'`]?([A-Za-z0-9_+/~-]{16,}+={0,2})(?=["'`]|[\s,;.!#&)|]|$)""")
 _WORD = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_][^\W\d_]+)?"
 NAME = re.compile(r"\b(?:(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ \t]+(" + _WORD + r")(?:[ \t]+(" + _WORD + r"))?|("
                   + "|".join(sorted((n for x in GIVEN.values() for n in x), key=len, reverse=True)) + r")[ \t]+(" + _WORD + r"))")
@@ -98,7 +99,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
     if "@" in text:
         for m in EMAIL.finditer(text):
-            add(*m.span(), "email", m[0].lower())
+            add(*m.span(1), "email", m[1].lower())
     for m in SECRET.finditer(text):
         value = m[1]
         if len(set(value)) >= 8 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
@@ -108,14 +109,17 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if 15 <= len(value) <= 34 and _iban_check(value[:2], value[4:]) == value[2:4]:
             add(*m.span(), "iban", value)
     for run in NUMBER.finditer(text):
-        a, b = run.span()
+        a, b = run.start(), run.end() + 1  # what follows the run must be seen
         for m in IPV4.finditer(text, a, b):
             if all(int(x) < 256 and str(int(x)) == x for x in m[0].split(".")):
                 add(*m.span(), "ipv4", m[0])
-        for m in CARD.finditer(text, a, b):
+        m = CARD.search(text, a, b)
+        while m:
             value = re.sub(r"\D", "", m[0])
-            if 13 <= len(value) <= 19 and luhn(value) == 0 and len(set(value)) > 1:
+            good = 13 <= len(value) <= 19 and luhn(value) == 0 and len(set(value)) > 1
+            if good:
                 add(*m.span(), "card", value)
+            m = CARD.search(text, m.end() if good else m.start() + 1, b)
         for m in SSN.finditer(text, a, b):
             add(*m.span(), "ssn", m[0].replace("-", ""))
         for m in PHONE.finditer(text, a, b):
@@ -192,9 +196,11 @@ def _classes(value: str, extra: str = "") -> tuple[list[int], list[str]]:
 def _reformed(key: str, tweak: str, value: str, extra: str = "") -> str:
     at, symbols = _classes(value, extra)
     out = list(value)
-    if at:
-        new = permute(key, tweak, [s.index(value[i]) for i, s in zip(at, symbols)], [len(s) for s in symbols])
-        for i, s, n in zip(at, symbols, new):
+    size = len(at) if len(at) <= 2 * PART else PART
+    for k in range(0, len(at), size or 1):  # parts of a long value, each under what stands before it
+        where, kinds = at[k:k + size], symbols[k:k + size]
+        own = f"{tweak}/{hashlib.blake2b(value[:where[0]].encode('utf-8', 'surrogatepass')).hexdigest()}" if k else tweak
+        for i, s, n in zip(where, kinds, permute(key, own, [s.index(value[i]) for i, s in zip(where, kinds)], [len(s) for s in kinds])):
             out[i] = s[n]
     return "".join(out)
 
