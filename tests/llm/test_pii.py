@@ -129,3 +129,18 @@ def test_secrets_of_any_length(n):
 
 def test_numbers_in_words_stay():
     assert pii.find("v1.2.3.4 x555-123-4567 555-123-4567abc 4111111111111111abc") == []
+
+
+def test_names_at_their_other_places():
+    text = "John Smith said so. Smith left, John stayed; SMITH's friend, smith by trade, met Smithson. Mary-Smith"
+    found = [(text[a:b], k) for a, b, k, _ in pii.find(text)]
+    assert found == [("John", "given"), ("Smith", "surname"), ("Smith", "surname"), ("John", "given"), ("SMITH", "surname"), ("Smith", "surname")]
+    new, _ = pii.rewrite(KEY, text, {})
+    assert "Smith " not in new and "John" not in new and "SMITH" not in new and "smith by" in new and "Smithson" in new
+    assert new.split()[1] == new.split()[4]
+
+
+@pytest.mark.parametrize("text,names", [("John F. Kennedy", ["John", "Kennedy"]), ("Mr. J. Smith", ["Smith"]), ("Dr. J.R.R. Tolkien", ["Tolkien"]),
+                                        ("Mary J Blige", ["Mary", "Blige"]), ("Prof. Anna B. C. Meyer", ["Anna", "Meyer"])])
+def test_initials_between(text, names):
+    assert [text[a:b] for a, b, _, _ in pii.find(text)] == names

@@ -3,7 +3,8 @@
 Detection: e-mail addresses, telephone numbers, IPv4 addresses, payment cards
 (Luhn-checked), IBANs (mod 97), US social security numbers, secrets after a
 key sign, and person names (after a title, or a known given name with a
-surname).
+surname, initials between them or not; then the same names at their other
+capitalised places in the text).
 
 Surrogates come from a keyed permutation of the values of one format: digits
 give digits, letters letters of the same script and kind, check digits are
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +70,10 @@ SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 SECRET = re.compile(r"""(?<=[=:])\s{0,8}["'`]?([A-Za-z0-9_+/~-]{16,}+={0,2})(?=["'`]|[\s,;.!#&)|]|$)""")
 _WORD = r"[^\W\d_][^\W\d_]+(?:-[^\W\d_][^\W\d_]+)?"
-NAME = re.compile(r"\b(?:(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ \t]+(" + _WORD + r")(?:[ \t]+(" + _WORD + r"))?|("
-                  + "|".join(sorted((n for x in GIVEN.values() for n in x), key=len, reverse=True)) + r")[ \t]+(" + _WORD + r"))")
+_INITIALS = r"(?:[^\W\d_]\.[ \t]*|[A-Z][ \t]+)*"
+WORD = re.compile(_WORD)
+NAME = re.compile(r"\b(?:(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ \t]+" + _INITIALS + "(" + _WORD + r")(?:[ \t]+" + _INITIALS + "(" + _WORD + r"))?|("
+                  + "|".join(sorted((n for x in GIVEN.values() for n in x), key=len, reverse=True)) + r")[ \t]+" + _INITIALS + "(" + _WORD + r"))")
 GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 
 
@@ -90,11 +94,12 @@ def _iban_check(country: str, rest: str) -> str:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value) of the entities, in order, not overlapping; earlier types win."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order
 
     def add(a, b, kind, value):
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        i = bisect_left(taken, (a, b))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b))
             found.append((a, b, kind, value))
 
     if "@" in text:
@@ -134,6 +139,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             given = m[k] in GENDER and k != 5 and (k != 3 or m[2] not in GENDER)
             if k != 4 or 5 in words:
                 add(*m.span(k), "given" if given else "surname", m[k] if given else m[k].lower())
+    names = {v for _, _, k, v in found if k in ("given", "surname")}
+    if names:  # the same names at their other places
+        for m in WORD.finditer(text):
+            words, at = ([m[0]] if m[0].lower() in names else m[0].split("-")), m.start()
+            for w in words:
+                if w in names and w in GENDER:
+                    add(at, at + len(w), "given", w)
+                elif w[:1].isupper() and w.lower() in names:
+                    add(at, at + len(w), "surname", w.lower())
+                at += len(w) + 1
     return sorted(found)
 
 
