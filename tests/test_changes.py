@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import make_docs, make_entities
+from builders import make_docs, make_entities
 from vellum.operators import changes as chg
 from vellum.schema import CHANGES
 

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import T0, make_docs, make_entities
+from builders import T0, make_docs, make_entities
 from vellum.functions.similarity import is_similar, jaro, jaro_winkler
 from vellum.operators import entities as en
 from vellum.operators import fuzzy as fz

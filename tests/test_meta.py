@@ -1,4 +1,4 @@
-from conftest import make_docs, make_entities
+from builders import make_docs, make_entities
 from vellum.operators import meta as me
 
 

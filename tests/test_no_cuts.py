@@ -1,6 +1,6 @@
 """Inputs that a cut, a cap or a loose pattern would get wrong."""
 import pytest
-from conftest import make_docs
+from builders import make_docs
 from pyspark.sql import functions as F
 
 from vellum.functions.paths import valid_segment

@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import make_docs
+from builders import make_docs
 from vellum.operators import index as ix
 from vellum.operators import search as se
 from vellum.operators import snippet as sn

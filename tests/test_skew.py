@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import make_docs, make_entities
+from builders import make_docs, make_entities
 from test_changes import apply, simulate
 from vellum.operators import index as ix
 from vellum.operators import search as se

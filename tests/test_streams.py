@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from conftest import make_docs, make_entities
+from builders import make_docs, make_entities
 from test_changes import log
 from vellum.operators import changes as chg
 from vellum.streaming import streams as st
