@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding of whole texts, by batched numpy merge rounds.
 
 Method: the texts of a batch are one flat byte array. It is cut where no piece
-of the vocabulary's pattern can cross (before a space between two characters
-that are not white space, and around special tokens); distinct chunks are
-found by dictionary encoding, and only those not met before are cut into words
-by the pattern and merged. The symbols of all new words lie in one flat array.
+of the vocabulary's pattern can cross (before white space, between letters,
+digits and other signs, and around special tokens); distinct chunks are
+found by dictionary encoding, and only these are cut into words by the pattern and
+merged. The symbols of all words lie in one flat array.
 A round looks every neighbouring pair up by binary search over the sorted pair
 keys of the merge table, takes each word's lowest rank and merges all its
 places, until no word has a pair left. Ids of the texts are then gathered from
@@ -17,8 +17,7 @@ place alone. A word of over ``LONG`` symbols (text without any cut) is merged
 by the same table from a heap, whose cost is not rounds times length.
 
 Scale: one narrow pass, nothing is shuffled. A task holds one slice of about
-``SLICE`` bytes (or one longer text), its distinct chunks, and at most
-``MEMO`` chunks met before.
+``SLICE`` bytes (or one longer text) and its distinct chunks.
 """
 
 from __future__ import annotations
@@ -39,8 +38,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import batch, table
 
 VOCABULARY = "byte_bpe_50k"
-SLICE = 4 << 20  # bytes of text handled at once
-MEMO = 300_000  # chunks kept between slices; then the memo starts anew
+SLICE = 16 << 20  # bytes of text handled at once
 LONG = 1024  # symbols of a word from which it is merged by itself
 NONE = np.int64(1 << 40)  # rank of a pair that is not in the table
 
@@ -48,7 +46,9 @@ NONE = np.int64(1 << 40)  # rank of a pair that is not in the table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE_2 = {0xC2: (0x85, 0xA0)}
 WHITE_3 = {(0xE1, 0x9A): (0x80,), (0xE2, 0x80): (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF), (0xE2, 0x81): (0x9F,), (0xE3, 0x80): (0x80,)}
-_ASCII_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+UNKNOWN, WHITE, LETTER, DIGIT, OTHER = range(5)
+_KIND = np.array([UNKNOWN if b > 127 or b == 39 else WHITE if b in (9, 10, 11, 12, 13, 32) else LETTER if chr(b).isalpha()
+                  else DIGIT if chr(b).isdigit() else OTHER for b in range(256)], np.uint8)
 
 
 def byte_characters() -> dict[str, int]:
@@ -58,19 +58,22 @@ def byte_characters() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
 
 
-def white_bytes(buf: np.ndarray) -> np.ndarray:
-    """Whether each byte belongs to a white-space character."""
-    out = _ASCII_WHITE[buf]
+def byte_kinds(buf: np.ndarray) -> np.ndarray:
+    """WHITE, LETTER, DIGIT or OTHER for each byte; UNKNOWN for apostrophes and for characters not looked at here."""
+    out = _KIND[buf]
+    at = np.flatnonzero(buf[:-1] == 0xC3)  # accented Latin letters, without the two signs among them
+    at = at[(buf[at + 1] != 0x97) & (buf[at + 1] != 0xB7)]
+    out[at] = out[at + 1] = LETTER
     for lead, seconds in WHITE_2.items():
         at = np.flatnonzero(buf[:-1] == lead)
         at = at[np.isin(buf[at + 1], seconds)]
-        out[at] = out[at + 1] = True
+        out[at] = out[at + 1] = WHITE
     for lead in {a for a, _ in WHITE_3}:
         at = np.flatnonzero(buf[:-2] == lead)
         for (a, b), thirds in WHITE_3.items():
             if a == lead:
                 hit = at[(buf[at + 1] == b) & np.isin(buf[at + 2], thirds)]
-                out[hit] = out[hit + 1] = out[hit + 2] = True
+                out[hit] = out[hit + 1] = out[hit + 2] = WHITE
     return out
 
 
@@ -85,11 +88,19 @@ def flat_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray, step: int = 1 << 19) -> np.ndarray:
     """The rows ``which`` of the ragged array (flat, offsets), one after another."""
-    n = (offsets[1:] - offsets[:-1])[which]
-    ends = np.cumsum(n)
-    return flat[np.repeat(offsets[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    lengths = offsets[1:] - offsets[:-1]
+    out = np.empty(int(lengths[which].sum()), flat.dtype)
+    at = 0
+    for a in range(0, len(which), step):  # bounds what is held besides the result
+        rows = which[a:a + step]
+        n = lengths[rows]
+        ends = np.cumsum(n)
+        size = int(ends[-1])
+        out[at:at + size] = flat[np.repeat(offsets[rows] - (ends - n), n) + np.arange(size)]
+        at += size
+    return out
 
 
 class Coder:
@@ -125,11 +136,11 @@ class Coder:
         self.whole_rounds = len(set(made.tolist())) == len(made) and bool(((first[left] < early) & (first[right] < early)).all())
         order = np.argsort(left << 32 | right)
         self.keys, self.ranks, self.made = (left << 32 | right)[order], order.astype(np.int64), made[order]
+        self.byte_rank, self.byte_made = self._lookup(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
         self.cut = regex.compile(PATTERN).findall
         self.newer = regex.compile("[԰-\U0010ffff]").search  # scripts in which Unicode versions differ
         self.find_special = regex.compile(b"|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))).finditer if self.special else None
         self._pre = None
-        self.memo: dict[bytes, np.ndarray] = {}
 
     # -- words
 
@@ -144,17 +155,16 @@ class Coder:
             self._pre = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b].encode() for _, (a, b) in self._pre.pre_tokenize_str(text)]
 
-    def _lookup(self, sym: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, result) of each neighbouring pair; ``joined`` is False across words."""
-        key = sym[:-1] << 32 | sym[1:]
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, result) of each pair."""
+        key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = (self.keys[at] == key) & joined
-        return np.where(hit, self.ranks[at], NONE), self.made[at]
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.made[at]
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the words, in order."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+    def merge(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of words given as bytes one after another, in order."""
+        whole = flat
+        sym = self.byte_id[flat]
         done_word, done_len, done_sym = [], [], []
         word = np.flatnonzero((lengths > 0) & (lengths <= LONG))
         starts_all = np.r_[0, np.cumsum(lengths)]
@@ -164,16 +174,17 @@ class Coder:
             done_len.append([len(out)])
             done_sym.append(np.array(out, np.int64))
         sym, n = gather(sym, starts_all, word), lengths[word]
+        pair = gather(whole, starts_all, word).astype(np.int64)
+        pair[:-1] = pair[:-1] << 8 | pair[1:]
+        rank, result = self.byte_rank[pair], self.byte_made[pair]  # searched once, for all pairs of bytes
+        last = np.cumsum(n) - 1  # a word's last symbol has no pair
+        todo = np.zeros(len(sym), bool)
         while len(word):
-            ends = np.cumsum(n)
-            starts = ends - n
-            rank = np.full(len(sym), NONE)
-            result = np.zeros(len(sym), np.int64)
-            joined = np.ones(len(sym), bool)
-            joined[ends - 1] = False
-            if len(sym) > 1:
-                rank[:-1], result[:-1] = self._lookup(sym, joined[:-1])
-            low = np.minimum.reduceat(rank, starts)
+            todo[last] = False
+            at = np.flatnonzero(todo)
+            rank[at], result[at] = self._lookup(sym[at], sym[at + 1])
+            rank[last] = NONE
+            low = np.minimum.reduceat(rank, last + 1 - n)
             live = low < NONE
             if not live.all():
                 done_word.append(word[~live])
@@ -181,28 +192,29 @@ class Coder:
                 keep = np.repeat(live, n)
                 done_sym.append(sym[~keep])
                 sym, rank, result, word, n, low = sym[keep], rank[keep], result[keep], word[live], n[live], low[live]
-                if not len(word):
-                    break
-                starts = np.cumsum(n) - n
             of = np.repeat(np.arange(len(word)), n)
             at = np.flatnonzero(rank == low[of])
             if self.whole_rounds:  # of overlapping places, every second one from the left
                 head = np.r_[True, np.diff(at) > 1]
-                run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - run) % 2 == 0]
+                run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0)) if len(at) else at
+                at = at[(np.arange(len(at)) - run) % 2 == 0] if len(at) else at
             else:
-                at = at[np.r_[True, of[at][1:] != of[at][:-1]]]
+                at = at[np.r_[True, of[at][1:] != of[at][:-1]]] if len(at) else at
             sym[at] = result[at]
             n = n - np.bincount(of[at], minlength=len(n))
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
-            sym = sym[stay]
+            todo = np.zeros(len(sym), bool)  # pairs that changed: those on both sides of a merged symbol
+            todo[at] = True
+            todo[np.maximum(at - 1, 0)] = True
+            sym, rank, result, todo = sym[stay], rank[stay], result[stay], todo[stay]
+            last = np.cumsum(n) - 1
         flat, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_len))
-        out = np.zeros(len(words), np.int64)
+        out = np.zeros(len(lengths), np.int64)
         if len(sizes):
             which = np.concatenate(done_word).astype(np.int64)
             out[which] = sizes
-            place = np.empty(len(words), np.int64)
+            place = np.empty(len(lengths), np.int64)
             place[which] = np.arange(len(which))
             flat = gather(flat, np.r_[0, np.cumsum(sizes)], place[lengths > 0])
         return flat, np.r_[0, np.cumsum(out)]
@@ -234,8 +246,11 @@ class Coder:
         """Where chunks begin, and the end; every text begins one."""
         begins = np.zeros(len(buf) + 1, bool)
         if len(buf) > 2:
-            white = white_bytes(buf)
-            begins[1:-2] = (buf[1:-1] == 32) & ~white[:-2] & ~white[2:]
+            kind = byte_kinds(buf)
+            before, here, after = kind[:-2], kind[1:-1], kind[2:]
+            white, plain = here == WHITE, (here != UNKNOWN) & (before != UNKNOWN)
+            begins[1:-2] = (white & (before != WHITE) & (before != UNKNOWN)) | (plain & ~white & (before != WHITE) & (here != before))
+            begins[1:-2] |= (buf[1:-1] == 32) & (before != WHITE) & (after != WHITE)
         begins[offsets] = True
         if self.find_special:
             data = buf.tobytes()
@@ -246,33 +261,39 @@ class Coder:
                         begins[m.start()] = begins[m.end()] = True
         return np.flatnonzero(begins)
 
-    def _chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of distinct chunks."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [c for c in chunks if c not in self.memo]
-        fresh: dict[bytes, np.ndarray] = {}
-        words, counts = [], []
-        for c in new:
-            got = [c] if c in self.special else self.words(c)
-            words += got
-            counts.append(len(got))
-        distinct = list(dict.fromkeys(words))
-        number = {w: i for i, w in enumerate(distinct)}
-        flat, offsets = self.merge(distinct)
-        if words:
-            which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            sizes = (offsets[1:] - offsets[:-1])[which]
-            ids, ends = gather(flat, offsets, which).astype(np.uint32), np.r_[0, np.cumsum(sizes)]
-            at = np.r_[0, np.cumsum(counts)]
-            for i, c in enumerate(new):
-                fresh[c] = ids[ends[at[i]]:ends[at[i + 1]]] if c not in self.special else np.array([self.special[c]], np.uint32)
-        for c, ids in fresh.items():
-            if len(c) <= 64:
-                self.memo[c] = ids.copy()
-        none = np.zeros(0, np.uint32)
-        parts = [fresh[c] if c in fresh else self.memo.get(c, none) for c in chunks]
-        return (np.concatenate(parts) if parts else none), np.r_[0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
+        buf, offsets = np.frombuffer(chunks.buffers()[2], np.uint8), np.frombuffer(chunks.buffers()[1], np.int64)
+        first, lengths = offsets[:-1], offsets[1:] - offsets[:-1]
+        # A chunk of letters only, with or without a space before them, is one word.
+        odd = np.r_[0, np.cumsum(byte_kinds(buf) != LETTER)]
+        simple = odd[offsets[1:]] - odd[first] - (buf[first] == 32) == 0
+        alone, rest = np.flatnonzero(simple), np.flatnonzero(~simple)
+        words: list[bytes] = []
+        counts = np.ones(len(chunks), np.int64)
+        special = []
+        for k, c in enumerate(chunks.take(pa.array(rest)).to_pylist(), len(alone)):
+            if c in self.special:
+                special.append((k, self.special[c]))
+                counts[k] = 0
+            else:
+                got = self.words(c)
+                words += got
+                counts[k] = len(got)
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        flat, of = self.merge(np.r_[gather(buf, offsets, alone), np.frombuffer(b"".join(number), np.uint8)],
+                              np.r_[lengths[alone], np.fromiter(map(len, number), np.int64, len(number))])
+        which = np.r_[np.arange(len(alone)), which + len(alone)]
+        ends = np.r_[0, np.cumsum((of[1:] - of[:-1])[which])][np.cumsum(counts)]
+        flat = gather(flat, of, which)
+        for k, i in reversed(special):
+            flat = np.insert(flat, ends[k], i)
+            ends[k:] += 1
+        place = np.empty(len(chunks), np.int64)
+        place[np.r_[alone, rest]] = np.arange(len(chunks))
+        ends = np.r_[0, ends]
+        return gather(flat.astype(np.uint32), ends, place), np.r_[0, np.cumsum((ends[1:] - ends[:-1])[place])]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a string column; null is empty."""
@@ -283,7 +304,7 @@ class Coder:
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(buf)])
         coded = column.dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        ids, of = self._chunk_ids(coded.dictionary.to_pylist())
+        ids, of = self._chunk_ids(coded.dictionary)
         ends = np.r_[0, np.cumsum((of[1:] - of[:-1])[which])]
         return gather(ids, of, which), ends[np.searchsorted(begins, offsets)]
 
