@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def keep(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared checkpoint folder and read back, and where it lies.
 
     Cuts the lineage with files that every executor can reach, so that a lost
     executor costs only the tasks that were running on it.
@@ -29,7 +29,18 @@ def store(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """The table of ``keep``."""
+    return keep(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``keep`` that nothing reads any more, through the file system it lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_uid(docs: DataFrame) -> DataFrame:

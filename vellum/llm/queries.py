@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.llm import exact, mixing, topk
+from vellum.llm import codes, exact, mixing, topk
+from vellum.llm.bpe import op11_bpe
+from vellum.llm.codes import op13_codes
 from vellum.llm.exact import op6_exact_dedup
 from vellum.llm.html import op8_html
 from vellum.llm.langid import op2_langid
@@ -25,10 +27,13 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_bpe": op11_bpe,
+    "op13_codes": op13_codes,
 }
 
 ORACLE = {
     "op4_topk": topk.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op6_exact_dedup": exact.ORACLE,
+    "op13_codes": codes.ORACLE,
 }
