@@ -15,109 +15,58 @@ of its last windows.
 
 from __future__ import annotations
 
-import base64
-from array import array
 from bisect import bisect_right
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import batch, chunks, doc_rows, store, table
+from vellum.llm.bpe import coder, slices
+from vellum.llm.common import batch, store, table
 
 WINDOW = 2048
 END_ID = 1
 GROUP = 4096
-VOCABULARY = "byte_bpe_50k"
 
 
-class Tokenizer:
-    """Token ids of whole texts as little-endian 32-bit bytes, memoised by word.
+def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None,
+           with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document cut into windows and a remainder.
 
-    Byte-level BPE never merges across the pieces its pattern cuts, and the
-    pattern cuts before every single space, so a text is looked up one
-    space-led chunk at a time; chunks and pieces not met before are encoded.
-    Texts where this doesn't hold (runs of spaces) are cut by the pattern;
-    texts beyond the scripts up to Hebrew go to the tokenizer whole.
+    Ids are the tokenizer's without added tokens but those that stand in the
+    text, then ``end_id``. Null ids and repeated rows are rows like any
+    others; null and empty texts are one end id; a text of any length is cut
+    whole. An empty table gives an empty result. Only doc_id and text are read.
     """
-
-    LIMIT = 250_000  # memoised chunks; then the memo starts anew
-
-    class _Memo(dict):
-        def __init__(self, encode):
-            self.encode = encode
-
-        def __missing__(self, key):
-            self[key] = out = self.encode(key)
-            return out
-
-    def __init__(self, path: str | None = None, ranks_path: str | None = None):
-        import public_tokenizers
-        import tiktoken
-
-        self.path = path or public_tokenizers.path(f"{VOCABULARY}.json")
-        with open(ranks_path or public_tokenizers.path(f"{VOCABULARY}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding(VOCABULARY, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.pieces = self._Memo(lambda p: array("I", coder._encode_single_piece(p)).tobytes())
-        self.chunks = self._Memo(lambda c: b"".join(map(self.pieces.__getitem__, cut(c))))
-        self.cut, self.other, self.plain = cut, None, regex.compile(r"[^\x00-֏]")
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.plain.search(text):
-            if self.other is None:
-                from tokenizers import Tokenizer as Whole
-
-                self.other = Whole.from_file(self.path)
-                self.other.encode_special_tokens = True
-            return array("I", self.other.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.chunks) + len(self.pieces) > 2 * self.LIMIT:
-            self.chunks.clear()
-            self.pieces.clear()
-        if "  " in text:
-            return b"".join(map(self.pieces.__getitem__, self.cut(text)))
-        first, *rest = text.split(" ")
-        get = self.chunks.__getitem__
-        return get(first) + b"".join([get(" " + c) for c in rest])
-
-
-@lru_cache(2)
-def _tokenizer(path: str | None, ranks_path: str | None) -> Tokenizer:
-    return Tokenizer(path, ranks_path)
-
-
-def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None,
-           ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(uid, doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document cut into windows and a remainder."""
-    fields = [("uid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
-              ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+              ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
-    sql = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    sql = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        tok = _tokenizer(path, ranks_path)
-        end = array("I", [end_id]).tobytes()
+        code = coder(path)
         for b in batches:
-            uid, doc, texts = (b.column(c).to_pylist() for c in ("uid", "doc_id", "text"))
-            for lo, hi in chunks(texts):
-                out = []
-                for i in range(lo, hi):
-                    data = tok.encode(texts[i]) + end
-                    n = len(data) // 4
-                    for s in range(0, n, window):
-                        part = data[4 * s:4 * (s + window)]
-                        row = (uid[i], doc[i], s, len(part) // 4, crc32(part), n)
-                        out.append(row + (np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else row)
-                yield batch(schema, [list(c) for c in zip(*out)])
-
-    return doc_rows(docs).mapInArrow(run, sql)
+            for lo, hi in slices(b.column("text")):
+                ids, offsets = code.encode(b.column("text").slice(lo, hi - lo))
+                ids = np.insert(ids, offsets[1:], end_id)  # one after each document
+                offsets = offsets + np.arange(len(offsets))
+                n = np.diff(offsets)
+                cuts = -(-n // window)
+                doc = np.repeat(np.arange(len(n)), cuts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * window
+                length = np.minimum(window, n[doc] - start)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                at = offsets[doc] + start
+                crc = [crc32(raw[4 * x:4 * y]) for x, y in zip(at.tolist(), (at + length).tolist())]
+                out = [b.column("doc_id").slice(lo, hi - lo).take(pa.array(doc)), start, length, crc, n[doc]]
+                if with_ids:  # pieces follow one another
+                    out.append(pa.ListArray.from_arrays(np.r_[at, len(ids)].astype(np.int32), ids.astype(np.int32)))
+                yield batch(schema, out)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, sql)
 
 
 def fill(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -177,13 +126,14 @@ def min_bin_slack(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
 
 
 def pack(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """Stored ``pieces`` with their sequence and place in it.
+    """``pieces`` with their sequence and place in it.
 
     Sequences have at most ``window`` tokens and no gaps. Pieces need not be
-    distinct; documents without text are one end id. An empty table gives an
-    empty result.
+    distinct: they are numbered as they are stored, and only the stored
+    numbers are read after. Of pieces of equal length any may come first. An
+    empty table gives an empty result.
     """
-    cut = cut.withColumn("row", F.monotonically_increasing_id())
+    cut = store(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     rest = cut.where(F.col("length") < window)
     groups = max(1, -(-rest.count() // group))
     schema = pa.schema([("row", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -208,19 +158,13 @@ def pack(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     return whole.drop("row").unionByName(rest.join(placed, "row").drop("row"))
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, group: int = GROUP, path: str | None = None,
-                   ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece.
-
-    Null and empty texts are one end id; null ids and repeated rows are
-    packed like any others. Only doc_id and text are read.
-    """
-    cut = store(pieces(docs, window, path=path, ranks_path=ranks_path), "pieces")
-    return pack(cut, window, group).drop("uid")
+def pack_documents(docs: DataFrame, window: int = WINDOW, group: int = GROUP, path: str | None = None) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece of ``pieces``."""
+    return pack(pieces(docs, window, path=path), window, group)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last one: pieces in sequences."""
+    """Pipeline stage, the last one: pieces in sequences, with the defined results of ``pieces`` and ``pack``."""
     return pack_documents(docs)
 
 
