@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum.session import ensure_checkpoint_dir
 
-#: Name of the row identity that stages add; chosen so that no input column clashes with it.
+#: Name of the row identity that stages add (see ``with_uid`` for inputs that have a column of this name).
 UID = "__row_uid"
 
 
@@ -43,20 +43,45 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    """``docs`` plus a row identity.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Rows are told apart by position in their stored table, so repeated rows
-    and null or repeated ids stay separate. The identity is stable as long as
-    ``docs`` is read from files (each pipeline stage reads a stored table).
-    """
-    return docs.withColumn(UID, F.monotonically_increasing_id())
 
+def with_uid(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` plus a row identity, and that column's name, which no column of ``docs`` has.
 
-def doc_rows(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text) of a documents table; other columns are not read."""
-    cols = [F.col(UID).alias("uid")] if UID in docs.columns else [F.monotonically_increasing_id().alias("uid")]
-    return docs.select(*cols, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    Rows are told apart by their place in the stored files, so repeated rows
+    and null or repeated ids stay separate. The identity is the file's number
+    (in the order of paths) and the row's number in the file: both are the
+    same in every scan, however files are split and tasks are run again. What
+    is no plain scan of files is written to the shared folder once with its
+    numbers, and only that copy is read. The list of files is collected, as
+    Spark's own file listing is.
+    """
+    spark, uid = docs.sparkSession, free_name(docs, UID)
+    scan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if not scan or "_metadata" in {c.lower() for c in docs.columns}:
+        return store(docs.withColumn(uid, F.monotonically_increasing_id()), "rows"), uid
+    path, number = free_name(docs, "__path"), free_name(docs, "__file")
+    placed = docs.withColumn(path, F.col("_metadata.file_path")).withColumn(uid, F.col("_metadata.row_index"))
+    files = sorted(r[0] for r in placed.select(path).distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), f"`{number}` long, `{path}` string")
+    return placed.join(F.broadcast(numbers), path).withColumn(
+        uid, F.shiftleft(number, 36).bitwiseOR(F.col(uid))).drop(path, number), uid
+
+
+def doc_rows(docs: DataFrame, uid: str | None = None) -> DataFrame:
+    """(uid, doc_id, text) of a documents table; other columns are not read.
+
+    Without the name of an identity column, ``uid`` numbers the rows of this
+    scan alone: enough where the result is stored before it is read again.
+    """
+    own = F.monotonically_increasing_id() if uid is None else F.col(uid)
+    return docs.select(own.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def chunks(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import UID, batch, chunks, doc_rows, store, table, with_uid
+from vellum.llm.common import batch, chunks, doc_rows, store, table, with_uid
 
 BUCKET_BYTES = 8 << 20
 KEY_BITS = 64
@@ -122,7 +122,7 @@ def directory(keyed: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> np.ndarray:
     return np.array(sorted(done), np.uint64)
 
 
-def index(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
+def index(docs: DataFrame, bounds: np.ndarray, uid: str | None = None) -> DataFrame:
     """(key, chain, sha, rows): every entry with its place among the texts of its key."""
 
     def spread(batches):
@@ -151,12 +151,12 @@ def index(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
                 places.append(place)
             yield batch(out, [b.column("key"), places, b.column("sha"), b.column("rows")])
 
-    owned = (doc_rows(docs).mapInArrow(spread, ENTRY_SQL).repartition(len(bounds), "bucket")
+    owned = (doc_rows(docs, uid).mapInArrow(spread, ENTRY_SQL).repartition(len(bounds), "bucket")
              .sortWithinPartitions("bucket", "key"))
     return store(owned.mapInArrow(own, "key long, chain int, sha string, rows array<struct<uid: long, doc_id: long>>"), "exact-index")
 
 
-def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, uid: str | None = None) -> DataFrame:
     """(uid, doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as
@@ -167,7 +167,7 @@ def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     columns of any name do no harm.
     """
     keyed = store(sizes(docs), "exact-keys")
-    entries = index(docs, directory(keyed, bucket_bytes))
+    entries = index(docs, directory(keyed, bucket_bytes), uid)
     best = F.array_max(F.transform("rows", lambda r: F.struct(r["doc_id"].alias("doc_id"), (-r["uid"]).alias("first"))))
     groups = entries.select("key", "chain", F.size("rows").alias("n"), best.alias("best")).groupBy("key", "chain").agg(
         F.max("best").alias("best"), F.sum("n").cast("long").alias("group_size"))
@@ -177,10 +177,14 @@ def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that stay, with the columns they came with."""
-    docs = with_uid(docs)
-    kept = exact_groups(docs).where("kept").select(F.col("uid").alias(UID))
-    return docs.join(kept, UID, "left_semi").drop(UID)
+    """Pipeline stage: the rows that stay, with the columns they came with.
+
+    The defined results are those of ``exact_groups``; columns of any name
+    pass through as they are.
+    """
+    docs, uid = with_uid(docs)
+    kept = exact_groups(docs, uid=uid).where("kept").select(F.col("uid").alias(uid))
+    return docs.join(kept, uid, "left_semi").drop(uid)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import UID, batch, chunks, doc_rows, store, table, with_uid
+from vellum.llm.common import batch, chunks, doc_rows, free_name, store, table, with_uid
 
 MIN_WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +89,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i + 1:]
 
 
-def all_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def all_lines(docs: DataFrame, uid: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(pos, h, near, k0..k3): every line that has words, with its hash and half keys. pos orders lines."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("near", pa.bool_())]
                        + [(f"k{i}", pa.int64()) for i in range(4)])
@@ -103,11 +103,11 @@ def all_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield batch(schema, [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], _signed([_hash(r[3]) for r in rows]),
                                      [len(r[3]) >= min_words - 1 for r in rows], *keys.T])
 
-    out = doc_rows(docs).mapInArrow(run, "uid long, doc_id long, line int, h long, near boolean, k0 long, k1 long, k2 long, k3 long")
+    out = doc_rows(docs, uid).mapInArrow(run, "uid long, doc_id long, line int, h long, near boolean, k0 long, k1 long, k2 long, k3 long")
     return out.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "line").alias("pos"), "h", "near", "k0", "k1", "k2", "k3")
 
 
-def near_links(docs: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def near_links(docs: DataFrame, uid: str, firsts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(place, partner): distinct lines with an earlier line within one edit.
 
     ``firsts`` has (place, uid, line, near, k0..k3), one row per distinct line;
@@ -124,7 +124,7 @@ def near_links(docs: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -
         for b in batches:
             yield batch(text_schema, [b.column("uid"), [coder.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]])
 
-    texts = doc_rows(docs).select("uid", "text").mapInArrow(squeeze, "uid long, packed binary").join(wanted, "uid").select("packed", "want")
+    texts = doc_rows(docs, uid).select("uid", "text").mapInArrow(squeeze, "uid long, packed binary").join(wanted, "uid").select("packed", "want")
     line_schema = pa.schema([("place", pa.int64()), ("words", pa.string())])
 
     def read(batches):
@@ -167,14 +167,14 @@ def near_links(docs: DataFrame, firsts: DataFrame, min_words: int = MIN_WORDS) -
     return pairs.mapInArrow(verify, "place long, partner long")
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, uid: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(uid, dropped): per row the line numbers (from 0, ascending) that repeat an earlier line, exactly or nearly."""
-    lines = store(all_lines(docs, min_words), "lines")
+    lines = store(all_lines(docs, uid, min_words), "lines")
     firsts = store(lines.groupBy("h").agg(F.min("pos").alias("pos"), F.max("near").alias("near"),
                                           *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]), "first-lines")
     firsts = store(firsts.repartitionByRange("pos").sortWithinPartitions("pos").withColumn("place", F.monotonically_increasing_id()).select(
         "place", "h", "pos", F.col("pos.uid").alias("uid"), F.col("pos.line").alias("line"), "near", "k0", "k1", "k2", "k3"), "placed-lines")
-    near = near_links(docs, firsts, min_words).select("place").distinct().withColumn("repeats", F.lit(True))
+    near = near_links(docs, uid, firsts, min_words).select("place").distinct().withColumn("repeats", F.lit(True))
     state = firsts.select("place", "h", F.col("pos").alias("first")).join(near, "place", "left")
     gone = lines.select("pos", "h").join(state, "h").where(F.coalesce("repeats", F.lit(False)) | (F.col("first") < F.col("pos")))
     return gone.groupBy(F.col("pos.uid").alias("uid")).agg(F.array_sort(F.collect_list("pos.line")).alias("dropped"))
@@ -184,23 +184,27 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(uid, doc_id, n_lines, n_dropped, dropped), one row per input row.
 
     Lines without words are kept. Null and empty texts are one empty line.
-    Repeated rows repeat their lines: the first in the table keeps them. Null
-    ids come after all others. An empty table gives an empty result.
+    Repeated rows repeat their lines: the first in the table keeps them. Of
+    lines equally early in the corpus none are: doc_id, row and line number
+    order them all. Null ids come after all others. A text of any length is
+    read whole. An empty table gives an empty result. Only doc_id and text are
+    read, so extra columns of any name do no harm.
     """
-    docs = docs if UID in docs.columns else with_uid(docs)
+    docs, uid = with_uid(docs)
     none = F.array().cast("array<int>")
-    rows = doc_rows(docs).select("uid", "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
-    return rows.join(dropped_lines(docs, min_words), "uid", "left").select(
+    rows = doc_rows(docs, uid).select("uid", "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
+    return rows.join(dropped_lines(docs, uid, min_words), "uid", "left").select(
         "uid", "doc_id", "n_lines", F.size(F.coalesce("dropped", none)).alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines; rows that lose none, and null texts, are as before."""
-    docs = with_uid(docs)
-    gone = dropped_lines(docs, min_words).withColumnRenamed("uid", UID).withColumnRenamed("dropped", "__dropped")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__dropped", i))
-    return docs.join(gone, UID, "left").withColumn(
-        "text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop(UID, "__dropped")
+    docs, uid = with_uid(docs)
+    drop = free_name(docs, "__dropped")
+    gone = dropped_lines(docs, uid, min_words).withColumnRenamed("uid", uid).withColumnRenamed("dropped", drop)
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(drop, i))
+    return docs.join(gone, uid, "left").withColumn(
+        "text", F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop(uid, drop)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import UID, table, with_uid
+from vellum.llm.common import free_name, table
 
 TEMPERATURE = 0.5
 SEED = 20240
@@ -80,28 +80,33 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
 
     The copy number replaces a column of its name in the input. Documents
     drawn zero times are absent. Rows of one id draw alike (also null ids,
-    and repeated rows); null and empty texts count as one character. An
-    empty table gives an empty result.
+    and repeated rows); null and empty texts count as one character, texts of
+    any length with all of theirs; a null source is a source. Ties cannot
+    arise. Columns of any name pass through (but ``copy``). An empty table
+    gives an empty result.
     """
     rates = source_rates(docs, weights, temperature, epochs).select(
         F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__steps"))
-    rows = with_uid(docs.drop(copy))
+    own = {name: free_name(docs, name) for name in ("__source", "__steps", "__u", "__n", "__order", "__row", "__own", "__salt")}
+    source, steps, u, n, order, row, salt_of, salt = own.values()
+    rates = rates.toDF(source, steps)
+    rows = docs.drop(copy).withColumn(row, F.monotonically_increasing_id())  # only spreads rows; nothing is found by it
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("__source")))
+        rows = rows.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col(source)))
     else:
-        rates = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__own", F.pmod(F.xxhash64(UID), F.lit(SALTS)).cast("int")).join(
-            rates, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
-    rows = rows.withColumn("__u", uniform(seed)).withColumn(
-        "__n", F.size(F.filter("__steps", lambda p: p <= F.col("__u"))))
-    rows = rows.where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__source", "__steps", "__u", "__n")
-    return (rows.withColumn("__order", F.xxhash64(F.lit(seed), UID, copy)).repartition("__order")
-            .sortWithinPartitions("__order").drop("__order", UID))
+        rates = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt_of, F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int")).join(
+            rates, F.col("source").eqNullSafe(F.col(source)) & (F.col(salt_of) == F.col(salt))).drop(salt_of, salt)
+    rows = rows.withColumn(u, uniform(seed)).withColumn(n, F.size(F.filter(steps, lambda p: p <= F.col(u))))
+    rows = rows.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(source, steps, u, n)
+    return (rows.withColumn(order, F.xxhash64(F.lit(seed), row, copy)).repartition(F.col(order))
+            .sortWithinPartitions(order).drop(order, row))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mixture, with the columns of documents."""
-    return mix(docs, copy="__copy").drop("__copy")
+    """Pipeline stage: the mixture, with the columns of documents and the defined results of ``mix``."""
+    copy = free_name(docs, "__copy")
+    return mix(docs, copy=copy).drop(copy)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import UID, batch, chunks, doc_rows, store, table, with_uid
+from vellum.llm.common import batch, chunks, doc_rows, store, table, with_uid
 
 KEY = "vellum surrogate key"  # production runs pass their own
 BROADCAST = 20_000
@@ -289,7 +289,7 @@ def rewrite(key: str, text: str, exceptions: dict) -> tuple[str, list[tuple[str,
     return "".join([*out, text[at:]]), spans
 
 
-def values_found(docs: DataFrame) -> DataFrame:
+def values_found(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """(uid, kind, value): the distinct entities of each row."""
     schema = pa.schema([("uid", pa.int64()), ("kind", pa.string()), ("value", pa.string())])
 
@@ -300,7 +300,7 @@ def values_found(docs: DataFrame) -> DataFrame:
                 rows = [(uid[i], k, v) for i in range(lo, hi) if texts[i] for k, v in {(k, v) for _, _, k, v in find(texts[i])}]
                 yield batch(schema, [[r[c] for r in rows] for c in range(3)])
 
-    return doc_rows(docs).select("uid", "text").mapInArrow(run, "uid long, kind string, value string")
+    return doc_rows(docs, uid).select("uid", "text").mapInArrow(run, "uid long, kind string, value string")
 
 
 def _surrogates(values: DataFrame, key: str) -> DataFrame:
@@ -345,11 +345,11 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     original value is returned. Texts without entities, empty and null texts
     come back as they are. Repeated rows come out alike.
     """
-    docs = docs if UID in docs.columns else with_uid(docs)
-    found = store(values_found(docs), "entities")
+    docs, uid = with_uid(docs)
+    found = store(values_found(docs, uid), "entities")
     values = store(found.select("kind", "value").distinct(), "entity-values")
     known = exceptions(values, key)
-    rows = doc_rows(docs)
+    rows = doc_rows(docs, uid)
     few = known.limit(BROADCAST + 1).collect()  # at most BROADCAST + 1 rows
     table_ = {(r.kind, r.value): r.new for r in few} if len(few) <= BROADCAST else {}
     if len(few) > BROADCAST:

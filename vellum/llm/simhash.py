@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import UID, batch, doc_rows, store, table, with_uid
+from vellum.llm.common import batch, doc_rows, store, table, with_uid
 from vellum.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -60,7 +60,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, uid: str | None = None) -> DataFrame:
     """(uid, doc_id, fp) with the fingerprint as a signed long."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
             fps = np.array([fingerprint(t.as_py(), shingle_words) for t in b.column("text")], np.uint64)
             yield batch(schema, [b.column("uid"), b.column("doc_id"), fps.view(np.int64)])
 
-    return doc_rows(docs).mapInArrow(run, "uid long, doc_id long, fp long")
+    return doc_rows(docs, uid).mapInArrow(run, "uid long, doc_id long, fp long")
 
 
 class Band:
@@ -254,7 +254,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bands: int = 3) -> DataFrame
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
-                       bands: int = 3) -> DataFrame:
+                       bands: int = 3, uid: str | None = None) -> DataFrame:
     """(uid, doc_id, fp, component_id, kept): near-duplicate groups of all documents.
 
     Documents link when their fingerprints differ in at most ``max_bits``
@@ -265,7 +265,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
     component_id. Repeated rows are rows of their own. An empty table gives
     an empty result. Only doc_id and text are read.
     """
-    rows = store(fingerprints(docs, shingle_words), "fingerprints")
+    rows = store(fingerprints(docs, shingle_words, uid), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     nodes = store(rows.groupBy("fp").agg(first), "nodes")
     found = connected_components(links(nodes, max_bits, bands))
@@ -278,10 +278,14 @@ def simhash_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that stay, with the columns they came with."""
-    docs = with_uid(docs)
-    kept = simhash_components(docs).where("kept").select(F.col("uid").alias(UID))
-    return docs.join(kept, UID, "left_semi").drop(UID)
+    """Pipeline stage: the rows that stay, with the columns they came with.
+
+    The defined results are those of ``simhash_components``; columns of any
+    name pass through as they are.
+    """
+    docs, uid = with_uid(docs)
+    kept = simhash_components(docs, uid=uid).where("kept").select(F.col("uid").alias(uid))
+    return docs.join(kept, uid, "left_semi").drop(uid)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
