@@ -102,10 +102,11 @@ def _term_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
 
 
 def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
-    """Phrases: every term at consecutive positions (slop 0) or each next term
-    at most ``slop`` extra positions after the previous one, in order.
+    """Phrases: every term at consecutive positions (slop 0), or all in order
+    with at most ``slop`` other positions between them, in all.
 
-    Phrase frequency = number of matches ending at the last term; idf is the
+    Phrase frequency = number of places of the last term at which the
+    narrowest match that ends there is narrow enough; idf is the
     sum of the terms' idfs. Candidate documents (every word of the phrase in
     the field) come from postings; positions are kept only in candidates
     before the position aggregations. Matched token rows are clustered once
@@ -138,28 +139,69 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
               .where(F.col("hits") == F.col("n")))
     exact = starts.groupBy(*doc_keys).agg(F.count(F.lit(1)).alias("pf"))
 
-    # slop > 0: walk the offsets in order over each term's sorted positions
-    per_off = (m.where(F.col("slop") > 0)
-               .groupBy(*doc_keys, "n", "slop", "offset")
-               .agg(F.array_sort(F.collect_list("pos")).alias("positions")))
-    grouped = (per_off.groupBy(*doc_keys, "n", "slop")
-               .agg(F.count(F.lit(1)).alias("hits"),
-                    F.array_sort(F.collect_list(F.struct("offset", "positions"))).alias("lists"))
-               .where(F.col("hits") == F.col("n")))
-    lists = F.col("lists")
-    walk = F.aggregate(
-        F.slice(lists, 2, F.greatest(F.col("n") - 1, F.lit(1))),
-        lists[0]["positions"],
-        lambda acc, x: F.filter(x["positions"], lambda p: F.exists(
-            acc, lambda s: (p > s) & (p <= s + 1 + F.col("slop")))),
-    )
-    sloppy = grouped.select(*doc_keys, F.size(walk).alias("pf"))
+    # slop > 0: one pass over the places of all words in order. ``starts[i]``
+    # is where the narrowest match of the first i + 1 words so far begins;
+    # at one place later words come first, so that no place serves twice.
+    place = F.struct("pos", (-F.col("offset")).alias("later"))
+    walked = (m.where(F.col("slop") > 0).groupBy(*doc_keys, "n", "slop")
+              .agg(F.array_sort(F.collect_list(place)).alias("places"), F.count_distinct("offset").alias("have"))
+              .where(F.col("have") == F.col("n")))
+    nothing = F.transform(F.sequence(F.lit(1), F.col("n")), lambda _: F.lit(None).cast("int"))
+    begin = F.struct(nothing.alias("starts"), F.lit(0).cast("long").alias("pf"))
+
+    def step(acc, x):
+        begins = F.when(x["later"] == 0, x["pos"]).otherwise(F.get(acc["starts"], -x["later"] - 1))
+        ends = (-x["later"] == F.col("n") - 1) & (x["pos"] - begins <= F.col("n") - 1 + F.col("slop"))
+        starts = F.transform(acc["starts"], lambda v, i: F.when(i == -x["later"], F.coalesce(begins, v)).otherwise(v))
+        return F.struct(starts.alias("starts"), (acc["pf"] + F.coalesce(ends, F.lit(False)).cast("long")).alias("pf"))
+
+    sloppy = walked.select(*doc_keys, F.aggregate("places", begin, step)["pf"].alias("pf"))
     scored = exact.unionByName(sloppy).where(F.col("pf") > 0)
     return scored.select("query_id", "clause_no", "occur", "doc_id",
                          bm25(F.col("boost") * F.col("idf_sum"), F.col("pf"), F.col("dl"),
                               F.col("avgdl")).alias("score"))
 
 
+def _node(term: Column) -> Column:
+    """The first two bytes of a term as a number; a missing byte is 0. Terms are ordered by bytes, so by this first."""
+    digits = F.rpad(F.substring(F.hex(F.encode(term, "UTF-8")), 1, 4), 4, "0")
+    return F.conv(digits, 16, 10).cast("int")
+
+
+def _expand(idx: Index, patterns: DataFrame, small: bool) -> DataFrame:
+    """Rows of ``patterns`` (kind range or prefix, field, terms) with each ``term`` of the dictionary they take.
+
+    The dictionary is cut by its terms' first byte and first two bytes. A
+    pattern goes to the cuts it covers: a prefix to one, a range to the whole
+    bytes between its ends and the byte pairs at both; so terms meet only the
+    patterns of their cuts, in an equi join, and are compared there.
+    """
+    lo, hi = F.get("terms", 0), F.get("terms", 1)
+    a, b = _node(lo), _node(hi)
+    byte, pair = F.lit(1), F.lit(2)
+
+    def cuts(level, start, stop):
+        return F.transform(F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<int>")),
+                           lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    low, high = F.shiftright(a, 8), F.shiftright(b, 8)
+    ends = F.when(low == high, cuts(pair, a, b)).otherwise(
+        F.concat(cuts(pair, a, low * 256 + 255), cuts(pair, high * 256, b)))
+    of_range = F.when(lo <= hi, F.concat(cuts(byte, low + 1, high - 1), ends))
+    size = F.octet_length(lo)
+    of_prefix = F.when(size >= 2, cuts(pair, a, a)).when(size == 1, cuts(byte, low, low)).otherwise(cuts(byte, F.lit(0), F.lit(255)))
+    routed = (patterns.withColumn("cut", F.explode(F.when(F.col("kind") == "range", of_range).otherwise(of_prefix)))
+              .select("*", F.col("cut.level").alias("level"), F.col("cut.node").alias("node")).drop("cut"))
+    node = _node(F.col("term"))
+    vocab = idx.term_stats.select("field", "term", F.explode(F.array(
+        F.struct(byte.alias("level"), F.shiftright(node, 8).alias("node")),
+        F.struct(pair.alias("level"), node.alias("node")))).alias("cut")).select(
+        "field", "term", F.col("cut.level").alias("level"), F.col("cut.node").alias("node"))
+    t = F.col("term")
+    takes = F.when(F.col("kind") == "range", (t >= lo) & (t <= hi)).otherwise(t.startswith(lo))
+    return vocab.join(_small(routed, small), ["field", "level", "node"]).where(takes)
+
+
 def _constant_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     """Set, range and prefix clauses: constant score ``boost`` per matching field.
 
@@ -171,14 +213,8 @@ def _constant_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     cl = cl.select("query_id", "clause_no", "occur", "boost", "field", "kind", "terms")
     sets = cl.where(F.col("kind") == "set").select(
         "query_id", "clause_no", "occur", "boost", "field", F.explode("terms").alias("term"))
-    patterns = _small(cl.where(F.col("kind").isin("range", "prefix")), small)
-    vocab = idx.term_stats.select("field", "term")
-    t = F.col("term")
-    cond = (vocab["field"] == patterns["field"]) & (
-        ((patterns["kind"] == "range") & (t >= F.get(patterns["terms"], 0)) & (t <= F.get(patterns["terms"], 1)))
-        | ((patterns["kind"] == "prefix") & t.startswith(F.get(patterns["terms"], 0))))
-    expanded = vocab.join(patterns, cond).select(
-        "query_id", "clause_no", "occur", "boost", vocab["field"], "term")
+    patterns = cl.where(F.col("kind").isin("range", "prefix"))
+    expanded = _expand(idx, patterns, small).select("query_id", "clause_no", "occur", "boost", "field", "term")
     # A range or prefix can expand to much of the vocabulary: count it.
     wanted = _with_bucket(idx, sets.unionByName(expanded))
     post, keys = postings_for(idx, ["field", "term", "doc_id"])
@@ -197,11 +233,9 @@ def _phrase_prefix_matches(idx: Index, clauses: DataFrame, small: bool) -> DataF
           .select("query_id", "clause_no", "occur", "boost", "field", F.size("terms").alias("n"), "terms"))
     fixed = cl.select("query_id", "clause_no", "occur", "boost", "field", "n",
                       F.posexplode(F.slice("terms", 1, F.size("terms") - 1)).alias("offset", "term"))
-    last = _small(cl.select("query_id", "clause_no", "occur", "boost", "field", "n",
-                            (F.col("n") - 1).alias("offset"), F.element_at("terms", -1).alias("prefix")), small)
-    vocab = idx.term_stats.select("field", "term")
-    expanded = vocab.join(last, (vocab["field"] == last["field"]) & vocab["term"].startswith(last["prefix"])) \
-        .select("query_id", "clause_no", "occur", "boost", vocab["field"], "n", "offset", "term")
+    last = cl.select("query_id", "clause_no", "occur", "boost", "field", "n", (F.col("n") - 1).alias("offset"),
+                     F.lit("prefix").alias("kind"), F.array(F.element_at("terms", -1)).alias("terms"))
+    expanded = _expand(idx, last, small).select("query_id", "clause_no", "occur", "boost", "field", "n", "offset", "term")
     words = _with_bucket(idx, fixed.unionByName(expanded))
     pos, keys = postings_for(idx, ["field", "term", "doc_id", "pos"], table="positions")
     m = pos.join(bounded_broadcast(words), keys)
@@ -270,7 +304,8 @@ def match(idx: Index, clauses: DataFrame) -> DataFrame:
 def _match(idx: Index, clauses: DataFrame):
     clauses = normalize(clauses)
     prof = clause_profile(clauses)
-    bound = (sum(n * t for n, t, _, _ in prof.values()) * len(TEXT_FIELDS)
+    cuts = 768 * sum(n for kind, (n, *_) in prof.items() if kind in ("range", "prefix", "phrase_prefix"))  # see _expand
+    bound = ((sum(n * t for n, t, _, _ in prof.values()) + cuts) * len(TEXT_FIELDS)
              + sum(n for n, _, _, _ in prof.values()))
     small = bound <= BROADCAST_ROW_LIMIT
     all_clauses = clauses.unionByName(_entity_clauses(clauses))

@@ -364,41 +364,51 @@ SELECT seq, name FROM ch WHERE op = 'save' AND name NOT IN (SELECT name FROM doc
 
 # ------------------------------------------------------------------ search forms
 
-QT3 = """
-qt3 AS (
-  SELECT query_id, max(term) FILTER (WHERE clause_no = 0) AS t1,
-         max(term) FILTER (WHERE clause_no = 1) AS t2, max(term) FILTER (WHERE clause_no = 2) AS t3
-  FROM qterms GROUP BY query_id
+# All words of each text; t0 to t4 are the word of a place and those behind it.
+PLACES_SQL = """
+qw AS (
+  SELECT query_id, clause_no AS place, term AS t0,
+         lead(term, 1) OVER w AS t1, lead(term, 2) OVER w AS t2, lead(term, 4) OVER w AS t4
+  FROM qterms WINDOW w AS (PARTITION BY query_id ORDER BY clause_no)
+),
+qlist AS (SELECT item_id AS query_id, coalesce(l.terms, CAST([] AS VARCHAR[])) AS terms FROM benchmark
+          LEFT JOIN (SELECT query_id, list(term ORDER BY clause_no) AS terms FROM qterms GROUP BY query_id) l ON l.query_id = item_id),
+qsorted AS (
+  SELECT query_id, row_number() OVER w - 1 AS place, term AS t0, lead(term) OVER w AS t1
+  FROM (SELECT DISTINCT query_id, term FROM qterms) WINDOW w AS (PARTITION BY query_id ORDER BY term)
 )"""
 
+HERE = "query_id * 1048576 + place"
+
 
-def clause_sql(no, kind, terms, occur="should", field="NULL", slop="NULL", boost="1.0",
+def clause_sql(source, query, no, kind, terms, occur="should", field="NULL", slop="NULL", boost="1.0",
                entity="NULL", k="10"):
-    return (f"SELECT query_id, {no} AS clause_no, '{occur}' AS occur, '{kind}' AS kind, "
-            f"CAST({field} AS VARCHAR) AS field, [{', '.join(terms)}]::VARCHAR[] AS terms, "
+    terms = f"[{', '.join(terms)}]::VARCHAR[]" if isinstance(terms, list) else terms
+    return (f"SELECT {query} AS query_id, {no} AS clause_no, '{occur}' AS occur, '{kind}' AS kind, "
+            f"CAST({field} AS VARCHAR) AS field, {terms} AS terms, "
             f"CAST({slop} AS INTEGER) AS slop, CAST({boost} AS DOUBLE) AS boost, "
-            f"CAST({entity} AS VARCHAR) AS entity, {k} AS k FROM qt3")
+            f"CAST({entity} AS VARCHAR) AS entity, {k} AS k FROM {source}")
 
 
+PAIRS = "qw WHERE t1 IS NOT NULL"
 FORMS = {
-    "term": [clause_sql(0, "term", ["t1"])],
-    "and": [clause_sql(0, "term", ["t1"], "must"), clause_sql(1, "term", ["t2"], "must")],
-    "not": [clause_sql(0, "term", ["t1"]), clause_sql(1, "term", ["t2"], "must_not")],
-    "phrase": [clause_sql(0, "phrase", ["t1", "t2"])],
-    "phrase_slop": [clause_sql(0, "phrase", ["t1", "t3"], slop="1")],
-    "field": [clause_sql(0, "term", ["t1"], field="'title'"),
-              clause_sql(1, "term", ["t2"], field="'content'")],
-    "exact": [clause_sql(0, "exact", ["'doc-' || CAST(query_id * 7 AS VARCHAR)"], field="'name'"),
-              clause_sql(1, "term", ["t1"])],
-    "boost": [clause_sql(0, "term", ["t1"], boost="2.0"), clause_sql(1, "term", ["t2"], boost="1.0"),
-              clause_sql(2, "term", ["t3"], boost="0.5")],
-    "entity": [clause_sql(i, "term", [t], entity="'src' || CAST(query_id % 20 AS VARCHAR)")
-               for i, t in enumerate(["t1", "t2", "t3"])],
-    "set": [clause_sql(0, "set", ["t1", "t2", "t3"])],
-    "range": [clause_sql(0, "range", ["least(t1, t2)", "greatest(t1, t2)"])],
-    "prefix": [clause_sql(0, "prefix", ["substr(t1, 1, 3)"])],
-    "phrase_prefix": [clause_sql(0, "prefix", ["t1", "substr(t2, 1, 2)"])],
-    "all": [clause_sql(0, "all", []), clause_sql(1, "term", ["t1"])],
+    "term": [clause_sql("qw", HERE, 0, "term", ["t0"])],
+    "and": [clause_sql(PAIRS, HERE, 0, "term", ["t0"], "must"), clause_sql(PAIRS, HERE, 1, "term", ["t1"], "must")],
+    "not": [clause_sql(PAIRS, HERE, 0, "term", ["t0"]), clause_sql(PAIRS, HERE, 1, "term", ["t1"], "must_not")],
+    "phrase": [clause_sql("qw", HERE, 0, "phrase", ["t0", "t1"])],
+    "phrase_slop": [clause_sql("qw", HERE, 0, "phrase", ["t0", "t2", "t4"], slop="2")],
+    "field": [clause_sql("qw", "query_id", "place", "term", ["t0"],
+                         field="CASE WHEN place % 2 = 0 THEN 'title' ELSE 'content' END")],
+    "exact": [clause_sql("qlist", "query_id", 0, "exact", ["'doc-' || CAST(query_id * 7 AS VARCHAR)"], field="'name'"),
+              clause_sql("qw", "query_id", "place + 1", "term", ["t0"])],
+    "boost": [clause_sql("qw", "query_id", "place", "term", ["t0"],
+                         boost="CASE place % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 1.0 ELSE 0.5 END")],
+    "entity": [clause_sql("qw", "query_id", "place", "term", ["t0"], entity="'src' || CAST(query_id % 20 AS VARCHAR)")],
+    "set": [clause_sql("qlist WHERE len(terms) > 0", "query_id", 0, "set", "terms")],
+    "range": [clause_sql("qsorted", "query_id", "place", "range", ["t0", "t1"])],
+    "prefix": [clause_sql("qw", HERE, 0, "prefix", ["substr(t0, 1, 3)"])],
+    "phrase_prefix": [clause_sql("qw", HERE, 0, "prefix", ["t0", "substr(t1, 1, 2)"])],
+    "all": [clause_sql("qlist", "query_id", 0, "all", []), clause_sql("qw", "query_id", "place + 1", "term", ["t0"])],
 }
 
 IDF_OF = "ln(1 + (n.n - coalesce(s.df, 0) + 0.5) / (coalesce(s.df, 0) + 0.5))"
@@ -452,29 +462,39 @@ pf0 AS (
     HAVING count(*) = max(n))
   GROUP BY query_id, clause_no, occur, boost, f, doc_id
 ),
+psl AS (
+  SELECT query_id, clause_no, occur, boost, f, doc_id, slop, n, list(pos) FILTER (WHERE off = 0) AS p0,
+         list(pos) FILTER (WHERE off = 1) AS p1, list(pos) FILTER (WHERE off = 2) AS p2
+  FROM ppos WHERE slop > 0 GROUP BY query_id, clause_no, occur, boost, f, doc_id, slop, n
+),
 pf1 AS (
-  SELECT b.query_id, b.clause_no, b.occur, b.boost, b.f, b.doc_id, count(DISTINCT b.pos) AS pf
-  FROM ppos a JOIN ppos b ON a.query_id = b.query_id AND a.clause_no = b.clause_no AND a.f = b.f
-   AND a.doc_id = b.doc_id AND a.off = 0 AND b.off = 1
-   AND b.pos > a.pos AND b.pos <= a.pos + 1 + a.slop
-  WHERE a.slop > 0 AND a.n = 2
-  GROUP BY b.query_id, b.clause_no, b.occur, b.boost, b.f, b.doc_id
+  SELECT query_id, clause_no, occur, boost, f, doc_id,
+         CASE WHEN n = 2 THEN len(list_filter(p1, lambda e: e - list_max(list_filter(p0, lambda x: x < e)) <= 1 + slop))
+              ELSE len(list_filter(p2, lambda e: e - list_max(list_filter(p0, lambda x: x < list_max(list_filter(p1, lambda y: y < e)))) <= 2 + slop))
+         END AS pf
+  FROM psl
 ),
 pm AS (
   SELECT x.query_id, x.clause_no, x.occur, x.doc_id,
          {bm25_sql('x.boost * i.idf_sum', 'x.pf', 'd.dl', 'k.avgdl')} AS score
-  FROM (SELECT * FROM pf0 UNION ALL SELECT * FROM pf1) x
+  FROM (SELECT * FROM pf0 UNION ALL SELECT * FROM pf1 WHERE pf > 0) x
   JOIN pidf i ON i.query_id = x.query_id AND i.clause_no = x.clause_no AND i.f = x.f
   JOIN alldl d ON d.doc_id = x.doc_id AND d.field = x.f
   JOIN corp k ON k.field = x.f
 ),
+vocab AS (SELECT field, term FROM dfs),
+cx AS (
+  SELECT query_id, clause_no, occur, f, boost, unnest(terms) AS term FROM cf WHERE kind = 'set'
+  UNION ALL
+  SELECT c.query_id, c.clause_no, c.occur, c.f, c.boost, v.term
+  FROM (SELECT * FROM cf WHERE kind = 'range') c JOIN vocab v ON v.field = c.f AND v.term >= c.terms[1] AND v.term <= c.terms[2]
+  UNION ALL
+  SELECT c.query_id, c.clause_no, c.occur, c.f, c.boost, v.term
+  FROM (SELECT * FROM cf WHERE kind = 'prefix' AND len(terms) = 1) c JOIN vocab v ON v.field = c.f AND starts_with(v.term, c.terms[1])
+),
 cm AS (
   SELECT DISTINCT c.query_id, c.clause_no, c.occur, c.f, p.doc_id, c.boost AS score
-  FROM cf c JOIN allpost p ON p.field = c.f AND (
-       (c.kind = 'set' AND list_contains(c.terms, p.term))
-    OR (c.kind = 'range' AND p.term >= c.terms[1] AND p.term <= c.terms[2])
-    OR (c.kind = 'prefix' AND len(c.terms) = 1 AND starts_with(p.term, c.terms[1])))
-  WHERE c.kind IN ('set', 'range', 'prefix')
+  FROM cx c JOIN allpost p ON p.field = c.f AND p.term = c.term
 ),
 ppre AS (
   SELECT query_id, clause_no, occur, boost, f, len(terms) AS n,
@@ -527,7 +547,7 @@ matched AS (
 
 
 def search_sql(clauses0: str) -> str:
-    return with_ctes(DOCS, FIELD_TEXTS, QTERMS, QT3, f"clauses0 AS ({clauses0})", ENGINE)
+    return with_ctes(DOCS, FIELD_TEXTS, QTERMS, PLACES_SQL, f"clauses0 AS ({clauses0})", ENGINE)
 
 
 def topk_matched_sql() -> str:
@@ -553,9 +573,10 @@ ORACLE["search_topk"] = (
     + topk_sql("agg", "3"))
 
 ORACLE["search_single"] = search_sql(
-    "SELECT DISTINCT 0 AS query_id, hash(t1) AS clause_no, 'should' AS occur, 'term' AS kind, "
-    "CAST(NULL AS VARCHAR) AS field, [t1] AS terms, CAST(NULL AS INTEGER) AS slop, 1.0 AS boost, "
-    "CAST(NULL AS VARCHAR) AS entity, 10 AS k FROM qt3 WHERE t1 IS NOT NULL") + """
+    "SELECT 0 AS query_id, term AS clause_no, 'should' AS occur, 'term' AS kind, "
+    "CAST(NULL AS VARCHAR) AS field, [term] AS terms, CAST(NULL AS INTEGER) AS slop, 1.0 AS boost, "
+    "CAST(NULL AS VARCHAR) AS entity, 10 AS k FROM (SELECT DISTINCT term FROM qterms)") .replace(
+        "SELECT DISTINCT query_id, -1, 'filter'", "SELECT DISTINCT query_id, '-1', 'filter'") + """
 SELECT doc_id, round(score, 6) AS score FROM matched ORDER BY round(score, 6) DESC, doc_id LIMIT 10"""
 
 # ------------------------------------------------------------------ hits

@@ -10,8 +10,7 @@ Mapping (fixed, shared with the DuckDB oracle in ``vellum.plans.oracle``):
 * entities = distinct sources (with documents) and kebab-cased nation names
   (without documents); id ``'ent-' || name``; scope ``knowledge`` when the
   trailing number is even, else ``project``.
-* queries: all terms of each ``benchmark`` text (forms of one, two or three
-  words take its first ones).
+* queries: all terms of each ``benchmark`` text.
 * changes: the ``events`` table as an ordered change log.
 """
 
@@ -166,53 +165,70 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PLACES = 1 << 20  # query numbers kept free for the places of one text
+
+
 def benchmark_clauses(spark: SparkSession, sf_dir: str, form: str, k: int = 10) -> DataFrame:
-    """Clause tables for the search forms, from the first terms t1, t2, t3 of
-    each benchmark text (see ``vellum.operators.search`` for the columns)."""
-    q = query_terms(spark, sf_dir).select(
-        "query_id", *[F.get(F.col("terms"), i).alias(f"t{i + 1}") for i in range(3)])
-    t1, t2, t3 = F.col("t1"), F.col("t2"), F.col("t3")
+    """Clause tables for the search forms, from all words of each benchmark text.
+
+    Forms whose clauses stand together (field, exact, boost, entity, set,
+    range, all) make one query a text, with a clause a word. The others make
+    one query a place of the text (``query_id * PLACES + place``), from the
+    word there and the ones behind it. A place near the end of a text that
+    lacks words for the form gives no query.
+    """
+    q = query_terms(spark, sf_dir)
+    behind = [F.get(F.col("terms"), F.col("place") + i) for i in range(5)]
+    w = q.select("query_id", "terms", F.posexplode("terms").alias("place", "t0")).select(
+        "query_id", "place", *[x.alias(f"t{i}") for i, x in enumerate(behind)])
+    t = [F.col(f"t{i}") for i in range(5)]
+    here, place = F.col("query_id") * PLACES + F.col("place"), F.col("place")
     none = F.lit(None).cast("string")
 
-    def c(no, kind, terms, occur="should", field=none, slop=None, boost=1.0, entity=none):
-        return q.select(
-            "query_id", F.lit(no).alias("clause_no"), F.lit(occur).alias("occur"),
-            F.lit(kind).alias("kind"), field.alias("field"), F.array(*terms).alias("terms"),
-            F.lit(slop).cast("int").alias("slop"), F.lit(boost).cast("double").alias("boost"),
+    def c(rows, query, no, kind, terms, occur="should", field=none, slop=None, boost=F.lit(1.0), entity=none):
+        return rows.select(
+            query.alias("query_id"), no.cast("int").alias("clause_no"), F.lit(occur).alias("occur"),
+            F.lit(kind).alias("kind"), field.alias("field"),
+            (F.array(*terms).cast("array<string>") if isinstance(terms, list) else terms).alias("terms"),
+            F.lit(slop).cast("int").alias("slop"), boost.cast("double").alias("boost"),
             entity.alias("entity"), F.lit(k).alias("k"))
 
+    text, first, second = F.col("query_id"), F.lit(0), F.lit(1)
     if form == "term":
-        parts = [c(0, "term", [t1])]
+        parts = [c(w, here, first, "term", [t[0]])]
     elif form == "and":
-        parts = [c(0, "term", [t1], "must"), c(1, "term", [t2], "must")]
+        pairs = w.where(t[1].isNotNull())
+        parts = [c(pairs, here, first, "term", [t[0]], "must"), c(pairs, here, second, "term", [t[1]], "must")]
     elif form == "not":
-        parts = [c(0, "term", [t1]), c(1, "term", [t2], "must_not")]
+        pairs = w.where(t[1].isNotNull())
+        parts = [c(pairs, here, first, "term", [t[0]]), c(pairs, here, second, "term", [t[1]], "must_not")]
     elif form == "phrase":
-        parts = [c(0, "phrase", [t1, t2])]
+        parts = [c(w, here, first, "phrase", [t[0], t[1]])]
     elif form == "phrase_slop":
-        parts = [c(0, "phrase", [t1, t3], slop=1)]
+        parts = [c(w, here, first, "phrase", [t[0], t[2], t[4]], slop=2)]
     elif form == "field":
-        parts = [c(0, "term", [t1], field=F.lit("title")), c(1, "term", [t2], field=F.lit("content"))]
+        field = F.when(place % 2 == 0, F.lit("title")).otherwise(F.lit("content"))
+        parts = [c(w, text, place, "term", [t[0]], field=field)]
     elif form == "exact":
-        parts = [c(0, "exact", [F.concat(F.lit("doc-"), (F.col("query_id") * 7).cast("string"))],
-                   field=F.lit("name")),
-                 c(1, "term", [t1])]
+        parts = [c(q, text, first, "exact", [F.concat(F.lit("doc-"), (text * 7).cast("string"))], field=F.lit("name")),
+                 c(w, text, place + 1, "term", [t[0]])]
     elif form == "boost":
-        parts = [c(0, "term", [t1], boost=2.0), c(1, "term", [t2], boost=1.0),
-                 c(2, "term", [t3], boost=0.5)]
+        boost = F.when(place % 3 == 0, 2.0).when(place % 3 == 1, 1.0).otherwise(0.5)
+        parts = [c(w, text, place, "term", [t[0]], boost=boost)]
     elif form == "entity":
-        ent = F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))
-        parts = [c(i, "term", [t], entity=ent) for i, t in enumerate([t1, t2, t3])]
+        parts = [c(w, text, place, "term", [t[0]], entity=F.concat(F.lit("src"), (text % 20).cast("string")))]
     elif form == "set":
-        parts = [c(0, "set", [t1, t2, t3])]
-    elif form == "range":
-        parts = [c(0, "range", [F.least(t1, t2), F.greatest(t1, t2)])]
+        parts = [c(q.where(F.size("terms") > 0), text, first, "set", F.col("terms"))]
+    elif form == "range":  # between neighbours of the text's words in dictionary order
+        words = F.sort_array(F.array_distinct("terms"))
+        steps = q.select("query_id", words.alias("ws")).select("query_id", "ws", F.posexplode("ws").alias("place", "t0"))
+        parts = [c(steps, text, place, "range", [F.col("t0"), F.get(F.col("ws"), place + 1)])]
     elif form == "prefix":
-        parts = [c(0, "prefix", [F.substring(t1, 1, 3)])]
+        parts = [c(w, here, first, "prefix", [F.substring(t[0], 1, 3)])]
     elif form == "phrase_prefix":
-        parts = [c(0, "prefix", [t1, F.substring(t2, 1, 2)])]
+        parts = [c(w, here, first, "prefix", [t[0], F.substring(t[1], 1, 2)])]
     elif form == "all":
-        parts = [c(0, "all", []), c(1, "term", [t1])]
+        parts = [c(q, text, first, "all", []), c(w, text, place + 1, "term", [t[0]])]
     else:
         raise ValueError(form)
     out = parts[0]
