@@ -94,10 +94,24 @@ def test_trie_holds_what_was_put_in():
         assert len(set(trie.accept.tolist())) == len(rows)
         text = np.concatenate([rows.ravel(), rng.integers(-1, 7 * words, 3000), rows[::-1].ravel()])
         want = {tuple(r): s for r, s in zip(rows.tolist(), trie.accept.tolist())}
-        got = trie.walk(text, k)
+        got = trie.walk(trie.codes(text), k)
         assert got.tolist() == [want.get(tuple(text[i:i + k].tolist()), 0) for i in range(len(text))]
 
 
+def test_units_keep_little_and_ids_may_clash(spark, monkeypatch):
+    rows = _rows(3, 400) + [("x y z " * 9, "en")] * 3
+    want = sorted(brute(rows, 12))
+    assert want and mine(spark, rows, 12) == want  # few units: only what is frequent in one is sent
+    monkeypatch.setattr(phrases, "HELD", 5)  # many units
+    assert mine(spark, rows, 12) == want
+    real = phrases.word_ids
+    monkeypatch.setattr(phrases, "word_ids", lambda lang, words, seed: real(lang, words, seed) & (7 if seed < 2 else -1))
+    assert mine(spark, rows, 12) == want  # two seeds give words of one id
+    monkeypatch.setattr(phrases, "word_ids", real)
+    monkeypatch.setattr(phrases, "BITMAP_BITS", 19)
+    assert mine(spark, rows, 12) == want
+
+
 def test_words_and_pieces():
     words, text, joined = phrases.split_words(pa.array(["One two.three", None, "", "x", "y  z\tq\x0b", " w"]))
     assert [w.decode() for w in words.to_pylist()] == ["one", "two", "three", "x", "y", "z", "q", "w"]

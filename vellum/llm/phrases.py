@@ -1,29 +1,36 @@
 """Phrase collocations of every language of a corpus, by tries of safe candidates.
 
 Method: phrases grow by a word a round. A phrase of k words can only be
-frequent if its first k - 1 words and its last k - 1 words are (Apriori), so
-a round's candidates are frequent phrases with a next word, found at frequent
-places of the text itself, and often enough. Candidates go into a double-array trie that is broadcast; a
-pass over the text sets the states of all positions of a block at once, one
-trie level after another in numpy, counts the accepting states by ``bincount``
-and adds the counts of its blocks; Spark sums the shards. The same pass finds
-the words that follow accepting places, from which the next candidates come.
+frequent if its first k - 1 words and its last k - 1 words are (Apriori), and
+if some unit of the text, of t units, holds a t-th of its places. So a round's
+candidates are the frequent phrases with a next word that units found often
+enough at frequent places. Candidates go into a double-array trie that is
+broadcast; a pass over the text advances the states of all positions of a
+block at once, level by level in numpy, counts the accepting states by
+``bincount`` and adds the counts of its blocks; Spark sums the shards. The
+same pass finds the words that follow accepting places, from which the next
+candidates come.
 
 Each phrase's lowest-scoring cut, the dropping of phrases inside equally
 frequent longer ones and the ranking are joins and aggregations of Spark.
 
-Scale: texts are read once and kept as blocks of word numbers (each with the
-frequent-word ids of its own words, found by a join, so no vocabulary is
-broadcast). A trie holds about ``TRIE_PHRASES`` phrases, whatever the corpus:
-a round with more deals them to several tries by hash, one pass each. Counts
-are combined per block and per task before their shuffle.
+Scale: texts are read once and kept as blocks of word numbers with the words'
+ids, which are hashes; words are shuffled once, to be counted and to find two
+words of one id (then another seed is taken). Blocks are never shuffled. What
+is broadcast is bounded whatever the corpus: a bitmap of frequent words (at
+most 16 MB; a word that only seems frequent makes more candidates, no wrong
+ones) and tries of about ``TRIE_PHRASES`` phrases; a round with more deals
+them to several tries by hash, one pass each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +43,9 @@ TOP = 2000
 SHARE = 100  # per cent of a phrase's count from which a longer one hides it
 NO_LANG = "und"
 TRIE_PHRASES = 1_000_000  # phrases of one broadcast trie
+BITMAP_BITS = 27  # size of the broadcast bitmap of frequent words, at most
+HELD = 3_000_000  # pairs a task holds before it sends them on
+SLICE = 24 << 20  # bytes of text cut into blocks at once, one a language
 
 #: Bytes that part pieces, and bytes that part words.
 PIECE_BYTES = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -66,19 +76,28 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, text, joined
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
+BLOCKS = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
                     ("tokens", pa.binary())])
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
-    """(block, lang, words, counts, tokens): texts of one language as numbers of the block's words.
+def word_ids(lang: str, words: list[bytes], seed: int) -> np.ndarray:
+    """Ids of 63 bits. Two words of one id are found by ``coded_blocks``, which then takes another seed."""
+    start = lang.encode() + b"\0"
+    h = xxhash.xxh64_intdigest
+    return (np.array([h(start + w, seed) for w in words], np.uint64) >> np.uint64(1)).astype(np.int64)
+
 
-    ``tokens`` are 32-bit numbers into ``words`` with -1 between pieces.
+def text_blocks(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(lang, words, ids, counts, tokens): texts of one language as numbers of the block's words.
+
+    ``tokens`` are 32-bit numbers into ``words`` with -1 between pieces, compressed.
     """
+    ids_of = word_ids
+
     def run(batches):
-        at = TaskContext.get().partitionId() << 32
+        squeeze = zstandard.ZstdCompressor(1).compress
         for b in batches:
-            for lo, hi in slices(b.column("text"), 8 << 20):
+            for lo, hi in slices(b.column("text"), SLICE):
                 part = b.slice(lo, hi - lo)
                 langs = part.column("lang").dictionary_encode()
                 code = langs.indices.to_numpy(zero_copy_only=False)
@@ -88,17 +107,17 @@ def text_blocks(docs: DataFrame) -> DataFrame:
                         continue
                     coded = words.dictionary_encode()
                     which = coded.indices.to_numpy(zero_copy_only=False)
-                    cut = np.flatnonzero(~joined)
-                    tokens = np.insert(which.astype(np.int32), cut, -1)
                     counts = np.bincount(which, minlength=len(coded.dictionary))
-                    at += 1
+                    names = coded.dictionary.to_pylist()
+                    tokens = np.insert(which.astype(np.int32), np.flatnonzero(~joined), -1)
+                    all_ = pa.array([0, len(counts)], pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([at]), pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), coded.dictionary.cast(pa.large_string()).cast(pa.string())),
-                         pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64())),
-                         pa.array([tokens.tobytes()], pa.binary())], schema=BLOCKS)
+                        [pa.array([lang]), pa.ListArray.from_arrays(all_, pa.array([w.decode() for w in names], pa.string())),
+                         pa.ListArray.from_arrays(all_, pa.array(ids_of(lang, names, seed))),
+                         pa.ListArray.from_arrays(all_, pa.array(counts, pa.int64())), pa.array([squeeze(tokens.tobytes())], pa.binary())], schema=BLOCKS)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, tokens binary")
+    return rows.mapInArrow(run, "lang string, words array<string>, ids array<long>, counts array<long>, tokens binary")
 
 
 class Trie:
@@ -167,17 +186,20 @@ class Trie:
         self._end = max(self._end, int(spots[-1]) + 1)
         return spots
 
-    def walk(self, ids: np.ndarray, depth: int) -> np.ndarray:
-        """The state that ``depth`` words from each position lead to, 0 where they lead nowhere.
+    def codes(self, ids: np.ndarray) -> np.ndarray:
+        """The trie's number of each word id, -1 for others."""
+        if not len(self.words):
+            return np.full(len(ids), -1)
+        code = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
+        return np.where(self.words[code] == ids, code, -1)
+
+    def walk(self, code: np.ndarray, depth: int) -> np.ndarray:
+        """The state that ``depth`` words (as ``codes``) from each position lead to, 0 where they lead nowhere.
 
-        Ids below 0 match nothing. The states of all positions advance together, a byte at a time.
+        The states of all positions advance together, a byte at a time.
         """
-        out = np.zeros(len(ids), np.int32)
-        if not len(self.words) or len(ids) < depth:
-            return out
-        code = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
-        code = np.where(self.words[code] == ids, code, -1)
-        pos = np.flatnonzero(code[:len(ids) - depth + 1] >= 0)
+        out = np.zeros(len(code), np.int32)
+        pos = np.flatnonzero(code[:max(0, len(code) - depth + 1)] >= 0)
         state = np.ones(len(pos), np.int64)
         for level in range(depth):
             word = code[pos + level]
@@ -192,36 +214,101 @@ class Trie:
 
 
 FOUND = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+FOUND_SQL = "left long, right long, n long"
+UNITS = -1  # left side of the rows that tell how many units counted
+
+
+def bitmap(ids: DataFrame, count: int) -> np.ndarray:
+    """Bits set at ``id % size`` of the ids: at most ``2 ** BITMAP_BITS`` of them, about 16 per id below that."""
+    bits = min(BITMAP_BITS, max(19, (16 * count).bit_length()))
+    low = (1 << 19) - 1
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column("id").to_numpy() & ((1 << bits) - 1)
+            for chunk in np.unique(at >> 19).tolist():
+                mine = parts.setdefault(chunk, np.zeros(low + 1, bool))
+                mine[at[at >> 19 == chunk] & low] = True
+        out = pa.schema([("chunk", pa.int32()), ("bits", pa.binary())])
+        for chunk, mine in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(mine).tobytes()], pa.binary())], schema=out)
+
+    chunk = F.shiftright(F.col("id").bitwiseAND(F.lit((1 << bits) - 1)), 19)
+    full = np.zeros(1 << bits >> 3, np.uint8)
+    for r in ids.select("id").repartition(chunk).mapInArrow(run, "chunk int, bits binary").toLocalIterator():
+        full[r.chunk << 16:(r.chunk + 1) << 16] |= np.frombuffer(r.bits, np.uint8)
+    return full
 
 
-def _coded_rows(batches):
-    """(numbers of the block's words, frequent-word id of each number or -1) of coded blocks; -1 parts pieces."""
+def _has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+class _Unit:
+    """Followers of places, counted over blocks of a task. Those seen ``least`` times or more are sent on.
+
+    A phrase seen ``m`` times in ``t`` units is seen ``m / t`` times in one of
+    them at least; what a unit keeps to itself is at most ``least - 1``. A
+    unit ends with its task or when it holds ``HELD`` pairs.
+    """
+
+    def __init__(self, least: int, most: int):
+        self.least, self.most, self.rows, self.held, self.units = least, most, [], 0, 0
+
+    def add(self, left: np.ndarray, right: np.ndarray, n: np.ndarray):
+        self.rows.append((left, right, n))
+        self.held += len(n)
+        if self.held > self.most:
+            yield from self.end()
+
+    def end(self):
+        if self.rows:
+            left, right, n = (np.concatenate(x) for x in zip(*self.rows))
+            self.rows, self.held, self.units = [], 0, self.units + 1
+            names = np.unique(np.r_[left, right])
+            key, back = np.unique(np.searchsorted(names, left) * len(names) + np.searchsorted(names, right), return_inverse=True)
+            n = np.bincount(back, n, len(key)).astype(np.int64)
+            key, n = key[n >= self.least], n[n >= self.least]
+            yield pa.RecordBatch.from_arrays([pa.array(names[key // len(names)]), pa.array(names[key % len(names)]), pa.array(n)], schema=FOUND)
+
+    def close(self):
+        yield from self.end()
+        yield pa.RecordBatch.from_pylist([dict(left=UNITS, n=self.units)], schema=FOUND)
+
+
+def _block_rows(batches):
+    """(ids of the block's words, tokens) of blocks; token -1 parts pieces."""
+    expand = zstandard.ZstdDecompressor().decompress
     for b in batches:
         for i in range(b.num_rows):
-            tokens = np.frombuffer(b.column("tokens")[i].as_py(), np.int32)
-            id_of = np.full(b.column("n_words")[i].as_py() + 1, -1, np.int64)  # the last place serves number -1
-            id_of[b.column("local")[i].values.to_numpy()] = b.column("id")[i].values.to_numpy()
-            yield tokens, id_of
+            yield b.column("ids")[i].values.to_numpy(), np.frombuffer(expand(b.column("tokens")[i].as_py()), np.int32)
 
 
-def _next_words(left: np.ndarray, name: np.ndarray, tokens: np.ndarray, id_of: np.ndarray) -> pa.RecordBatch:
-    """(left, right, n) for places whose phrase ``left >= 0`` is followed by the word ``tokens``; ``name`` gives ids of ``left``."""
-    at = np.flatnonzero((left >= 0) & (id_of[tokens] >= 0))
-    keys, n = np.unique(left[at].astype(np.int64) << 32 | tokens[at], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(name[keys >> 32]), pa.array(id_of[keys & 0xFFFFFFFF]), pa.array(n)], schema=FOUND)
+def _followers(left: np.ndarray, names: np.ndarray, right: np.ndarray, ids: np.ndarray, known: np.ndarray) -> tuple:
+    """(left id, right id, n) for places of ``left >= 0`` that are followed by a known word; ``names`` gives the ids of ``left``."""
+    at = np.flatnonzero((left >= 0) & (right >= 0) & known[right])
+    keys, n = np.unique(left[at].astype(np.int64) << 32 | right[at], return_counts=True)
+    return names[keys >> 32], ids[keys & 0xFFFFFFFF], n
 
 
-def word_pairs(coded: DataFrame) -> DataFrame:
+def word_pairs(blocks: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
     """(left, right, n) of neighbouring frequent words."""
+    shared, most = blocks.sparkSession.sparkContext.broadcast(bits), HELD
+
     def run(batches):
-        for tokens, id_of in _coded_rows(batches):
-            first = np.where(id_of[tokens[:-1]] >= 0, tokens[:-1], -1)
-            yield _next_words(first, id_of, tokens[1:], id_of)
+        unit = _Unit(least, most)
+        for ids, tokens in _block_rows(batches):
+            known = _has(shared.value, ids)
+            first = np.where((tokens >= 0) & known[tokens], tokens, -1)
+            yield from unit.add(*_followers(first[:-1], ids, tokens[1:], ids, known))
+        yield from unit.close()
 
-    return coded.mapInArrow(run, "left long, right long, n long")
+    return blocks.select("ids", "tokens").mapInArrow(run, FOUND_SQL)
 
 
-def trie_pass(coded: DataFrame, trie: Trie, phrase_ids: np.ndarray, k: int, last: bool, alone: bool) -> DataFrame:
+def trie_pass(blocks: DataFrame, trie: Trie, phrase_ids: np.ndarray, k: int, bits: np.ndarray, least: int, last: bool, alone: bool) -> DataFrame:
     """(left, right, n) of one pass: counts of the trie's phrases (right null) and, unless ``last``, of words that follow them.
 
     Where this trie has all phrases (``alone``), a following word counts only
@@ -229,55 +316,70 @@ def trie_pass(coded: DataFrame, trie: Trie, phrase_ids: np.ndarray, k: int, last
     """
     names = np.full(len(trie.check), -1, np.int64)
     names[trie.accept] = phrase_ids
-    shared = coded.sparkSession.sparkContext.broadcast((trie, names))
+    shared = blocks.sparkSession.sparkContext.broadcast((trie, names, bits))
+    most = HELD
 
     def run(batches):
-        trie, names = shared.value
-        for tokens, id_of in _coded_rows(batches):
-            state = trie.walk(id_of[tokens], k)
-            counts = np.bincount(state, minlength=1)
-            counts[0] = 0
-            found = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(names[found]), pa.nulls(len(found), pa.int64()), pa.array(counts[found])], schema=FOUND)
+        trie, names, bits = shared.value
+        unit, total = _Unit(least, most), np.zeros(len(names), np.int64)
+        for ids, tokens in _block_rows(batches):
+            code = np.append(trie.codes(ids), -1)  # the last place serves token -1
+            state = trie.walk(code[tokens], k)
+            total += np.bincount(state, minlength=len(total))
             if not last and len(tokens) > k:
                 here, after = state[:-k], state[1:len(tokens) - k + 1]
                 left = np.where((here > 0) & (after > 0) if alone else here > 0, here, -1)
-                yield _next_words(left, names, tokens[k:], id_of)
+                yield from unit.add(*_followers(left, names, tokens[k:], ids, _has(bits, ids)))
+        total[0] = 0
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(names[found]), pa.nulls(len(found), pa.int64()), pa.array(total[found])], schema=FOUND)
+        yield from unit.close()
 
-    return coded.mapInArrow(run, "left long, right long, n long")
+    return blocks.select("ids", "tokens").mapInArrow(run, FOUND_SQL)
+
+
+def candidates_of(found: DataFrame, min_count: int, least: int) -> DataFrame:
+    """(left, right) that can have been seen ``min_count`` times, by what units sent and what they may have kept."""
+    units = found.where(F.col("left") == UNITS).agg(F.sum("n")).first()[0] or 0
+    sent = found.where("right is not null").groupBy("left", "right").agg(F.sum("n").alias("n"), F.count("*").alias("units"))
+    return sent.where(F.col("n") + (F.lit(units) - F.col("units")) * (least - 1) >= min_count).select("left", "right")
 
 
 def coded_blocks(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    """(coded blocks, words (lang, word, a, id), totals (lang, n), places of the tables)."""
-    spark = docs.sparkSession
-    blocks, at = keep(text_blocks(docs), "phrase-blocks")
-    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select(
-        "block", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    """(blocks, words (lang, word, a, id) seen ``min_count`` times, totals (lang, n), places of the tables)."""
+    seed, places = 0, []
+    while True:
+        blocks, at = keep(text_blocks(docs, seed), "phrase-blocks")
+        places.append(at)
+        each = blocks.select("lang", F.explode(F.arrays_zip("ids", "words", "counts")).alias("w")).select(
+            "lang", F.col("w.ids").alias("id"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+        counted = each.repartition("id").groupBy("id", "lang", "word").agg(F.sum("n").alias("a"))
+        twice = counted.groupBy("id").agg(F.count("*").alias("a")).where("a > 1").select(
+            "id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("word"), "a")
+        found, at = keep(counted.where(F.col("a") >= min_count).unionByName(twice), "phrase-words")
+        places.append(at)
+        if not found.where("word is null").limit(1).count():
+            break
+        seed += 1  # two words of one id
     totals = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    counted = each.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-    words, words_at = keep(counted.withColumn("id", F.monotonically_increasing_id()), "phrase-words")
-    totals, totals_at = keep(totals, "phrase-totals")
-    ids = (each.select("block", "lang", "local", "word").join(words.select("lang", "word", "id"), ["lang", "word"])
-           .groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("ids")))  # at most a block's words
-    coded = blocks.select("block", "tokens", F.size("words").alias("n_words")).join(ids, "block").select(
-        "tokens", "n_words", F.col("ids.local").alias("local"), F.col("ids.id").alias("id"))
-    coded, coded_at = keep(coded, "phrase-coded")
-    discard(spark, at)
-    return coded, words, totals, [words_at, totals_at, coded_at]
+    totals, at = keep(totals, "phrase-totals")
+    return blocks, found, totals, [*places, at]
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
                      trie_phrases: int = TRIE_PHRASES) -> tuple[DataFrame, DataFrame]:
     """((lang, words, a) of all phrases of 1 to ``max_words`` words seen ``min_count`` times or more, totals (lang, n))."""
     spark = docs.sparkSession
-    coded, words, totals, places = coded_blocks(docs, min_count)
+    blocks, words, totals, places = coded_blocks(docs, min_count)
+    bits = bitmap(words, words.count())
+    least = -(-min_count // max(1, blocks.rdd.getNumPartitions()))  # any number is right; this one sends little
     word = words.select(F.col("id").alias("right"), F.col("word").alias("last"))
     before = words.select(F.col("id").alias("left"), "lang", F.array("word").alias("words"), F.array("id").alias("ids"))
     levels = [words.select("lang", F.array("word").alias("words"), "a")]
-    found = word_pairs(coded)
+    found, at = keep(word_pairs(blocks, bits, least), "phrase-pairs")
+    places.append(at)
     for k in range(2, max_words + 1):
-        safe = found.where("right is not null").groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        grown = safe.join(before, "left").join(word, "right").select(
+        grown = candidates_of(found, min_count, least).join(before, "left").join(word, "right").select(
             "lang", F.array_append("words", F.col("last")).alias("words"), F.array_append("ids", F.col("right")).alias("ids"))
         candidates, at = keep(grown.withColumn("left", F.monotonically_increasing_id()), f"phrase-candidates-{k}")
         places.append(at)
@@ -290,23 +392,16 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
             got = mine.select("left", "ids").toArrow()  # about trie_phrases rows
             if not got.num_rows:
                 continue
-            ids = got.column("ids").combine_chunks()
-            trie = Trie(ids.flatten().to_numpy().reshape(-1, k))
-            passed, at = keep(trie_pass(coded, trie, got.column("left").to_numpy(), k, k == max_words, tries == 1)
-                              .groupBy("left", "right").agg(F.sum("n").alias("n")), f"phrase-counts-{k}")
+            trie = Trie(got.column("ids").combine_chunks().flatten().to_numpy().reshape(-1, k))
+            passed, at = keep(trie_pass(blocks, trie, got.column("left").to_numpy(), k, bits, least, k == max_words, tries == 1), f"phrase-counts-{k}")
             places.append(at)
             passes.append(passed)
-        found = passes[0]
-        for p in passes[1:]:
-            found = found.unionByName(p)
-        counts = found.where("right is null").select("left", F.col("n").alias("a"))
+        found = reduce(DataFrame.unionByName, passes)
+        counts = found.where("right is null").where(F.col("left") != UNITS).groupBy("left").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
         before = candidates.join(counts, "left")
         levels.append(before.select("lang", "words", "a"))
         before = before.select("left", "lang", "words", "ids")
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    every = keep(every, "phrases")[0]
+    every = keep(reduce(DataFrame.unionByName, levels), "phrases")[0]
     totals = keep(totals, "phrase-totals")[0]
     for at in places:
         discard(spark, at)
