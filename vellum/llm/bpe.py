@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import batch, table
 
 VOCABULARY = "byte_bpe_50k"
-SLICE = 16 << 20  # bytes of text handled at once
+SLICE = 8 << 20  # bytes of text handled at once
 LONG = 1024  # symbols of a word from which it is merged by itself
 NONE = np.int64(1 << 40)  # rank of a pair that is not in the table
 

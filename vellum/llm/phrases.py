@@ -44,8 +44,8 @@ SHARE = 100  # per cent of a phrase's count from which a longer one hides it
 NO_LANG = "und"
 TRIE_PHRASES = 1_000_000  # phrases of one broadcast trie
 BITMAP_BITS = 27  # size of the broadcast bitmap of frequent words, at most
-HELD = 3_000_000  # pairs a task holds before it sends them on
-SLICE = 24 << 20  # bytes of text cut into blocks at once, one a language
+HELD = 1_000_000  # pairs a task holds before it sends them on
+SLICE = 8 << 20  # bytes of text cut into blocks at once, one a language
 
 #: Bytes that part pieces, and bytes that part words.
 PIECE_BYTES = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -61,18 +61,16 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     buf = _LOWER[buf]
     piece = _PIECE[buf]
     inside = ~(piece | _SPACE[buf])
-    text_start = np.zeros(len(buf) + 1, bool)
-    text_start[offsets] = True
-    first = inside & np.r_[True, ~inside[:-1]] if len(buf) else inside
-    first |= inside & text_start[:-1]
-    starts = np.flatnonzero(first)
-    letters = np.flatnonzero(inside)
-    word_offsets = np.r_[np.searchsorted(letters, starts), len(letters)].astype(np.int64)
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[offsets] = True  # no word goes on from one text into the next
+    starts = np.flatnonzero(inside & (np.append(True, ~inside[:-1]) | cut[:-1])) if len(buf) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(inside & (np.append(~inside[1:], True) | cut[1:])) + 1 if len(buf) else starts
+    word_offsets = np.append(0, np.cumsum(ends - starts))
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(word_offsets), pa.py_buffer(buf[inside])])
-    breaks = np.cumsum(piece) + np.cumsum(text_start[:-1])  # equal for two words only within a piece
     text = np.searchsorted(offsets, starts, "right") - 1
+    pieces = np.searchsorted(np.flatnonzero(piece), starts)  # piece ends before each word
     joined = np.zeros(len(starts), bool)
-    joined[1:] = breaks[starts[1:]] == breaks[starts[:-1]]
+    joined[1:] = (text[1:] == text[:-1]) & (pieces[1:] == pieces[:-1])
     return words, text, joined
 
 
