@@ -102,8 +102,11 @@ def test_units_keep_little_and_ids_may_clash(spark, monkeypatch):
     rows = _rows(3, 400) + [("x y z " * 9, "en")] * 3
     want = sorted(brute(rows, 12))
     assert want and mine(spark, rows, 12) == want  # few units: only what is frequent in one is sent
-    monkeypatch.setattr(phrases, "HELD", 5)  # many units
+    monkeypatch.setattr(phrases, "HELD", 5)  # tasks send all they hold, often
     assert mine(spark, rows, 12) == want
+    spread = [("one two " + str(i), "en") for i in range(12)]  # once in each of as many units as it is asked for
+    docs = table(spark, spread).repartition(12)
+    assert [(r.phrase, r.a) for r in phrases.collocations(docs, min_count=12).collect()] == [("one two", 12)]
     real = phrases.word_ids
     monkeypatch.setattr(phrases, "word_ids", lambda lang, words, seed: real(lang, words, seed) & (7 if seed < 2 else -1))
     assert mine(spark, rows, 12) == want  # two seeds give words of one id

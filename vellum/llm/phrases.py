@@ -44,7 +44,7 @@ SHARE = 100  # per cent of a phrase's count from which a longer one hides it
 NO_LANG = "und"
 TRIE_PHRASES = 1_000_000  # phrases of one broadcast trie
 BITMAP_BITS = 27  # size of the broadcast bitmap of frequent words, at most
-HELD = 1_000_000  # pairs a task holds before it sends them on
+HELD = 2_000_000  # pairs a task holds before it sends them on
 SLICE = 8 << 20  # bytes of text cut into blocks at once, one a language
 
 #: Bytes that part pieces, and bytes that part words.
@@ -245,35 +245,36 @@ def _has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 class _Unit:
-    """Followers of places, counted over blocks of a task. Those seen ``least`` times or more are sent on.
+    """Followers of places, counted over the blocks of a task. Those seen ``least`` times or more are sent on.
 
     A phrase seen ``m`` times in ``t`` units is seen ``m / t`` times in one of
     them at least; what a unit keeps to itself is at most ``least - 1``. A
-    unit ends with its task or when it holds ``HELD`` pairs.
+    task that comes to hold ``most`` pairs sends them all on, and starts
+    anew, so that this holds however often it does.
     """
 
     def __init__(self, least: int, most: int):
-        self.least, self.most, self.rows, self.held, self.units = least, most, [], 0, 0
+        self.least, self.most, self.rows, self.held = least, most, [], 0
 
     def add(self, left: np.ndarray, right: np.ndarray, n: np.ndarray):
         self.rows.append((left, right, n))
         self.held += len(n)
         if self.held > self.most:
-            yield from self.end()
+            yield from self.send(1)
 
-    def end(self):
+    def send(self, least: int):
         if self.rows:
             left, right, n = (np.concatenate(x) for x in zip(*self.rows))
-            self.rows, self.held, self.units = [], 0, self.units + 1
-            names = np.unique(np.r_[left, right])
+            self.rows, self.held = [], 0
+            names = np.unique(np.concatenate([left, right]))
             key, back = np.unique(np.searchsorted(names, left) * len(names) + np.searchsorted(names, right), return_inverse=True)
             n = np.bincount(back, n, len(key)).astype(np.int64)
-            key, n = key[n >= self.least], n[n >= self.least]
+            key, n = key[n >= least], n[n >= least]
             yield pa.RecordBatch.from_arrays([pa.array(names[key // len(names)]), pa.array(names[key % len(names)]), pa.array(n)], schema=FOUND)
 
     def close(self):
-        yield from self.end()
-        yield pa.RecordBatch.from_pylist([dict(left=UNITS, n=self.units)], schema=FOUND)
+        yield from self.send(self.least)
+        yield pa.RecordBatch.from_pylist([dict(left=UNITS, n=1)], schema=FOUND)
 
 
 def _block_rows(batches):
@@ -336,11 +337,21 @@ def trie_pass(blocks: DataFrame, trie: Trie, phrase_ids: np.ndarray, k: int, bit
     return blocks.select("ids", "tokens").mapInArrow(run, FOUND_SQL)
 
 
-def candidates_of(found: DataFrame, min_count: int, least: int) -> DataFrame:
+def counted(one_pass, least: int, min_count: int) -> tuple[DataFrame, str, int, int]:
+    """(rows of the pass, their place, units, least), stored; with ``least`` 1 if there were more units than it allows."""
+    while True:
+        found, at = keep(one_pass(least), "phrase-found")
+        units = found.where(F.col("left") == UNITS).count()
+        if (least - 1) * units < min_count:
+            return found, at, units, least
+        discard(found.sparkSession, at)
+        least = 1
+
+
+def candidates_of(found: DataFrame, min_count: int, units: int, least: int) -> DataFrame:
     """(left, right) that can have been seen ``min_count`` times, by what units sent and what they may have kept."""
-    units = found.where(F.col("left") == UNITS).agg(F.sum("n")).first()[0] or 0
-    sent = found.where("right is not null").groupBy("left", "right").agg(F.sum("n").alias("n"), F.count("*").alias("units"))
-    return sent.where(F.col("n") + (F.lit(units) - F.col("units")) * (least - 1) >= min_count).select("left", "right")
+    sent = found.where("right is not null").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return sent.where(F.col("n") + units * (least - 1) >= min_count).select("left", "right")
 
 
 def coded_blocks(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
@@ -370,35 +381,36 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     spark = docs.sparkSession
     blocks, words, totals, places = coded_blocks(docs, min_count)
     bits = bitmap(words, words.count())
-    least = -(-min_count // max(1, blocks.rdd.getNumPartitions()))  # any number is right; this one sends little
+    # Twice in a unit is asked where fewer units than min_count allow it.
+    least = min(2, 1 + (min_count - 1) // max(1, blocks.rdd.getNumPartitions()))
     word = words.select(F.col("id").alias("right"), F.col("word").alias("last"))
     before = words.select(F.col("id").alias("left"), "lang", F.array("word").alias("words"), F.array("id").alias("ids"))
     levels = [words.select("lang", F.array("word").alias("words"), "a")]
-    found, at = keep(word_pairs(blocks, bits, least), "phrase-pairs")
-    places.append(at)
+    got = [counted(lambda n: word_pairs(blocks, bits, n), least, min_count)]
     for k in range(2, max_words + 1):
-        grown = candidates_of(found, min_count, least).join(before, "left").join(word, "right").select(
+        places += [at for _, at, _, _ in got]
+        # Each trie's phrases are its own, so the parts of a round have no candidate in common.
+        safe = reduce(DataFrame.unionByName, [candidates_of(found, min_count, units, n) for found, _, units, n in got])
+        grown = safe.join(before, "left").join(word, "right").select(
             "lang", F.array_append("words", F.col("last")).alias("words"), F.array_append("ids", F.col("right")).alias("ids"))
         candidates, at = keep(grown.withColumn("left", F.monotonically_increasing_id()), f"phrase-candidates-{k}")
         places.append(at)
         tries = -(-candidates.count() // trie_phrases)
         if not tries:
             break
-        passes = []
+        got = []
         for t in range(tries):
             mine = candidates if tries == 1 else candidates.where(F.pmod(F.xxhash64("left"), F.lit(tries)) == t)
-            got = mine.select("left", "ids").toArrow()  # about trie_phrases rows
-            if not got.num_rows:
-                continue
-            trie = Trie(got.column("ids").combine_chunks().flatten().to_numpy().reshape(-1, k))
-            passed, at = keep(trie_pass(blocks, trie, got.column("left").to_numpy(), k, bits, least, k == max_words, tries == 1), f"phrase-counts-{k}")
-            places.append(at)
-            passes.append(passed)
-        found = reduce(DataFrame.unionByName, passes)
+            rows = mine.select("left", "ids").toArrow()  # about trie_phrases rows
+            if rows.num_rows:
+                trie, names = Trie(rows.column("ids").combine_chunks().flatten().to_numpy().reshape(-1, k)), rows.column("left").to_numpy()
+                got.append(counted(lambda n: trie_pass(blocks, trie, names, k, bits, n, k == max_words, tries == 1), least, min_count))
+        found = reduce(DataFrame.unionByName, [f for f, *_ in got])
         counts = found.where("right is null").where(F.col("left") != UNITS).groupBy("left").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
         before = candidates.join(counts, "left")
         levels.append(before.select("lang", "words", "a"))
         before = before.select("left", "lang", "words", "ids")
+    places += [at for _, at, _, _ in got if at not in places]
     every = keep(reduce(DataFrame.unionByName, levels), "phrases")[0]
     totals = keep(totals, "phrase-totals")[0]
     for at in places:
