@@ -55,6 +55,13 @@ def explode_terms(df: DataFrame, text_col: str, keep: list[str], tokens_col: str
     )
 
 
+def kept_tokens(text: Column) -> Column:
+    """Array of (pos, term) of the indexed tokens of ``text``, numbered before the long ones are dropped."""
+    numbered = F.transform(raw_tokens(text), lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("term")))
+    return F.transform(F.filter(numbered, lambda x: _kept(x["term"])),
+                       lambda x: F.struct(x["pos"].alias("pos"), F.lower(x["term"]).alias("term")))
+
+
 def kept_count(tokens: Column) -> Column:
     """Number of indexed tokens in a ``raw_tokens`` array."""
     return F.size(F.filter(tokens, _kept))

@@ -12,21 +12,34 @@ what the exact-match clauses and the entity filter look up.
 
 ``dl`` is carried on every posting, so scoring needs no join with
 ``doc_stats``; ``term_stats`` is read only for the (few) query terms.
+
+A stored index is laid out by document shards: ``postings`` (with the list of
+positions) is a table bucketed by document and partitioned by document shard
+and term bucket. All postings of a document lie in one shard, so scores are
+folded without an exchange, a search reads the term buckets of its terms, and
+maintenance rewrites the shards of the documents it touches. ``term_stats``
+also has the largest ``impact`` of each term, tf / (tf + norm), which bounds
+its score (``vellum.operators.ranking``). Impacts are taken at the average
+lengths of the first build (``corpus.ref``), so that they stay comparable.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.text import explode_terms, field_length, kept_count, raw_tokens, tags_text
+from vellum.functions.text import explode_terms, field_length, kept_count, kept_tokens, raw_tokens, tags_text
 from vellum.schema import RAW_FIELDS, TEXT_FIELDS
-from vellum.session import scratch_path
+from vellum.session import bounded_broadcast, ensure_checkpoint_dir
 
 DEFAULT_BUCKETS = 64
+# BM25 parameters.
+K1 = 1.2
+B = 0.75
 
 
 @dataclass
@@ -37,6 +50,8 @@ class Index:
     corpus: DataFrame
     buckets: int | None = None   # term buckets of a persisted layout
     positions: DataFrame | None = None
+    path: str | None = None      # where a stored index lies
+    shards: int | None = None    # its document shards
 
 
 def term_bucket(term: F.Column, buckets: int) -> F.Column:
@@ -110,53 +125,187 @@ def corpus_of(doc_stats: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- persistence
 
-def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> None:
-    """Build and write the index (U2: replace all).
-
-    Text is tokenized once; the token rows are written as a Parquet table in
-    the shared checkpoint folder and every table below reads them. ``positions`` and
-    ``postings`` are range-partitioned on (field, term bucket, term, doc) and
-    written partitioned by (field, tb): tasks are balanced even when one term
-    holds a large share of all rows (the doc id splits it), each task writes
-    few folders, and files are sorted by term for row-group pruning. A search
-    reads only the buckets of its query terms (runtime partition pruning).
-    Partition counts come from the session (and AQE), not from this code.
+def doc_shard(doc_id: F.Column, shards: int) -> F.Column:
+    """The shard of a document: the bucket that Spark's hash partitioning gives its id."""
+    return F.pmod(F.hash(doc_id), F.lit(shards)).cast("int")
+
+
+def sharded_rows(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """Postings with positions, computed where the documents of a shard are: the documents are shuffled once, nothing after."""
+    d = docs.repartition(shards, "id").withColumnRenamed("id", "doc_id")
+    texts = {"title": F.col("title"), "content": F.col("content"), "tags": tags_text(F.col("tags"))}
+    raw = {f: F.coalesce(F.col("doc_id" if f == "id" else f), F.lit("")) for f in RAW_FIELDS}
+    fields = [F.struct(F.lit(f).alias("field"), kept_tokens(t).alias("tokens")) for f, t in texts.items()]
+    fields += [F.struct(F.lit(f).alias("field"), F.array(F.struct(F.lit(0).alias("pos"), t.alias("term"))).alias("tokens")) for f, t in raw.items()]
+    rows = (d.select("doc_id", F.explode(F.array(*fields)).alias("f"))
+            .select("doc_id", "f.field", F.size("f.tokens").alias("dl"), F.explode("f.tokens").alias("t"))
+            .groupBy("field", F.col("t.term").alias("term"), "doc_id", "dl")
+            .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions")))
+    return rows.select("field", "term", "doc_id", "dl", "tf", "positions", doc_shard(F.col("doc_id"), shards).alias("shard"),
+                       term_bucket(F.col("term"), buckets).alias("tb"))
+
+
+def _lengths(postings: DataFrame) -> DataFrame:
+    """(doc_id, field, dl, shard) for every document and text field; 0 where a field has no token."""
+    per = postings.groupBy("doc_id", "shard").agg(*[
+        F.coalesce(F.max(F.when(F.col("field") == f, F.col("dl"))), F.lit(0)).alias(f) for f in TEXT_FIELDS])
+    return per.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("dl")) for f in TEXT_FIELDS])).alias("f"),
+                      "shard").select("doc_id", "f.field", "f.dl", "shard")
+
+
+def _bounds(postings: DataFrame, ref: DataFrame) -> DataFrame:
+    """(field, term, df, impact, tb); ``ref`` (field, ref) has the lengths that impacts are taken at."""
+    ref = F.broadcast(ref.select(F.col("field").alias("of"), "ref"))  # a row per text field
+    impact = F.col("tf") / (F.col("tf") + length_norm(F.col("dl"), F.coalesce("ref", F.lit(1.0))))
+    return postings.join(ref, F.col("field") == F.col("of"), "left").groupBy("field", "term", "tb").agg(
+        F.count(F.lit(1)).alias("df"), F.max(impact).alias("impact")).select("field", "term", "df", "impact", "tb")
+
+
+def length_norm(dl: F.Column, avgdl: F.Column) -> F.Column:
+    """The part of BM25 that depends on the field's length."""
+    return F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / avgdl)
+
+
+def _table_name(path: str, name: str) -> str:
+    return f"vellum_{name}_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS, shards: int | None = None) -> None:
+    """Build and write the index (U2: replace all), laid out by document shards.
+
+    ``shards`` (as many as shuffle partitions unless given) is the parallelism
+    of searches; at scale choose it so that a shard is some GB, and ``buckets``
+    so that a (shard, term bucket) folder holds a file of 100 MB or more. The
+    sharding is by hash of the id, so a shard has its share of every hot term,
+    entity or topic.
     """
     spark = docs.sparkSession
-    tok_path = scratch_path(spark, f"index-tokens-{uuid.uuid4().hex}")
-    text_tokens(docs, buckets).write.mode("overwrite").parquet(tok_path)
-    tokens = spark.read.parquet(tok_path)
-    order = ["field", "tb", "term", "doc_id"]
-    (tokens.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
-     .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/positions"))
-    # Range partitioning on (field, tb, term, doc) already clusters the
-    # aggregation keys, so counting needs no second shuffle.
-    text = text_postings(tokens.repartitionByRange(*order))
-    raw = raw_postings(docs, buckets).repartitionByRange(*order)
-    (text.unionByName(raw).sortWithinPartitions(*order)
-     .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
-    # Field lengths: every (document, field), 0 when the field has no token.
-    lengths = tokens.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
-    all_fields = docs.select(F.col("id").alias("doc_id"),
-                             F.explode(F.array(*[F.lit(f) for f in TEXT_FIELDS])).alias("field"))
-    (all_fields.join(lengths, ["field", "doc_id"], "left")
-     .select("field", "doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
-     .write.mode("overwrite").parquet(f"{path}/doc_stats"))
-    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_layout")
-    term_stats_of(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(
-        f"{path}/term_stats")
-    corpus_of(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(
-        f"{path}/corpus")
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _table_name(path, "postings")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    (sharded_rows(docs, buckets, shards).write.format("parquet").mode("overwrite").option("path", f"{path}/postings")
+     .partitionBy("shard", "tb").bucketBy(shards, "doc_id").sortBy("field", "term").saveAsTable(name))
+    postings = spark.table(name)
+    _lengths(postings).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/doc_stats")
+    totals = _totals(spark.read.parquet(f"{path}/doc_stats"))
+    totals.withColumn("ref", F.greatest(F.col("tokens") / F.col("n_docs"), F.lit(1e-9))).write.mode("overwrite").parquet(f"{path}/corpus")
+    # the counts of a term come from every shard, summed there first
+    _bounds(postings, spark.read.parquet(f"{path}/corpus")).repartition("tb").write.mode("overwrite").partitionBy("tb").parquet(f"{path}/term_stats")
+    spark.createDataFrame([(buckets, shards)], "buckets int, shards int").write.mode("overwrite").json(f"{path}/_layout")
+
+
+def _totals(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("dl").cast("long")).alias("tokens"))
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    buckets = spark.read.json(f"{path}/_layout").first()["buckets"]
-    return Index(spark.read.parquet(f"{path}/postings"),
-                 spark.read.parquet(f"{path}/doc_stats"),
-                 spark.read.parquet(f"{path}/term_stats"),
-                 spark.read.parquet(f"{path}/corpus"),
-                 buckets=buckets,
-                 positions=spark.read.parquet(f"{path}/positions"))
+    """The stored index; its postings table is registered with this session if another wrote it."""
+    lay = spark.read.json(f"{path}/_layout").first()
+    name = _table_name(path, "postings")
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"""CREATE TABLE {name} (field STRING, term STRING, doc_id STRING, dl INT, tf INT, positions ARRAY<INT>, shard INT, tb INT)
+            USING parquet PARTITIONED BY (shard, tb) CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {lay['shards']} BUCKETS
+            LOCATION '{path}/postings'""")
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    there = F.col("field").isNotNull()  # rows without a field only keep a folder (see ``_replace``)
+    corpus = spark.read.parquet(f"{path}/corpus").where("n_docs > 0").select(
+        "field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl"), "ref")
+    return Index(spark.table(name).where(there),
+                 spark.read.parquet(f"{path}/doc_stats").where(there).select("field", "doc_id", "dl"),
+                 spark.read.parquet(f"{path}/term_stats").where(there),
+                 corpus, buckets=lay["buckets"], path=path, shards=lay["shards"])
+
+
+def _replace(spark: SparkSession, path: str, gone: DataFrame, new_docs: DataFrame | None) -> Index:
+    """The stored index without the documents ``gone`` (doc_id) and with ``new_docs``.
+
+    Only the shards of these documents are rewritten, by dynamic partition
+    overwrite; df, document counts and lengths change by what was taken out
+    and put in. Everything is computed and staged before the first folder is
+    replaced. A folder that loses all its rows is replaced by one that holds
+    a row without field and term, which no search meets. An impact stays where
+    a document goes: it remains a bound. After a failure between two tables
+    ``write_index`` sets all right.
+    """
+    idx = read_index(spark, path)
+    buckets, shards = idx.buckets, idx.shards
+    name = _table_name(path, "postings")
+    new = _staged(sharded_rows(new_docs, buckets, shards)) if new_docs is not None else None
+    ids = gone.select("doc_id") if new is None else gone.select("doc_id").unionByName(new.select("doc_id"))
+    ids = _staged(ids.where(F.col("doc_id").isNotNull()).distinct().withColumn("shard", doc_shard(F.col("doc_id"), shards)))
+    touched = [r["shard"] for r in ids.select("shard").distinct().collect()]  # at most ``shards`` numbers
+    if not touched:
+        return idx
+    small = bounded_broadcast(ids.select("doc_id"))
+    there = F.col("field").isNotNull()
+    old = spark.table(name).where(there & F.col("shard").isin(touched))
+    ref = spark.read.parquet(f"{path}/corpus").select("field", "ref")
+    out = _staged(_bounds(old.join(small, "doc_id", "left_semi"), ref))
+    rows = old.join(small, "doc_id", "left_anti").select("field", "term", "doc_id", "dl", "tf", "positions", "shard", "tb")
+    keepers = (spark.createDataFrame([(s,) for s in touched], "shard int").crossJoin(spark.range(buckets).select(F.col("id").cast("int").alias("tb")))
+               .select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("field", "term", "doc_id", "dl", "tf", "positions")], "shard", "tb"))
+    rows = rows.unionByName(keepers) if new is None else rows.unionByName(new).unionByName(keepers)
+    rows = _staged(rows.repartition(shards, "doc_id"))
+
+    changes = out.select("field", "term", (-F.col("df")).alias("df"), "impact", "tb")
+    if new is not None:
+        changes = changes.unionByName(_bounds(new, ref))
+    terms = spark.read.parquet(f"{path}/term_stats").where(there).select("field", "term", "df", "impact", "tb")
+    bounds = (terms.unionByName(changes).groupBy("field", "term", "tb")
+              .agg(F.sum("df").alias("df"), F.max("impact").alias("impact")).where("df > 0")
+              .select("field", "term", "df", "impact", "tb"))
+    none = [F.lit(None).cast(bounds.schema[c].dataType).alias(c) for c in ("field", "term", "df", "impact")]
+    bounds = _staged(bounds.unionByName(spark.range(buckets).select(*none, F.col("id").cast("int").alias("tb"))))
+
+    lengths = spark.read.parquet(f"{path}/doc_stats").where(there & F.col("shard").isin(touched)).select("doc_id", "field", "dl", "shard")
+    lost = _totals(lengths.join(small, "doc_id", "left_semi")).select("field", (-F.col("n_docs")).alias("n_docs"), (-F.col("tokens")).alias("tokens"))
+    kept = lengths.join(small, "doc_id", "left_anti")
+    corpus = spark.read.parquet(f"{path}/corpus").select("field", "n_docs", "tokens", "ref").unionByName(lost, allowMissingColumns=True)
+    if new is not None:
+        fresh = _staged(_lengths(new))
+        kept, corpus = kept.unionByName(fresh), corpus.unionByName(_totals(fresh), allowMissingColumns=True)
+    kept = _staged(kept.unionByName(spark.createDataFrame([(None, None, None, s) for s in touched], kept.schema)))
+    corpus = _staged(corpus.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"), F.max("ref").alias("ref")))
+
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    mode, before = "spark.sql.sources.partitionOverwriteMode", spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set(mode, "dynamic")  # inserts into a table take it from the session alone
+    try:
+        rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+    bounds.repartition("tb").write.options(**dynamic).mode("overwrite").partitionBy("tb").parquet(f"{path}/term_stats")
+    kept.write.options(**dynamic).mode("overwrite").partitionBy("shard").parquet(f"{path}/doc_stats")
+    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    spark.catalog.refreshTable(name)
+    return read_index(spark, path)
+
+
+def upsert_stored(spark: SparkSession, path: str, docs: DataFrame) -> Index:
+    """M7/U1 on a stored index: documents of known ids are replaced, others added."""
+    return _replace(spark, path, docs.select(F.col("id").alias("doc_id")), docs)
+
+
+def remove_stored(spark: SparkSession, path: str, ids: DataFrame) -> Index:
+    """M8 on a stored index: documents by ``id``; unknown ids change nothing."""
+    return _replace(spark, path, ids.select(F.col("id").alias("doc_id")), None)
+
+
+def positions_of(idx: Index, words: DataFrame) -> DataFrame:
+    """Rows of ``words`` (with the keys of ``postings_for``) at every place ``pos`` where their term stands."""
+    if idx.positions is not None:
+        pos, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "pos"], table="positions")
+        return pos.join(words, keys)
+    post, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "positions"])
+    return post.join(words, keys).withColumn("pos", F.explode("positions")).drop("positions")
 
 
 def postings_for(idx: Index, cols: list[str], table: str = "postings") -> tuple[DataFrame, list[str]]:

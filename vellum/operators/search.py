@@ -21,14 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.operators.index import Index, postings_for, term_bucket
+from vellum.functions.text import terms
+from vellum.operators.index import K1, Index, length_norm, positions_of, postings_for, term_bucket
 from vellum.schema import RAW_FIELDS, TEXT_FIELDS
 from vellum.session import BROADCAST_ROW_LIMIT, bounded_broadcast
 
-# BM25 parameters and the default result limit.
-K1 = 1.2
-B = 0.75
+# Fixed value: the default result limit.
 DEFAULT_K = 10
+WHITE_SPACE = r"[ \t\n\x0B\f\r]+"
 KINDS = {"term", "exact", "phrase", "set", "range", "prefix", "phrase_prefix", "all"}
 SCORE_DIGITS = 6
 
@@ -41,8 +41,7 @@ def idf(df: Column, n: Column) -> Column:
 
 def bm25(weight: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
     """``weight`` is boost * idf; the rest is the BM25 term-frequency factor."""
-    norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / avgdl)
-    return weight * F.lit(K1 + 1.0) * tf / (tf + norm)
+    return weight * F.lit(K1 + 1.0) * tf / (tf + length_norm(dl, avgdl))
 
 
 def clause(query_id, clause_no, kind, terms, occur="should", field=None, slop=None, boost=1.0):
@@ -125,11 +124,10 @@ def _phrase_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     cand = (post.join(_small(ph.select(*pkeys, "query_id", "clause_no", "n"), small), pkeys)
             .groupBy(*clause_keys, "n").agg(F.count(F.lit(1)).alias("have"))
             .where(F.col("have") == F.col("n")).select(*clause_keys))
-    pos, keys = postings_for(idx, ["field", "term", "doc_id", "dl", "pos"], table="positions")
     # Shuffle semi join keyed like the aggregations below (its shuffle is the
     # only one on the matched positions); Spark's runtime bloom filter built
     # from the candidates can drop positions before that shuffle.
-    m = pos.join(_small(ph, small), keys).join(cand, clause_keys, "left_semi")
+    m = positions_of(idx, _small(ph, small)).join(cand, clause_keys, "left_semi")
     doc_keys = ["query_id", "clause_no", "occur", "boost", "field", "doc_id", "dl", "avgdl", "idf_sum"]
 
     # slop 0: a start position where all n offsets are present
@@ -237,8 +235,7 @@ def _phrase_prefix_matches(idx: Index, clauses: DataFrame, small: bool) -> DataF
                      F.lit("prefix").alias("kind"), F.array(F.element_at("terms", -1)).alias("terms"))
     expanded = _expand(idx, last, small).select("query_id", "clause_no", "occur", "boost", "field", "n", "offset", "term")
     words = _with_bucket(idx, fixed.unionByName(expanded))
-    pos, keys = postings_for(idx, ["field", "term", "doc_id", "pos"], table="positions")
-    m = pos.join(bounded_broadcast(words), keys)
+    m = positions_of(idx, bounded_broadcast(words))
     starts = (m.groupBy("query_id", "clause_no", "occur", "boost", "field", "doc_id", "n",
                         (F.col("pos") - F.col("offset")).alias("start"))
               .agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") == F.col("n")))
@@ -280,6 +277,26 @@ def normalize(clauses: DataFrame) -> DataFrame:
         F.col("entity").cast("string"), F.col("k").cast("int"))
 
 
+def analyse(queries: DataFrame) -> DataFrame:
+    """Clause rows of query texts: (query_id, text[, entity, k]) as a user types them.
+
+    The text is cut at white space and each word analysed like the documents:
+    a word of one term is an optional term in the default fields, a word of
+    several (``error-handling``) a phrase of them, a word of none is left out.
+    The words carry no grammar. An entity is a hard filter of the query; a
+    query without terms, or of k = 0, has no hits. Null texts are empty.
+    """
+    cols = set(queries.columns)
+    entity = F.col("entity").cast("string") if "entity" in cols else F.lit(None).cast("string")
+    k = F.coalesce(F.col("k").cast("int"), F.lit(DEFAULT_K)) if "k" in cols else F.lit(DEFAULT_K)
+    words = queries.select(F.col("query_id").cast("long").alias("query_id"), entity.alias("entity"), k.alias("k"),
+                           F.posexplode(F.split(F.coalesce("text", F.lit("")), WHITE_SPACE)).alias("clause_no", "word"))
+    words = words.withColumn("terms", terms(F.col("word"))).where(F.size("terms") > 0)
+    return words.select("query_id", "clause_no", F.lit("should").alias("occur"),
+                        F.when(F.size("terms") > 1, "phrase").otherwise("term").alias("kind"), F.lit(None).cast("string").alias("field"),
+                        "terms", F.lit(None).cast("int").alias("slop"), F.lit(1.0).alias("boost"), "entity", "k")
+
+
 def clause_profile(clauses: DataFrame) -> dict:
     """One small job over the clause table: rows per kind and the longest
     term list. Every small side the search derives has at most

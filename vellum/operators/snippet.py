@@ -1,4 +1,4 @@
-"""Hits with stored fields and snippets.
+"""Hits with stored fields and snippets (P8, X13, S7, F12); ``whole_hits`` has all of a hit in one row.
 
 Late materialisation: the document table is joined only to the top-k rows,
 and the snippet helper runs on those rows only, batched through Arrow.
@@ -71,9 +71,30 @@ def with_snippets(ranked: DataFrame, docs: DataFrame, idx: Index, clauses: DataF
         .otherwise(F.array("snippet"))).drop("snippet")
 
 
+def whole_hits(ranked: DataFrame, docs: DataFrame, idx: Index, clauses: DataFrame) -> DataFrame:
+    """(query_id, rank, id, entity, topic, name, title, tags, snippets, score): the whole hit, from one pass over the documents.
+
+    ``topic`` is null where a document has none, ``tags`` and ``snippets`` are
+    arrays (no match in content: no snippet), ``score`` is a number.
+    """
+    prof = clause_profile(normalize(clauses))
+    words = snippet_terms(idx, clauses)
+    words = F.broadcast(words) if sum(n * t for n, t, _, _ in prof.values()) <= BROADCAST_ROW_LIMIT else words
+    d = docs.select(F.col("id").alias("doc_id"), "entity", "topic", "name", "title", "tags", "content")
+    rows = (d.join(_small_side(ranked), "doc_id").join(words, "query_id", "left")
+            .withColumn("snippet", _snippet_udf("content", "terms", "weights")))
+    return rows.select("query_id", "rank", F.col("doc_id").alias("id"), "entity", F.nullif("topic", F.lit("")).alias("topic"), "name", "title", "tags",
+                       F.when(F.col("snippet").isNull(), F.array().cast("array<string>")).otherwise(F.array("snippet")).alias("snippets"), "score")
+
+
 def hits_json(h: DataFrame) -> DataFrame:
-    """One JSON object per hit, score printed with two decimals."""
+    """One JSON object per whole hit."""
     return h.select("query_id", "rank", F.to_json(F.struct(
-        F.col("doc_id").alias("id"), "entity", "topic", "name", "title", "tags",
-        F.format_string("%.2f", F.col("score")).alias("score")),
-        {"ignoreNullFields": "false"}).alias("json"))
+        "id", "entity", "topic", "name", "title", "tags", "snippets", "score"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def hit_text(h: DataFrame) -> DataFrame:
+    """A whole hit as printed: score with two decimals, name and path, then its snippets."""
+    head = F.format_string("[%.2f] %s  (%s)", F.col("score"), F.col("name"), F.concat_ws("/", "entity", "topic"))
+    lines = F.concat(F.array(head), F.transform("snippets", lambda s: F.concat(F.lit("       "), s)))
+    return h.select("query_id", "rank", F.array_join(lines, "\n").alias("text"))

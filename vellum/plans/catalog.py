@@ -7,13 +7,16 @@ returns a DataFrame whose columns match the SQL of the same name in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import index as ix
+from vellum.operators import ranking as rk
 from vellum.operators import search as se
+from vellum.session import ensure_checkpoint_dir, scratch_path
 from vellum.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,10 +33,23 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     return ix.build_index(tb.documents(spark, sf_dir))
 
 
+def stored_index(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> ix.Index:
+    """The index written to the shared scratch folder, laid out by document shards, and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/index-{uuid.uuid4().hex}"
+    ix.write_index(tb.documents(spark, sf_dir) if docs is None else docs, path, buckets=8)
+    return ix.read_index(spark, path)
+
+
 @register("search_bm25")
 def search_bm25(spark, sf_dir):
-    """OR queries of all words of the benchmark texts, top 10 each."""
-    return se.search(corpus_index(spark, sf_dir), tb.or_queries(spark, sf_dir))
+    """OR queries of all words of the benchmark texts, top 10 each, ranked with bounds from a stored index."""
+    return rk.ranked(stored_index(spark, sf_dir), tb.or_queries(spark, sf_dir))
+
+
+@register("search_text")
+def search_text(spark, sf_dir):
+    """Query texts in, ranked hits out: analysis, phrases of hyphenated words, entity filter and limit per query."""
+    return rk.search_text(stored_index(spark, sf_dir), tb.text_queries(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ helpers
@@ -298,8 +314,8 @@ for _key, _form, _k in [
 
 @register("search_topk")
 def search_topk(spark, sf_dir):
-    """Per-query top-k (k = 3) with the WindowGroupLimit plan."""
-    return se.search(corpus_index(spark, sf_dir), tb.or_queries(spark, sf_dir, k=3))
+    """Per-query top-k (k = 3) from a stored index."""
+    return rk.ranked(stored_index(spark, sf_dir), tb.or_queries(spark, sf_dir, k=3))
 
 
 @register("search_single")
@@ -339,10 +355,27 @@ def search_snippets(spark, sf_dir):
     return s.select("query_id", "rank", "doc_id", F.array_join("snippets", "\n").alias("snippet"))
 
 
+def _whole_hits(spark, sf_dir):
+    docs, idx, clauses, ranked = _ranked(spark, sf_dir)
+    return sn.whole_hits(ranked, docs, idx, clauses)
+
+
+@register("search_hits_full")
+def search_hits_full(spark, sf_dir):
+    """The whole hit in one row: stored fields, snippets and a numeric score."""
+    h = _whole_hits(spark, sf_dir)
+    return h.select("query_id", "rank", "id", "entity", "topic", "name", "title", _tags().alias("tags"),
+                    F.array_join("snippets", "\n").alias("snippets"), F.size("snippets").cast("long").alias("n_snippets"), "score")
+
+
 @register("hits_json")
 def hits_json(spark, sf_dir):
-    docs, _, _, ranked = _ranked(spark, sf_dir)
-    return sn.hits_json(sn.hits(ranked, docs))
+    return sn.hits_json(_whole_hits(spark, sf_dir))
+
+
+@register("hits_text")
+def hits_text(spark, sf_dir):
+    return sn.hit_text(_whole_hits(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ index tables and maintenance
@@ -394,40 +427,51 @@ def _changed(base, final):
             .drop("b_updated"))
 
 
+def _posting_rows(idx):
+    """Every stored posting of the analysed fields, with its places."""
+    p = idx.postings.where(F.col("field").isin("title", "content", "tags"))
+    return p.select("field", "term", "doc_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"),
+                    F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
 def _maintained_index(spark, sf_dir):
-    """M7 + M8 on the base index with the log's effect: upsert every document
-    the log created or changed, remove every document it deleted."""
+    """M7 + M8 on the stored base index with the log's effect: upsert every
+    document the log created or changed, remove every document it deleted."""
     base = tb.documents(spark, sf_dir)
     final, _ = chg.apply_changes(base, tb.entities(spark, sf_dir), tb.changes(spark, sf_dir))
-    idx = ix.build_index(base)
-    changed = _changed(base, final)
-    gone = base.select("id").join(final.select("id"), "id", "left_anti")
-    return ix.remove(ix.upsert(idx, changed), gone)
+    path = stored_index(spark, sf_dir).path
+    ix.upsert_stored(spark, path, _changed(base, final))
+    return ix.remove_stored(spark, path, base.select("id").join(final.select("id"), "id", "left_anti"))
 
 
-@register("index_upsert")
-def index_upsert(spark, sf_dir):
-    """Incremental maintenance; must equal a rebuild over the final table."""
-    t = _maintained_index(spark, sf_dir).term_stats
-    return t.where(F.col("field").isin("title", "content", "tags"))
-
-
-@register("index_remove")
-def index_remove(spark, sf_dir):
-    """M8: the index after removing the documents deleted by the log."""
+def _removed_index(spark, sf_dir):
+    """M8 on the stored base index: without the documents deleted by the log."""
     base = tb.documents(spark, sf_dir)
     final, _ = chg.delete_batch(base, tb.entities(spark, sf_dir), tb.changes(spark, sf_dir))
     gone = base.select("id").join(final.select("id"), "id", "left_anti")
-    c = ix.remove(ix.build_index(base), gone).corpus
-    return c.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return ix.remove_stored(spark, stored_index(spark, sf_dir).path, gone)
 
 
-@register("index_rebuild")
-def index_rebuild(spark, sf_dir):
-    """Rebuild over the final table: per-field statistics and count."""
+def _rebuilt_index(spark, sf_dir):
+    """The stored base index replaced by one of the final table."""
     final, _ = _apply(spark, sf_dir)
-    c = ix.build_index(final).corpus
-    return c.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+    path = stored_index(spark, sf_dir).path
+    ix.write_index(final, path, buckets=8)
+    return ix.read_index(spark, path)
+
+
+def _corpus_rows(idx):
+    return idx.corpus.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _df_rows(idx):
+    return idx.term_stats.where(F.col("field").isin("title", "content", "tags")).select("field", "term", "df")
+
+
+for _key, _of in [("index_upsert", _maintained_index), ("index_remove", _removed_index), ("index_rebuild", _rebuilt_index)]:
+    register(_key)(lambda spark, sf_dir, of=_of: _posting_rows(of(spark, sf_dir)))
+    register(f"{_key}_terms")(lambda spark, sf_dir, of=_of: _df_rows(of(spark, sf_dir)))
+    register(f"{_key}_corpus")(lambda spark, sf_dir, of=_of: _corpus_rows(of(spark, sf_dir)))
 
 
 @register("docs_upsert")
@@ -540,9 +584,7 @@ def delete_entities_rejects(spark, sf_dir):
 # ------------------------------------------------------------------ vault
 
 import os  # noqa: E402
-import uuid  # noqa: E402
 
-from vellum.session import scratch_path  # noqa: E402
 from vellum.sources import vault as va  # noqa: E402
 
 

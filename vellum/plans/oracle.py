@@ -567,6 +567,19 @@ for _key, _form in [("search_term", "term"), ("search_all_terms", "and"), ("sear
                     ("search_phrase_prefix", "phrase_prefix"), ("search_all", "all")]:
     ORACLE[_key] = search_sql(" UNION ALL ".join(FORMS[_form])) + topk_matched_sql()
 
+WHITE_SPACE = r"'[ \t\n\x0B\f\r]+'"
+ORACLE["search_text"] = search_sql(rf"""
+SELECT query_id, clause_no, 'should' AS occur, CASE WHEN len(terms) > 1 THEN 'phrase' ELSE 'term' END AS kind,
+       CAST(NULL AS VARCHAR) AS field, terms, CAST(NULL AS INTEGER) AS slop, CAST(1.0 AS DOUBLE) AS boost, entity, k
+FROM (SELECT query_id, entity, k, clause_no,
+             list_transform(list_filter(regexp_split_to_array(word, {SPLIT}), lambda x: x <> '' AND strlen(x) < 40), lambda x: lower(x)) AS terms
+      FROM (SELECT query_id, entity, k, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS clause_no
+            FROM (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR) END AS entity,
+                         CAST(item_id % 7 + 3 AS INTEGER) AS k,
+                         regexp_split_to_array(coalesce(CASE WHEN item_id % 2 = 1 THEN regexp_replace(text, '^([^ ]+) ([^ ]+)', '\1-\2') ELSE text END, ''),
+                                               {WHITE_SPACE}) AS ws FROM benchmark)))
+WHERE len(terms) > 0""") + topk_matched_sql()
+
 ORACLE["search_topk"] = (
     with_ctes(DOCS, FIELD_TEXTS, QTERMS, TERM_SCORES,
               "agg AS (SELECT query_id, doc_id, sum(score) AS score FROM scored GROUP BY 1, 2)")
@@ -590,12 +603,7 @@ SELECT r.query_id, r.rank, r.doc_id, d.entity, d.topic, d.name, d.title,
        array_to_string(d.tags, ',') AS tags, r.score
 FROM ranked r JOIN docs d ON d.id = r.doc_id"""
 
-ORACLE["hits_json"] = RANKED + """
-SELECT r.query_id, r.rank, CAST(json_object('id', r.doc_id, 'entity', d.entity, 'topic', d.topic,
-       'name', d.name, 'title', d.title, 'tags', d.tags, 'score', printf('%.2f', r.score)) AS VARCHAR) AS json
-FROM ranked r JOIN docs d ON d.id = r.doc_id"""
-
-ORACLE["search_snippets"] = "WITH RECURSIVE " + RANKED[len("WITH "):] + r""",
+SNIPPETS = "WITH RECURSIVE " + RANKED[len("WITH "):] + r""",
 qw AS (
   SELECT DISTINCT q.query_id, q.term, 1.0 / (1 + coalesce(s.df, 0)) AS w
   FROM qterms q LEFT JOIN dfs s ON s.field = 'content' AND s.term = q.term
@@ -663,9 +671,27 @@ snip AS (
          || substr(any_value(d.content), max(p.b) + 1, any_value(s.stop) - max(p.b)) AS snippet
   FROM pieces p JOIN hd d ON d.doc_id = p.doc_id JOIN fstop s ON s.doc_id = p.doc_id AND s.fa = p.fa
   GROUP BY p.query_id, p.doc_id
-)
-SELECT r.query_id, r.rank, r.doc_id, coalesce(s.snippet, '') AS snippet
-FROM ranked r LEFT JOIN snip s ON s.query_id = r.query_id AND s.doc_id = r.doc_id"""
+),
+whole AS (
+  SELECT r.query_id, r.rank, r.doc_id AS id, d.entity, d.topic, d.name, d.title, d.tags,
+         CASE WHEN s.snippet IS NULL THEN CAST([] AS VARCHAR[]) ELSE [s.snippet] END AS snippets, r.score
+  FROM ranked r JOIN docs d ON d.id = r.doc_id LEFT JOIN snip s ON s.query_id = r.query_id AND s.doc_id = r.doc_id
+)"""
+
+ORACLE["search_snippets"] = SNIPPETS + """
+SELECT query_id, rank, id AS doc_id, array_to_string(snippets, chr(10)) AS snippet FROM whole"""
+
+ORACLE["search_hits_full"] = SNIPPETS + """
+SELECT query_id, rank, id, entity, topic, name, title, array_to_string(tags, ',') AS tags,
+       array_to_string(snippets, chr(10)) AS snippets, CAST(len(snippets) AS BIGINT) AS n_snippets, score FROM whole"""
+
+ORACLE["hits_json"] = SNIPPETS + """
+SELECT query_id, rank, CAST(json_object('id', id, 'entity', entity, 'topic', topic, 'name', name, 'title', title,
+       'tags', tags, 'snippets', snippets, 'score', score) AS VARCHAR) AS json FROM whole"""
+
+ORACLE["hits_text"] = SNIPPETS + """
+SELECT query_id, rank, array_to_string(['[' || printf('%.2f', score) || '] ' || name || '  (' || concat_ws('/', entity, topic) || ')']
+       || list_transform(snippets, lambda x: '       ' || x), chr(10)) AS text FROM whole"""
 
 # ------------------------------------------------------------------ index tables
 
@@ -688,13 +714,14 @@ def _on_final(part: str) -> str:
     return part.replace("FROM docs", "FROM final")
 
 
-ORACLE["index_upsert"] = apply_sql("true", "," + _on_final(FIELD_TEXTS) + """
+for _key, _ops in [("index_upsert", "true"), ("index_remove", "op = 'delete'"), ("index_rebuild", "true")]:
+    ORACLE[_key] = apply_sql(_ops, "," + _on_final(FIELD_TEXTS) + """
+SELECT p.field, p.term, p.doc_id, CAST(p.tf AS BIGINT) AS tf, CAST(d.dl AS BIGINT) AS dl,
+       array_to_string(p.positions, ',') AS positions
+FROM postings p JOIN dls d ON d.doc_id = p.doc_id AND d.field = p.field""")
+    ORACLE[f"{_key}_terms"] = apply_sql(_ops, "," + _on_final(FIELD_TEXTS) + """
 SELECT field, term, count(*) AS df FROM postings GROUP BY field, term""")
-
-ORACLE["index_remove"] = apply_sql("op = 'delete'", "," + _on_final(FIELD_TEXTS) + """
-SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM corpus""")
-
-ORACLE["index_rebuild"] = apply_sql("true", "," + _on_final(FIELD_TEXTS) + """
+    ORACLE[f"{_key}_corpus"] = apply_sql(_ops, "," + _on_final(FIELD_TEXTS) + """
 SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM corpus""")
 
 ORACLE["docs_upsert"] = apply_sql("true", """,

@@ -111,6 +111,20 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text, entity, k): benchmark texts as typed queries.
+
+    Every second one has its first two words joined by a hyphen, every third
+    one asks within an entity; k is 3 to 9.
+    """
+    q, i = read(spark, sf_dir, "benchmark"), F.col("item_id")
+    return q.select(
+        i.alias("query_id"),
+        F.when(i % 2 == 1, F.regexp_replace("text", r"^([^ ]+) ([^ ]+)", "$1-$2")).otherwise(F.col("text")).alias("text"),
+        F.when(i % 3 == 0, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("entity"),
+        (i % 7 + 3).cast("int").alias("k"))
+
+
 def or_queries(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Default-operator (OR) queries over the default fields, one clause per term."""
     q = query_terms(spark, sf_dir)
