@@ -216,12 +216,11 @@ def rebuild_count(spark, sf_dir):
 
 @register("corpus_all")
 def corpus_all(spark, sf_dir):
-    """Metadata joined with bodies (rows without a body skipped), ordered."""
+    """Metadata of all documents and a vault that lacks every seventh file: the others with their bodies, ordered."""
     d = tb.documents(spark, sf_dir)
-    meta = d.drop("content")
-    bodies = d.select("id", "content").where(F.col("content").isNotNull())
-    return (meta.join(bodies, "id")
-            .select("id", "entity", "topic", "name", F.length("content").cast("long").alias("n_chars"))
+    root = _written_vault(spark, sf_dir, d.where(_number(d) % 7 != 3))
+    rows, _ = va.read_corpus(d, va.scan_document_files(spark, root))
+    return (rows.select("id", "entity", "topic", "name", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
             .orderBy(F.asc("entity"), F.asc_nulls_first("topic"), F.asc("name")))
 
 
@@ -602,6 +601,37 @@ def _written_vault(spark, sf_dir, docs=None):
     return root
 
 
+def _number(docs):
+    return F.regexp_extract(docs["name"], r"(\d+)$", 1).cast("long")
+
+
+def _broken_files(spark, sf_dir):
+    """Files of all documents, most of them broken in one of eleven ways by the document's number."""
+    docs = tb.documents(spark, sf_dir)
+    files = va.render_documents(docs).withColumn("way", F.regexp_extract("path", r"-(\d+)\.md$", 1).cast("long") % 12)
+    text, way = F.col("text"), F.col("way")
+    broken = (F.when(way == 1, F.regexp_replace(text, r"^---\n", ""))
+              .when(way == 2, F.concat(F.substring_index(text, "\ncreated_at", 1), F.lit("\n")))
+              .when(way == 3, F.regexp_replace(text, r"(?m)^created_at: .*$", "created_at: 2024-13-45T00:00:00Z"))
+              .when(way == 4, F.regexp_replace(text, r"(?m)^title: .*\n", ""))
+              .when(way == 5, F.regexp_replace(text, r"(?m)^title: .*$", "title: 12.5"))
+              .when(way == 6, F.regexp_replace(F.regexp_replace(text, r"(?m)^tags:\n(- .*\n)+", ""), r"(?m)^updated_at: ", "tags: loose\nupdated_at: "))
+              .when(way == 7, F.regexp_replace(text, r"(?m)^id: (.*)$", "id: $1\nid: $1"))
+              .when(way == 8, F.regexp_replace(text, r'(?m)^title: .*$', 'title: "open'))
+              .otherwise(text))
+    path = (F.when(way == 9, F.regexp_replace("path", "/doc-", "/Doc_")).when(way == 10, F.regexp_replace("path", "^entities/", "entities/x"))
+            .otherwise(F.col("path")))
+    return files.select(path.alias("path"), broken.alias("text"))
+
+
+@register("vault_rejects")
+def vault_rejects(spark, sf_dir):
+    """A vault of broken files scanned: every error a reject row with its reason."""
+    root = scratch_path(spark, f"vault-{uuid.uuid4().hex}")
+    va.write_vault(va.render_entities(tb.entities(spark, sf_dir)).unionByName(_broken_files(spark, sf_dir)), root)
+    return va.scan_vault(spark, root)[2]
+
+
 @register("render_vault")
 def render_vault(spark, sf_dir):
     """Markdown files of every entity and document."""

@@ -268,9 +268,18 @@ FROM tree"""
 
 ORACLE["rebuild_count"] = "SELECT count(*) AS n_documents FROM documents"
 
-ORACLE["corpus_all"] = with_ctes(DOCS) + """
-SELECT id, entity, topic, name, CAST(length(content) AS BIGINT) AS n_chars FROM docs
-WHERE content IS NOT NULL ORDER BY entity, topic NULLS FIRST, name"""
+ORACLE["corpus_all"] = with_ctes(DOCS) + r"""
+SELECT id, entity, topic, name, CAST(length(body) AS BIGINT) AS n_chars, md5(body) AS content_md5
+FROM (SELECT *, regexp_replace(content, '^\n+', '') AS body FROM docs WHERE doc_num % 7 <> 3)
+ORDER BY entity, topic NULLS FIRST, name"""
+
+ORACLE["vault_rejects"] = with_ctes(DOCS) + """
+SELECT 'entities/' || CASE WHEN way = 10 THEN 'x' ELSE '' END || concat_ws('/', entity, topic,
+         CASE WHEN way = 9 THEN replace(name, 'doc-', 'Doc_') ELSE name END) || '.md' AS path,
+       CASE way WHEN 1 THEN 'missing_frontmatter' WHEN 2 THEN 'unclosed_frontmatter' WHEN 3 THEN 'invalid_created_at'
+                WHEN 4 THEN 'missing_title' WHEN 5 THEN 'title_not_a_string' WHEN 6 THEN 'tags_not_a_list'
+                WHEN 7 THEN 'duplicate_id' WHEN 8 THEN 'unclosed_quotes_title' WHEN 9 THEN 'invalid_path' ELSE 'not_found' END AS reason
+FROM (SELECT *, doc_num % 12 AS way FROM docs) WHERE way BETWEEN 1 AND 10"""
 
 # ------------------------------------------------------------------ changes
 
