@@ -47,7 +47,7 @@ CASES = {
     "simhash": lambda s, d: simhash.drop_near_duplicates(s, d, ""),
     "lines": lambda s, d: lines.line_dedup(d),
     "clean": lambda s, d: lines.clean(d),
-    "pii": lambda s, d: pii.replace_pii(d),
+    "pii": lambda s, d: pii.replace_pii(d, "k"),
     "packing": lambda s, d: packing.pack_documents(d, window=16, group=50).select("doc_id", "start", "length", "ids_crc32", "doc_tokens"),
 }
 

@@ -45,3 +45,10 @@ def test_accumulation_is_the_product():
     c, q = rng.integers(-5, 5, (50, 9)), rng.integers(-5, 5, (7, 9))
     terms = lambda m: (*np.nonzero(m), m[np.nonzero(m)])
     assert (topk.accumulate(terms(c), terms(q), 50, 7, np.int16) == q @ c.T).all()
+
+
+@pytest.mark.parametrize("big", [1e8, 1e300])
+def test_what_64_bits_cannot_hold_is_refused(spark, big):
+    rows = spark.createDataFrame([(1, [big, 1.0]), (20, [big * 10, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(topk.integer_vectors(rows), F.col("vec_id") == 20).collect()

@@ -381,8 +381,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     spark = docs.sparkSession
     blocks, words, totals, places = coded_blocks(docs, min_count)
     bits = bitmap(words, words.count())
-    # Twice in a unit is asked where fewer units than min_count allow it.
-    least = min(2, 1 + (min_count - 1) // max(1, blocks.rdd.getNumPartitions()))
+    least = 1 + (min_count - 1) // max(1, blocks.rdd.getNumPartitions())  # a unit is a task
     word = words.select(F.col("id").alias("right"), F.col("word").alias("last"))
     before = words.select(F.col("id").alias("left"), "lang", F.array("word").alias("words"), F.array("id").alias("ids"))
     levels = [words.select("lang", F.array("word").alias("words"), "a")]

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from bisect import bisect_left
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import batch, chunks, doc_rows, store, table, with_uid
 
-KEY = "vellum surrogate key"  # production runs pass their own
+KEY_SETTING = "spark.vellum.pii.key"  # of the session; the key is never stored here
 BROADCAST = 20_000
 ROUNDS = 6
 GROW = 4
@@ -338,12 +339,16 @@ def exceptions(values: DataFrame, key: str) -> DataFrame:
             _surrogates(again, key)), "surrogates")
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """(uid, doc_id, text, n_entities, entities), one row per input row.
 
     ``entities`` has (type, start, end) of each surrogate in the new text; no
     original value is returned. Texts without entities, empty and null texts
-    come back as they are. Repeated rows come out alike.
+    come back as they are; a text of any length is read whole. Repeated rows
+    come out alike, null ids matter nothing. Two values that would take one
+    surrogate are told apart (no ties remain). An empty table gives an empty
+    result. Only doc_id and text are read, so extra columns of any name do no
+    harm. Whoever has ``key`` can undo the permutations: keep it secret.
     """
     docs, uid = with_uid(docs)
     found = store(values_found(docs, uid), "entities")
@@ -372,4 +377,6 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents")).drop("uid")
+    """With the session's key, or one drawn for this run alone, after which no one can undo it."""
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    return replace_pii(table(spark, sf_dir, "documents"), key).drop("uid")

@@ -31,12 +31,16 @@ SLICE = 512  # candidates whose scores are summed at once, so that they stay in
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(uid, vec_id, v): components floor(scale * x); vectors null or with a null or non-finite component are left out."""
+    """(uid, vec_id, v): components floor(scale * x); vectors null or with a null or non-finite component are left out.
+
+    A component that a long cannot hold is refused, as are scores (see ``top_k``).
+    """
     x = F.transform("embedding", lambda e: e.cast("double"))
     whole = F.col("embedding").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     return vectors.where(F.coalesce(whole, F.lit(False))).select(
         F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
+        F.transform(x, lambda e: F.when(F.abs(e) < 2.0 ** 62 / scale, F.floor(e * scale).cast("long")).otherwise(
+            F.raise_error(F.lit("a component is too large for 64 bits")).cast("long"))).alias("v"))
 
 
 def _terms(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +126,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BLO
     Vectors of unequal length are compared on the dimensions both have. A row
     is its own only by ``uid``: a repeated row is a candidate of its copy and
     a query of its own. Ties go to the smaller vec_id (null last). Empty
-    vectors score 0. An empty table gives an empty result.
+    vectors score 0. Vectors whose scores could pass 64 bits are refused, by
+    the product of their lengths. An empty table gives an empty result.
+    Columns but vec_id and embedding are not read.
     """
     rows = store(vectors, "vectors")
     asked = rows.where(is_query)
@@ -144,6 +150,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BLO
         asked_terms, v = _terms(q.column("v")), c.column("v").combine_chunks()
         parts = [(_terms(v.slice(a, SLICE)), min(SLICE, len(v) - a)) for a in range(0, len(v), SLICE)]
         bound = _norm(asked_terms) * max(_norm(x) for x, _ in parts)  # of every partial sum
+        if bound >= 2.0 ** 63:
+            raise ValueError("scores could pass 64 bits: components are too large")
         kind = next(x for x in (np.int16, np.int32, np.int64) if bound < np.iinfo(x).max or x is np.int64)
         scores = np.concatenate([accumulate(x, asked_terms, n, q.num_rows, kind) for x, n in parts], axis=1)
         c_uid, q_uid = c.column("uid").to_numpy(), q.column("uid").to_numpy()
