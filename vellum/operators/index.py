@@ -166,7 +166,7 @@ def length_norm(dl: F.Column, avgdl: F.Column) -> F.Column:
     return F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / avgdl)
 
 
-def _table_name(path: str, name: str) -> str:
+def table_name(path: str, name: str) -> str:
     return f"vellum_{name}_{hashlib.md5(path.encode()).hexdigest()[:16]}"
 
 
@@ -189,7 +189,7 @@ def write_index(docs: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS, shar
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = _table_name(path, "postings")
+    name = table_name(path, "postings")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     (sharded_rows(docs, buckets, shards).write.format("parquet").mode("overwrite").option("path", f"{path}/postings")
      .partitionBy("shard", "tb").bucketBy(shards, "doc_id").sortBy("field", "term").saveAsTable(name))
@@ -209,7 +209,7 @@ def _totals(lengths: DataFrame) -> DataFrame:
 def read_index(spark: SparkSession, path: str) -> Index:
     """The stored index; its postings table is registered with this session if another wrote it."""
     lay = spark.read.json(f"{path}/_layout").first()
-    name = _table_name(path, "postings")
+    name = table_name(path, "postings")
     if not spark.catalog.tableExists(name):
         spark.sql(f"""CREATE TABLE {name} (field STRING, term STRING, doc_id STRING, dl INT, tf INT, positions ARRAY<INT>, shard INT, tb INT)
             USING parquet PARTITIONED BY (shard, tb) CLUSTERED BY (doc_id) SORTED BY (field, term) INTO {lay['shards']} BUCKETS
@@ -237,7 +237,7 @@ def _replace(spark: SparkSession, path: str, gone: DataFrame, new_docs: DataFram
     """
     idx = read_index(spark, path)
     buckets, shards = idx.buckets, idx.shards
-    name = _table_name(path, "postings")
+    name = table_name(path, "postings")
     new = _staged(sharded_rows(new_docs, buckets, shards)) if new_docs is not None else None
     ids = gone.select("doc_id") if new is None else gone.select("doc_id").unionByName(new.select("doc_id"))
     ids = _staged(ids.where(F.col("doc_id").isNotNull()).distinct().withColumn("shard", doc_shard(F.col("doc_id"), shards)))

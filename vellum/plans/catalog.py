@@ -333,10 +333,11 @@ from vellum.operators import snippet as sn  # noqa: E402
 
 
 def _ranked(spark, sf_dir):
-    docs = tb.documents(spark, sf_dir)
-    idx = ix.build_index(docs)
+    """The document store, the stored index, the queries and their ranked hits."""
+    idx = stored_index(spark, sf_dir)
+    sn.write_documents(tb.documents(spark, sf_dir), idx.path)
     clauses = tb.or_queries(spark, sf_dir)
-    return docs, idx, clauses, se.search(idx, clauses)
+    return sn.read_documents(spark, idx.path), idx, clauses, rk.ranked(idx, clauses)
 
 
 @register("search_hits")
