@@ -160,11 +160,17 @@ def test_hits_read_only_their_buckets(spark):
     assert sorted(store.collect()) == sorted(docs.collect())
     q = queries(spark, 4, n=1, k=2)
     ranked = rk.ranked(idx, q)
-    found = sn.whole_hits(ranked, store, idx, q)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.splitlines() if "FileScan" in line and ix.table_name(idx.path, "documents") in line)
-    assert "out of 8" in scan and "SelectedBucketsCount: 8 out of 8" not in scan
-    assert sorted(found.collect()) == sorted(sn.whole_hits(ranked, docs, idx, q).collect())
+    want = sorted(sn.whole_hits(ranked, docs, idx, q).collect())
+    mine = {r["s"] for r in ranked.select(ix.doc_shard(F.col("doc_id"), 8).alias("s")).collect()}
+    kept = 0
+    for f in os.listdir(f"{idx.path}/documents"):
+        if f.endswith(".parquet") and int(f.split("_")[-1].split(".")[0]) not in mine:
+            os.replace(f"{idx.path}/documents/{f}", f"{idx.path}/documents/.{f}.away")  # read, it would fail
+            kept += 1
+    assert want and kept >= 5 and sorted(sn.whole_hits(ranked, store, idx, q).collect()) == want
+    for f in os.listdir(f"{idx.path}/documents"):
+        if f.endswith(".away"):
+            os.replace(f"{idx.path}/documents/{f}", f"{idx.path}/documents/{f[1:-5]}")
     name = ix.table_name(idx.path, "documents")
     spark.sql(f"DROP TABLE {name}")  # as another session finds it
     assert sorted(sn.read_documents(spark, idx.path).collect()) == sorted(docs.collect())
