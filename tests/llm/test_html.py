@@ -90,3 +90,26 @@ def test_an_article_in_a_wrapper_named_like_furniture_stays(name):
 def test_furniture_left_open_ends_as_other_elements_do(before):
     text = main_text(f"<body><article>{before}<p>{LONG}<p>{LONG}</article></body>")
     assert text.split("\n\n")[-2:] == [" ".join(LONG.split())] * 2 and "Buy" not in text and "cookies" not in text
+
+
+def test_furniture_of_compound_names_in_the_article():
+    body = "".join(f"<p>Sentence number {i} of the article, with commas, and with enough text to count.</p>" for i in range(6))
+    names = ["related-posts", "user-comments", "comment-thread", "share-buttons", "ad-slot", "site-footer", "main-nav", "newsletter-form"]
+    for name in names:
+        page = f"<html><body><div class=content>{body}<div class='{name}'><p>Leave this out, it is, by its name, no part of the text.</p></div></div></body></html>"
+        text = main_text(page)
+        assert "Leave this out" not in text and text.count("Sentence number") == 6, name
+    for name in ("related-work", "social-history", "post tag-news", "no-sidebar", "content has-banner", "comment-on-kant"):
+        page = f"<html><body><div class=content>{body}<div class='{name}'><p>Keep this in, as it is, by its name, a part of the text.</p></div></div></body></html>"
+        assert "Keep this in" in main_text(page), name
+    assert main_text(f"<body><div class='main-nav user-comments'>{body}</div></body>").count("Sentence") == 6  # holds most of the page
+
+
+def test_menus_without_names():
+    body = "".join(f"<p>Sentence number {i} of the article, with commas, and with enough text to count.</p>" for i in range(6))
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
+    text = main_text(f"<body><div>{menu}{body}</div></body>")
+    assert "Home" not in text and text.count("Sentence number") == 6
+    assert "Home" in main_text(f"<body><div>{body}{menu}{body}</div></body>")  # after text a list is the article's
+    plain = "<ul><li>First point</li><li>Second point</li></ul>"
+    assert "First point" in main_text(f"<body><div>{plain}{body}</div></body>")

@@ -45,8 +45,11 @@ _WORDS = (r"(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|popup|mod
           r"newsletter|subscribe|signup|login|paywall|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|pagination|pager|footer|masthead|"
           r"topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|comments?|disqus|replies|respond|widget|tags?|"
           r"skip|search|hidden|sr-only|site-header|page-header)")
-# A whole class name or id of such words, or one of them with a name for its place.
-FURNITURE = re.compile(rf"(?<!\S){_WORDS}(?:[_-](?:{_WORDS}|area|bar|block|bottom|box|container|left|list|right|section|top|wrap|wrapper))*(?!\S)", re.I)
+# Words that stand beside them in names of furniture: its place, its kind, whose it is.
+_BESIDE = (r"(?:area|articles|bar|block|bottom|box|buttons?|container|desktop|field|fixed|form|global|icons|inner|items|left|links|list|main|"
+           r"mobile|outer|page|panel|posts|primary|reader|right|row|secondary|section|site|slot|sticky|stories|thread|top|unit|user|wrap|wrapper|zone)")
+# A whole class name or id of such words, at least one of them of furniture.
+FURNITURE = re.compile(rf"(?<!\S)(?:{_BESIDE}[_-])*{_WORDS}(?:[_-](?:{_WORDS}|{_BESIDE}))*(?!\S)", re.I)
 ROLE_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 LIKELY = re.compile(r"article|content|main|post|entry|story|text|body", re.I)
 TAG_POINTS = {"article": 25, "main": 15, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ol": -3, "ul": -3, "dl": -3}
@@ -54,6 +57,7 @@ TEXT_BLOCK = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "figcaptio
               "h1", "h2", "h3", "h4", "h5", "h6", "summary"}
 
 DEEPEST = 512
+SENTENCE = 60  # characters from which a run of text is no menu entry
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=[^a-zA-Z/!?])|<$|</[^>]*>?|[^<]+|<",
                    re.S)
@@ -282,6 +286,28 @@ def _blocks(n: Node, out: list[str]) -> None:
             out.append(x[0])
 
 
+def _without_menus(n: Node) -> Node:
+    """``n`` without lists of links that stand before its first sentence.
+
+    Such a list has two items or more, nearly all of its text in links, and
+    no item as long as a line of text; a list further on belongs to the article.
+    """
+    stack = [n]
+    while stack:
+        x = stack.pop()
+        if type(x) is not Node:
+            if len(x[0]) >= SENTENCE and x[1] < len(x[0]) / 2:
+                break
+            continue
+        if x.tag in ("ul", "ol") and x.chars and x.linked >= 0.9 * x.chars:
+            items = [c for c in x.parts if type(c) is Node and c.tag == "li"]
+            if len(items) > 1 and max(c.chars for c in items) < SENTENCE:
+                x.parts = []
+                continue
+        stack += reversed(x.parts)
+    return n
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by an empty line; empty if there is none."""
     root = parse(html or "")
@@ -302,14 +328,18 @@ def main_text(html: str | None) -> str:
                     keep.append(s)
     out: list[str] = []
     for n in keep:
-        _blocks(n, out)
+        _blocks(_without_menus(n), out)
     return "\n\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per input row.
 
-    Null html is empty; pages without text give an empty text. Repeated rows come out alike; other columns are not read.
+    Null html is empty; pages without text give an empty text; pages of any
+    length are read whole. Of containers with equal points the first in page
+    order is the article. Repeated rows come out alike, null ids pass through.
+    An empty table gives an empty result. Columns but page_id, url and html
+    are not read.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -163,6 +163,8 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
     the chosen languages to their shares. Null texts and texts without a
     letter are ``und`` with score 0, as is everything if no row could teach.
     Ties go to the first language in order. A null id counts as not held out.
+    Texts of any length are read whole, repeated rows come out alike. An empty
+    table gives an empty result. Only doc_id and text are read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
                         ("mixture", pa.map_(pa.string(), pa.float64()))])

@@ -262,8 +262,9 @@ def simhash_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
     one row of each component: of smallest doc_id, then first in the table.
     Null and empty texts have fingerprint 0 and link like any other. Null ids
     count as larger than all others; a component of null ids only has a null
-    component_id. Repeated rows are rows of their own. An empty table gives
-    an empty result. Only doc_id and text are read.
+    component_id. Repeated rows are rows of their own. Texts of any length are
+    read whole. An empty table gives an empty result. Only doc_id and text are
+    read, so extra columns of any name do no harm.
     """
     rows = store(fingerprints(docs, shingle_words, uid), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")

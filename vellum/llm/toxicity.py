@@ -219,8 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, epochs: int = EP
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row.
 
-    Null and empty texts are scored as one empty word. A null id counts as not
-    held out. Repeated rows score alike. Only doc_id and text are read.
+    Null and empty texts are scored as one empty word; texts of any length in
+    all their windows. A null id counts as not held out. Repeated rows score
+    alike; a score of exactly one half is toxic. An empty table gives an empty
+    result. Only doc_id and text are read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -235,7 +237,11 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """Pipeline stage: rows that score below ``threshold``, with the columns they came with."""
+    """Pipeline stage: rows that score below ``threshold``, with the columns they came with.
+
+    The defined results are those of ``toxicity_scores``; columns of any name
+    pass through as they are.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
 
     def run(batches):
