@@ -6,6 +6,7 @@ import tempfile
 
 import pytest
 from builders import make_docs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.operators import index as ix
@@ -85,7 +86,7 @@ def test_only_touched_shards_are_rewritten_and_may_empty(spark):
     assert tables(back) == tables(stored(spark, docs, shards=5))
 
 
-def rows(df):
+def rows_of(df):
     return sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
 
 
@@ -97,11 +98,11 @@ def test_bounds_lose_nothing(spark, seed, monkeypatch):
     monkeypatch.setattr(rk, "PROBE", 1)
     for weak in (0.0, 0.5, 1.0):
         monkeypatch.setattr(rk, "WEAK", weak)
-        assert rows(rk.ranked(idx, q)) == rows(se.search(ix.build_index(docs), q))
+        assert rows_of(rk.ranked(idx, q)) == rows_of(se.search(ix.build_index(docs), q))
     longer = corpus(spark, seed + 9, 30, first=50).withColumn("content", F.concat(F.repeat(F.lit("zzz "), 200), "content"))
     idx = ix.upsert_stored(spark, idx.path, longer)  # fields are longer on average than when impacts were taken
     docs = docs.join(longer.select("id"), "id", "left_anti").unionByName(longer)
-    assert rows(rk.ranked(idx, q)) == rows(se.search(ix.build_index(docs), q))
+    assert rows_of(rk.ranked(idx, q)) == rows_of(se.search(ix.build_index(docs), q))
 
 
 def test_bounds_leave_out_documents(spark):
@@ -112,7 +113,7 @@ def test_bounds_leave_out_documents(spark):
     w = rk.term_weights(idx, c, True)
     terms = rk._staged(rk.split_terms(w, rk.floors(idx, w, 2, True)))
     assert rk.candidates(idx, terms, True).count() < 50 < rk.scored(idx, w, True).count()
-    assert rows(rk.ranked(idx, q)) == rows(se.search(idx, q))
+    assert rows_of(rk.ranked(idx, q)) == rows_of(se.search(idx, q))
 
 
 def test_no_exchange_of_uncut_matches(spark):
@@ -152,6 +153,25 @@ def test_query_texts(spark):
     assert text == f"[{top.score:.2f}] a  (rust/err)\n       anyhow makes <<error>> <<handling>> simple"
 
 
+def test_match_all_without_all_pairs(spark):
+    docs = corpus(spark, 11, 70)
+    rng = random.Random(2)
+    rows = []
+    for q in range(14):
+        rows.append((q, 0, rng.choice(["should", "must", "should", "must_not" if q == 5 else "should"]), "all", None, [], 1.5, f"e{q % 3}" if q == 7 else None, 0 if q == 9 else rng.randrange(1, 30)))
+        for c in range(1, rng.randrange(1, 5)):
+            rows.append((q, c, rng.choice(["should", "must", "must_not", "should"]), "term", None, [rng.choice([*WORDS, "the", "nowhere"])], 1.0, f"e{q % 3}" if q == 7 else None, 9))
+    q = spark.createDataFrame(rows, "query_id long, clause_no int, occur string, kind string, field string, terms array<string>, boost double, entity string, k int")
+    q = q.withColumn("k", F.max("k").over(Window.partitionBy("query_id")))
+    for idx in (ix.build_index(docs), stored(spark, docs)):
+        whole, k = se._match(idx, q)
+        want = rows_of(se.top_k(whole, k))
+        assert rows_of(se.search(idx, q)) == want and len(want) > 60
+    found, _ = se._match(idx, q, cut=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() < whole.count() and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_hits_read_only_their_buckets(spark):
     docs = corpus(spark, 7, 80)
     idx = stored(spark, docs)

@@ -250,7 +250,7 @@ def _replace(spark: SparkSession, path: str, gone: DataFrame, new_docs: DataFram
     ref = spark.read.parquet(f"{path}/corpus").select("field", "ref")
     out = _staged(_bounds(old.join(small, "doc_id", "left_semi"), ref))
     rows = old.join(small, "doc_id", "left_anti").select("field", "term", "doc_id", "dl", "tf", "positions", "shard", "tb")
-    keepers = (spark.createDataFrame([(s,) for s in touched], "shard int").crossJoin(spark.range(buckets).select(F.col("id").cast("int").alias("tb")))
+    keepers = (spark.createDataFrame([(s,) for s in touched], "shard int").withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
                .select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("field", "term", "doc_id", "dl", "tf", "positions")], "shard", "tb"))
     rows = rows.unionByName(keepers) if new is None else rows.unionByName(new).unionByName(keepers)
     rows = _staged(rows.repartition(shards, "doc_id"))

@@ -22,13 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import terms
-from vellum.operators.index import K1, Index, length_norm, positions_of, postings_for, term_bucket
+from vellum.operators.index import K1, Index, doc_shard, length_norm, positions_of, postings_for, term_bucket
 from vellum.schema import RAW_FIELDS, TEXT_FIELDS
 from vellum.session import BROADCAST_ROW_LIMIT, bounded_broadcast
 
 # Fixed value: the default result limit.
 DEFAULT_K = 10
 WHITE_SPACE = r"[ \t\n\x0B\f\r]+"
+VIRTUAL_SHARDS = 64  # document shards where the index has none of its own
 KINDS = {"term", "exact", "phrase", "set", "range", "prefix", "phrase_prefix", "all"}
 SCORE_DIGITS = 6
 
@@ -251,6 +252,31 @@ def _all_matches(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
                                          F.col("boost").alias("score"))
 
 
+def _unmatched(idx: Index, touched: DataFrame, asking: DataFrame, small: bool) -> DataFrame:
+    """(query_id, doc_id): for each (query_id, k) of ``asking`` the ``k`` smallest ids, in every shard, of documents not in ``touched``.
+
+    A shard's documents are numbered in id order. Between two touched numbers
+    lie untouched ones; the gaps that begin before the k-th of them give the
+    numbers sought, which are then joined with the shard's ids. Documents are
+    never paired with queries: each (query, shard) gives at most k rows.
+    """
+    shards = idx.shards or VIRTUAL_SHARDS
+    in_shard = Window.partitionBy("shard").orderBy("doc_id")
+    ids = (idx.doc_stats.where(F.col("field") == TEXT_FIELDS[0])
+           .select("doc_id", doc_shard(F.col("doc_id"), shards).alias("shard")).withColumn("no", F.row_number().over(in_shard)))
+    sizes = ids.groupBy("shard").agg(F.max("no").alias("size"))  # a row per shard
+    ends = (asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(F.broadcast(sizes), "shard")
+            .select("query_id", "shard", "k", (F.col("size") + 1).alias("no")))
+    stops = (touched.join(ids, "doc_id").join(_small(asking, small), "query_id").select("query_id", "shard", "k", "no").unionByName(ends))
+    w = Window.partitionBy("query_id", "shard").orderBy("no")
+    gaps = (stops.withColumn("before", F.coalesce(F.lag("no").over(w), F.lit(0))).withColumn("seen", F.row_number().over(w) - 1)
+            .withColumn("free", F.col("before") - F.col("seen"))  # untouched numbers before the gap
+            .where((F.col("free") < F.col("k")) & (F.col("no") - F.col("before") > 1)))
+    last = F.least(F.col("no") - 1, F.col("before") + F.col("k") - F.col("free"))
+    wanted = gaps.select("query_id", "shard", F.explode(F.sequence(F.col("before") + 1, last)).alias("no"))
+    return ids.join(wanted, ["shard", "no"]).select("query_id", "doc_id")
+
+
 def _entity_clauses(clauses: DataFrame) -> DataFrame:
     """The entity filter is a required exact clause on the raw ``entity`` field."""
     q = clauses.where(F.col("entity").isNotNull()).select("query_id", "entity").distinct()
@@ -318,7 +344,9 @@ def match(idx: Index, clauses: DataFrame) -> DataFrame:
     return _match(idx, clauses)[0]
 
 
-def _match(idx: Index, clauses: DataFrame):
+def _match(idx: Index, clauses: DataFrame, cut: bool = False):
+    """(matched pairs, largest k). With ``cut``, documents that only a match-all
+    clause takes are left out beyond the first k of each query and shard."""
     clauses = normalize(clauses)
     prof = clause_profile(clauses)
     cuts = 768 * sum(n for kind, (n, *_) in prof.items() if kind in ("range", "prefix", "phrase_prefix"))  # see _expand
@@ -335,7 +363,8 @@ def _match(idx: Index, clauses: DataFrame):
         parts.append(_constant_matches(idx, all_clauses, small))
     if "phrase_prefix" in prof:
         parts.append(_phrase_prefix_matches(idx, all_clauses, small))
-    if "all" in prof:
+    every = "all" in prof and cut  # match-all clauses count by query, not by document
+    if "all" in prof and not cut:
         parts.append(_all_matches(idx, all_clauses, small))
     if not parts:  # empty clause table: no query, no hits
         parts.append(_term_matches(idx, all_clauses, small))
@@ -349,14 +378,24 @@ def _match(idx: Index, clauses: DataFrame):
         F.max((F.col("occur") == "filter").cast("int")).alias("filter_hit"),
         F.max((F.col("occur") == "should").cast("int")).alias("should_hit"),
         F.max((F.col("occur") == "must_not").cast("int")).alias("not_hit"))
+    whole = (F.col("kind") == "all") if every else F.lit(False)
     info = _small(clauses.groupBy("query_id").agg(
-        F.count_distinct(F.when(F.col("occur") == "must", F.col("clause_no"))).alias("n_must"),
+        F.count_distinct(F.when((F.col("occur") == "must") & ~whole, F.col("clause_no"))).alias("n_must"),
         F.max(F.col("entity").isNotNull().cast("int")).alias("has_filter"),
+        F.max((whole & (F.col("occur") != "must_not")).cast("int")).alias("any"),
+        F.max((whole & (F.col("occur") == "must_not")).cast("int")).alias("none"),
+        F.coalesce(F.sum(F.when(whole & (F.col("occur") != "must_not"), F.col("boost"))), F.lit(0.0)).alias("base"),
         F.coalesce(F.max("k"), F.lit(DEFAULT_K)).alias("k")), small)
-    ok = ((F.col("must_hit") == F.col("n_must")) & (F.col("filter_hit") >= F.col("has_filter"))
-          & (F.col("not_hit") == 0) & ((F.col("n_must") > 0) | (F.col("should_hit") == 1)))
+    ok = ((F.col("must_hit") == F.col("n_must")) & (F.col("filter_hit") >= F.col("has_filter")) & (F.col("none") == 0)
+          & (F.col("not_hit") == 0) & ((F.col("n_must") > 0) | (F.col("should_hit") == 1) | (F.col("any") == 1)))
     max_k = max([k for _, _, k, _ in prof.values() if k is not None] or [DEFAULT_K])
-    return per_doc.join(info, "query_id").where(ok).select("query_id", "doc_id", "score", "k"), max_k
+    matched = per_doc.join(info, "query_id").where(ok).select(
+        "query_id", "doc_id", (F.coalesce("score", F.lit(0.0)) + F.col("base")).alias("score") if every else F.col("score"), "k")
+    if every:
+        asking = info.where("any = 1 AND none = 0 AND n_must = 0 AND has_filter = 0 AND k > 0").select("query_id", "k", "base")
+        rest = _unmatched(idx, per_doc.select("query_id", "doc_id"), asking.select("query_id", "k"), small)
+        matched = matched.unionByName(rest.join(_small(asking, small), "query_id").select("query_id", "doc_id", F.col("base").alias("score"), "k"))
+    return matched, max_k
 
 
 def top_k(matched: DataFrame, max_k: int | None = None) -> DataFrame:
@@ -377,7 +416,7 @@ def top_k(matched: DataFrame, max_k: int | None = None) -> DataFrame:
 
 def search(idx: Index, clauses: DataFrame) -> DataFrame:
     """Ranked hits: query_id, rank, doc_id, score."""
-    matched, max_k = _match(idx, clauses)
+    matched, max_k = _match(idx, clauses, cut=True)
     return top_k(matched, max_k)
 
 
