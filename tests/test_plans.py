@@ -29,7 +29,7 @@ def test_search_plan_over_persisted_index(spark):
     assert "dynamicpruningexpression(tb" in formatted    # only the query terms' buckets are read
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     # the postings scan reads only what BM25 needs
-    assert "ReadSchema: struct<term:string,doc_id:string,dl:int,tf:int>" in formatted
+    assert "ReadSchema: struct<field:string,term:string,doc_id:string,dl:int,tf:int>" in formatted
 
 
 def test_tree_aggregates_before_join(spark):
