@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_registration():
     q, o = E.queries(), E.oracle_sql()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and set(o) <= set(q)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
