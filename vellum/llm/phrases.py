@@ -2,14 +2,15 @@
 
 Method: phrases grow by a word a round. A phrase of k words can only be
 frequent if its first k - 1 words and its last k - 1 words are (Apriori), and
-if some unit of the text, of t units, holds a t-th of its places. So a round's
-candidates are the frequent phrases with a next word that units found often
-enough at frequent places. Candidates go into a double-array trie that is
-broadcast; a pass over the text advances the states of all positions of a
-block at once, level by level in numpy, counts the accepting states by
-``bincount`` and adds the counts of its blocks; Spark sums the shards. The
-same pass finds the words that follow accepting places, from which the next
-candidates come.
+if some unit of the text, of t units, holds a t-th of its places, and if the
+bucket that it hashes to is as frequent. So a round's candidates are the
+frequent phrases with a next word in a frequent bucket that units found often
+enough. Candidates go into a double-array trie that is broadcast; a pass over
+the text advances the states of all positions of a block at once, level by
+level in numpy, counts the accepting states by ``bincount`` and adds the
+counts of its blocks; Spark sums the shards. The same pass counts, in buckets,
+the words that follow accepting places. A second pass then sends on those
+that follow frequent phrases and lie in frequent buckets.
 
 Each phrase's lowest-scoring cut, the dropping of phrases inside equally
 frequent longer ones and the ranking are joins and aggregations of Spark.
@@ -19,8 +20,11 @@ ids, which are hashes; words are shuffled once, to be counted and to find two
 words of one id (then another seed is taken). Blocks are never shuffled. What
 is broadcast is bounded whatever the corpus: a bitmap of frequent words (at
 most 16 MB; a word that only seems frequent makes more candidates, no wrong
-ones) and tries of about ``TRIE_PHRASES`` phrases; a round with more deals
-them to several tries by hash, one pass each.
+ones), one of frequent buckets of the same bound, and tries of about
+``TRIE_PHRASES`` phrases; a round with more deals them to several tries by
+hash, two passes each. Buckets are about a quarter of the words, 2 **
+``BITMAP_BITS`` at most: beyond some ten GB of text they fill up and hold back
+less, and more pairs are shuffled to be counted.
 """
 
 from __future__ import annotations
@@ -43,7 +47,9 @@ TOP = 2000
 SHARE = 100  # per cent of a phrase's count from which a longer one hides it
 NO_LANG = "und"
 TRIE_PHRASES = 1_000_000  # phrases of one broadcast trie
-BITMAP_BITS = 27  # size of the broadcast bitmap of frequent words, at most
+BITMAP_BITS = 27  # size of the broadcast bitmaps of frequent words and of frequent buckets, at most
+CHUNK_BITS = 19  # bits of a bitmap made by one task
+SALTS = 64  # tasks that first add up the buckets of one chunk, at most
 HELD = 2_000_000  # pairs a task holds before it sends them on
 SLICE = 8 << 20  # bytes of text cut into blocks at once, one a language
 
@@ -260,17 +266,25 @@ class _Unit:
         self.rows.append((left, right, n))
         self.held += len(n)
         if self.held > self.most:
-            yield from self.send(1)
+            self.merge()
+            if self.held > self.most // 2:
+                yield from self.send(1)
+
+    def merge(self) -> None:
+        """One row for each pair held."""
+        left, right, n = (np.concatenate(x) for x in zip(*self.rows))
+        names = np.unique(np.concatenate([left, right]))
+        key, back = np.unique(np.searchsorted(names, left) * len(names) + np.searchsorted(names, right), return_inverse=True)
+        if len(key):
+            left, right, n = names[key // len(names)], names[key % len(names)], np.bincount(back, n, len(key)).astype(np.int64)
+        self.rows, self.held = [(left, right, n)], len(key)
 
     def send(self, least: int):
         if self.rows:
-            left, right, n = (np.concatenate(x) for x in zip(*self.rows))
+            self.merge()
+            (left, right, n), = self.rows
             self.rows, self.held = [], 0
-            names = np.unique(np.concatenate([left, right]))
-            key, back = np.unique(np.searchsorted(names, left) * len(names) + np.searchsorted(names, right), return_inverse=True)
-            n = np.bincount(back, n, len(key)).astype(np.int64)
-            key, n = key[n >= least], n[n >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(names[key // len(names)]), pa.array(names[key % len(names)]), pa.array(n)], schema=FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(x[n >= least]) for x in (left, right, n)], schema=FOUND)
 
     def close(self):
         yield from self.send(self.least)
@@ -292,46 +306,165 @@ def _followers(left: np.ndarray, names: np.ndarray, right: np.ndarray, ids: np.n
     return names[keys >> 32], ids[keys & 0xFFFFFFFF], n
 
 
-def word_pairs(blocks: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
-    """(left, right, n) of neighbouring frequent words."""
-    shared, most = blocks.sparkSession.sparkContext.broadcast(bits), HELD
+def bucket_of(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket, of ``2 ** bits``, of each pair."""
+    mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ right.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+HEARD = pa.schema([("left", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+HEARD_SQL = "left long, n long, counts binary"
+CHUNK = pa.schema([("chunk", pa.int64()), ("counts", pa.binary())])
+
+
+class _Buckets:
+    """Places of pairs counted by bucket, up to ``enough``: as sums go, more tells nothing more."""
+
+    def __init__(self, bits: int, enough: int):
+        self.bits, self.enough, self.seen = bits, enough, np.zeros(1 << bits, np.min_scalar_type(enough))
+
+    def add(self, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> None:
+        at, back = np.unique(bucket_of(left, right, self.bits), return_inverse=True)
+        self.seen[at] = np.minimum(self.seen[at] + np.bincount(back, n, len(at)), self.enough).astype(self.seen.dtype)
+
+    def close(self):
+        squeeze = zstandard.ZstdCompressor(1).compress
+        for chunk, part in enumerate(self.seen.reshape(-1, 1 << CHUNK_BITS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.array([squeeze(part.tobytes())], pa.binary())], schema=HEARD)
+
+
+def frequent_buckets(heard: DataFrame, bits: int, enough: int) -> np.ndarray:
+    """Bits of the buckets whose counts reach ``enough`` over all units.
+
+    Each chunk's counts are first added up by up to ``SALTS`` tasks, so that none reads the rows of all units.
+    """
+    dtype = np.min_scalar_type(enough)
+
+    def summed(batches):
+        sums: dict[int, np.ndarray] = {}
+        expand, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(1).compress
+        for b in batches:
+            for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
+                part = np.frombuffer(expand(counts), dtype)
+                sums[chunk] = part if chunk not in sums else np.minimum(sums[chunk].astype(np.int64) + part, enough).astype(dtype)
+        for chunk, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([squeeze(part.tobytes())], pa.binary())], schema=CHUNK)
+
+    def reached(batches):
+        expand = zstandard.ZstdDecompressor().decompress
+        for b in summed(batches):
+            full = np.frombuffer(expand(b.column("counts")[0].as_py()), dtype) >= enough
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array([np.packbits(full).tobytes()], pa.binary())], schema=CHUNK)
+
+    rows = heard.where("counts is not null").select(F.col("left").alias("chunk"), "counts")
+    parts = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition("chunk", "salt")
+    parts = parts.select("chunk", "counts").mapInArrow(summed, "chunk long, counts binary")
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    size = 1 << CHUNK_BITS >> 3
+    for r in parts.repartition("chunk").mapInArrow(reached, "chunk long, counts binary").toLocalIterator():
+        out[r.chunk * size:(r.chunk + 1) * size] = np.frombuffer(r.counts, np.uint8)
+    return out
+
+
+def _next_words(ids: np.ndarray, tokens: np.ndarray, bits: np.ndarray) -> tuple:
+    """(left, right, n) of neighbouring frequent words of a block."""
+    known = _has(bits, ids)
+    first = np.where((tokens >= 0) & known[tokens], tokens, -1)
+    return _followers(first[:-1], ids, tokens[1:], ids, known)
+
+
+def pairs_heard(blocks: DataFrame, bits: np.ndarray, room: int, enough: int) -> DataFrame:
+    """Neighbouring frequent words counted in ``2 ** room`` buckets."""
+    shared = blocks.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        buckets = _Buckets(room, enough)
+        for ids, tokens in _block_rows(batches):
+            buckets.add(*_next_words(ids, tokens, shared.value))
+        yield from buckets.close()
+
+    return blocks.select("ids", "tokens").mapInArrow(run, HEARD_SQL)
+
+
+def word_pairs(blocks: DataFrame, bits: np.ndarray, full: np.ndarray, least: int) -> DataFrame:
+    """(left, right, n) of neighbouring frequent words whose bucket is in ``full``."""
+    shared, most = blocks.sparkSession.sparkContext.broadcast((bits, full)), HELD
 
     def run(batches):
+        bits, full = shared.value
         unit = _Unit(least, most)
         for ids, tokens in _block_rows(batches):
-            known = _has(shared.value, ids)
-            first = np.where((tokens >= 0) & known[tokens], tokens, -1)
-            yield from unit.add(*_followers(first[:-1], ids, tokens[1:], ids, known))
+            yield from unit.add(*_in_full(_next_words(ids, tokens, bits), full))
         yield from unit.close()
 
     return blocks.select("ids", "tokens").mapInArrow(run, FOUND_SQL)
 
 
-def trie_pass(blocks: DataFrame, trie: Trie, phrase_ids: np.ndarray, k: int, bits: np.ndarray, least: int, last: bool, alone: bool) -> DataFrame:
-    """(left, right, n) of one pass: counts of the trie's phrases (right null) and, unless ``last``, of words that follow them.
+def _in_full(pairs: tuple, full: np.ndarray) -> tuple:
+    left, right, _ = pairs
+    stay = _has(full, bucket_of(left, right, (8 * len(full)).bit_length() - 1))
+    return tuple(x[stay] for x in pairs)
+
+
+def _after_phrases(state: np.ndarray, names: np.ndarray, k: int, ids: np.ndarray, tokens: np.ndarray, bits: np.ndarray, alone: bool) -> tuple:
+    """(left, right, n) of a block's phrases of ``k`` words with a name, and the frequent words that follow.
 
-    Where this trie has all phrases (``alone``), a following word counts only
+    Where one trie has all phrases (``alone``), a following word counts only
     if the phrase's last words with it are a place of another phrase.
     """
+    if len(tokens) <= k:
+        return (np.zeros(0, np.int64),) * 3
+    place = names[state] >= 0
+    here, after = place[:-k], place[1:len(tokens) - k + 1]
+    left = np.where(here & after if alone else here, state[:-k], -1)
+    return _followers(left, names, tokens[k:], ids, _has(bits, ids))
+
+
+def _states(trie: Trie, ids: np.ndarray, tokens: np.ndarray, k: int) -> np.ndarray:
+    code = np.append(trie.codes(ids), -1)  # the last place serves token -1
+    return trie.walk(code[tokens], k)
+
+
+def names_of(trie: Trie, phrase_ids: np.ndarray) -> np.ndarray:
+    """The phrase of each state of the trie, -1 for none."""
     names = np.full(len(trie.check), -1, np.int64)
     names[trie.accept] = phrase_ids
+    return names
+
+
+def phrases_heard(blocks: DataFrame, trie: Trie, names: np.ndarray, k: int, bits: np.ndarray, room: int, enough: int, last: bool, alone: bool) -> DataFrame:
+    """Counts (left, n) of the trie's phrases and, unless ``last``, their next words counted in ``2 ** room`` buckets."""
     shared = blocks.sparkSession.sparkContext.broadcast((trie, names, bits))
-    most = HELD
 
     def run(batches):
         trie, names, bits = shared.value
-        unit, total = _Unit(least, most), np.zeros(len(names), np.int64)
+        buckets, total = None if last else _Buckets(room, enough), np.zeros(len(names), np.int64)
         for ids, tokens in _block_rows(batches):
-            code = np.append(trie.codes(ids), -1)  # the last place serves token -1
-            state = trie.walk(code[tokens], k)
+            state = _states(trie, ids, tokens, k)
             total += np.bincount(state, minlength=len(total))
-            if not last and len(tokens) > k:
-                here, after = state[:-k], state[1:len(tokens) - k + 1]
-                left = np.where((here > 0) & (after > 0) if alone else here > 0, here, -1)
-                yield from unit.add(*_followers(left, names, tokens[k:], ids, _has(bits, ids)))
+            if not last:
+                buckets.add(*_after_phrases(state, names, k, ids, tokens, bits, alone))
         total[0] = 0
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(names[found]), pa.nulls(len(found), pa.int64()), pa.array(total[found])], schema=FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(names[found]), pa.array(total[found]), pa.nulls(len(found), pa.binary())], schema=HEARD)
+        if not last:
+            yield from buckets.close()
+
+    return blocks.select("ids", "tokens").mapInArrow(run, HEARD_SQL)
+
+
+def phrase_followers(blocks: DataFrame, trie: Trie, names: np.ndarray, k: int, bits: np.ndarray, full: np.ndarray, least: int, alone: bool) -> DataFrame:
+    """(left, right, n) of the phrases that ``names`` names and the frequent words that follow them, of buckets in ``full``."""
+    shared, most = blocks.sparkSession.sparkContext.broadcast((trie, names, bits, full)), HELD
+
+    def run(batches):
+        trie, names, bits, full = shared.value
+        unit = _Unit(least, most)
+        for ids, tokens in _block_rows(batches):
+            state = _states(trie, ids, tokens, k)
+            yield from unit.add(*_in_full(_after_phrases(state, names, k, ids, tokens, bits, alone), full))
         yield from unit.close()
 
     return blocks.select("ids", "tokens").mapInArrow(run, FOUND_SQL)
@@ -385,7 +518,12 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     word = words.select(F.col("id").alias("right"), F.col("word").alias("last"))
     before = words.select(F.col("id").alias("left"), "lang", F.array("word").alias("words"), F.array("id").alias("ids"))
     levels = [words.select("lang", F.array("word").alias("words"), "a")]
-    got = [counted(lambda n: word_pairs(blocks, bits, n), least, min_count)]
+    size = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    room = min(BITMAP_BITS, max(CHUNK_BITS, (size >> 2).bit_length()))
+    heard, at = keep(pairs_heard(blocks, bits, room, min_count), "phrase-heard")
+    places.append(at)
+    full = frequent_buckets(heard, room, min_count)
+    got = [counted(lambda n: word_pairs(blocks, bits, full, n), least, min_count)]
     for k in range(2, max_words + 1):
         places += [at for _, at, _, _ in got]
         # Each trie's phrases are its own, so the parts of a round have no candidate in common.
@@ -397,15 +535,24 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
         tries = -(-candidates.count() // trie_phrases)
         if not tries:
             break
-        got = []
+        got, counts, last, alone = [], [], k == max_words, tries == 1
         for t in range(tries):
-            mine = candidates if tries == 1 else candidates.where(F.pmod(F.xxhash64("left"), F.lit(tries)) == t)
+            mine = candidates if alone else candidates.where(F.pmod(F.xxhash64("left"), F.lit(tries)) == t)
             rows = mine.select("left", "ids").toArrow()  # about trie_phrases rows
-            if rows.num_rows:
-                trie, names = Trie(rows.column("ids").combine_chunks().flatten().to_numpy().reshape(-1, k)), rows.column("left").to_numpy()
-                got.append(counted(lambda n: trie_pass(blocks, trie, names, k, bits, n, k == max_words, tries == 1), least, min_count))
-        found = reduce(DataFrame.unionByName, [f for f, *_ in got])
-        counts = found.where("right is null").where(F.col("left") != UNITS).groupBy("left").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+            if not rows.num_rows:
+                continue
+            trie = Trie(rows.column("ids").combine_chunks().flatten().to_numpy().reshape(-1, k))
+            names = rows.column("left").to_numpy()
+            heard, at = keep(phrases_heard(blocks, trie, names_of(trie, names), k, bits, room, min_count, last, alone), "phrase-heard")
+            places.append(at)
+            frequent = heard.where("counts is null").groupBy("left").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+            counts.append(frequent)
+            if not last:
+                some = frequent.select("left").toArrow().column("left").to_numpy()
+                own = names_of(trie, np.where(np.isin(names, some), names, -1))
+                full = frequent_buckets(heard, room, min_count)
+                got.append(counted(lambda n: phrase_followers(blocks, trie, own, k, bits, full, n, alone), least, min_count))
+        counts = reduce(DataFrame.unionByName, counts)
         before = candidates.join(counts, "left")
         levels.append(before.select("lang", "words", "a"))
         before = before.select("left", "lang", "words", "ids")
