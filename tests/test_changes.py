@@ -117,3 +117,15 @@ def test_random_logs_match_sequential_simulation(spark):
         want_docs, want_rej = simulate(base, {"rust", "go"}, rows)
         assert {k: v.title for k, v in out.items()} == want_docs
         assert rej == want_rej
+
+
+def test_untouched_documents_are_not_shuffled(spark, tmp_path):
+    make_docs(spark, [dict(id=f"d{i}", entity="e", name=f"n{i}") for i in range(50)]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    touched = spark.createDataFrame([("d1",), ("d7",), ("unknown",)], "id string")
+    untouched, hit = chg.split_touched(docs, touched)
+    for part in (untouched, hit):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert {r.id for r in hit.collect()} == {"d1", "d7"}
+    assert {r.id for r in untouched.collect()} == {f"d{i}" for i in range(50)} - {"d1", "d7"}

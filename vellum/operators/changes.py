@@ -20,6 +20,10 @@ alone; for the others the accepted saves form a chain (next valid save at or
 after the current holder's death), found with blocked as-of lookups and
 pointer doubling, so no name's history is collected into one task.
 Save ids are fresh (never reused), as generated ids are.
+
+Lifetimes and names are worked out on (id, name) alone. The documents that
+the log touches are then taken out of the table by their ids; all others are
+passed on as they are read, and their content is not shuffled.
 """
 
 from __future__ import annotations
@@ -113,7 +117,7 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
 
     # Lifetimes of base documents.
     base_death = deletes.groupBy("id").agg(F.min("seq").alias("death"))
-    base = (docs.join(base_death, "id", "left")
+    base = (docs.select("id", "name").join(base_death, "id", "left")
             .withColumn("birth", F.lit(-1).cast("long"))
             .withColumn("death", F.coalesce("death", F.lit(NEVER)).cast("long")))
 
@@ -141,8 +145,7 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
         F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
         F.col("seq").alias("birth"), "death")
 
-    lives = base.select(*DOC_COLS, "birth", "death").unionByName(new_docs)
-    span = lives.select("id", "birth", "death")
+    span = base.select("id", "birth", "death").unionByName(new_docs.select("id", "birth", "death"))
 
     # Deletes and updates are valid inside the target's lifetime.
     d = deletes.join(span, "id", "left")
@@ -156,7 +159,7 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
         F.max_by("tags", F.when(F.col("tags").isNotNull(), F.col("seq"))).alias("p_tags"),
         F.max("ts").alias("p_ts"))
 
-    alive = lives.where(F.col("death") >= NEVER)
+    deleted = base.where(F.col("death") < NEVER).select("id")
 
     def apply_patch(rows: DataFrame, p: DataFrame, how: str) -> DataFrame:
         return rows.join(p, "id", how).select(
@@ -173,16 +176,24 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
         .unionByName(_reject(d.where(~F.coalesce(d_ok, F.lit(False))), "not_found", F.col("id")))
         .unionByName(_reject(u.where(~F.coalesce(u_ok, F.lit(False))), "not_found", F.col("id")))
     )
+    # Narrow ids, materialised once: the documents are scanned twice against them.
+    touched = deleted.unionByName(patch.select("id")).distinct().checkpoint()
+    untouched, hit = split_touched(docs, touched)
+    upserts = (apply_patch(hit.join(deleted, "id", "left_anti"), patch, "left")
+               .unionByName(apply_patch(new_docs.where(F.col("death") >= NEVER), patch, "left")))
     if delta:
-        # Only changed rows: base documents with a patch (inner join against
-        # the size-checked patch set, so the table is streamed, not
-        # shuffled) and the batch's new documents.
-        p = bounded_broadcast(patch)
-        upserts = (apply_patch(alive.where(F.col("birth") < 0), p, "inner")
-                   .unionByName(apply_patch(alive.where(F.col("birth") >= 0), p, "left")))
-        deleted = base.where(F.col("death") < NEVER).select("id")
         return upserts, deleted, rejects
-    return apply_patch(alive, patch, "left"), rejects
+    return untouched.select(*DOC_COLS).unionByName(upserts), rejects
+
+
+def split_touched(docs: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents whose id is not in ``touched``, those whose id is).
+
+    Both are filters of the scan where the ids are few enough to broadcast
+    (checked); beyond that Spark joins by id.
+    """
+    ids = bounded_broadcast(touched)
+    return docs.join(ids, "id", "left_anti"), docs.join(ids, "id", "left_semi")
 
 
 def apply_changes_delta(docs: DataFrame, entities: DataFrame, changes: DataFrame):
