@@ -55,7 +55,7 @@ def term_weights(idx: Index, clauses: DataFrame, small: bool) -> DataFrame:
     q = q.groupBy("query_id", "field", "term").agg(F.sum("boost").alias("boost"))
     stats = idx.term_stats.select("field", "term", "df", "impact")
     stats = stats.join(_small(q.select("field", "term").distinct(), small), ["field", "term"], "left_semi")
-    ref = F.broadcast(idx.corpus.select("field", "ref"))  # a row per text field
+    ref = F.broadcast(idx.ref)  # a row per text field
     rows = q.join(stats, ["field", "term"]).join(F.broadcast(_corpus_all_fields(idx)), "field").join(ref, "field", "left").join(k, "query_id")
     weight = F.col("boost") * idf(F.col("df"), F.col("n_docs"))
     # Impacts are of the lengths at the first build. Where fields are longer on average now, by a

@@ -145,7 +145,7 @@ def start_index_stream(spark: SparkSession, source_dir: str, root: str, schema,
         newest = batch.groupBy("id").agg(F.max_by(F.struct(*cols), F.col("updated_at")).alias("d"))
         docs = newest.select("d.*")
         idx = ix.build_index(docs)
-        idx.postings.write.mode("overwrite").parquet(os.path.join(root, "postings", f"batch={batch_id}"))
+        idx.postings.drop("positions").write.mode("overwrite").parquet(os.path.join(root, "postings", f"batch={batch_id}"))
         idx.positions.write.mode("overwrite").parquet(os.path.join(root, "positions", f"batch={batch_id}"))
         idx.doc_stats.write.mode("overwrite").parquet(os.path.join(root, "doc_stats", f"batch={batch_id}"))
         (docs.select(F.col("id").alias("doc_id"))
