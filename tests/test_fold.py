@@ -84,3 +84,13 @@ def test_range_prefix_and_set_in_a_block(spark):
                               "query_id long, clause_no int, kind string, field string, terms array<string>, k int")
     got = se.search(ix.build_index(docs), q).groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("d")).collect()
     assert {r.query_id: r.d for r in got} == {1: ["d0", "d1", "d2"], 2: ["d0", "d1"], 3: ["d3", "d5"], 4: ["d3", "d4"]}
+
+
+def test_phrases_in_copies_of_an_id_as_match_counts_them(spark):
+    docs = make_docs(spark, [dict(id="a", entity="e", name="n", content="x y z x")] * 2 + [dict(id="b", entity="e", name="m", content="z x y")])
+    phrases = [["x", "y"], ["y", "x"], ["z", "x"], ["x", "z"]]
+    q = spark.createDataFrame([(i, 0, "phrase", "content", t, 9) for i, t in enumerate(phrases)],
+                              "query_id long, clause_no int, kind string, field string, terms array<string>, k int")
+    idx = ix.build_index(docs)
+    whole = se.match(idx, q).select("query_id", "doc_id", F.round("score", 6).alias("score")).collect()
+    assert sorted(whole) == sorted(se.search(idx, q).select("query_id", "doc_id", "score").collect())
