@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.paths import valid_path
+from vellum.operators.index import _staged
 from vellum.operators.ordered import next_at_or_after, path_marks
 from vellum.session import bounded_broadcast, ensure_checkpoint_dir
 
@@ -72,7 +73,7 @@ def _save_decisions(base: DataFrame, saves: DataFrame) -> DataFrame:
     # and pointer doubling (no per-name collection).
     # The fold-tier saves (a few numbers each) are materialised once in the
     # shared checkpoint folder; the rounds below all read that copy.
-    f = s.where(F.col("fold")).withColumn("d0", d0).checkpoint()
+    f = _staged(s.where(F.col("fold")).withColumn("d0", d0))
     ok = f.where(F.col("path_ok"))
     targets = ok.select(F.col("name").alias("key"), F.col("seq").alias("pos"))
     start_probes = f.select(F.concat(F.lit("s:"), F.col("name")).alias("pid"),
@@ -80,13 +81,13 @@ def _save_decisions(base: DataFrame, saves: DataFrame) -> DataFrame:
     succ_probes = ok.where(F.col("death") < NEVER).select(
         F.concat(F.lit("d:"), F.col("seq").cast("string")).alias("pid"),
         F.col("name").alias("key"), F.col("death").alias("at"))
-    hits = next_at_or_after(start_probes.unionByName(succ_probes), targets).checkpoint()
+    hits = _staged(next_at_or_after(start_probes.unionByName(succ_probes), targets))
     starts = hits.where(F.col("pid").startswith("s:") & F.col("hit").isNotNull()).select(
         F.col("hit").alias("node"))
     succ = hits.where(F.col("pid").startswith("d:")).select(
         F.substring("pid", 3, 30).cast("long").alias("node"), F.col("hit").alias("nxt"))
     accepted = path_marks(starts, succ).select(F.col("node").alias("seq"), F.lit(True).alias("acc"))
-    # ``path_marks`` returns a checkpointed frame
+    # ``path_marks`` returns a stored frame
     # Holder at each save: death of the last accepted save before it, else d0
     # (as-of on negated positions).
     acc_rows = f.join(accepted, "seq").select("name", "seq", "death")
@@ -107,8 +108,8 @@ def _save_decisions(base: DataFrame, saves: DataFrame) -> DataFrame:
     return simple.unionByName(folded)
 
 
-def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delta: bool = False):
-    """Returns (new_documents, rejects)."""
+def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delta: bool = False, names: DataFrame | None = None):
+    """Returns (new_documents, rejects). ``names``: (id, name) of ``docs``, where they are at hand."""
     ensure_checkpoint_dir(changes.sparkSession)
     ch = changes
     deletes = ch.where(F.col("op") == "delete").select("seq", "id")
@@ -117,7 +118,8 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
 
     # Lifetimes of base documents.
     base_death = deletes.groupBy("id").agg(F.min("seq").alias("death"))
-    base = (docs.select("id", "name").join(base_death, "id", "left")
+    names = docs.select("id", "name") if names is None else names
+    base = (names.join(base_death, "id", "left")
             .withColumn("birth", F.lit(-1).cast("long"))
             .withColumn("death", F.coalesce("death", F.lit(NEVER)).cast("long")))
 
@@ -132,9 +134,9 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
                  .where(F.col("seq") > F.col("born")).groupBy("id").agg(F.min("seq").alias("death")))
     # The decision inputs are a few narrow columns per save: materialise them
     # once in the shared checkpoint folder so the steps below share one copy.
-    narrow = (s.select("seq", "id", "name", "path_ok").join(later_del, "id", "left")
-              .withColumn("death", F.coalesce("death", F.lit(NEVER)).cast("long"))).checkpoint()
-    status = narrow.join(_save_decisions(base, narrow), "seq")
+    narrow = _staged(s.select("seq", "id", "name", "path_ok").join(later_del, "id", "left")
+                     .withColumn("death", F.coalesce("death", F.lit(NEVER)).cast("long")))
+    status = _staged(narrow.join(_save_decisions(base, narrow), "seq"))
     accepted = s.join(status.where(F.col("status") == "accepted").select("seq", "death"), "seq")
     save_rejects = status.where(F.col("status") != "accepted").select(
         "seq", F.col("status").alias("reason"), F.col("name").alias("detail"))
@@ -145,7 +147,7 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
         F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
         F.col("seq").alias("birth"), "death")
 
-    span = base.select("id", "birth", "death").unionByName(new_docs.select("id", "birth", "death"))
+    span = _staged(base.select("id", "birth", "death").unionByName(new_docs.select("id", "birth", "death")))
 
     # Deletes and updates are valid inside the target's lifetime.
     d = deletes.join(span, "id", "left")
@@ -177,7 +179,7 @@ def apply_changes(docs: DataFrame, entities: DataFrame, changes: DataFrame, delt
         .unionByName(_reject(u.where(~F.coalesce(u_ok, F.lit(False))), "not_found", F.col("id")))
     )
     # Narrow ids, materialised once: the documents are scanned twice against them.
-    touched = deleted.unionByName(patch.select("id")).distinct().checkpoint()
+    touched = _staged(deleted.unionByName(patch.select("id")).distinct())
     untouched, hit = split_touched(docs, touched)
     upserts = (apply_patch(hit.join(deleted, "id", "left_anti"), patch, "left")
                .unionByName(apply_patch(new_docs.where(F.col("death") >= NEVER), patch, "left")))
@@ -196,11 +198,11 @@ def split_touched(docs: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataF
     return docs.join(ids, "id", "left_anti"), docs.join(ids, "id", "left_semi")
 
 
-def apply_changes_delta(docs: DataFrame, entities: DataFrame, changes: DataFrame):
+def apply_changes_delta(docs: DataFrame, entities: DataFrame, changes: DataFrame, names: DataFrame | None = None):
     """M10 as a delta: (upserted rows, deleted ids, rejects). The new table is
     ``docs`` without the deleted and upserted ids, plus the upserts; only the
     changed documents' content is read."""
-    return apply_changes(docs, entities, changes, delta=True)
+    return apply_changes(docs, entities, changes, delta=True, names=names)
 
 
 def save_batch(docs, entities, changes):

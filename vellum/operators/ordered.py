@@ -10,7 +10,7 @@ over many tasks.
 
 ``path_marks``: nodes reachable from start nodes along a successor pointer
 (succ(v) > v), by pointer doubling: O(log path length) rounds of joins on
-unique node ids, each round checkpointed.
+unique node ids, each round stored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.index import _staged
+
 DEFAULT_BLOCK = 1 << 20
 
 
@@ -53,14 +55,14 @@ def next_at_or_after(probes: DataFrame, targets: DataFrame, block: int = DEFAULT
 def path_marks(starts: DataFrame, succ: DataFrame) -> DataFrame:
     """starts(node), succ(node, nxt) -> (node) of every node on a path from a
     start. Successors increase, so paths are finite."""
-    jumps = [succ.where(F.col("nxt").isNotNull()).select("node", "nxt").checkpoint()]
+    jumps = [_staged(succ.where(F.col("nxt").isNotNull()).select("node", "nxt"))]
     while jumps[-1].limit(1).count() > 0:
         j = jumps[-1]
         j2 = (j.join(j.select(F.col("node").alias("nxt"), F.col("nxt").alias("nxt2")), "nxt")
-              .select("node", F.col("nxt2").alias("nxt"))).checkpoint()
-        jumps.append(j2)
-    marked = starts.select("node").distinct().checkpoint()
+              .select("node", F.col("nxt2").alias("nxt")))
+        jumps.append(_staged(j2))
+    marked = _staged(starts.select("node").distinct())
     for j in reversed(jumps[:-1]):
         step = marked.join(j, "node").select(F.col("nxt").alias("node"))
-        marked = marked.unionByName(step).distinct().checkpoint()
+        marked = _staged(marked.unionByName(step).distinct())
     return marked

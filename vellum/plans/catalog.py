@@ -743,8 +743,9 @@ def stream_apply_changes(spark, sf_dir):
     final snapshot equals the batch result (``apply_changes``)."""
     root = scratch_path(spark, f"stream-changes-{uuid.uuid4().hex}")
     src = os.path.join(root, "source")
-    st.write_in_order(tb.changes(spark, sf_dir), src, "seq", 4)
-    q = st.start_change_stream(spark, src, root, tb.documents(spark, sf_dir), tb.entities(spark, sf_dir))
+    files = spark.sparkContext.defaultParallelism
+    st.write_in_order(tb.changes(spark, sf_dir), src, "seq", 4, files)
+    q = st.start_change_stream(spark, src, root, tb.documents(spark, sf_dir), tb.entities(spark, sf_dir), files)
     q.awaitTermination()
     return _doc_out(st.latest_snapshot(spark, root))
 

@@ -3,8 +3,9 @@
 T1: a file stream of change-log rows. The table is log-structured: the base
 rows are segment ``batch=-1`` of ``upserts``; each micro-batch applies the
 batch operator (M10) in delta form to the part of the current view it can
-affect (documents it targets by id or whose names its saves use, read from
-their id buckets only) and writes only its upserted rows
+affect (documents it targets by id or whose names its saves use: decided on
+(id, name, segment), stored once; content is read only of the rows it patches)
+and writes only its upserted rows
 (``upserts/batch=<id>``, partitioned by id bucket), deleted ids
 (``deletes/batch=<id>``) and rejects. The current view is the latest upsert of every id without a
 delete. A micro-batch reads the view of the segments before it, so a replay
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from vellum.operators import changes as chg
 from vellum.operators import index as ix
 from vellum.schema import CHANGES
+from vellum.session import bounded_broadcast
 
 
 def _batch_dirs(path: str, prefix: str) -> list[int]:
@@ -55,32 +57,64 @@ def id_bucket(col) -> F.Column:
 
 def _write_rows(df: DataFrame, path: str) -> None:
     """Document rows partitioned by id bucket, so a micro-batch can read
-    only the buckets of the documents it touches."""
-    df.withColumn("idb", id_bucket(F.col("id"))).write.mode("overwrite").partitionBy("idb").parquet(path)
+    only the buckets of the documents it touches. The rows of a bucket are
+    brought together first (a large bucket is split again by size): every
+    later micro-batch opens these files, and without it each writing task
+    leaves a small one in every bucket."""
+    rows = df.withColumn("idb", id_bucket(F.col("id"))).hint("rebalance", "idb")
+    rows.write.mode("overwrite").partitionBy("idb").parquet(path)
 
 
-def change_view(spark: SparkSession, root: str, before: int | None = None,
-                buckets: list[int] | None = None) -> DataFrame:
-    """The documents table as of the segments before ``before`` (all when
-    None): the newest compacted base before that point, then the latest
-    upsert per id from later segments, minus ids deleted in them.
-    ``buckets`` restricts the read to those id buckets (partition pruning)."""
+def _upserts(spark: SparkSession, root: str, lo: int | None, before: int | None) -> DataFrame:
+    """Rows of the compacted base ``lo`` (None: no base) and of the upsert segments after it, with their ``batch``."""
+    ups = _segments(spark, os.path.join(root, "upserts"), lo, before)
+    if lo is None:
+        return ups
+    base = spark.read.parquet(os.path.join(root, "compacted", f"upto={lo}")).withColumn("batch", F.lit(lo))
+    return base if ups is None else base.unionByName(ups)
+
+
+def _base_of(root: str, before: int | None) -> int | None:
+    """The newest compaction before ``before``."""
     comp = [c for c in _batch_dirs(os.path.join(root, "compacted"), "upto=")
             if before is None or c < before]
-    lo = comp[-1] if comp else None
-    ups = _segments(spark, os.path.join(root, "upserts"), lo, before)
-    if lo is not None:
-        base = spark.read.parquet(os.path.join(root, "compacted", f"upto={lo}")).withColumn(
-            "batch", F.lit(lo))
-        ups = base if ups is None else base.unionByName(ups)
-    if buckets is not None:
-        ups = ups.where(F.col("idb").isin(buckets))
+    return comp[-1] if comp else None
+
+
+def _live(spark: SparkSession, root: str, before: int | None, *cols: str) -> DataFrame:
+    """``cols`` and ``batch`` of the latest upsert of every id without a delete."""
+    lo = _base_of(root, before)
+    ups = _upserts(spark, root, lo, before).select(*cols, "batch")
     dels = _segments(spark, os.path.join(root, "deletes"), lo, before)
     latest = ups.groupBy("id").agg(F.max("batch").alias("batch"))
     view = ups.join(latest, ["id", "batch"], "left_semi")
-    if dels is not None:
-        view = view.join(dels.select("id"), "id", "left_anti")
-    return view.drop("batch", "idb")
+    return view if dels is None else view.join(dels.select("id"), "id", "left_anti")
+
+
+def change_view(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The documents table as of the segments before ``before`` (all when
+    None): the newest compacted base before that point, then the latest
+    upsert per id from later segments, minus ids deleted in them."""
+    return _live(spark, root, before, *chg.DOC_COLS).drop("batch")
+
+
+def touched_view(spark: SparkSession, root: str, before: int, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents of the view that a batch of changes can affect: (id, name), stored, and their rows.
+
+    These are the documents whose id it targets, or whose name one of its
+    saves uses. They are found on narrow columns and stored with the segment
+    that holds them, so that their rows are a filter of the buckets they lie
+    in, whatever is read of them how often.
+    """
+    keys = _live(spark, root, before, "id", "name")
+    saves = batch.where(F.col("op") == "save").select("name")
+    relevant = (batch.where(F.col("op") != "save").select("id")
+                .unionByName(keys.join(saves, "name", "left_semi").select("id")).distinct())
+    keys = ix._staged(keys.join(relevant, "id", "left_semi"))
+    buckets = [r[0] for r in keys.select(id_bucket(F.col("id")).alias("idb")).distinct().collect()]
+    rows = _upserts(spark, root, _base_of(root, before), before).where(F.col("idb").isin(buckets))
+    rows = rows.join(bounded_broadcast(keys.select("id", "batch").distinct()), ["id", "batch"], "left_semi")
+    return keys.select("id", "name"), rows.select(*chg.DOC_COLS)
 
 
 def compact_changes(spark: SparkSession, root: str, upto: int) -> None:
@@ -103,23 +137,13 @@ def start_change_stream(spark: SparkSession, source_dir: str, root: str, base_do
     entities.write.mode("overwrite").parquet(ents_path)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        # Only documents whose id the batch targets, or whose name one of its
-        # saves uses, can be affected. Find them on narrow (id, name) columns,
-        # then read full rows from their id buckets only.
         batch = batch.persist()
-        narrow = change_view(spark, root, before=batch_id).select("id", "name")
-        save_names = batch.where(F.col("op") == "save").select("name")
-        relevant = (batch.where(F.col("op") != "save").select("id")
-                    .unionByName(narrow.join(save_names, "name", "left_semi").select("id"))
-                    .distinct().persist())
-        buckets = [r[0] for r in relevant.select(id_bucket(F.col("id"))).distinct().collect()]
-        view = change_view(spark, root, before=batch_id, buckets=buckets).join(relevant, "id", "left_semi")
+        names, rows = touched_view(spark, root, batch_id, batch)
         ents = spark.read.parquet(ents_path)
-        ups, dels, rejects = chg.apply_changes_delta(view, ents, batch)
+        ups, dels, rejects = chg.apply_changes_delta(rows, ents, batch, names)
         _write_rows(ups, os.path.join(root, "upserts", f"batch={batch_id}"))
         dels.write.mode("overwrite").parquet(os.path.join(root, "deletes", f"batch={batch_id}"))
         rejects.write.mode("overwrite").parquet(os.path.join(root, "rejects", f"batch={batch_id}"))
-        relevant.unpersist()
         batch.unpersist()
         if compact_every and batch_id % compact_every == compact_every - 1:
             compact_changes(spark, root, batch_id)
@@ -191,12 +215,15 @@ def compact_index(spark: SparkSession, root: str, upto: int) -> None:
     open(os.path.join(out, "_SUCCESS"), "w").close()
 
 
-def write_in_order(df: DataFrame, target: str, order_col: str, chunks: int) -> None:
+def write_in_order(df: DataFrame, target: str, order_col: str, chunks: int, files: int = 1) -> None:
     """Producer side of the stream contract: write ``df`` as ``chunks`` log
-    segments in ``order_col`` order, one file per segment, one commit after
-    the other, so the file stream (oldest file first) replays them in order.
-    Segment bounds come from approximate quantiles (1% rank error): any bounds
-    give disjoint, ordered segments, and the summaries stay small."""
+    segments in ``order_col`` order, ``files`` files per segment, one commit
+    after the other, so the file stream (oldest file first, ``files`` a
+    micro-batch) replays them in order. Segment bounds come from approximate
+    quantiles (1% rank error): any bounds give disjoint, ordered segments, and
+    the summaries stay small. Tasks without rows write no file; empty ones are
+    added, so that no micro-batch holds files of two segments."""
+    spark = df.sparkSession
     bounds = sorted(set(df.approxQuantile(order_col, [i / chunks for i in range(1, chunks)], 0.01)))
     edges = [None] + bounds + [None]
     for i in range(len(edges) - 1):
@@ -206,4 +233,7 @@ def write_in_order(df: DataFrame, target: str, order_col: str, chunks: int) -> N
             part = part.where(F.col(order_col) > F.lit(lo))
         if hi is not None:
             part = part.where(F.col(order_col) <= F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(target)
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.write.mode("append").parquet(target)
+        for _ in range((i + 1) * files - len(spark.read.schema(df.schema).parquet(target).inputFiles())):
+            df.limit(0).coalesce(1).write.mode("append").parquet(target)
