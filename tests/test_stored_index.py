@@ -246,3 +246,15 @@ def test_dictionary_cuts_against_brute_force(spark):
         assert got.get(i, set()) == {str(j) for j, w in enumerate(words) if takes(w)}, (kind, t)
     plan = se._expand(ix.build_index(docs), se._with_fields(se.normalize(q)), True)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan
+
+
+def test_maintenance_keeps_whole_shards_without_a_shuffle(spark, tmp_path):
+    docs = make_docs(spark, [dict(id=f"k{i}", entity="rust", name=f"k{i}", content=f"word{i} common") for i in range(12)])
+    path = str(tmp_path / "whole")
+    ix.write_index(docs, path, buckets=2, shards=3)
+    table = spark.table(ix.table_name(path, "postings"))
+    with ix.bucketed_scans(spark):
+        assert table.select("doc_id", "shard").rdd.getNumPartitions() == 3  # a task a shard
+    left = ix.remove_stored(spark, path, docs.where("id <> 'k3'").select("id"))
+    assert {r.doc_id for r in left.postings.select("doc_id").distinct().collect()} == {"k3"}
+    assert spark.read.parquet(f"{path}/postings").select("shard", "tb").distinct().count() == 6  # folders that lost all rows are kept

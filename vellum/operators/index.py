@@ -221,6 +221,18 @@ def unsorted_writes(spark: SparkSession, files: int):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def bucketed_scans(spark: SparkSession):
+    """Within it a task of a scan reads a whole bucket of a bucketed table, also where no join or aggregation asks for it."""
+    key = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _lengths(postings: DataFrame) -> DataFrame:
     """(doc_id, field, dl, shard) for every document and text field; 0 where a field has no token."""
     per = postings.groupBy("doc_id", "shard").agg(*[
@@ -327,10 +339,13 @@ def _replace(spark: SparkSession, path: str, gone: DataFrame, new_docs: DataFram
     ref = spark.read.parquet(f"{path}/corpus").select("field", "ref")
     out = _staged(_bounds(old.join(small, "doc_id", "left_semi"), ref))
     rows = old.join(small, "doc_id", "left_anti").select("field", "term", "doc_id", "dl", "tf", "positions", "shard", "tb")
-    keepers = (spark.createDataFrame([(s,) for s in touched], "shard int").withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-               .select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("field", "term", "doc_id", "dl", "tf", "positions")], "shard", "tb"))
-    rows = rows.unionByName(keepers) if new is None else rows.unionByName(new).unionByName(keepers)
-    rows = _staged(rows.repartition(shards, "doc_id"))
+    with bucketed_scans(spark):  # a task a shard: a staged file holds rows of one, and none are shuffled
+        rows = _staged(rows)
+    rows = rows if new is None else rows.unionByName(new.select(*rows.columns))
+    folders = (spark.createDataFrame([(s,) for s in touched], "shard int").withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+               .join(F.broadcast(rows.select("shard", "tb").distinct()), ["shard", "tb"], "left_anti"))  # a row per folder
+    rows = rows.unionByName(folders.coalesce(1).select(
+        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("field", "term", "doc_id", "dl", "tf", "positions")], "shard", "tb"))
 
     changes = out.select("field", "term", (-F.col("df")).alias("df"), "impact", "tb")
     if new is not None:
@@ -356,7 +371,8 @@ def _replace(spark: SparkSession, path: str, gone: DataFrame, new_docs: DataFram
     mode, before = "spark.sql.sources.partitionOverwriteMode", spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set(mode, "dynamic")  # inserts into a table take it from the session alone
     try:
-        rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+        with unsorted_writes(spark, 32 * buckets):
+            rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
     finally:
         spark.conf.set(mode, before)
     bounds.repartition("tb").write.options(**dynamic).mode("overwrite").partitionBy("tb").parquet(f"{path}/term_stats")
