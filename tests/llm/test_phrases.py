@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from vellum.llm import phrases
 
@@ -115,6 +116,43 @@ def test_units_keep_little_and_ids_may_clash(spark, monkeypatch):
     assert mine(spark, rows, 12) == want
 
 
+def test_units_send_frequent_pairs_few_times(spark, monkeypatch):
+    """Pairs of many places are named to the units, not sent by each; what only one unit holds is found all the same."""
+    some = [(f"p{i} q{i} r{i}", "en") for i in range(40)]
+    alone = [("only here " * 4, "en")] * 30
+    docs = spark.createDataFrame([(u * 1000 + i, *r) for u in range(36) for i, r in enumerate(some * 4 + (alone if u == 5 else []))],
+                                 "doc_id long, text string, lang string").repartitionByRange(36, F.col("doc_id"))
+    pairs, counts, real = [], [], phrases.keep
+
+    def keep(df, label):
+        out = real(df, label)
+        if label == "phrase-found":
+            pairs.append(out[0].where("right is not null").count())
+        if label == "phrase-heard":
+            counts.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(phrases, "keep", keep)
+    cost = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, str(1 << 30))  # a task a file
+    try:
+        got = sorted(tuple(r[c] for c in NAMES) for r in phrases.collocations(docs, min_count=100).collect())
+    finally:
+        spark.conf.set(cost, before)
+    assert got == sorted(brute((some * 4) * 36 + alone, 100))
+    assert any(r[2].startswith("only here") for r in got)
+    there = 40 * 2 + 40  # p q, q r; p q r
+    assert 0 < sum(pairs) < 10 * there  # sent by each of 36 units: 36 * there
+    assert sum(counts) < 10 * there  # as much for a row a phrase
+
+
+def test_known_pairs_are_left_out():
+    known = phrases._Known(np.array([5, 5, 9]), np.array([7, 9, 5]))
+    left, right, n = known.others((np.array([5, 5, 9, 9, 7, 1, 99]), np.array([7, 5, 5, 99, 9, 7, 5]), np.arange(7)))
+    assert n.tolist() == [1, 3, 4, 5, 6] and left.tolist() == [5, 9, 7, 1, 99] and right.tolist() == [5, 99, 9, 7, 5]
+
+
 def test_words_and_pieces():
     words, text, joined = phrases.split_words(pa.array(["One two.three", None, "", "x", "y  z\tq\x0b", " w"]))
     assert [w.decode() for w in words.to_pylist()] == ["one", "two", "three", "x", "y", "z", "q", "w"]

@@ -8,9 +8,12 @@ frequent phrases with a next word in a frequent bucket that units found often
 enough. Candidates go into a double-array trie that is broadcast; a pass over
 the text advances the states of all positions of a block at once, level by
 level in numpy, counts the accepting states by ``bincount`` and adds the
-counts of its blocks; Spark sums the shards. The same pass counts, in buckets,
+counts of its blocks; a unit sends them in arrays of many phrases, which are
+added up as arrays. The same pass counts, in buckets,
 the words that follow accepting places. A second pass then sends on those
-that follow frequent phrases and lie in frequent buckets.
+that follow frequent phrases and lie in frequent buckets. What a few units
+find often in it is a candidate at once, and named to all units, which send
+only the others: else each unit would send every pair of many places.
 
 Each phrase's lowest-scoring cut, the dropping of phrases inside equally
 frequent longer ones and the ranking are joins and aggregations of Spark.
@@ -29,6 +32,7 @@ less, and more pairs are shuffled to be counted.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -51,6 +55,7 @@ BITMAP_BITS = 27  # size of the broadcast bitmaps of frequent words and of frequ
 CHUNK_BITS = 19  # bits of a bitmap made by one task
 SALTS = 64  # tasks that first add up the buckets of one chunk, at most
 HELD = 2_000_000  # pairs a task holds before it sends them on
+KNOWN = 1_000_000  # pairs named to all units, at most (24 MB)
 SLICE = 8 << 20  # bytes of text cut into blocks at once, one a language
 
 #: Bytes that part pieces, and bytes that part words.
@@ -313,8 +318,8 @@ def bucket_of(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-HEARD = pa.schema([("left", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
-HEARD_SQL = "left long, n long, counts binary"
+HEARD = pa.schema([("chunk", pa.int64()), ("phrases", pa.bool_()), ("counts", pa.binary())])  # of phrases, else of buckets
+HEARD_SQL = "chunk long, phrases boolean, counts binary"
 CHUNK = pa.schema([("chunk", pa.int64()), ("counts", pa.binary())])
 
 
@@ -329,45 +334,74 @@ class _Buckets:
         self.seen[at] = np.minimum(self.seen[at] + np.bincount(back, n, len(at)), self.enough).astype(self.seen.dtype)
 
     def close(self):
-        squeeze = zstandard.ZstdCompressor(1).compress
-        for chunk, part in enumerate(self.seen.reshape(-1, 1 << CHUNK_BITS)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int64()), pa.array([squeeze(part.tobytes())], pa.binary())], schema=HEARD)
+        yield from _chunks(self.seen, False)
 
 
-def frequent_buckets(heard: DataFrame, bits: int, enough: int) -> np.ndarray:
-    """Bits of the buckets whose counts reach ``enough`` over all units.
+def _chunks(counts: np.ndarray, phrases: bool):
+    """``counts`` in rows of ``2 ** CHUNK_BITS``, but for rows of zeros."""
+    squeeze = zstandard.ZstdCompressor(1).compress
+    for chunk, at in enumerate(range(0, len(counts), 1 << CHUNK_BITS)):
+        part = counts[at:at + (1 << CHUNK_BITS)]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([phrases]), pa.array([squeeze(part.tobytes())], pa.binary())], schema=HEARD)
 
-    Each chunk's counts are first added up by up to ``SALTS`` tasks, so that none reads the rows of all units.
-    """
-    dtype = np.min_scalar_type(enough)
 
-    def summed(batches):
+def _summed(dtype: np.dtype, most: int):
+    """The function that adds up the rows of each chunk in a task, up to ``most``: (chunk, array) of batches."""
+
+    def run(batches):
         sums: dict[int, np.ndarray] = {}
-        expand, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(1).compress
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
                 part = np.frombuffer(expand(counts), dtype)
-                sums[chunk] = part if chunk not in sums else np.minimum(sums[chunk].astype(np.int64) + part, enough).astype(dtype)
-        for chunk, part in sums.items():
+                sums[chunk] = part if chunk not in sums else np.minimum(sums[chunk].astype(np.int64) + part, most).astype(dtype)
+        return sums.items()
+
+    return run
+
+
+def _added(heard: DataFrame, phrases: bool, summed) -> DataFrame:
+    """(chunk, counts) of phrases or buckets, added up by up to ``SALTS`` tasks a chunk, so that none reads the rows of all units."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(1).compress
+        for chunk, part in summed(batches):
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([squeeze(part.tobytes())], pa.binary())], schema=CHUNK)
 
+    rows = heard.where(F.col("phrases") == phrases).select("chunk", "counts")
+    parts = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition("chunk", "salt")
+    return parts.select("chunk", "counts").mapInArrow(run, "chunk long, counts binary").repartition("chunk")
+
+
+def frequent_buckets(heard: DataFrame, bits: int, enough: int) -> np.ndarray:
+    """Bits of the buckets whose counts reach ``enough`` over all units."""
+    summed = _summed(np.min_scalar_type(enough), enough)
+
     def reached(batches):
-        expand = zstandard.ZstdDecompressor().decompress
-        for b in summed(batches):
-            full = np.frombuffer(expand(b.column("counts")[0].as_py()), dtype) >= enough
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array([np.packbits(full).tobytes()], pa.binary())], schema=CHUNK)
+        for chunk, part in summed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([np.packbits(part >= enough).tobytes()], pa.binary())], schema=CHUNK)
 
-    rows = heard.where("counts is not null").select(F.col("left").alias("chunk"), "counts")
-    parts = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition("chunk", "salt")
-    parts = parts.select("chunk", "counts").mapInArrow(summed, "chunk long, counts binary")
     out = np.zeros(1 << bits >> 3, np.uint8)
     size = 1 << CHUNK_BITS >> 3
-    for r in parts.repartition("chunk").mapInArrow(reached, "chunk long, counts binary").toLocalIterator():
+    for r in _added(heard, False, summed).mapInArrow(reached, "chunk long, counts binary").toLocalIterator():
         out[r.chunk * size:(r.chunk + 1) * size] = np.frombuffer(r.counts, np.uint8)
     return out
 
 
+def frequent_counts(heard: DataFrame, phrase_ids: np.ndarray, min_count: int) -> DataFrame:
+    """(left, a) of the phrases, numbered as in ``phrase_ids``, with ``min_count`` places or more over all units."""
+    summed = _summed(np.dtype(np.int64), np.iinfo(np.int64).max)
+    shared = heard.sparkSession.sparkContext.broadcast(phrase_ids)
+
+    def reached(batches):
+        for chunk, part in summed(batches):
+            at = np.flatnonzero(part >= min_count)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[(chunk << CHUNK_BITS) + at]), pa.array(part[at])], ["left", "a"])
+
+    return _added(heard, True, summed).mapInArrow(reached, "left long, a long")
+
+
 def _next_words(ids: np.ndarray, tokens: np.ndarray, bits: np.ndarray) -> tuple:
     """(left, right, n) of neighbouring frequent words of a block."""
     known = _has(bits, ids)
@@ -388,15 +422,37 @@ def pairs_heard(blocks: DataFrame, bits: np.ndarray, room: int, enough: int) ->
     return blocks.select("ids", "tokens").mapInArrow(run, HEARD_SQL)
 
 
-def word_pairs(blocks: DataFrame, bits: np.ndarray, full: np.ndarray, least: int) -> DataFrame:
-    """(left, right, n) of neighbouring frequent words whose bucket is in ``full``."""
-    shared, most = blocks.sparkSession.sparkContext.broadcast((bits, full)), HELD
+class _Known:
+    """Pairs that units need not send."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.names = np.unique(np.concatenate([left, right]))
+        self.keys = np.sort(self._key(left, right))
+
+    def _key(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.names, left) * (len(self.names) + 1) + np.searchsorted(self.names, right)
+
+    def others(self, pairs: tuple) -> tuple:
+        """The pairs (left, right, n) that are not known."""
+        if not len(self.keys):
+            return pairs
+        left, right, _ = pairs
+        named = [self.names[np.minimum(np.searchsorted(self.names, x), len(self.names) - 1)] == x for x in (left, right)]
+        key = self._key(left, right)
+        there = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+        stay = ~(named[0] & named[1] & there)
+        return tuple(x[stay] for x in pairs)
+
+
+def word_pairs(blocks: DataFrame, bits: np.ndarray, full: np.ndarray, least: int, known: _Known) -> DataFrame:
+    """(left, right, n) of neighbouring frequent words whose bucket is in ``full``, but for those ``known``."""
+    shared, most = blocks.sparkSession.sparkContext.broadcast((bits, full, known)), HELD
 
     def run(batches):
-        bits, full = shared.value
+        bits, full, known = shared.value
         unit = _Unit(least, most)
         for ids, tokens in _block_rows(batches):
-            yield from unit.add(*_in_full(_next_words(ids, tokens, bits), full))
+            yield from unit.add(*known.others(_in_full(_next_words(ids, tokens, bits), full)))
         yield from unit.close()
 
     return blocks.select("ids", "tokens").mapInArrow(run, FOUND_SQL)
@@ -435,7 +491,7 @@ def names_of(trie: Trie, phrase_ids: np.ndarray) -> np.ndarray:
 
 
 def phrases_heard(blocks: DataFrame, trie: Trie, names: np.ndarray, k: int, bits: np.ndarray, room: int, enough: int, last: bool, alone: bool) -> DataFrame:
-    """Counts (left, n) of the trie's phrases and, unless ``last``, their next words counted in ``2 ** room`` buckets."""
+    """Counts of the trie's phrases, in its order, and, unless ``last``, their next words counted in ``2 ** room`` buckets."""
     shared = blocks.sparkSession.sparkContext.broadcast((trie, names, bits))
 
     def run(batches):
@@ -446,25 +502,24 @@ def phrases_heard(blocks: DataFrame, trie: Trie, names: np.ndarray, k: int, bits
             total += np.bincount(state, minlength=len(total))
             if not last:
                 buckets.add(*_after_phrases(state, names, k, ids, tokens, bits, alone))
-        total[0] = 0
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(names[found]), pa.array(total[found]), pa.nulls(len(found), pa.binary())], schema=HEARD)
+        yield from _chunks(total[trie.accept], True)
         if not last:
             yield from buckets.close()
 
     return blocks.select("ids", "tokens").mapInArrow(run, HEARD_SQL)
 
 
-def phrase_followers(blocks: DataFrame, trie: Trie, names: np.ndarray, k: int, bits: np.ndarray, full: np.ndarray, least: int, alone: bool) -> DataFrame:
-    """(left, right, n) of the phrases that ``names`` names and the frequent words that follow them, of buckets in ``full``."""
-    shared, most = blocks.sparkSession.sparkContext.broadcast((trie, names, bits, full)), HELD
+def phrase_followers(blocks: DataFrame, trie: Trie, names: np.ndarray, k: int, bits: np.ndarray, full: np.ndarray, least: int, alone: bool,
+                     known: _Known) -> DataFrame:
+    """(left, right, n) of the phrases that ``names`` names and the frequent words that follow them, of buckets in ``full``, but for those ``known``."""
+    shared, most = blocks.sparkSession.sparkContext.broadcast((trie, names, bits, full, known)), HELD
 
     def run(batches):
-        trie, names, bits, full = shared.value
+        trie, names, bits, full, known = shared.value
         unit = _Unit(least, most)
         for ids, tokens in _block_rows(batches):
             state = _states(trie, ids, tokens, k)
-            yield from unit.add(*_in_full(_after_phrases(state, names, k, ids, tokens, bits, alone), full))
+            yield from unit.add(*known.others(_in_full(_after_phrases(state, names, k, ids, tokens, bits, alone), full)))
         yield from unit.close()
 
     return blocks.select("ids", "tokens").mapInArrow(run, FOUND_SQL)
@@ -487,6 +542,41 @@ def candidates_of(found: DataFrame, min_count: int, units: int, least: int) -> D
     return sent.where(F.col("n") + units * (least - 1) >= min_count).select("left", "right")
 
 
+def first_units(blocks: DataFrame) -> tuple[DataFrame, float]:
+    """About as many of the files of ``blocks`` (stored) as the root of their number, spread over all, and their share."""
+    files = sorted(blocks.inputFiles())
+    some = files[::max(1, len(files) // max(1, math.isqrt(len(files))))]
+    return blocks.sparkSession.read.schema(blocks.schema).parquet(*some), len(some) / len(files)
+
+
+def safe_pairs(one_pass, blocks: DataFrame, least: int, min_count: int) -> tuple[DataFrame, list[str]]:
+    """((left, right) that can have been seen ``min_count`` times, places of the tables it is read from).
+
+    ``one_pass(blocks, least, known)`` gives what the units of ``blocks``
+    send. The first units only name candidates, by half the share of
+    ``min_count`` that falls to them; all units then send whatever is not
+    named, so no pair depends on where it stands. Candidates that are not
+    frequent cost a place in a trie, which counts them.
+    """
+    none, places = np.zeros(0, np.int64), []
+    known, seen = _Known(none, none), None
+    if len(blocks.inputFiles()) > 3:
+        some, share = first_units(blocks)
+        enough = math.ceil(min_count * share / 2)
+        units = max(1, some.rdd.getNumPartitions())
+        found, at, units, n = counted(lambda n: one_pass(some, n, known), 1 + (enough - 1) // units, enough)
+        seen, there = keep(candidates_of(found, enough, units, n), "phrase-seen")
+        places += [at, there]
+        parts = -(-seen.count() // KNOWN)
+        if parts > 1:  # units send the others as well
+            seen = seen.where(F.pmod(F.xxhash64("left", "right"), F.lit(parts)) == 0)
+        rows = seen.toArrow()  # about KNOWN rows
+        known = _Known(rows.column("left").to_numpy(), rows.column("right").to_numpy())
+    found, at, units, n = counted(lambda n: one_pass(blocks, n, known), least, min_count)
+    rest = candidates_of(found, min_count, units, n)
+    return rest if seen is None else rest.unionByName(seen), [*places, at]
+
+
 def coded_blocks(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(blocks, words (lang, word, a, id) seen ``min_count`` times, totals (lang, n), places of the tables)."""
     seed, places = 0, []
@@ -523,11 +613,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     heard, at = keep(pairs_heard(blocks, bits, room, min_count), "phrase-heard")
     places.append(at)
     full = frequent_buckets(heard, room, min_count)
-    got = [counted(lambda n: word_pairs(blocks, bits, full, n), least, min_count)]
+    got = [safe_pairs(lambda rows, n, known: word_pairs(rows, bits, full, n, known), blocks, least, min_count)]
     for k in range(2, max_words + 1):
-        places += [at for _, at, _, _ in got]
+        places += [at for _, own in got for at in own]
         # Each trie's phrases are its own, so the parts of a round have no candidate in common.
-        safe = reduce(DataFrame.unionByName, [candidates_of(found, min_count, units, n) for found, _, units, n in got])
+        safe = reduce(DataFrame.unionByName, [pairs for pairs, _ in got])
         grown = safe.join(before, "left").join(word, "right").select(
             "lang", F.array_append("words", F.col("last")).alias("words"), F.array_append("ids", F.col("right")).alias("ids"))
         candidates, at = keep(grown.withColumn("left", F.monotonically_increasing_id()), f"phrase-candidates-{k}")
@@ -545,18 +635,19 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
             names = rows.column("left").to_numpy()
             heard, at = keep(phrases_heard(blocks, trie, names_of(trie, names), k, bits, room, min_count, last, alone), "phrase-heard")
             places.append(at)
-            frequent = heard.where("counts is null").groupBy("left").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+            frequent, at = keep(frequent_counts(heard, names, min_count), "phrase-counts")
+            places.append(at)
             counts.append(frequent)
             if not last:
                 some = frequent.select("left").toArrow().column("left").to_numpy()
                 own = names_of(trie, np.where(np.isin(names, some), names, -1))
                 full = frequent_buckets(heard, room, min_count)
-                got.append(counted(lambda n: phrase_followers(blocks, trie, own, k, bits, full, n, alone), least, min_count))
+                got.append(safe_pairs(lambda rows, n, known: phrase_followers(rows, trie, own, k, bits, full, n, alone, known), blocks, least, min_count))
         counts = reduce(DataFrame.unionByName, counts)
         before = candidates.join(counts, "left")
         levels.append(before.select("lang", "words", "a"))
         before = before.select("left", "lang", "words", "ids")
-    places += [at for _, at, _, _ in got if at not in places]
+    places += [at for _, own in got for at in own if at not in places]
     every = keep(reduce(DataFrame.unionByName, levels), "phrases")[0]
     totals = keep(totals, "phrase-totals")[0]
     for at in places:
