@@ -7,6 +7,9 @@ renumbering the rest, and the survivors are lower-cased.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +58,24 @@ def explode_terms(df: DataFrame, text_col: str, keep: list[str], tokens_col: str
     )
 
 
-def kept_tokens(text: Column) -> Column:
-    """Array of (pos, term) of the indexed tokens of ``text``, numbered before the long ones are dropped."""
-    numbered = F.transform(raw_tokens(text), lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("term")))
-    return F.transform(F.filter(numbered, lambda x: _kept(x["term"])),
-                       lambda x: F.struct(x["pos"].alias("pos"), F.lower(x["term"]).alias("term")))
+def pieces(text: Column) -> Column:
+    """The runs of ``text`` in order, lower-cased, null where too long; a text may begin or end with an empty one. For ``kept_places``."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), TOKEN_SEPARATOR), lambda t: F.when(_kept(t), F.lower(t)))
+
+
+def kept_places(tokens: pa.Array, analysed: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(list, pos, term) of the indexed tokens of lists of ``pieces``, numbered before the long ones are dropped.
+
+    Lists that are not ``analysed`` hold values, which are kept whole.
+    """
+    n = np.diff(tokens.offsets.to_numpy())
+    flat, of = tokens.flatten(), np.repeat(np.arange(len(n)), n)
+    size = pc.fill_null(pc.binary_length(flat), -1).to_numpy()
+    numbered = (size != 0) | ~analysed[of]
+    seen = np.r_[0, np.cumsum(numbered)]
+    first = np.r_[0, np.cumsum(n)][:-1]
+    at = np.flatnonzero(numbered & (size >= 0))
+    return of[at], seen[at] - seen[first][of[at]], flat.take(pa.array(at))
 
 
 def kept_count(tokens: Column) -> Column:

@@ -37,10 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.text import explode_terms, field_length, kept_count, kept_tokens, raw_tokens, tags_text
+from vellum.functions.text import explode_terms, field_length, kept_count, kept_places, pieces, raw_tokens, tags_text
 from vellum.schema import RAW_FIELDS, TEXT_FIELDS
 from vellum.session import bounded_broadcast, ensure_checkpoint_dir
 
@@ -62,6 +63,7 @@ class Index:
     path: str | None = None      # where a stored index lies
     shards: int | None = None    # its document shards
     ref: DataFrame | None = None  # (field, ref): the lengths that a stored index takes impacts at
+    docs: DataFrame | None = None  # the documents of an index that is built in the plan
 
 
 def term_bucket(term: F.Column, buckets: int) -> F.Column:
@@ -103,63 +105,91 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def _counted(rows: pa.Table) -> pa.RecordBatch:
-    """The postings of token lists (doc_id, field, tokens); lists of one id, field and length are taken together."""
+def _counted(rows: pa.Table, words: dict | None = None, positions: bool = True) -> pa.RecordBatch:
+    """The postings of token lists (``_token_lists``); lists of one id, field and length are taken together.
+
+    ``words`` (field: terms, or None for all of them) names the postings that are wanted; with it each list
+    also gives a row without a term, which has its length.
+    """
     rows = rows.combine_chunks()
-    tokens = rows["tokens"].combine_chunks()
-    dl = np.diff(tokens.offsets.to_numpy())
-    (ids, _), (fields, _) = _codes(rows["doc_id"].combine_chunks()), _codes(rows["field"].combine_chunks())
-    unit = (ids * (fields.max(initial=0) + 1) + fields) * (dl.max(initial=0).astype(np.int64) + 1) + dl
+    ids, fields = rows["doc_id"].combine_chunks(), rows["field"].combine_chunks()
+    of, pos, flat = kept_places(rows["tokens"].combine_chunks(), rows["analysed"].to_numpy())
+    dl = np.bincount(of, minlength=len(rows))
+    (doc, _), (at, names) = _codes(ids), _codes(fields)
+    unit = (doc * (at.max(initial=0) + 1) + at) * (dl.max(initial=0) + 1) + dl
     _, first, unit = np.unique(unit, return_index=True, return_inverse=True)
-    flat = tokens.flatten()
-    term, words = _codes(flat.field("term"))
-    pos = flat.field("pos").to_numpy(zero_copy_only=False)
-    key = np.repeat(unit, dl) * max(len(words), 1) + term
+    term, terms = _codes(flat)
+    if words is not None:
+        wanted = np.zeros((len(names), len(terms)), bool)
+        for no, f in enumerate(names.to_pylist()):
+            some = words.get(f, terms[:0])
+            wanted[no] = True if some is None else pc.is_in(terms, some).to_numpy(zero_copy_only=False)
+        some = wanted[at[of], term]
+        of, pos, term = of[some], pos[some], term[some]
+    key = unit[of] * max(len(terms), 1) + term
     order = np.argsort(key, kind="stable") if len(first) == len(dl) else np.lexsort((pos, key))
     key = key[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     tf = np.diff(np.r_[starts, len(key)])
-    at = first[key[starts] // max(len(words), 1)]
-    places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(key)].astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+    to = first[key[starts] // max(len(terms), 1)]
+    ends, places, word = np.r_[starts, len(key)], pos[order], term[order[starts]]
+    known = np.ones(len(starts), bool)
+    if not positions:
+        ends, places = np.zeros(len(starts) + 1, np.int64), places[:0]
+    if words is not None:
+        n = len(rows)
+        to, tf, word, known = np.r_[to, np.arange(n)], np.r_[tf, np.zeros(n, np.int64)], np.r_[word, np.zeros(n, np.int64)], np.r_[known, np.zeros(n, bool)]
+        ends = np.r_[ends, np.full(n, ends[-1])]
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.astype(np.int32)))
     return pa.RecordBatch.from_arrays(
-        [rows["field"].combine_chunks().take(pa.array(at)), words.take(pa.array(term[order[starts]])), rows["doc_id"].combine_chunks().take(pa.array(at)),
-         pa.array(dl[at].astype(np.int32)), pa.array(tf.astype(np.int32)), places], ["field", "term", "doc_id", "dl", "tf", "positions"])
-
-
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of batches of token lists in id order; the last id of a batch waits for the next one."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows])
-        if not len(rows):
-            continue
-        ids, _ = _codes(rows["doc_id"].combine_chunks())
-        other = np.flatnonzero(ids != ids[-1])
-        whole = other[-1] + 1 if len(other) else 0
-        held = rows.slice(whole)
-        if whole:
-            yield _counted(rows.slice(0, whole))
-    if held is not None and len(held):
-        yield _counted(held)
+        [fields.take(pa.array(to)), terms.take(pa.array(word, mask=~known)), ids.take(pa.array(to)),
+         pa.array(dl[to].astype(np.int32)), pa.array(tf.astype(np.int32)), lists], ["field", "term", "doc_id", "dl", "tf", "positions"])
+
+
+def _count_tokens(words: dict | None = None, positions: bool = True):
+    """The function for ``mapInArrow``: token lists in id order in, postings out; the last id of a batch waits for the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        sought = None if words is None else {f: None if w is None else pa.array(sorted(w), pa.string()) for f, w in words.items()}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not len(rows):
+                continue
+            ids, _ = _codes(rows["doc_id"].combine_chunks())
+            other = np.flatnonzero(ids != ids[-1])
+            whole = other[-1] + 1 if len(other) else 0
+            held = rows.slice(whole)
+            if whole:
+                yield _counted(rows.slice(0, whole), sought, positions)
+        if held is not None and len(held):
+            yield _counted(held, sought, positions)
+
+    return run
 
 
 def _token_lists(docs: DataFrame, raw: bool) -> DataFrame:
-    """(doc_id, field, tokens) of the analysed fields, with ``raw`` of the raw fields as well; ``docs`` has (doc_id, ...)."""
+    """(doc_id, field, tokens, analysed) of the analysed fields, with ``raw`` of the raw fields as well; ``docs`` has (doc_id, ...)."""
     texts = {"title": F.col("title"), "content": F.col("content"), "tags": tags_text(F.col("tags"))}
-    fields = [F.struct(F.lit(f).alias("field"), kept_tokens(t).alias("tokens")) for f, t in texts.items()]
+
+    def one(field, tokens, analysed):
+        return F.struct(F.lit(field).alias("field"), tokens.alias("tokens"), F.lit(analysed).alias("analysed"))
+
+    fields = [one(f, pieces(t), True) for f, t in texts.items()]
     if raw:
         values = {f: F.coalesce(F.col("doc_id" if f == "id" else f), F.lit("")) for f in RAW_FIELDS}
-        fields += [F.struct(F.lit(f).alias("field"), F.array(F.struct(F.lit(0).alias("pos"), t.alias("term"))).alias("tokens")) for f, t in values.items()]
-    return docs.select("doc_id", F.explode(F.array(*fields)).alias("f")).select("doc_id", "f.field", "f.tokens")
+        fields += [one(f, F.array(t), False) for f, t in values.items()]
+    return docs.select("doc_id", F.explode(F.array(*fields)).alias("f")).select("doc_id", "f.field", "f.tokens", "f.analysed")
 
 
-def text_postings(docs: DataFrame, raw: bool = False) -> DataFrame:
+def text_postings(docs: DataFrame, raw: bool = False, words: dict | None = None, positions: bool = True) -> DataFrame:
     """Postings of the analysed fields with their places, one per (field, term, doc_id, dl); with ``raw`` those of the raw fields.
 
-    ``docs`` (doc_id, ...) must hold all rows of an id in one partition.
+    ``docs`` (doc_id, ...) must hold all rows of an id in one partition. For ``words`` see ``_counted``; without
+    ``positions`` the lists of places are empty.
     """
-    return _token_lists(docs.sortWithinPartitions("doc_id"), raw).mapInArrow(_count_tokens, POSTINGS)
+    return _token_lists(docs.sortWithinPartitions("doc_id"), raw).mapInArrow(_count_tokens(words, positions), POSTINGS)
 
 
 def raw_postings(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -182,7 +212,7 @@ def build_index(docs: DataFrame, buckets: int | None = None) -> Index:
     tokens = text_tokens(docs, buckets)
     doc_stats = field_texts(docs).select("field", "doc_id", "dl")
     return Index(postings, doc_stats, term_stats_of(postings), corpus_of(doc_stats),
-                 buckets=buckets, positions=tokens)
+                 buckets=buckets, positions=tokens, docs=docs)
 
 
 def term_stats_of(postings: DataFrame) -> DataFrame:
@@ -243,10 +273,11 @@ def _lengths(postings: DataFrame) -> DataFrame:
 
 def _bounds(postings: DataFrame, ref: DataFrame) -> DataFrame:
     """(field, term, df, impact, tb); ``ref`` (field, ref) has the lengths that impacts are taken at."""
-    ref = F.broadcast(ref.select(F.col("field").alias("of"), "ref"))  # a row per text field
-    impact = F.col("tf") / (F.col("tf") + length_norm(F.col("dl"), F.coalesce("ref", F.lit(1.0))))
-    return postings.join(ref, F.col("field") == F.col("of"), "left").groupBy("field", "term", "tb").agg(
-        F.count(F.lit(1)).alias("df"), F.max(impact).alias("impact")).select("field", "term", "df", "impact", "tb")
+    at = F.lit(1.0)
+    for r in ref.where(F.col("ref").isNotNull()).collect():  # a row per text field
+        at = F.when(F.col("field") == r["field"], F.lit(r["ref"])).otherwise(at)
+    impact = F.col("tf") / (F.col("tf") + length_norm(F.col("dl"), at))
+    return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.max(impact).alias("impact"), F.max("tb").alias("tb"))
 
 
 def length_norm(dl: F.Column, avgdl: F.Column) -> F.Column:
