@@ -94,3 +94,34 @@ def test_phrases_in_copies_of_an_id_as_match_counts_them(spark):
     idx = ix.build_index(docs)
     whole = se.match(idx, q).select("query_id", "doc_id", F.round("score", 6).alias("score")).collect()
     assert sorted(whole) == sorted(se.search(idx, q).select("query_id", "doc_id", "score").collect())
+
+
+def test_a_search_analyses_each_document_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = make_docs(spark, [dict(id=f"d{i}", entity=f"e{i % 2}", name=f"n{i}", content=f"alpha w{i} beta") for i in range(20)])
+    docs = docs.withColumn("content", F.udf(read, "string")("content"))
+    rows = [(1, 0, "exact", "name", ["n3"], None), (1, 1, "term", None, ["w3"], None), (2, 0, "term", None, ["alpha"], "e1"),
+            (3, 0, "all", None, [], None), (4, 0, "phrase", "content", ["alpha", "w5"], None)]
+    q = spark.createDataFrame(rows, "query_id long, clause_no int, kind string, field string, terms array<string>, entity string")
+    got = {}
+    for r in se.search(ix.build_index(docs), q).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got[1] == ["d3"] and got[4] == ["d5"] and len(got[2]) == 10 and len(got[3]) == 10
+    assert seen.value == 20
+
+
+def test_postings_are_the_tokens_counted(spark):
+    texts = ["", "none", " ", "x", "--a b--", "x" * 39 + " " + "y" * 40 + " x", "İstanbul ΣΑΣ ΑΣ.Β Été", "Ⱥ" * 19 + " z"]
+    docs = make_docs(spark, [dict(id=f"d{i}", entity="e", name="n", title="", content=t, tags=["A-b", "c"]) for i, t in enumerate(texts)])
+    docs = docs.withColumn("content", F.nullif("content", F.lit("none")))
+    want = {}
+    for r in ix.text_tokens(docs).collect():
+        want.setdefault((r.field, r.term, r.doc_id, r.dl), []).append(r.pos)
+    rows = ix.build_index(docs).postings.where(F.col("field").isin("title", "content", "tags")).collect()
+    assert {(r.field, r.term, r.doc_id, r.dl): r.positions for r in rows} == {k: sorted(v) for k, v in want.items()}
+    assert len(rows) == len(want)

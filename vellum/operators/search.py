@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import terms
 from vellum.operators.fold import Batch, best_of_blocks
-from vellum.operators.index import B, K1, Index, _staged, doc_shard, length_norm, positions_of, postings_for, term_bucket
+from vellum.operators.index import (B, K1, Index, _staged, corpus_of, doc_shard, length_norm, positions_of, postings_for, raw_postings,
+                                    term_bucket, term_stats_of, text_postings)
 from vellum.schema import RAW_FIELDS, TEXT_FIELDS
 from vellum.session import BROADCAST_ROW_LIMIT, bounded_broadcast
 
@@ -439,6 +440,21 @@ def _wanted_postings(idx: Index, words: DataFrame, patterns: list[str], places:
     return found.select(*cols, *(["positions"] if places else []))
 
 
+def _counted_postings(idx: Index, words: DataFrame, patterns: list[str], places: bool, small: bool) -> DataFrame:
+    """``_wanted_postings`` of an index built in the plan, stored: the documents are read and analysed once.
+
+    There is a row without a term for each text field of each document, which has its length.
+    """
+    wanted = {f: set() for f in TEXT_FIELDS}
+    for r in words.where(F.col("field").isin(list(TEXT_FIELDS)) & F.col("term").isNotNull()).collect():  # of the batch's words
+        wanted[r["field"]].add(r["term"])
+    wanted.update({f: None for f in patterns if f in TEXT_FIELDS})
+    rows = text_postings(idx.docs.repartition("id").withColumnRenamed("id", "doc_id"), words=wanted, positions=places)
+    raw = _wanted_postings(replace(idx, postings=raw_postings(idx.docs), buckets=None), words.where(F.col("field").isin(list(RAW_FIELDS))),
+                           [f for f in patterns if f in RAW_FIELDS], places, small)
+    return _staged(rows.select(*raw.columns).unionByName(raw))
+
+
 def _alike(clauses: DataFrame) -> DataFrame:
     """(query_id, clauses, members): queries with the same clauses are answered once, under the smallest id of them."""
     rest = [c for c in clauses.columns if c != "query_id"]
@@ -464,28 +480,35 @@ def _query(row) -> dict | None:
     return dict(query_id=row["query_id"], k=k, clauses=out, any=bool(every), base=sum(c["boost"] for c in every))
 
 
-def _batch_hits(idx: Index, clauses: DataFrame, alike: DataFrame, corpus: dict, small: bool) -> DataFrame:
+def _batch_hits(idx: Index, clauses: DataFrame, alike: DataFrame, small: bool) -> DataFrame:
     """(query_id, doc_id, score, k): the best hits of the queries ``alike`` (stored) in every block of documents."""
     all_clauses = clauses.unionByName(_entity_clauses(clauses))
     words = (_with_fields(all_clauses.where(F.col("kind").isin("term", "exact", "set", "phrase", "prefix")))
              .select("field", F.explode("terms").alias("term")).distinct())
-    stats = idx.term_stats.join(_small(words, small), ["field", "term"], "left_semi").select("field", "term", "df").collect()  # of the batch's words
     queries = [q for q in map(_query, alike.select("query_id", "clauses").collect()) if q]
+    own = [c for q in queries for c in q["clauses"]]
+    fields = sorted({c["field"] for c in own if c["kind"] in ("range", "prefix")})
+    places = any(c["kind"] == "phrase" or c["kind"] == "prefix" and len(c["terms"]) > 1 for c in own)
+    if idx.docs is not None:
+        counted = _counted_postings(idx, words, fields, places, small)
+        rows, lengths = counted.where(F.col("term").isNotNull()), counted.where(F.col("term").isNull())
+        idx = replace(idx, doc_stats=lengths.select("field", "doc_id", "dl"), corpus=corpus_of(lengths), term_stats=term_stats_of(rows))
+    else:
+        rows = _wanted_postings(idx, words, fields, places, small)
+    corpus = {r["field"]: (r["n_docs"], r["avgdl"]) for r in _corpus_all_fields(idx).collect()}  # a row per field
+    stats = idx.term_stats.join(_small(words, small), ["field", "term"], "left_semi").select("field", "term", "df").collect()  # of the batch's words
     df = {(r["field"], r["term"].encode()): r["df"] for r in stats}
     batch = Batch(queries, {}, {f: a for f, (_, a) in corpus.items()}, K1, B, SCORE_DIGITS)
-    fields, every = set(), any(q["any"] for q in queries)
+    every = any(q["any"] for q in queries)
     for q in queries:
         q["clauses"] = [c for c in q["clauses"] if c["field"] in corpus or c["kind"] in ("set", "range", "prefix") or c["occur"] == "must"]
         for c in q["clauses"]:
             n = corpus.get(c["field"], (0, 1.0))[0]
             batch.idf.update({(c["field"], t): math.log(1.0 + (n - d + 0.5) / (d + 0.5)) for t in c["terms"] for d in [df.get((c["field"], t), 0)]})
-            if c["kind"] in ("range", "prefix"):
-                fields.add(c["field"])
             if c["kind"] == "phrase" or c["kind"] == "prefix" and len(c["terms"]) > 1:
                 by_prefix = c["kind"] == "prefix"
                 batch.phrases[c["field"]].add((c["terms"], 0 if by_prefix else c["slop"], by_prefix))
     batch.phrases = dict(batch.phrases)
-    rows = _wanted_postings(idx, words, sorted(fields), bool(batch.phrases), small)
     if every:  # every document may be a hit
         none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "doc_id"]
         rows = rows.unionByName(idx.doc_stats.where(F.col("field") == TEXT_FIELDS[0]).select("doc_id", *none))
@@ -509,13 +532,12 @@ def search(idx: Index, clauses: DataFrame) -> DataFrame:
     small = (sum(n * t for n, t, _, _ in prof.values()) + n) * len(TEXT_FIELDS) <= BROADCAST_ROW_LIMIT
     max_k = max([k for _, _, k, _ in prof.values() if k is not None] or [DEFAULT_K])
     alike = _staged(_alike(clauses))
-    corpus = {r["field"]: (r["n_docs"], r["avgdl"]) for r in _corpus_all_fields(idx).collect()}  # a row per field
     parts = max(1, -(-n // QUERY_ROWS))
     hits = []
     for part in range(parts):
         some = alike.where(F.pmod(F.hash("query_id"), F.lit(parts)) == part) if parts > 1 else alike
         own = clauses.join(some.select("query_id"), "query_id", "left_semi") if parts > 1 else clauses
-        hits.append(_batch_hits(idx, own, some, corpus, small))
+        hits.append(_batch_hits(idx, own, some, small))
     ranked = top_k(reduce(DataFrame.unionByName, hits), max_k)
     members = _small(alike.select("query_id", F.explode("members").alias("member")), small)
     return ranked.join(members, "query_id").select(F.col("member").alias("query_id"), "rank", "doc_id", "score")
