@@ -105,11 +105,37 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def _counted(rows: pa.Table, words: dict | None = None, positions: bool = True) -> pa.RecordBatch:
+def _pair_codes(pairs: set) -> list[tuple]:
+    """``pairs`` (word, next word or what it begins with, whether a prefix) as (bytes of the prefix, words, next ones, numbers of the pairs)."""
+    out = []
+    for size in {len(v) if by_prefix else None for _, v, by_prefix in pairs}:
+        some = [(u, v) for u, v, by_prefix in pairs if (len(v) if by_prefix else None) == size]
+        first, then = ({w: i for i, w in enumerate(sorted({pair[at] for pair in some}))} for at in (0, 1))
+        codes = np.unique(np.array([first[u] * len(then) + then[v] for u, v in some], np.int64))
+        out.append((size, pa.array(first, pa.binary()), pa.array(then, pa.binary()), codes))
+    return out
+
+
+def _in_pairs(of: np.ndarray, pos: np.ndarray, term: np.ndarray, terms: pa.Array, pairs: list[tuple]) -> np.ndarray:
+    """Marks the places that stand beside another one of their list as a pair (``_pair_codes``) does."""
+    marked, known = np.zeros(len(of), bool), terms.cast(pa.binary())
+    at = np.flatnonzero((of[1:] == of[:-1]) & (pos[1:] == pos[:-1] + 1))
+    for size, first, then, codes in pairs:
+        begins = known if size is None else pc.binary_slice(known, 0, size)
+        u, v = (pc.fill_null(pc.index_in(x, y), -1).to_numpy(zero_copy_only=False).astype(np.int64) for x, y in ((known, first), (begins, then)))
+        a, b = u[term[at]], v[term[at + 1]]
+        found = at[(a >= 0) & (b >= 0) & np.isin(a * len(then) + b, codes)]
+        marked[found] = marked[found + 1] = True
+    return marked
+
+
+def _counted(rows: pa.Table, words: dict | None = None, positions: bool = True, pairs: dict | None = None) -> pa.RecordBatch:
     """The postings of token lists (``_token_lists``); lists of one id, field and length are taken together.
 
     ``words`` (field: terms, or None for all of them) names the postings that are wanted; with it each list
-    also gives a row without a term, which has its length.
+    also gives a row without a term, which has its length. ``pairs`` (field: ``_pair_codes``) names places
+    wanted besides, those of two neighbours; copies of an id have all places of such a field, as a phrase
+    counts places in all of them.
     """
     rows = rows.combine_chunks()
     ids, fields = rows["doc_id"].combine_chunks(), rows["field"].combine_chunks()
@@ -125,6 +151,11 @@ def _counted(rows: pa.Table, words: dict | None = None, positions: bool = True)
             some = words.get(f, terms[:0])
             wanted[no] = True if some is None else pc.is_in(terms, some).to_numpy(zero_copy_only=False)
         some = wanted[at[of], term]
+        copied = (np.bincount(unit) > 1)[unit]
+        for no, f in enumerate(names.to_pylist()):
+            if f in (pairs or {}):
+                own = np.flatnonzero(at[of] == no)
+                some[own] |= copied[of[own]] | _in_pairs(of[own], pos[own], term[own], terms, pairs[f])
         of, pos, term = of[some], pos[some], term[some]
     key = unit[of] * max(len(terms), 1) + term
     order = np.argsort(key, kind="stable") if len(first) == len(dl) else np.lexsort((pos, key))
@@ -146,12 +177,13 @@ def _counted(rows: pa.Table, words: dict | None = None, positions: bool = True)
          pa.array(dl[to].astype(np.int32)), pa.array(tf.astype(np.int32)), lists], ["field", "term", "doc_id", "dl", "tf", "positions"])
 
 
-def _count_tokens(words: dict | None = None, positions: bool = True):
+def _count_tokens(words: dict | None = None, positions: bool = True, pairs: dict | None = None):
     """The function for ``mapInArrow``: token lists in id order in, postings out; the last id of a batch waits for the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         sought = None if words is None else {f: None if w is None else pa.array(sorted(w), pa.string()) for f, w in words.items()}
+        beside = {f: _pair_codes(some) for f, some in (pairs or {}).items()}
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
@@ -162,9 +194,9 @@ def _count_tokens(words: dict | None = None, positions: bool = True):
             whole = other[-1] + 1 if len(other) else 0
             held = rows.slice(whole)
             if whole:
-                yield _counted(rows.slice(0, whole), sought, positions)
+                yield _counted(rows.slice(0, whole), sought, positions, beside)
         if held is not None and len(held):
-            yield _counted(held, sought, positions)
+            yield _counted(held, sought, positions, beside)
 
     return run
 
@@ -183,13 +215,13 @@ def _token_lists(docs: DataFrame, raw: bool) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array(*fields)).alias("f")).select("doc_id", "f.field", "f.tokens", "f.analysed")
 
 
-def text_postings(docs: DataFrame, raw: bool = False, words: dict | None = None, positions: bool = True) -> DataFrame:
+def text_postings(docs: DataFrame, raw: bool = False, words: dict | None = None, positions: bool = True, pairs: dict | None = None) -> DataFrame:
     """Postings of the analysed fields with their places, one per (field, term, doc_id, dl); with ``raw`` those of the raw fields.
 
-    ``docs`` (doc_id, ...) must hold all rows of an id in one partition. For ``words`` see ``_counted``; without
-    ``positions`` the lists of places are empty.
+    ``docs`` (doc_id, ...) must hold all rows of an id in one partition. For ``words`` and
+    ``pairs`` (field: what ``_pair_codes`` takes) see ``_counted``; without ``positions`` the lists of places are empty.
     """
-    return _token_lists(docs.sortWithinPartitions("doc_id"), raw).mapInArrow(_count_tokens(words, positions), POSTINGS)
+    return _token_lists(docs.sortWithinPartitions("doc_id"), raw).mapInArrow(_count_tokens(words, positions, pairs), POSTINGS)
 
 
 def raw_postings(docs: DataFrame, buckets: int | None = None) -> DataFrame:

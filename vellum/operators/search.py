@@ -440,16 +440,25 @@ def _wanted_postings(idx: Index, words: DataFrame, patterns: list[str], places:
     return found.select(*cols, *(["positions"] if places else []))
 
 
-def _counted_postings(idx: Index, words: DataFrame, patterns: list[str], places: bool, small: bool) -> DataFrame:
+def _counted_postings(idx: Index, words: DataFrame, patterns: list[str], own: list[dict], places: bool, small: bool) -> DataFrame:
     """``_wanted_postings`` of an index built in the plan, stored: the documents are read and analysed once.
 
-    There is a row without a term for each text field of each document, which has its length.
+    ``own`` are the clauses of the batch. Of a phrase whose last word is a prefix only places are taken where two of
+    its words are neighbours. There is a row without a term for each text field of each document, which has its length.
     """
-    wanted = {f: set() for f in TEXT_FIELDS}
-    for r in words.where(F.col("field").isin(list(TEXT_FIELDS)) & F.col("term").isNotNull()).collect():  # of the batch's words
-        wanted[r["field"]].add(r["term"])
-    wanted.update({f: None for f in patterns if f in TEXT_FIELDS})
-    rows = text_postings(idx.docs.repartition("id").withColumnRenamed("id", "doc_id"), words=wanted, positions=places)
+    wanted, pairs = {f: set() for f in TEXT_FIELDS}, {}
+    for c in own:
+        f, terms = c["field"], c["terms"]
+        if f not in wanted:
+            continue
+        if c["kind"] == "range" or c["kind"] == "prefix" and len(terms) == 1:
+            wanted[f] = None
+        elif c["kind"] == "prefix":
+            last = len(terms) - 2
+            pairs.setdefault(f, set()).update((u, v, i == last) for i, (u, v) in enumerate(zip(terms, terms[1:], strict=False)))
+        elif wanted[f] is not None:
+            wanted[f].update(t.decode() for t in terms)
+    rows = text_postings(idx.docs.repartition("id").withColumnRenamed("id", "doc_id"), words=wanted, positions=places, pairs=pairs)
     raw = _wanted_postings(replace(idx, postings=raw_postings(idx.docs), buckets=None), words.where(F.col("field").isin(list(RAW_FIELDS))),
                            [f for f in patterns if f in RAW_FIELDS], places, small)
     return _staged(rows.select(*raw.columns).unionByName(raw))
@@ -490,7 +499,7 @@ def _batch_hits(idx: Index, clauses: DataFrame, alike: DataFrame, small: bool) -
     fields = sorted({c["field"] for c in own if c["kind"] in ("range", "prefix")})
     places = any(c["kind"] == "phrase" or c["kind"] == "prefix" and len(c["terms"]) > 1 for c in own)
     if idx.docs is not None:
-        counted = _counted_postings(idx, words, fields, places, small)
+        counted = _counted_postings(idx, words, fields, own, places, small)
         rows, lengths = counted.where(F.col("term").isNotNull()), counted.where(F.col("term").isNull())
         idx = replace(idx, doc_stats=lengths.select("field", "doc_id", "dl"), corpus=corpus_of(lengths), term_stats=term_stats_of(rows))
     else:
