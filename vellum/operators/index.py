@@ -381,8 +381,9 @@ def _replace(spark: SparkSession, path: str, gone: DataFrame, new_docs: DataFram
 
     Only the shards of these documents are rewritten, by dynamic partition
     overwrite; df, document counts and lengths change by what was taken out
-    and put in. Everything is computed and staged before the first folder is
-    replaced. A folder that loses all its rows is replaced by one that holds
+    and put in. Everything is computed before the first folder is replaced:
+    the small tables are staged, and the postings kept are written once, from
+    the table beside itself. A folder that loses all its rows is replaced by one that holds
     a row without field and term, which no search meets. An impact stays where
     a document goes: it remains a bound. After a failure between two tables
     ``write_index`` sets all right.
@@ -402,8 +403,6 @@ def _replace(spark: SparkSession, path: str, gone: DataFrame, new_docs: DataFram
     ref = spark.read.parquet(f"{path}/corpus").select("field", "ref")
     out = _staged(_bounds(old.join(small, "doc_id", "left_semi"), ref))
     rows = old.join(small, "doc_id", "left_anti").select("field", "term", "doc_id", "dl", "tf", "positions", "shard", "tb")
-    with bucketed_scans(spark):  # a task a shard: a staged file holds rows of one, and none are shuffled
-        rows = _staged(rows)
     rows = rows if new is None else rows.unionByName(new.select(*rows.columns))
     folders = (spark.createDataFrame([(s,) for s in touched], "shard int").withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
                .join(F.broadcast(rows.select("shard", "tb").distinct()), ["shard", "tb"], "left_anti"))  # a row per folder
@@ -434,7 +433,8 @@ def _replace(spark: SparkSession, path: str, gone: DataFrame, new_docs: DataFram
     mode, before = "spark.sql.sources.partitionOverwriteMode", spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set(mode, "dynamic")  # inserts into a table take it from the session alone
     try:
-        with unsorted_writes(spark, 32 * buckets):
+        # a task a shard, none are shuffled; Spark writes beside the table that it reads and replaces folders after the last task
+        with bucketed_scans(spark), unsorted_writes(spark, 32 * buckets):
             rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
     finally:
         spark.conf.set(mode, before)
